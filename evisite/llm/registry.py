@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evisite.llm import mixing, sharding
+from evisite.llm import mixing, packing, sharding, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +18,29 @@ def op1_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def vocabulary(name: str) -> str:
+    """A public vocabulary file of the environment."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_pfor_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded, stored in patched frame-of-reference segments, and read back from them."""
+    files = tokenfile.write_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), lower=True, end_id=1)
+    return tokenfile.read_files(files)
+
+
 def op6_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word targets per source with weights 1, 2, 3 and at most 3 epochs; words taken per document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), lower=False, length=2048, end_id=1)
+
+
 OP6_SQL = r"""
 with sized as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
@@ -58,7 +76,7 @@ from placed
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lpt_shards, op6_water_filling_mix)}
+    return {f.__name__: f for f in (op1_lpt_shards, op3_pfor_token_files, op6_water_filling_mix, op8_sum_of_squares_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
