@@ -170,7 +170,7 @@ def write_files(docs: DataFrame, vocabulary: str, lower: bool = True, end_id: in
 def read_files(files: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every stored document, from the segments."""
     sums = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    base = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))  # one row a file part
+    base = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))  # one row a file part: as many as tasks wrote
 
     def decoded(batches):
         for batch in batches:
@@ -180,5 +180,5 @@ def read_files(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends - counts, ends)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(start.as_py() + ends - counts), pa.array(counts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    placed = files.join(base, "part").select("body", (F.col("first") + F.col("base")).alias("start"))
+    placed = files.join(F.broadcast(base), "part").select("body", (F.col("first") + F.col("base")).alias("start"))
     return placed.mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -28,6 +28,9 @@ WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{SPACE}{LET
 BYTES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{SPACE}{LETTER}{DIGIT}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 WIDE = re.compile("[^\x00-\xff]")
 #: Texts in which a cut before each space may not be a split: double spaces, other white space, the cut mark itself.
+#: Where Latin-1 texts are cut besides: around digits and marks (words), or before marks that follow a letter or digit.
+CUT_WORDS = rf"('(?:s|t|re|ve|m|ll|d)|[0-9\x{{b2}}\x{{b3}}\x{{b9}}\x{{bc}}-\x{{be}}]|[^{SPACE}{LETTER}{DIGIT}]+)"
+CUT_BYTES = f"([{LETTER}{DIGIT}])([^{SPACE}{LETTER}{DIGIT}]+)"
 ODD = r"  |[\x00\t\x0b\x0c\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
@@ -77,13 +80,17 @@ class Encoder:
         if len(self.chunks) > self.keep or len(self.pieces) > self.keep:
             self._forget()
         odd = {}
+        wide = pc.match_substring_regex(texts, r"[^\x00-\x{ff}]")
         if self.lower:
+            texts = pc.ascii_lower(texts)
+            texts = pc.if_else(wide, texts, pc.replace_substring_regex(texts, CUT_WORDS, r" \1 "))
             lists = pc.ascii_split_whitespace(texts)
         else:
             strange = pc.match_substring_regex(texts, ODD)
             if pc.any(strange).as_py():
                 odd = {k: texts[k].as_py() for k in np.flatnonzero(strange.to_numpy(zero_copy_only=False))}
                 texts = pc.if_else(strange, "", texts)
+            texts = pc.if_else(wide, texts, pc.replace_substring_regex(texts, CUT_BYTES, "\\1\x00\\2"))
             lists = pc.split_pattern(pc.replace_substring(texts, " ", "\x00 "), "\x00")
         words = lists.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()
