@@ -38,8 +38,8 @@ class BiGru:
             self.p["w" + d] = put(hidden, len(classes), scale=hidden**-0.5)
         self.p["c"] = np.zeros(len(classes), np.float32)
 
-    def _states(self, d: str, x: np.ndarray, mask: np.ndarray | None, keep: bool):
-        """Yields (t, state, parts) along a direction; ``x``: rows by steps."""
+    def _states(self, d: str, x: np.ndarray, mask: np.ndarray):
+        """Yields (t, state, parts) along a direction, for training; ``x``: rows by steps."""
         n, h = len(x), self.h
         table, u = self.p["x" + d], self.p["u" + d]
         state = np.zeros((n, h), np.float32)
@@ -51,21 +51,54 @@ class BiGru:
             z, r = zr[:, :h], zr[:, h:]
             new = np.tanh(gx[:, 2 * h :] + r * gh[:, 2 * h :])
             before, state = state, new + z * (state - new)
+            state = state * mask[:, t, None]
+            yield t, state, (before, z, r, new, gh[:, 2 * h :])
+
+    def _sweep(self, d: str, x: np.ndarray, mask: np.ndarray | None):
+        """Yields (t, states) along a direction for many windows at once; ``x``: steps by rows, states: hidden by rows."""
+        h, n = self.h, x.shape[1]
+        half = np.float32(0.5)
+        table, u = self.p["x" + d].T.copy(), self.p["u" + d].T.copy()
+        table[: 2 * h] *= half  # sigmoid(a) = 0.5 + 0.5 tanh(a / 2)
+        u[: 2 * h] *= half
+        state, gx, gh = np.zeros((h, n), np.float32), np.empty((3 * h, n), np.float32), np.empty((3 * h, n), np.float32)
+        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+            np.take(table, x[t], axis=1, out=gx, mode="clip")
+            np.dot(u, state, out=gh)
+            zr = gx[: 2 * h]
+            zr += gh[: 2 * h]
+            np.tanh(zr, out=zr)
+            zr *= half
+            zr += half
+            new, un = gx[2 * h :], gh[2 * h :]
+            un *= zr[h:]
+            new += un
+            np.tanh(new, out=new)
+            state -= new
+            state *= zr[:h]
+            state += new
             if mask is not None:
-                state = state * mask[:, t, None]
-            yield t, state, (before, z, r, new, gh[:, 2 * h :]) if keep else None
+                state *= mask[t]
+            yield t, state
 
     def position_sums(self, x: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
         """Sum over positions of the class probabilities of each window."""
-        logits = np.empty((x.shape[1], len(x), len(self.classes)), np.float32)
-        for t, state, _ in self._states("f", x, mask, False):
-            np.dot(state, self.p["wf"], out=logits[t])
-        total = np.zeros((len(x), len(self.classes)), np.float32)
-        for t, state, _ in self._states("b", x, mask, False):
-            e = np.exp(np.clip(logits[t] + state @ self.p["wb"] + self.p["c"], -30, 30))
-            e /= e.sum(axis=1, keepdims=True)
-            total += e if mask is None else e * mask[:, t, None]
-        return total
+        x = np.ascontiguousarray(x.T).astype(np.intp)
+        mask = None if mask is None else np.ascontiguousarray(mask.T)
+        wf, wb, c = self.p["wf"].T.copy(), self.p["wb"].T.copy(), self.p["c"][:, None]
+        logits = np.empty((len(x), len(self.classes), x.shape[1]), np.float32)
+        for t, state in self._sweep("f", x, mask):
+            np.dot(wf, state, out=logits[t])
+        logits += c
+        total = np.zeros((len(self.classes), x.shape[1]), np.float32)
+        for t, state in self._sweep("b", x, mask):
+            e = logits[t]
+            e += wb @ state
+            np.clip(e, -30, 30, out=e)
+            np.exp(e, out=e)
+            e /= e.sum(axis=0)
+            total += e if mask is None else e * mask[t]
+        return total.T
 
     def gradients(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, dict]:
         """Loss and gradients of all parameters, by backpropagation through time in both directions."""
@@ -73,7 +106,7 @@ class BiGru:
         grads = {k: np.zeros_like(v) for k, v in self.p.items()}
         run, logits = {}, np.zeros((steps, n, len(self.classes)), np.float32) + self.p["c"]
         for d in "fb":
-            run[d] = list(self._states(d, x, mask, True))
+            run[d] = list(self._states(d, x, mask))
             for t, state, _ in run[d]:
                 logits[t] += state @ self.p["w" + d]
         e = np.exp(logits - logits.max(axis=2, keepdims=True))

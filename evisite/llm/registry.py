@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evisite.llm import mixing, packing, sharding, tokenfile
+from evisite.llm import gif, langid, mixing, packing, sharding, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +36,23 @@ def op6_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a GIF of 24 x 24 frames, and read back."""
+    return gif.digest(gif.store_texts(table(spark, sf_dir, "documents")))
+
+
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), lower=False, length=2048, end_id=1)
 
 
+def op10_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    labelled = langid.classify(docs.select("doc_id", "text"), langid.fit(docs))
+    return labelled.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 OP6_SQL = r"""
 with sized as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
@@ -76,7 +88,7 @@ from placed
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lpt_shards, op3_pfor_token_files, op6_water_filling_mix, op8_sum_of_squares_packing)}
+    return {f.__name__: f for f in (op1_lpt_shards, op3_pfor_token_files, op6_water_filling_mix, op7_gif_media, op8_sum_of_squares_packing, op10_bigru_language)}
 
 
 def oracle_sql() -> dict[str, str]:
