@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from evisite.llm.common import own_texts
+
 KEEP = 600_000  # chunks, and pieces, that a worker remembers before it starts anew
 STEP = 24 << 20  # bytes of text handled at once
 
@@ -116,12 +118,11 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts after each other, and the number of ids of each; a null text has none."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
         flats, counts, at = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, "right")))
-            flat, n = self._some(texts.slice(at, to - at))
+            flat, n = self._some(own_texts(texts.slice(at, to - at)))
             flats.append(flat)
             counts.append(n)
             at = to

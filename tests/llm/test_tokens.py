@@ -13,6 +13,14 @@ ODD = ["", None, "a  b", " lead", "trail ", "a\tb c", "don't we'll I'M", "naïve
 ODD += ["<|endoftext|> a", "é combined", "\xa0nb\xa0 sp", "!!\x1c!! a", "a   b    c", "''s 'ssss 'S", "ǅ İ ß ẞ", "\x85 a\x85b", "1²3½", "  ", "\n", "a\x00 b\x00c", "word " * 9000]
 
 
+def test_slices():
+    rows = ["é" * k + " word, Ü" for k in range(50)]
+    e = Encoder(public_tokenizers.path("word_bpe_49k.json"), True)
+    flat, counts = e.encode(pa.array(rows).slice(20, 20))
+    assert flat.tolist() == [i for r in rows[20:40] for i in plain("word_bpe_49k.json", r)]
+    assert len(counts) == 20
+
+
 def plain(name, text):
     t = Tokenizer.from_file(public_tokenizers.path(name))
     t.encode_special_tokens = True
