@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evisite.llm import gif, langid, mixing, packing, sharding, tokenfile
+from evisite.llm import gif, langid, minhash, mixing, packing, sharding, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), lower=False, length=2048, end_id=1)
 
 
+def op9_superminhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: four words a shingle, similarity 0.8 or more."""
+    return minhash.group(table(spark, sf_dir, "documents"), k=4, least=80)
+
+
 def op10_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text, learned from the documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -88,7 +93,7 @@ from placed
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lpt_shards, op3_pfor_token_files, op6_water_filling_mix, op7_gif_media, op8_sum_of_squares_packing, op10_bigru_language)}
+    return {f.__name__: f for f in (op1_lpt_shards, op3_pfor_token_files, op6_water_filling_mix, op7_gif_media, op8_sum_of_squares_packing, op9_superminhash_groups, op10_bigru_language)}
 
 
 def oracle_sql() -> dict[str, str]:
