@@ -322,7 +322,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 size = [len((t or "").encode()) for t in texts[s]]
                 yield pa.RecordBatch.from_arrays([ids[s], pa.array(size, pa.int64()), pa.array(write_gifs(raw), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return settle(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(stored, "doc_id long, n_bytes long, media binary"), compression="none")
+    return settle(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(stored, "doc_id long, n_bytes long, media binary"), compression="zstd")
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
