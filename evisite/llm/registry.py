@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evisite.llm import gif, langid, minhash, mixing, packing, pii, sharding, tokenfile
+from evisite.llm import gif, langid, minhash, mixing, packing, pii, sharding, tokenfile, vectorgraph
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op2_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.fit(docs))
 
 
+def op5_pruned_graph_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all embeddings with equal labels at a cosine of 0.93 or more."""
+    return vectorgraph.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op6_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word targets per source with weights 1, 2, 3 and at most 3 epochs; words taken per document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -99,7 +104,7 @@ from placed
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lpt_shards, op2_boosted_pii, op3_pfor_token_files, op6_water_filling_mix, op7_gif_media, op8_sum_of_squares_packing, op9_superminhash_groups, op10_bigru_language)}
+    return {f.__name__: f for f in (op1_lpt_shards, op2_boosted_pii, op3_pfor_token_files, op5_pruned_graph_duplicates, op6_water_filling_mix, op7_gif_media, op8_sum_of_squares_packing, op9_superminhash_groups, op10_bigru_language)}
 
 
 def oracle_sql() -> dict[str, str]:
