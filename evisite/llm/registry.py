@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evisite.llm import gif, langid, minhash, mixing, packing, pii, sharding, tokenfile, vectorgraph
+from evisite.llm import gif, langid, minhash, mixing, packing, pii, sharding, tokenfile, urltree, vectorgraph
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,15 @@ def op2_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.fit(docs))
 
 
+#: The rules of the query (fixed values).
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op4_path_template_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the rules, else by its path template."""
+    return urltree.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_pruned_graph_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and groups of all embeddings with equal labels at a cosine of 0.93 or more."""
     return vectorgraph.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
@@ -104,7 +113,7 @@ from placed
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lpt_shards, op2_boosted_pii, op3_pfor_token_files, op5_pruned_graph_duplicates, op6_water_filling_mix, op7_gif_media, op8_sum_of_squares_packing, op9_superminhash_groups, op10_bigru_language)}
+    return {f.__name__: f for f in (op1_lpt_shards, op2_boosted_pii, op3_pfor_token_files, op4_path_template_urls, op5_pruned_graph_duplicates, op6_water_filling_mix, op7_gif_media, op8_sum_of_squares_packing, op9_superminhash_groups, op10_bigru_language)}
 
 
 def oracle_sql() -> dict[str, str]:
