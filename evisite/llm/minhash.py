@@ -69,7 +69,7 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
         if none:
             out.append(np.zeros(0, np.uint64))
         elif b - a < k:
-            short = (w[a:b] * mult[: b - a]).sum(dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (b - a) % 2**64)
+            short = (int((w[a:b] * mult[: b - a]).sum(dtype=np.uint64)) + 0x9E3779B97F4A7C15 * int(b - a)) % 2**64
             out.append(mix64(np.array([short], np.uint64)))
         else:
             out.append(np.unique(rolled[a : b - k + 1]))
