@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evisite.llm.common import settle
+from evisite.llm.common import fresh, settle
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -77,7 +77,8 @@ def mix(
 
     ``whole`` is the number of whole repetitions and ``part`` the words of a further one (0 to ``size``).
     """
-    sized = settle(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
+    text = F.col(text_col)
+    sized = settle(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("text_hash")))
     by_source = settle(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")))
     pick = F.lit(weights[-1])
     for k, w in list(enumerate(weights))[-2::-1]:
@@ -111,6 +112,28 @@ def mix(
     edge = placed.filter(at_end).withColumn("gone", F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     edge = edge.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("gone"))).cast("long")).drop("gone")
     done = clear.unionByName(edge)
-    whole = (F.col("base") + (F.col("part") == F.col("size")).cast("long") * (F.col("size") > 0).cast("long")).alias("whole")
+    whole = F.when(F.col("size") > 0, F.col("base") + (F.col("part") == F.col("size")).cast("long")).otherwise(0).cast("long").alias("whole")
     part = F.when(F.col("part") == F.col("size"), F.lit(0).cast("long")).otherwise(F.col("part")).alias("part")
-    return done.select("doc_id", "source", "size", "source_size", "target", "epochs", whole, part, (F.col("base") * F.col("size") + F.col("part")).alias("taken"))
+    taken = (F.col("base") * F.col("size") + F.col("part")).alias("taken")
+    return done.select("doc_id", "source", "size", "source_size", "target", "epochs", whole, part, taken, "text_hash")
+
+
+def repeat(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: rows of ``docs`` repeated as often as they are taken, a repetition in part cut to its words.
+
+    Same columns as ``docs``. Equal rows (id and text) are counted together.
+    """
+    names = docs.columns
+    key, first, copies = (fresh(docs, n) for n in ("text_hash", "first", "copies"))
+    plan = mix(docs, weights, max_epochs, seed, id_col, text_col, source_col)
+    plan = plan.groupBy(F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_hash")).agg(F.sum("whole").alias("mix_whole"), F.sum("part").alias("mix_part"))
+    keyed = docs.withColumn(key, F.xxhash64(text_col))
+    order = Window.partitionBy(id_col, key).orderBy(F.col(source_col))
+    keyed = keyed.withColumn(first, F.row_number().over(order)).filter(F.col(first) == 1)
+    taken = plan.filter((F.col("mix_whole") > 0) | (F.col("mix_part") > 0))
+    rows = keyed.join(taken, keyed[id_col].eqNullSafe(taken["mix_id"]) & (keyed[key] == taken["mix_hash"]))
+    times = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("mix_whole").cast("int")), F.when(F.col("mix_part") > 0, F.array("mix_part")).otherwise(F.array().cast("array<long>")))
+    rows = rows.withColumn(copies, F.explode(times))
+    words = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = F.when(F.col(copies) < 0, F.col(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.col(copies), F.lit(1)).cast("int")), " "))
+    return rows.withColumn(text_col, cut).select(*names)
