@@ -22,7 +22,7 @@ def strip_pos_tag(acc: Column) -> Column:
 def accession(header: Column, with_pos: bool = True, clean: bool = True) -> Column:
     """The accession of a header by its number of ``|`` fields; illegal marks become ``_``."""
     h = F.regexp_replace(F.trim(header), "^>", "")
-    cols = F.transform(F.split(h, r"\|"), F.trim)
+    cols = F.transform(F.split(h, r"\|"), lambda v: F.trim(v))
     second = F.try_element_at(cols, F.lit(2))
     acc = (
         F.when(F.size(cols) < 2, F.substring(h, 1, 10))

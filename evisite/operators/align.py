@@ -31,16 +31,16 @@ def _lookup(matrix: dict[str, int]) -> np.ndarray:
 
 
 def align_batch(queries: list[str], targets: list[str], table: np.ndarray, gap_open: int, gap_extend: int) -> list[tuple[int, str, str]]:
-    """Best alignment of each pair with free ends: (score, gapped target, gapped query).
+    """Best local alignment of each pair with free ends: (score, gapped target, gapped query).
 
     All pairs of a batch step together through the query's letters and the target's, with affine gaps. Of equal scores
-    the one that ends first in the target, with a letter pair before a gap, is taken.
+    the one that ends first in the target, then in the query, is taken; letters outside it stand against gaps.
     """
     n, rows, cols = len(queries), max(map(len, queries), default=0), max(map(len, targets), default=0)
     pad = lambda texts, m: np.array([[ord(c) if ord(c) < 128 else 88 for c in t.ljust(m, "\0")] for t in texts], np.int32).reshape(n, m)
     q, t = pad(queries, rows), pad(targets, cols)
     nq, nt = np.array([len(x) for x in queries]), np.array([len(x) for x in targets])
-    best = np.zeros((n, rows + 1, cols + 1), np.int32)  # ends free: gaps before the first pair cost nothing
+    best = np.zeros((n, rows + 1, cols + 1), np.int32)
     up = np.full((n, rows + 1, cols + 1), NEVER, np.int32)
     left = np.full((n, rows + 1, cols + 1), NEVER, np.int32)
     for i in range(1, rows + 1):
@@ -48,17 +48,19 @@ def align_batch(queries: list[str], targets: list[str], table: np.ndarray, gap_o
             up[:, i, j] = np.maximum(best[:, i - 1, j] + gap_open, up[:, i - 1, j] + gap_extend)
             left[:, i, j] = np.maximum(best[:, i, j - 1] + gap_open, left[:, i, j - 1] + gap_extend)
             pair = best[:, i - 1, j - 1] + table[q[:, i - 1], t[:, j - 1]]
-            best[:, i, j] = np.maximum(pair, np.maximum(up[:, i, j], left[:, i, j]))
+            best[:, i, j] = np.maximum(np.maximum(pair, 0), np.maximum(up[:, i, j], left[:, i, j]))
     out = []
     for k in range(n):
-        a, b = int(nq[k]), int(nt[k])
-        ends = [(-int(best[k, a, j]), j, a) for j in range(b + 1)] + [(-int(best[k, i, b]), b, i) for i in range(a + 1)]
-        score, j, i = min(ends)
+        own = best[k, : int(nq[k]) + 1, : int(nt[k]) + 1].T
+        j, i = (int(v) for v in np.unravel_index(int(own.argmax()), own.shape))
+        score = int(own[j, i])
         qs, ts = list(queries[k][i:][::-1]), list(targets[k][j:][::-1])
         top, low = ts + ["-"] * len(qs), ["-"] * len(ts) + qs
         state = "m"
         while i > 0 and j > 0:
             here = best[k, i, j]
+            if state == "m" and here == 0:
+                break
             if state == "m":
                 if here == best[k, i - 1, j - 1] + table[q[k, i - 1], t[k, j - 1]]:
                     top.append(targets[k][j - 1])
@@ -78,7 +80,7 @@ def align_batch(queries: list[str], targets: list[str], table: np.ndarray, gap_o
                 j -= 1
         top += list(targets[k][:j][::-1]) + ["-"] * i
         low += ["-"] * j + list(queries[k][:i][::-1])
-        out.append((-score, "".join(top[::-1]), "".join(low[::-1])))
+        out.append((score, "".join(top[::-1]), "".join(low[::-1])))
     return out
 
 

@@ -80,7 +80,7 @@ def assemblies(lines: DataFrame) -> DataFrame:
     order = Window.partitionBy("file").orderBy("line_no")
     starts = F.when(F.trim("data").startswith("BIOMOLECULE"), F.col("line_no"))
     r = r.withColumn("order_", F.last(starts, ignorenulls=True).over(order)).filter("order_ is not null")
-    listed = F.filter(F.transform(F.split(F.regexp_extract("data", r":\s*([^:]*)$", 1), ","), F.trim), lambda c: c != "")
+    listed = F.filter(F.transform(F.split(F.regexp_extract("data", r":\s*([^:]*)$", 1), ","), lambda v: F.trim(v)), lambda c: c != "")
     is_chain = F.col("data").contains("APPLY THE FOLLOWING TO CHAINS") | F.col("data").contains("AND CHAINS:")
     cols = F.split(F.trim("data"), r"\s+")
     is_row = F.col("data").rlike(r"^\s*BIOMT[123]\s+\d+")
