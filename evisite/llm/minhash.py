@@ -9,8 +9,8 @@ batch; a document is finished as soon as no slot holds more than the level reach
 Grouping: documents with one shingle set are one class. Bands of a signature are bucket keys. In every bucket the
 members are paired with one head (not with each other), pairs pass a size bound and a sketch estimate five standard
 deviations below the threshold, and are confirmed on the full sets. Buckets whose members are then still in several
-components get another head; what remains open after that is compared member by member across components, large
-buckets first split by further bands. So no true pair that shares a bucket stays unlinked, and a group of thousands of
+components get another head; what remains open after that is compared member by member, but only across components
+and by sketches inside the join. So no true pair that shares a bucket stays unlinked, and a group of thousands of
 copies costs a star, not all its pairs. With 25 bands of 5 slots a pair of similarity 0.8 shares no bucket with
 probability 5e-5, less above.
 
@@ -38,7 +38,7 @@ BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
 SKETCH = 8  # longs of 16 four-bit values
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D], np.uint64)
-LARGE = 64  # members of a bucket above which open buckets are split by further bands
+TURNS = 4  # heads that a bucket gets
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -230,7 +230,7 @@ def group(docs: DataFrame, k: int = 5, least: int = 80, id_col: str = "doc_id",
         links = found if links is None else links.union(found)
         comps = components(links)
 
-    for turn in range(3):
+    for turn in range(TURNS):
         homed = _home(members, comps)
         ours = homed.join(_open(homed).select("key"), "key") if comps is not None else homed
         order = F.col("rep") if turn == 0 else F.xxhash64(F.lit(turn), "rep")
@@ -245,14 +245,6 @@ def group(docs: DataFrame, k: int = 5, least: int = 80, id_col: str = "doc_id",
             break
     homed = _home(members, comps)
     rest = settle(homed.join(_open(homed), "key"))
-    depth = 0
-    while not (large := rest.filter(F.col("members") > LARGE)).isEmpty() and depth < 3:
-        # Similar members of a large open bucket share further bands: one row for each other band of a member.
-        bands = reps.select(F.col("doc_id").alias("rep"), "bands")
-        finer = large.join(bands, "rep").select("rep", "comp", F.explode("bands").alias("band"), "key").filter("band <> key")
-        finer = finer.select(F.xxhash64("key", "band").alias("key"), "rep", "comp").distinct()
-        rest = settle(rest.filter(F.col("members") <= LARGE).unionByName(finer.join(_open(finer), "key")))
-        depth += 1
     if not rest.isEmpty():
         full = rest.join(sketch, "rep")
         across = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & alike("x", "y", least)
