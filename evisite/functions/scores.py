@@ -14,7 +14,8 @@ EXCLUDED = (  # words that say nothing about a molecule (fixed values)
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """Null stays null (least and greatest alone skip nulls)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def preferred(*values: Column) -> Column:
@@ -80,7 +81,7 @@ def reliability(words: Column, align: Column, bitscore: Column, same_species: Co
     """0 to 1 from description, alignment, hit score, identity and resolution; halved without secondary structure."""
     same = F.when(same_species | (identity > 79.99999), 1.0).otherwise(0.0)
     res = F.when(resolution < 1e-4, 0.5).otherwise(clamp(-0.5 * resolution + 2, 0, 1))
-    total = words * 0.2 + F.least(F.lit(1.0), align / 100.0) * 0.2 + F.least(F.lit(1.0), bitscore / 500.0) * 0.2 + same * 0.1 + res * 0.3
+    total = words * 0.2 + clamp(align / 100.0, 0, 1) * 0.2 + clamp(bitscore / 500.0, 0, 1) * 0.2 + same * 0.1 + res * 0.3
     return F.when(codes.contains("Unknown"), total / 2).otherwise(total)
 
 

@@ -48,8 +48,13 @@ def sample_positions(df: DataFrame, key: str, seq: str, letters: str, n: int = 5
     A top-n of the whole table: each task keeps its own ``n`` first.
     """
     long = df.filter(F.length(seq) >= least)
-    spots = long.select(key, seq, F.explode(F.sequence(F.lit(1), F.length(seq))).alias("poi")).withColumn("aa", F.substring(F.col(seq), F.col("poi"), F.lit(1)))
+    letter = F.posexplode(F.split(F.col(seq), "")).alias("at_", "aa")  # the text itself isn't copied to its letters
+    spots = long.select(key, letter).filter(F.col("aa").isin(list(letters))).select(key, (F.col("at_") + 1).alias("poi"), "aa")
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"), F.col("poi").cast("string")))
-    picked = spots.filter(F.col("aa").isin(list(letters))).withColumn("order_", order).orderBy("order_", key, "poi").limit(n)
+    return spots.withColumn("order_", order).orderBy("order_", key, "poi").limit(n).drop("order_")
+
+
+def mark_samples(picked: DataFrame, df: DataFrame, key: str, seq: str) -> DataFrame:
+    """Sampled positions with their sequence, a marker inserted after the residue."""
     marked = F.concat(F.substring(F.col(seq), F.lit(1), F.col("poi")), F.lit("*"), F.substring(F.col(seq), F.col("poi") + 1, F.length(seq)))
-    return picked.select(key, "poi", "aa", marked.alias("marked"))
+    return picked.join(df.select(key, seq), key).withColumn("marked", marked).drop(seq)

@@ -45,7 +45,8 @@ def bitscore_filter(df: DataFrame, score: str = "bitscore", cutoff: float = 60.0
 
 def alignment_filter(df: DataFrame, score: str = "align_score", cutoff: float = 70) -> DataFrame:
     """Pairs whose alignment score, at most 100, reaches the cutoff rounded down to tens; no score: dropped."""
-    return df.withColumn(score, F.least(F.col(score), F.lit(100))).filter(F.col(score) >= int(cutoff // 10 * 10))
+    scored = df.filter(F.col(score).isNotNull())  # least() would skip nulls
+    return scored.withColumn(score, F.least(F.col(score), F.lit(100))).filter(F.col(score) >= int(cutoff // 10 * 10))
 
 
 def no_gap_at(target: str, column: Column, positions: int = 0) -> Column:
