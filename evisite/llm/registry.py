@@ -112,9 +112,41 @@ from placed
 """
 
 
+OP5_SQL = """
+with recursive v as (
+  select vec_id, label, embedding::double[] as e,
+         embedding is not null and label is not null and list_count(embedding) = len(embedding)
+           and coalesce(list_bool_and(list_transform(embedding, lambda x: isfinite(x))), false) and coalesce(list_bool_or(list_transform(embedding, lambda x: x <> 0)), false) as ok
+  from embeddings),
+links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and a.ok and b.ok and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+degree as (select a, count(*) as n from links group by a),
+least_id as (select a, min(b) as b from reach group by a)
+select v.vec_id, coalesce(n, 0) as n_links, least(v.vec_id, coalesce(l.b, v.vec_id)) as component_id, v.vec_id = least(v.vec_id, coalesce(l.b, v.vec_id)) as kept
+from v left join degree d on v.vec_id = d.a left join least_id l on v.vec_id = l.a
+"""
+
+OP9_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as t from documents),
+s as (
+  select distinct doc_id, case when len(t) < 4 then array_to_string(t, ' ') else array_to_string(t[k:k + 3], ' ') end as sh
+  from w, lateral (select unnest(range(1, greatest(len(t) - 3, 1) + 1)) as k) where len(t) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as both_ from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from pairs join n x on a = x.doc_id join n y on b = y.doc_id where 100 * both_ >= 80 * (x.n + y.n - both_)),
+reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+least_id as (select a, min(b) as b from reach group by a)
+select w.doc_id, coalesce(n, 0) as n_shingles, least(w.doc_id, coalesce(b, w.doc_id)) as component_id, w.doc_id = least(w.doc_id, coalesce(b, w.doc_id)) as kept
+from w left join n on w.doc_id = n.doc_id left join least_id l on w.doc_id = l.a
+"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_lpt_shards, op2_boosted_pii, op3_pfor_token_files, op4_path_template_urls, op5_pruned_graph_duplicates, op6_water_filling_mix, op7_gif_media, op8_sum_of_squares_packing, op9_superminhash_groups, op10_bigru_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_water_filling_mix": OP6_SQL}
+    return {"op5_pruned_graph_duplicates": OP5_SQL, "op6_water_filling_mix": OP6_SQL, "op9_superminhash_groups": OP9_SQL}
