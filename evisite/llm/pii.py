@@ -215,9 +215,13 @@ def examples(texts: list[str], seed: int = 13, rounds: int = 600) -> tuple[np.nd
 
 
 def fit(docs: DataFrame, sample_docs: int = 300, window_chars: int = 20_000, text_col: str = "text") -> BoostedTrees:
-    """Trees from a sample of at most ``sample_docs`` texts that hold a digit or an at sign, by a hash of the text."""
+    """Trees from a sample of at most ``sample_docs`` texts that hold a digit or an at sign, by a hash of the text.
+
+    Of longer texts a window of ``window_chars`` characters at a hashed place is used.
+    """
     text = F.col(text_col)
-    rows = docs.filter(text.rlike("@|[0-9]{4}")).select(F.xxhash64(F.lit(3), text).alias("h"), text.substr(1, window_chars).alias("t")).dropDuplicates(["h"]).orderBy("h").limit(sample_docs).collect()
+    start = F.pmod(F.xxhash64(F.lit(4), text), F.greatest(F.lit(1), F.length(text) - window_chars)).cast("int") + 1
+    rows = docs.filter(text.rlike("@|[0-9]{4}")).select(F.xxhash64(F.lit(3), text).alias("h"), text.substr(start, F.lit(window_chars)).alias("t")).dropDuplicates(["h"]).orderBy("h").limit(sample_docs).collect()
     return BoostedTrees().fit(*examples([r.t for r in sorted(rows, key=lambda r: r.h)]))
 
 
