@@ -38,7 +38,8 @@ BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
 SKETCH = 8  # longs of 16 four-bit values
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D], np.uint64)
-TURNS = 4  # heads that a bucket gets
+TURNS = 6  # heads that a bucket gets at most
+CROSS = 20_000_000  # pairs across components below which no further head is tried
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -203,9 +204,11 @@ def _home(members: DataFrame, comps: DataFrame | None) -> DataFrame:
     return members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
 
 
-def _open(members: DataFrame) -> DataFrame:
-    """The buckets whose members are in more than one component, with their sizes."""
-    return members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select("key", "members")
+def _open(homed: DataFrame) -> DataFrame:
+    """Members of the buckets that span several components; ``cross`` sums to the pairs across components."""
+    sizes = homed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    spans = sizes.groupBy("key").agg(F.sum("n").alias("all"), F.count("*").alias("comps")).filter("comps > 1")
+    return homed.join(spans, "key").join(sizes, ["key", "comp"]).select("key", "rep", "comp", ((F.col("all") - F.col("n")) / 2).alias("cross"))
 
 
 def group(docs: DataFrame, k: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,7 +223,11 @@ def group(docs: DataFrame, k: int = 5, least: int = 80, id_col: str = "doc_id",
     members = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = settle(members.join(shared, "key").distinct())
+    homes = classed.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     links, comps = None, None
+    several = settle(classed.join(homes.withColumnRenamed("rep", "b"), "doc_id").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct())
+    if not several.isEmpty():  # rows that share an id but not their text
+        links, comps = several, components(several)
 
     def take(pairs: DataFrame) -> None:
         nonlocal links, comps
@@ -230,28 +237,26 @@ def group(docs: DataFrame, k: int = 5, least: int = 80, id_col: str = "doc_id",
         links = found if links is None else links.union(found)
         comps = components(links)
 
+    ours = _home(members, comps)
     for turn in range(TURNS):
-        homed = _home(members, comps)
-        ours = homed.join(_open(homed).select("key"), "key") if comps is not None else homed
         order = F.col("rep") if turn == 0 else F.xxhash64(F.lit(turn), "rep")
         head = F.min(F.struct(order.alias("o"), F.col("rep").alias("head"), F.col("comp").alias("home"))).alias("h")
         heads = ours.groupBy("key").agg(head).select("key", "h.head", "h.home")
         pairs = ours.join(heads, "key").filter("rep <> head and comp <> home").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
         x, y = sketch.alias("x"), sketch.alias("y")
         pairs = pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).filter(alike("x", "y", least)).select("a", "b")
-        before = links
         take(settle(pairs))
-        if links is before:
+        ours = settle(_open(_home(members, comps)))
+        if (ours.agg(F.sum("cross")).first()[0] or 0) <= CROSS:
             break
-    homed = _home(members, comps)
-    rest = settle(homed.join(_open(homed), "key"))
+    rest = ours
     if not rest.isEmpty():
         full = rest.join(sketch, "rep")
         across = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & alike("x", "y", least)
         pairs = full.alias("x").join(full.alias("y"), across).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
         take(settle(pairs))
     out = feats.select("doc_id", "n_shingles")
-    out = out.join(classed, "doc_id", "left")
+    out = out.join(homes, "doc_id", "left")
     if comps is not None:
         out = out.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
     component = F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))

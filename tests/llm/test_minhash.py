@@ -91,6 +91,13 @@ def test_groups_equal_brute_force(spark, k):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got.collect())
 
 
+def test_shared_ids(spark):
+    t = [" ".join(f"{c}{k}" for k in range(30)) for c in "abc"]
+    rows = [(5, t[0]), (7, t[0]), (7, t[1]), (9, t[1] + " end"), (11, t[2]), (11, t[2])]
+    got = minhash.group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(5, 5), (7, 5), (7, 5), (9, 5), (11, 11), (11, 11)]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.group(none).count() == 0
