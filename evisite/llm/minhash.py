@@ -39,7 +39,7 @@ SLOTS = BANDS * ROWS
 SKETCH = 8  # longs of 16 four-bit values
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D], np.uint64)
 TURNS = 6  # heads that a bucket gets at most
-CROSS = 20_000_000  # pairs across components below which no further head is tried
+OPEN = 16  # pairs across components for each open member below which no further head is tried
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -219,7 +219,7 @@ def group(docs: DataFrame, k: int = 5, least: int = 80, id_col: str = "doc_id",
     classes = usable.groupBy("print").agg(F.min("doc_id").alias("rep"))
     classed = settle(usable.select("doc_id", "print").join(classes, "print").select("doc_id", "rep").distinct())
     reps = settle(usable.join(classed.filter("doc_id = rep").select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id", "print"]))
-    sketch = reps.select(F.col("doc_id").alias("rep"), "n_shingles", "sketch")
+    sketch = reps.select(F.col("doc_id").alias("rep"), "n_shingles", "sketch", "bands")
     members = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = settle(members.join(shared, "key").distinct())
@@ -247,12 +247,14 @@ def group(docs: DataFrame, k: int = 5, least: int = 80, id_col: str = "doc_id",
         pairs = pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).filter(alike("x", "y", least)).select("a", "b")
         take(settle(pairs))
         ours = settle(_open(_home(members, comps)))
-        if (ours.agg(F.sum("cross")).first()[0] or 0) <= CROSS:
+        left = ours.agg(F.sum("cross"), F.count("*")).first()
+        if (left[0] or 0) <= OPEN * left[1]:
             break
     rest = ours
     if not rest.isEmpty():
         full = rest.join(sketch, "rep")
         across = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & alike("x", "y", least)
+        across = across & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key"))  # in one of their common buckets
         pairs = full.alias("x").join(full.alias("y"), across).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
         take(settle(pairs))
     out = feats.select("doc_id", "n_shingles")
