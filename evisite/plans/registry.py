@@ -317,6 +317,13 @@ def seed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.seed_search(q, t, "item_id", "turn_id", "q", "t", k=12, least=2, most=20)
 
 
+@query()
+def seed_search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share 12-letter words on one diagonal with a benchmark item, whole texts on both sides."""
+    q, t = (table(spark, sf_dir, n) for n in ("benchmark", "documents"))
+    return P.seed_search(q.withColumnRenamed("text", "q"), t.withColumnRenamed("text", "t"), "item_id", "doc_id", "q", "t", k=12, least=2, most=20)
+
+
 @query("""
 with w as (select doc_id, substring(text, 11, 10) q, substring(text, 1, 40) t from documents where length(text) >= 40),
 s as (select doc_id, o, (select sum(case when substring(q, i::int, 1) = substring(t, (o + i)::int, 1) then 4 else -2 end) from range(1, 11) r(i)) score from w, range(0, 31) r(o)),
