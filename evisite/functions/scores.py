@@ -88,11 +88,12 @@ def reliability(words: Column, align: Column, bitscore: Column, same_species: Co
 def identity_score(target: Column, query: Column) -> Column:
     """Identities over query letters in percent, less 100/length for each inner gap of either row, 0 at least."""
     letters = F.length(F.regexp_replace(query, "-", ""))
-    start = F.length(query) - F.length(F.regexp_replace(query, "^-+", ""))
-    end = F.length(F.regexp_replace(query, "-+$", "")) - 1  # the last letter's column, left out of the gap count
+    start = F.length(query) - F.length(F.ltrim(query, F.lit("-")))
+    end = F.length(F.rtrim(query, F.lit("-"))) - 1  # the last letter's column, left out of the gap count
     inner = lambda t: F.substring(t, start + 1, end - start)
+    used = lambda t: F.split(F.substring(t, start + 1, end - start + 1), "")
     gaps = F.length(F.regexp_replace(F.concat(inner(query), inner(target)), "[^-]", ""))
-    same = F.aggregate(F.zip_with(F.split(query, ""), F.split(target, ""), lambda q, t: ((q == t) & (q != "-") & (q != "")).cast("int")), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
+    same = F.aggregate(F.zip_with(used(query), used(target), lambda q, t: ((q == t) & (q != "-") & (q != "")).cast("int")), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
     score = F.round(same * 100.0 / letters - gaps * 100.0 / letters)
     return F.when(letters == 0, 0).otherwise(F.greatest(F.lit(0), score).cast("int"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,75 +32,109 @@ def _lookup(matrix: dict[str, int]) -> np.ndarray:
     return table
 
 
+def _ends(q: np.ndarray, t: np.ndarray, table: np.ndarray, gap_open: int, gap_extend: int, keep: bool) -> tuple[int, int, int, list]:
+    """Best score of a local alignment and its ends (j in the target, i in the query); with ``keep`` all score rows.
+
+    A row of scores is made at once along the target: a gap in the query is a running maximum.
+    """
+    n, extend = len(t), max(gap_open, gap_extend)  # opening anew may be cheaper than extending
+    slope = extend * np.arange(n + 1, dtype=np.int64)
+    best, up = np.zeros(n + 1, np.int64), np.full(n + 1, NEVER, np.int64)
+    rows, top, at_j, at_i = [(best, up, np.full(n + 1, NEVER, np.int64))], 0, 0, 0
+    for i in range(1, len(q) + 1):
+        up = np.maximum(best + gap_open, up + gap_extend)
+        up[0] = NEVER
+        here = np.zeros(n + 1, np.int64)
+        np.maximum(best[:-1] + table[q[i - 1]][t], up[1:], out=here[1:])
+        np.maximum(here, 0, out=here)
+        left = np.full(n + 1, NEVER, np.int64)
+        left[1:] = np.maximum.accumulate(here - slope)[:-1] + slope[:-1] + gap_open
+        best = np.maximum(here, left)
+        if keep:
+            rows.append((best, up, left))
+        j = int(best.argmax())
+        if (-int(best[j]), j, i) < (-top, at_j, at_i) and best[j] > 0:
+            top, at_j, at_i = int(best[j]), j, i
+    return top, at_j, at_i, rows
+
+
+def align_one(query: str, target: str, table: np.ndarray, gap_open: int, gap_extend: int) -> tuple[int, str, str]:
+    """One pair of ``align_batch``. The whole target is scored in memory of a few rows; what lies before the end of the
+    best alignment is scored again, rows kept, as far back as any alignment of a positive score can reach."""
+    q, t = (np.array([ord(c) if ord(c) < 128 else 88 for c in x], np.int64) for x in (query, target))
+    score, j, i, _ = _ends(q, t, table, gap_open, gap_extend, False)
+    extend = max(gap_open, gap_extend)
+    span = j if extend >= 0 else min(j, 2 * len(q) + 2 + len(q) * max(0, int(table.max())) // -extend)
+    lead = j - span
+    _, _, _, rows = _ends(q[:i], t[lead:j], table, gap_open, gap_extend, True)
+    top, low = [], []
+    k, state = span, "m"
+    end_i, end_j = i, j
+    while i > 0 and k > 0:
+        best, up, left = rows[i]
+        if state == "m" and best[k] == 0:
+            break
+        if state == "m":
+            if best[k] == rows[i - 1][0][k - 1] + table[q[i - 1], t[lead + k - 1]]:
+                top.append(target[lead + k - 1])
+                low.append(query[i - 1])
+                i, k = i - 1, k - 1
+                continue
+            state = "u" if best[k] == up[k] else "l"
+        if state == "u":
+            state = "m" if up[k] == rows[i - 1][0][k] + gap_open else "u"
+            top.append("-")
+            low.append(query[i - 1])
+            i -= 1
+        else:
+            state = "m" if left[k] == best[k - 1] + gap_open else "l"
+            top.append(target[lead + k - 1])
+            low.append("-")
+            k -= 1
+    j = lead + k
+    inner, under = "".join(top[::-1]), "".join(low[::-1])
+    top_row = target[:j] + "-" * i + inner + "-" * (len(query) - end_i) + target[end_j:]
+    low_row = "-" * j + query[:i] + under + query[end_i:] + "-" * (len(target) - end_j)
+    return score, top_row, low_row
+
+
 def align_batch(queries: list[str], targets: list[str], table: np.ndarray, gap_open: int, gap_extend: int) -> list[tuple[int, str, str]]:
     """Best local alignment of each pair with free ends: (score, gapped target, gapped query).
 
-    All pairs of a batch step together through the query's letters and the target's, with affine gaps. Of equal scores
-    the one that ends first in the target, then in the query, is taken; letters outside it stand against gaps.
+    Affine gaps. Of equal scores the one that ends first in the target, then in the query, is taken; letters outside it
+    stand against gaps. Targets may be whole texts of any length.
+    """
+    return [align_one(q, t, table, gap_open, gap_extend) for q, t in zip(queries, targets)]
+
+
+def align_pairs(pairs: DataFrame, query: str, target: str, matrix: dict[str, int] | None = None, gap_open: int = -10, gap_extend: int = -2, batch: int = 256, letters: int = 4_000_000, measures: dict[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
+    """``pairs`` with ``score, target_row, query_row``; each distinct (query, target) is aligned once.
+
+    A batch ends at ``batch`` pairs or ``letters`` target letters. ``measures``: columns computed of (target row, query
+    row), which then take the place of the rows, so that long rows are not shuffled.
     """
-    n, rows, cols = len(queries), max(map(len, queries), default=0), max(map(len, targets), default=0)
-    pad = lambda texts, m: np.array([[ord(c) if ord(c) < 128 else 88 for c in t.ljust(m, "\0")] for t in texts], np.int32).reshape(n, m)
-    q, t = pad(queries, rows), pad(targets, cols)
-    nq, nt = np.array([len(x) for x in queries]), np.array([len(x) for x in targets])
-    best = np.zeros((n, rows + 1, cols + 1), np.int32)
-    up = np.full((n, rows + 1, cols + 1), NEVER, np.int32)
-    left = np.full((n, rows + 1, cols + 1), NEVER, np.int32)
-    for i in range(1, rows + 1):
-        for j in range(1, cols + 1):
-            up[:, i, j] = np.maximum(best[:, i - 1, j] + gap_open, up[:, i - 1, j] + gap_extend)
-            left[:, i, j] = np.maximum(best[:, i, j - 1] + gap_open, left[:, i, j - 1] + gap_extend)
-            pair = best[:, i - 1, j - 1] + table[q[:, i - 1], t[:, j - 1]]
-            best[:, i, j] = np.maximum(np.maximum(pair, 0), np.maximum(up[:, i, j], left[:, i, j]))
-    out = []
-    for k in range(n):
-        own = best[k, : int(nq[k]) + 1, : int(nt[k]) + 1].T
-        j, i = (int(v) for v in np.unravel_index(int(own.argmax()), own.shape))
-        score = int(own[j, i])
-        qs, ts = list(queries[k][i:][::-1]), list(targets[k][j:][::-1])
-        top, low = ts + ["-"] * len(qs), ["-"] * len(ts) + qs
-        state = "m"
-        while i > 0 and j > 0:
-            here = best[k, i, j]
-            if state == "m" and here == 0:
-                break
-            if state == "m":
-                if here == best[k, i - 1, j - 1] + table[q[k, i - 1], t[k, j - 1]]:
-                    top.append(targets[k][j - 1])
-                    low.append(queries[k][i - 1])
-                    i, j = i - 1, j - 1
-                    continue
-                state = "u" if here == up[k, i, j] else "l"
-            if state == "u":
-                state = "m" if up[k, i, j] == best[k, i - 1, j] + gap_open else "u"
-                top.append("-")
-                low.append(queries[k][i - 1])
-                i -= 1
-            else:
-                state = "m" if left[k, i, j] == best[k, i, j - 1] + gap_open else "l"
-                top.append(targets[k][j - 1])
-                low.append("-")
-                j -= 1
-        top += list(targets[k][:j][::-1]) + ["-"] * i
-        low += ["-"] * j + list(queries[k][:i][::-1])
-        out.append((score, "".join(top[::-1]), "".join(low[::-1])))
-    return out
-
-
-def align_pairs(pairs: DataFrame, query: str, target: str, matrix: dict[str, int] | None = None, gap_open: int = -10, gap_extend: int = -2, batch: int = 256) -> DataFrame:
-    """``pairs`` with ``score, target_row, query_row``; each distinct (query, target) is aligned once."""
     table = _lookup(matrix or simple_matrix())
 
     def aligned(batches):
         for some in batches:
-            for at in range(0, some.num_rows, batch):
-                part = some.slice(at, batch)
-                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-                rows = align_batch(a, b, table, gap_open, gap_extend)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], names=["q_", "t_", "score", "target_row", "query_row"])
-
-    distinct = pairs.select(F.col(query).alias("q_"), F.col(target).alias("t_")).filter("q_ is not null and t_ is not null").distinct()
-    done = distinct.mapInArrow(aligned, "q_ string, t_ string, score int, target_row string, query_row string")
-    return pairs.join(done, (pairs[query] == done["q_"]) & (pairs[target] == done["t_"])).drop("q_", "t_")
+            keys, a, b = (c.to_pylist() for c in some.columns)
+            at = 0
+            while at < len(a):
+                to, total = at + 1, len(b[at])
+                while to < len(a) and to - at < batch and total + len(b[to]) <= letters:
+                    total += len(b[to])
+                    to += 1
+                rows = align_batch(a[at:to], b[at:to], table, gap_open, gap_extend)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at:to]), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], names=["key_", "score", "target_row", "query_row"])
+                at = to
+
+    key = F.concat_ws("/", F.sha2(F.col(query), 256), F.sha2(F.col(target), 256))
+    keyed = pairs.filter(F.col(query).isNotNull() & F.col(target).isNotNull()).withColumn("key_", key)
+    distinct = keyed.select("key_", F.col(query).alias("q_"), F.col(target).alias("t_")).dropDuplicates(["key_"])
+    done = distinct.mapInArrow(aligned, "key_ string, score int, target_row string, query_row string")
+    if measures is not None:
+        done = done.select("key_", "score", *[f(F.col("target_row"), F.col("query_row")).alias(name) for name, f in measures.items()])
+    return keyed.join(done, "key_").drop("key_")
 
 
 def gapless(query: Column, target: Column, match: int = 4, mismatch: int = -2) -> Column:

@@ -349,10 +349,14 @@ def identity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def local_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Affine local alignment of a window of every document with the passage that follows; equal pairs once."""
-    d = table(spark, sf_dir, "documents").filter("length(text) >= 60").select("doc_id", F.substring("text", 21, 12).alias("q"), F.substring("text", 1, 60).alias("t"))
+    """Affine local alignment of a window of every document with its whole text; equal pairs once.
+
+    The window is letters 21 to 32, further left in shorter texts, and all of a text under 12 letters.
+    """
+    at = F.least(F.lit(21), F.greatest(F.length("text") - 11, F.lit(1)))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", at, F.lit(12)).alias("q"), F.col("text").alias("t"))
     matrix = A.simple_matrix(letters="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ .,")
-    return A.align_pairs(d, "q", "t", matrix).select("doc_id", "score", S.identity_score(F.col("target_row"), F.col("query_row")).alias("identity"))
+    return A.align_pairs(d, "q", "t", matrix, measures={"identity": S.identity_score}).select("doc_id", "score", "identity")
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:

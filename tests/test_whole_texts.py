@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+from evisite.operators import align as A
 from evisite.operators import pairs as P
 from evisite.plans import registry
 
@@ -53,3 +54,61 @@ def test_seed_search_reads_past_400_letters_and_documents(spark, tmp_path):
     d = put(spark, tmp_path, benchmark=([(7, item)], "item_id long, text string"), documents=(docs, "doc_id long, text string"))
     got = sorted((r.item_id, r.doc_id, r.diagonal, r.seeds) for r in registry.queries()["seed_search_documents"](spark, d).collect())
     assert got == [(7, 1, 2400, 29), (7, 2, -100, 19)]
+
+
+def dense_batch(queries, targets, table, gap_open, gap_extend):
+    """Score and gapped rows by whole tables of plain cells."""
+    low, out = A.NEVER, []
+    for q, t in zip(queries, targets):
+        m, u, w = ([[v] * (len(t) + 1) for _ in range(len(q) + 1)] for v in (0, low, low))
+        for i in range(1, len(q) + 1):
+            for j in range(1, len(t) + 1):
+                u[i][j] = max(m[i - 1][j] + gap_open, u[i - 1][j] + gap_extend)
+                w[i][j] = max(m[i][j - 1] + gap_open, w[i][j - 1] + gap_extend)
+                m[i][j] = max(0, m[i - 1][j - 1] + int(table[ord(q[i - 1]), ord(t[j - 1])]), u[i][j], w[i][j])
+        score, j, i = min((-m[i][j], j, i) for i in range(len(q) + 1) for j in range(len(t) + 1))
+        top, under, end_i, end_j, state = [], [], i, j, "m"
+        while i and j and not (state == "m" and m[i][j] == 0):
+            if state == "m" and m[i][j] == m[i - 1][j - 1] + table[ord(q[i - 1]), ord(t[j - 1])]:
+                i, j = i - 1, j - 1
+                top.append(t[j])
+                under.append(q[i])
+            elif state == "u" or state == "m" and m[i][j] == u[i][j]:
+                state = "m" if u[i][j] == m[i - 1][j] + gap_open else "u"
+                i -= 1
+                top.append("-")
+                under.append(q[i])
+            else:
+                state = "m" if w[i][j] == m[i][j - 1] + gap_open else "l"
+                j -= 1
+                top.append(t[j])
+                under.append("-")
+        rows = t[:j] + "-" * i + "".join(top[::-1]) + "-" * (len(q) - end_i) + t[end_j:], "-" * j + q[:i] + "".join(under[::-1]) + q[end_i:] + "-" * (len(t) - end_j)
+        out.append((-score, *rows))
+    return out
+
+
+def test_alignment_with_long_targets_equals_brute_force():
+    rng, table = random.Random(5), A._lookup(A.simple_matrix())
+    text = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    for gap_open, gap_extend in ((-10, -2), (-3, -1), (-1, -4), (-2, -2)):
+        q = [text(rng.randint(0, 12), "ACD") for _ in range(40)]
+        t = [text(rng.randint(0, 120), rng.choice(["ACD", "ACDEFGH"])) for _ in range(40)]
+        got, want = A.align_batch(q, t, table, gap_open, gap_extend), dense_batch(q, t, table, gap_open, gap_extend)
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert got == want
+
+
+def test_local_align_reads_whole_and_short_texts(spark, tmp_path):
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    docs = [(1, text(5000)), (2, "abcdef"), (3, ""), (4, None), (5, text(25)), (6, "X" * 20 + "no1t2f3o4u5n" + "z" * 300), (7, text(40)), (7, text(40))]
+    d = put(spark, tmp_path, documents=(docs, "doc_id long, text string"))
+    got = sorted((r.doc_id, r.score, r.identity) for r in registry.queries()["local_align"](spark, d).collect())
+    window = lambda s: s[min(20, max(0, len(s) - 12)) :][:12]
+    table = A._lookup(A.simple_matrix(letters="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ .,"))
+    want = sorted((k, dense_batch([window(s)], [s], table, -10, -2)[0][0]) for k, s in docs if s is not None)
+    assert [g[:2] for g in got] == want
+    assert (2, 24, 100) in got and (3, 0, 0) in got and len(got) == 7
+    far = A.align_pairs(spark.createDataFrame([("ACDEFG", "H" * 9000 + "ACDEFG" + "H" * 70)], "q string, t string"), "q", "t").first()
+    assert far.score == 24 and far.query_row.index("A") == 9000
