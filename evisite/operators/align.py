@@ -151,6 +151,32 @@ def gapless(query: Column, target: Column, match: int = 4, mismatch: int = -2) -
     return F.struct(best["score"].alias("score"), (-best["neg"]).alias("offset"))
 
 
+def gapless_whole(df: DataFrame, key: str, query: str, target: str, match: int = 4, mismatch: int = -2) -> DataFrame:
+    """``key, score, offset`` as by ``gapless``, with targets of any length: all offsets of a text are scored at once.
+
+    A query longer than its target, and null texts, have null score and offset; an empty query scores 0 at offset 0.
+    """
+
+    def placed(batches):
+        for some in batches:
+            out = [best_place(q, t, match, mismatch) for q, t in zip(some.column(1).to_pylist(), some.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32())], names=[key, "score", "offset"])
+
+    return df.select(key, query, target).mapInArrow(placed, f"`{key}` {dict(df.dtypes)[key]}, score int, offset int")
+
+
+def best_place(query: str | None, target: str | None, match: int, mismatch: int) -> tuple[int | None, int | None]:
+    if query is None or target is None or len(query) > len(target):
+        return None, None
+    q, t = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (query, target))
+    n = len(t) - len(q) + 1
+    same = np.zeros(n, np.int32)
+    for k, c in enumerate(q):
+        same += t[k : k + n] == c
+    at = int((same if match >= mismatch else -same).argmax())
+    return int(same[at]) * match + (len(q) - int(same[at])) * mismatch, at
+
+
 def site_in_target(target_row: Column, query_row: Column, place: Column, positions: int = 0) -> Column:
     """struct(position, letter, context) of a site in the target: ``place`` is its letter's number in the query.
 

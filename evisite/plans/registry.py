@@ -347,6 +347,19 @@ def identity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.filter("replace(q, '-', '') <> ''").select("doc_id", S.identity_score(F.col("t"), F.col("q")).alias("score"))
 
 
+@query()
+def gapless_align_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters 11 to 20 of every document over all offsets of its whole text; shorter texts place what they have of them."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 11, 10).alias("q"), F.col("text").alias("t"))
+    return A.gapless_whole(d, "doc_id", "q", "t")
+
+
+@query()
+def identity_score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The identity score of the rows of whole alignments."""
+    return local_align(spark, sf_dir).select("doc_id", F.col("identity").alias("score"))
+
+
 @query()
 def local_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Affine local alignment of a window of every document with its whole text; equal pairs once.

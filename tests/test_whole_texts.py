@@ -112,3 +112,25 @@ def test_local_align_reads_whole_and_short_texts(spark, tmp_path):
     assert (2, 24, 100) in got and (3, 0, 0) in got and len(got) == 7
     far = A.align_pairs(spark.createDataFrame([("ACDEFG", "H" * 9000 + "ACDEFG" + "H" * 70)], "q string, t string"), "q", "t").first()
     assert far.score == 24 and far.query_row.index("A") == 9000
+
+
+def test_gapless_reads_whole_and_short_texts(spark, tmp_path):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abé") for _ in range(n))
+    docs = [(k, text(n)) for k, n in enumerate([0, 5, 10, 11, 15, 39, 40, 700, 3000])] + [(20, None), (7, text(60))]
+    d = put(spark, tmp_path, documents=(docs, "doc_id long, text string"))
+    got = Counter((r.doc_id, r.score, r.offset) for r in registry.queries()["gapless_align_documents"](spark, d).collect())
+    want = Counter()
+    for k, s in docs:
+        q = s[10:20] if s is not None else None
+        places = [(-sum(4 if a == b else -2 for a, b in zip(q, s[o:])), o) for o in range(len(s) - len(q) + 1)] if s is not None else []
+        want[(k, -min(places)[0], min(places)[1]) if places else (k, None, None)] += 1
+    assert got == want
+    rows = [("XXXX", "Q" * 5000 + "XXYX" + "Q" * 9), ("abc", "ab")]
+    assert A.best_place(*rows[0], 4, -2) == (10, 5000) and A.best_place(*rows[1], 4, -2) == (None, None)
+
+
+def test_identity_of_whole_alignments(spark, tmp_path):
+    docs = [(1, "abc"), (2, "q" * 20 + "bcdefghijkla" + "w" * 900), (3, "-" * 50)]
+    d = put(spark, tmp_path, documents=(docs, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.score) for r in registry.queries()["identity_score_documents"](spark, d).collect()) == [(1, 100), (2, 100), (3, 0)]
