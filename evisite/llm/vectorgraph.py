@@ -2,16 +2,18 @@
 
 1. Equal vectors of a label become one node with a multiplicity.
 2. Nodes go to overlapping cluster shards: a label's nodes are split by spherical k-means centres (fitted on at most
-   ``SAMPLE`` nodes of a cell, chosen by hash), each to its nearest centre and to all whose angle is at most
-   ``margin`` degrees larger. Cells above ``LIMIT`` are split again. What stays larger (very dense groups) is dealt by
-   hash into blocks, and every block is searched by every other, so a task holds two blocks at most.
+   ``SAMPLE`` nodes of a cell, chosen by hash), each to its nearest centre, to all whose angle is at most ``margin``
+   degrees larger, and to every centre that a vector within range of it may have as nearest, so that two nodes in range
+   always share a shard. Cells above ``LIMIT`` are split again. What stays larger (groups that the centres don't part)
+   is dealt by hash into blocks, and every block is compared with every other, so a task holds two blocks at most.
 3. In each block a graph is built by robust pruning; the adjacency lists of a node from all its shards are united.
 4. Every node searches its shards' blocks: greedy from the medoids of the graph's parts and its own list, widened as long as nodes
-   within range, or among the nearest ``BEAM``, are unexpanded. Links are confirmed by cosine in double precision.
+   within range, or among the nearest ``BEAM``, are unexpanded. The cosines of the block's nodes, in double
+   precision, confirm the links and add what the search missed; in dealt blocks they are all there is.
    A link of two nodes is counted in the first shard that they share. Tasks return counts and union-find roots, never
    pairs, so a group of thousands of copies gives rows in proportion to its size.
-5. A sample of nodes is held against brute force over all nodes; below ``recall`` the margin is doubled and the work
-   repeated (the widest margin compares whole labels).
+5. A sample of nodes is held against brute force over all nodes, each node alike; below ``recall`` the margin is
+   doubled and the work repeated (the widest margin compares whole labels).
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and those with a null label, link
 with nothing. Vectors of different lengths don't link. Rows that share an id each count. Empty tables give empty
@@ -132,7 +134,7 @@ def _unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _split(cells: DataFrame, sizes: DataFrame, margin: float, depth: int) -> DataFrame:
+def _split(cells: DataFrame, sizes: DataFrame, margin: float, depth: int, least: float) -> DataFrame:
     """Members of oversize cells to child cells; ``cells``: (cell, node, vec)."""
     order = Window.partitionBy("cell").orderBy(F.xxhash64("node", F.lit(depth)), "node")
     big = cells.join(sizes, "cell")
@@ -145,14 +147,21 @@ def _split(cells: DataFrame, sizes: DataFrame, margin: float, depth: int) -> Dat
 
     fitted = sample.groupBy("cell").applyInPandas(centres, "cell long, centres array<double>, k int")
 
+    reach = float(np.sqrt(1 - least * least)) if least > 0 else 2.0
+
     def assigned(batches):
         for pdf in batches:
             out = []
             for cell, own in pdf.groupby("cell", sort=False):
                 k = int(own["k"].iloc[0])
                 c = np.asarray(own["centres"].iloc[0], np.float64).reshape(k, -1)
-                angle = np.degrees(np.arccos(np.clip(_unit(own["vec"]) @ c.T, -1, 1)))
-                r, to = np.nonzero(angle <= angle.min(axis=1, keepdims=True) + margin)
+                sim = _unit(own["vec"]) @ c.T
+                angle = np.degrees(np.arccos(np.clip(sim, -1, 1)))
+                # A vector in range of x may be nearest to c if x is within that angle of the plane between c and its own.
+                first = sim.argmax(axis=1)
+                apart = np.sqrt(np.maximum(0, ((c[:, None] - c[None]) ** 2).sum(axis=2)))[first]
+                near = sim.max(axis=1, keepdims=True) - sim <= reach * apart + 1e-9
+                r, to = np.nonzero(near | (angle <= angle.min(axis=1, keepdims=True) + margin))
                 child = own.iloc[r][["node", "vec"]].copy()
                 child["cell"], child["child"] = cell, to
                 out.append(child)
@@ -163,7 +172,7 @@ def _split(cells: DataFrame, sizes: DataFrame, margin: float, depth: int) -> Dat
     return placed.select(F.col("cell").alias("parent"), F.xxhash64("cell", "child", F.lit(depth)).alias("cell"), "node", "vec")
 
 
-def shards(nodes: DataFrame, margin: float) -> DataFrame:
+def shards(nodes: DataFrame, margin: float, least: float) -> DataFrame:
     """``(cell, node, vec)`` with each node in one or more cells."""
     open_ = nodes.select(F.xxhash64("label", F.size("vec")).alias("cell"), "node", "vec")
     closed = None
@@ -175,7 +184,7 @@ def shards(nodes: DataFrame, margin: float) -> DataFrame:
         if large.isEmpty():
             return settle(closed)
         rest = open_.join(large.select("cell"), "cell", "left_semi")
-        split = settle(_split(rest, large, margin, depth))
+        split = settle(_split(rest, large, margin, depth, least))
         top = split.groupBy("parent", "cell").agg(F.count("*").alias("m")).groupBy("parent").agg(F.max("m").alias("m"))
         dense = top.join(large, F.col("parent") == F.col("cell")).filter("m > 0.8 * n").select("cell")  # splitting doesn't help
         closed = closed.unionByName(rest.join(dense, "cell", "left_semi"))
@@ -185,7 +194,7 @@ def shards(nodes: DataFrame, margin: float) -> DataFrame:
 
 def links(nodes: DataFrame, least: float, margin: float) -> tuple[DataFrame, DataFrame]:
     """Found links: ``(node, n)``, weighted by multiplicity, and union-find edges ``(a, b)``."""
-    cells = shards(nodes, margin)
+    cells = shards(nodes, margin, least)
     sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / LIMIT).cast("int").alias("blocks"))
     homes = cells.groupBy("node").agg(F.array_sort(F.collect_set("cell")).alias("cells"))
     members = cells.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")).cast("int"))
@@ -198,11 +207,11 @@ def links(nodes: DataFrame, least: float, margin: float) -> tuple[DataFrame, Dat
     united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # at most DEGREE-bounded lists of a node's few shards
     full = settle(members.join(united, "node").join(homes, "node").join(nodes.select("node", "copies"), "node"))
     # A node is a target in its block for the queries of every block, and a query to every block of its cell.
-    asked = full.select("cell", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "node", "vec", "near", "cells", "copies", F.lit(True).alias("query"))
-    target = full.filter("blocks > 1").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("block").alias("j"), "node", "vec", "near", "cells", "copies", F.lit(False).alias("query")).filter("i <> j")
+    asked = full.select("cell", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "node", "vec", "near", "cells", "copies", "blocks", F.lit(True).alias("query"))
+    target = full.filter("blocks > 1").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("block").alias("j"), "node", "vec", "near", "cells", "copies", "blocks", F.lit(False).alias("query")).filter("i <> j")
 
     def searched(pdf: pd.DataFrame) -> pd.DataFrame:
-        cell, same = pdf["cell"].iloc[0], pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        cell, same, whole = pdf["cell"].iloc[0], pdf["i"].iloc[0] == pdf["j"].iloc[0], pdf["blocks"].iloc[0] == 1
         q = pdf[pdf["query"]].sort_values("node", ignore_index=True)
         t = q if same else pdf[~pdf["query"]].sort_values("node", ignore_index=True)
         if not len(q) or not len(t):
@@ -210,7 +219,9 @@ def links(nodes: DataFrame, least: float, margin: float) -> tuple[DataFrame, Dat
         at = {v: k for k, v in enumerate(t["node"])}
         lists, own = ([np.array([at[v] for v in near if v in at], np.int64) for near in side["near"]] for side in (t, q))
         x, y = _unit(t["vec"]), _unit(q["vec"])
-        hit = range_search(x, lists, y, least, own)
+        hit = y @ x.T >= least
+        if same and whole:
+            hit |= range_search(x, lists, y, least, own)
         ids_q, ids_t = q["node"].to_numpy(), t["node"].to_numpy()
         a, b = np.nonzero(hit & (ids_q[:, None] != ids_t[None, :]))
         # The first shard that both share counts the link.
@@ -234,7 +245,7 @@ def links(nodes: DataFrame, least: float, margin: float) -> tuple[DataFrame, Dat
 
 
 def audit(nodes: DataFrame, counts: DataFrame, least: float, sample: int = 200) -> float:
-    """Recall of the counts of a hashed sample of nodes against brute force over all nodes."""
+    """Mean recall of the nodes of a hashed sample that have links, against brute force over all nodes."""
     rows = nodes.orderBy(F.xxhash64("node", F.lit(4)), "node").limit(sample).collect()  # bounded by ``sample``
     by: dict = {}
     for r in rows:
@@ -253,8 +264,8 @@ def audit(nodes: DataFrame, counts: DataFrame, least: float, sample: int = 200)
             yield pd.DataFrame({"node": list(total), "want": list(total.values())}, dtype=np.int64)
 
     want = nodes.select("node", "label", "vec", "copies").mapInPandas(counted, "node long, want long").groupBy("node").agg(F.sum("want").alias("want"))
-    got = want.join(counts, "node", "left").agg(F.sum("want"), F.sum(F.least("want", F.coalesce("n", F.lit(0))))).first()
-    return 1.0 if not got[0] else got[1] / got[0]
+    got = want.join(counts, "node", "left").filter("want > 0").agg(F.avg(F.least("want", F.coalesce("n", F.lit(0))) / F.col("want"))).first()
+    return 1.0 if got[0] is None else got[0]
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.93, recall: float = 0.95, margin: float = 4.0, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:

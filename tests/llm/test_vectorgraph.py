@@ -58,3 +58,20 @@ def test_whole_operator(spark, monkeypatch, limit):
 
 def test_empty(spark):
     assert vectorgraph.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_no_borderline_link_is_lost(spark, monkeypatch):
+    """Pairs just within range, whose nodes often have different nearest centres, beside one dense, often copied group."""
+    monkeypatch.setattr(vectorgraph, "LIMIT", 40)
+    monkeypatch.setattr(vectorgraph, "CELL", 10)
+    rng, rows = np.random.default_rng(5), []
+    for k in range(120):
+        a, b = rng.normal(size=(2, 8))
+        a /= np.linalg.norm(a)
+        b -= (b @ a) * a
+        b /= np.linalg.norm(b)
+        rows += [(2 * k, a.tolist(), 1), (2 * k + 1, (0.932 * a + (1 - 0.932**2) ** 0.5 * b).tolist(), 1)]
+    rows += [(1000 + k, (np.eye(8)[0] + 0.01 * rng.normal(size=8)).tolist(), 1) for k in range(60)]
+    rows += [(2000 + k, rows[-1][1], 1) for k in range(60)]
+    got = vectorgraph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == brute(rows, 0.93)
