@@ -402,9 +402,9 @@ a as (select q.vec_id, q.label, q.res_id, 4 * pi() * (radius + 1.4) * (radius +
 """
 
 
-def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _areas(spark: SparkSession, sf_dir: str, points: list = POINTS) -> DataFrame:
     p = _points(spark, sf_dir)
-    return X.accessible_area(p, p, ["label"], POINTS, max_radius=2.0, atom="vec_id", residue="res_id")
+    return X.accessible_area(p, p, ["label"], points, max_radius=2.0, atom="vec_id", residue="res_id")
 
 
 @query(AREA_SQL + "select vec_id, label, round(sa, 4) sa, round(asa, 4) asa from a")
@@ -430,6 +430,12 @@ def surface_call(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.surface_decision(r, ["label", "site"]).withColumn("area_avg", F.round("area_avg", 4))
 
 
+@query()
+def accessible_area_642(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas on the default sphere of 642 points."""
+    return _areas(spark, sf_dir, X.icosahedron_sphere()).select("vec_id", "label", F.round("sa", 4).alias("sa"), F.round("asa", 4).alias("asa"))
+
+
 @query("""
 with m as (select l_orderkey, max(l_discount * 10 - case when l_tax > 0.01 then l_tax * 10 else l_quantity / 50 end) d, list_distinct(list(l_returnflag)) f from lineitem group by 1)
 select l_orderkey, case when abs(d) < 0.1 then 'No' when list_contains(f, 'R') then 'Homomer' else 'Heteromer' end interface, round(d, 6) + 0.0 delta from m

@@ -5,6 +5,7 @@ from collections import Counter
 
 from evisite.operators import align as A
 from evisite.operators import pairs as P
+from evisite.operators import spatial as X
 from evisite.plans import registry
 
 
@@ -134,3 +135,20 @@ def test_identity_of_whole_alignments(spark, tmp_path):
     docs = [(1, "abc"), (2, "q" * 20 + "bcdefghijkla" + "w" * 900), (3, "-" * 50)]
     d = put(spark, tmp_path, documents=(docs, "doc_id long, text string"))
     assert sorted((r.doc_id, r.score) for r in registry.queries()["identity_score_documents"](spark, d).collect()) == [(1, 100), (2, 100), (3, 0)]
+
+
+def test_areas_on_642_points(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(k, [rng.uniform(0, 0.06) for _ in range(3)], k % 2) for k in range(30)]
+    d = put(spark, tmp_path, embeddings=(rows, "vec_id long, embedding array<double>, label int"))
+    got = {r.vec_id: (r.sa, r.asa) for r in registry.queries()["accessible_area_642"](spark, d).collect()}
+    sphere = X.icosahedron_sphere(4)
+    assert len(sphere) == 642 and len(got) == 30
+    for k, v, label in rows:
+        full, sa, asa = 1.2 + k % 5 * 0.2 + 1.4, 0, 0
+        for p in sphere:
+            at = [100 * a + u * full for a, u in zip(v, p)]
+            own = [n // 8 == k // 8 for n, w, l in rows if l == label and n != k and sum((a - 100 * b) ** 2 for a, b in zip(at, w)) < (1.2 + n % 5 * 0.2 + 1.4) ** 2]
+            sa, asa = sa + (not any(own)), asa + (not own)
+        scale = 4 * 3.141592653589793 * full * full / 642
+        assert abs(got[k][0] - scale * sa) < 1e-3 and abs(got[k][1] - scale * asa) < 1e-3
