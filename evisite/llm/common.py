@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset and Spark runs in one process (tests), a folder of this machine is; on a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="evisite-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -29,7 +34,17 @@ def settle(df: DataFrame, **options) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/evisite-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def unsettle(*tables: DataFrame) -> None:
+    """Deletes settled tables whose readers are done."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def own_texts(texts: pa.Array) -> pa.Array:
@@ -50,6 +65,22 @@ def text_key(text) -> F.Column:
     return F.unhex(F.substring(F.sha2(F.encode(text, "utf-8"), 256), 1, 32))
 
 
+def unite(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Joins the trees of ``x[n]`` and ``y[n]``; on return every node points to the least node of its tree."""
+    while len(x):
+        a, b = parent[x], parent[y]
+        apart = a != b
+        if not apart.any():
+            return
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent[:] = up
+
+
 def components(edges: DataFrame, most: int = 40) -> DataFrame:
     """Connected components of an undirected edge list ``(a, b)``: ``(node, component)``, component = smallest node.
 
@@ -66,7 +97,8 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         hung = large.join(low, F.col("a") == F.col("u"))
         small = hung.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("u", "m"))
-        e = settle(small.distinct())
+        before, e = e, settle(small.distinct())
+        unsettle(before)
         # Done when the edges are stars: each node has one parent, and no parent has one.
         twice = e.groupBy("a").count().filter("count > 1").select("a")
         deep = e.select("a").join(e.select("b").distinct(), F.col("a") == F.col("b"), "left_semi")

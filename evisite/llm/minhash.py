@@ -6,15 +6,20 @@ which lowers the variance against independent hashes. Places are gone through le
 batch; a document is finished as soon as no slot holds more than the level reached (early stopping), after about
 ``m log m / n`` levels.
 
-Grouping: documents with one shingle set are one class. Bands of a signature are bucket keys. In every bucket the
-members are paired with one head (not with each other), pairs pass a size bound and a sketch estimate five standard
-deviations below the threshold, and are confirmed on the full sets. Buckets whose members are then still in several
-components get another head; what remains open after that is compared member by member, but only across components
-and by sketches inside the join. So no true pair that shares a bucket stays unlinked, and a group of thousands of
-copies costs a star, not all its pairs. With 25 bands of 5 slots a pair of similarity 0.8 shares no bucket with
-probability 5e-5, less above.
+Grouping: documents with one shingle set are one class. Bands of a signature are bucket keys; with 25 bands of 5 slots a
+pair of similarity 0.8 shares no bucket with probability 5e-5, less above. Then, from coarse to exact:
 
-Texts are shuffled once to confirm pairs. Signatures, keys and pairs are narrow.
+1. In each bucket the members are compared by set size and by sketches, with a bound five standard deviations below
+   the threshold; union-find leaves at most one edge a member. The components of these edges are *clouds*: every link
+   lies inside one.
+2. The shingle sets of the documents in clouds, and of no others, are built once more and brought together by cloud.
+   All intersections in a cloud are counted by an inverted index (dense products for frequent shingles), links are
+   confirmed on these full sets, and union-find leaves one edge a member again.
+
+No pair leaves a task in either step: the rows out are as many as the members in. Buckets and clouds of more than
+``BLOCK`` documents (or ``WIDE`` shingles) are dealt into blocks and compared block against block, each two of them in a
+task of its own; a member is then sent once per block, so the rows sent for one cloud of ``n`` documents are ``n`` squared by
+``BLOCK``. That cost is left: the links inside such a cloud cannot be known without it.
 
 Cases: texts that are null or without words have no shingle and link with nothing; texts shorter than a shingle have
 one, their whole word sequence. A row without an id links with nothing and is kept. Rows that share an id are one
@@ -23,23 +28,24 @@ document. Empty tables give empty results. Other columns are ignored.
 
 from __future__ import annotations
 
-import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evisite.llm.common import components, own_texts, settle
+from evisite.llm.common import components, own_texts, settle, unite, unsettle
 
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
 SKETCH = 8  # longs of 16 four-bit values
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D], np.uint64)
-TURNS = 6  # heads that a bucket gets at most
-OPEN = 16  # pairs across components for each open member below which no further head is tried
+SALTS = 64  # parts of a class of equal sets while its least id is found
+BLOCK, WIDE = 1000, 1_000_000  # documents, shingles of a block
+SENT = 500_000  # ids up to which the list of documents in clouds is broadcast (12 MB)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -153,113 +159,209 @@ def features(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(made, FEATURES)
 
 
-def alike(a: str, b: str, least: int) -> F.Column:
-    """Whether two rows' set sizes and sketches allow a similarity of ``least`` percent."""
+def whole_groups(batches, keys: int, least: int) -> Iterator[pa.Table]:
+    """Rows sorted by their first ``keys`` columns, as tables of whole groups of at least ``least`` rows (the last: any)."""
+    held: list[pa.Table] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(pa.Table.from_batches([batch]))
+        rows += batch.num_rows
+        if rows < least:
+            continue
+        table = pa.concat_tables(held).combine_chunks()
+        new = group_starts([table.column(k).to_numpy() for k in range(keys)])
+        ends, at = [], 0
+        for start in new[1:]:
+            if start - at >= least:
+                ends.append(start)
+                at = start
+        for start, end in zip([0, *ends], ends):
+            yield table.slice(start, end - start)
+        held, rows = [table.slice(at)], table.num_rows - at
+    if rows:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def group_starts(columns: list[np.ndarray]) -> np.ndarray:
+    """Where a row differs from the row before it; 0 first."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def pairs_within(starts: np.ndarray, n: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs ``x < y`` of places in one run, runs beginning at ``starts``, in slices of about ``most`` pairs."""
+    if not n:
+        return
+    end = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+    later = end - np.arange(n) - 1
+    upto = np.cumsum(later)
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        count = later[at:to]
+        x = np.repeat(np.arange(at, to), count)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count)
+        if len(x):
+            yield x, y
+        at = to
+
+
+def alike(sizes: np.ndarray, sketch: np.ndarray, x: np.ndarray, y: np.ndarray, least: int) -> np.ndarray:
+    """Whether set sizes and sketches allow a similarity of ``least`` percent."""
     t = least / 100
     share = 1 / 16 + 15 / 16 * t
     most = SLOTS * (1 - share) + 5 * (SLOTS * share * (1 - share)) ** 0.5  # unequal slots, five deviations above the mean
-
-    def unequal(n: int) -> F.Column:
-        x = F.col(f"{a}.sketch")[n].bitwiseXOR(F.col(f"{b}.sketch")[n])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-
-    na, nb = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    sizes = F.least(na, nb) * 100 >= F.greatest(na, nb) * least
-    return sizes & (functools.reduce(lambda x, y: x + y, [unequal(n) for n in range(SKETCH)]) <= F.lit(float(most)))
-
-
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, least: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full shingle sets are similar enough."""
-
-    def checked(batches):
-        seen: tuple = (None, None)
+    near = np.minimum(sizes[x], sizes[y]) * 100 >= np.maximum(sizes[x], sizes[y]) * least
+    unequal = np.zeros(int(near.sum()), np.int64)
+    for n in range(sketch.shape[1]):
+        d = sketch[x[near], n] ^ sketch[y[near], n]
+        d |= d >> np.uint64(1)
+        d |= d >> np.uint64(2)
+        unequal += np.bitwise_count(d & np.uint64(0x1111111111111111))
+    near[near] = unequal <= most
+    return near
+
+
+def linked(sets: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of sets with ``100 * intersection >= least * union``, by counting shared shingles."""
+    n = len(sets)
+    size = np.array([len(s) for s in sets], np.int64)
+    both = np.zeros((n, n), np.float32)
+    x = np.concatenate(sets)
+    order = np.argsort(x, kind="stable")
+    owner = np.repeat(np.arange(n), size)[order]
+    starts = group_starts([x[order]])
+    freq = np.diff(np.append(starts, len(x)))
+    often = freq > max(32, n // 16)
+    rows = np.repeat((freq > 1) & ~often, freq)
+    light = owner[rows]
+    for p, q in pairs_within(np.cumsum(f := freq[(freq > 1) & ~often]) - f, len(light)):
+        np.add.at(both.reshape(-1), light[p] * n + light[q], np.float32(1))
+    heavy = np.flatnonzero(often)
+    for k in range(0, len(heavy), 2048):
+        some = heavy[k : k + 2048]
+        have = np.zeros((n, len(some)), np.float32)
+        place = np.concatenate([np.arange(starts[h], starts[h] + freq[h]) for h in some])
+        have[owner[place], np.repeat(np.arange(len(some)), freq[some])] = 1
+        both += np.triu(have @ have.T, 1)
+    p, q = np.nonzero(both)
+    c = both[p, q].astype(np.int64)
+    good = 100 * c >= least * (size[p] + size[q] - c)
+    return p[good], q[good]
+
+
+def blocks_of(count: F.Column, rep: F.Column) -> tuple[F.Column, F.Column]:
+    """The block pairs ``(i, j)`` in which a document takes part, for a group of ``count`` blocks."""
+    mine = F.pmod(F.xxhash64(rep), count).cast("int")
+    others = F.when(count > 1, F.sequence(F.lit(0), (count - 1).cast("int"))).otherwise(F.array(F.lit(0)))
+    return F.transform(others, lambda t: F.struct(F.least(t, mine).alias("i"), F.greatest(t, mine).alias("j")))
+
+
+def clouds(reps: DataFrame, least: int) -> DataFrame | None:
+    """``(node, component)`` of all documents that some bucket pairs with another by size and sketch; None without any."""
+    members = reps.select(F.explode("bands").alias("key"), "rep")
+    shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high")
+    members = members.join(shared.select("key", "n"), "key").distinct()
+    sketch = reps.select("rep", "n_shingles", "sketch")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = members.select("key", "rep", F.explode(blocks_of(blocks, F.col("rep"))).alias("b")).select("key", "b.i", "b.j", "rep").join(sketch, "rep")
+    dealt = dealt.select("key", "i", "j", "rep", "n_shingles", "sketch").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+
+    def compared(batches):
+        for table in whole_groups(batches, 3, 4096):
+            starts = group_starts([table.column(k).to_numpy() for k in range(3)])
+            rep, sizes = table.column(3).to_numpy(), table.column(4).to_numpy()
+            sketch = table.column(5).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)
+            parent = np.arange(len(rep))
+            for x, y in pairs_within(starts, len(rep)):
+                apart = parent[x] != parent[y]
+                x, y = x[apart], y[apart]
+                near = alike(sizes, sketch, x, y, least)
+                unite(parent, x[near], y[near])
+            hung = np.flatnonzero(rep != rep[parent])
+            yield pa.RecordBatch.from_arrays([pa.array(rep[hung]), pa.array(rep[parent[hung]])], names=["a", "b"])
+
+    edges = settle(dealt.mapInArrow(compared, "a long, b long").distinct())
+    found = None if edges.isEmpty() else components(edges)
+    unsettle(edges)
+    return found
+
+
+def confirmed(docs: DataFrame, members: DataFrame, k: int, least: int, repeated: bool) -> tuple[DataFrame, bool]:
+    """Edges ``(a, b)`` that join the linked documents of each cloud, and whether they are stars already."""
+    weight = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / WIDE)).cast("int").alias("blocks"))
+    large = settle(weight.filter("blocks > 1"))
+    whole = large.isEmpty()
+    placed = members.join(large, "component", "left").select(F.col("rep").alias("doc_id"), "component", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    placed = F.broadcast(placed) if members.count() <= SENT else placed
+
+    def built(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                a, b = some.column(0).to_pylist(), some.column(1).to_pylist()
-                left = shingle_sets(some.column(2), k)
-                fresh = [n for n in range(len(b)) if b[n] != (b[n - 1] if n else seen[0])]
-                made = dict(zip(fresh, shingle_sets(some.column(3).take(pa.array(fresh, pa.int64())), k)))
-                good = []
-                for n, s in enumerate(left):
-                    if n in made:
-                        seen = (b[n], made[n])
-                    both = len(np.intersect1d(s, seen[1], assume_unique=True))
-                    if both and 100 * both >= least * (len(s) + len(seen[1]) - both):
-                        good.append(n)
-                yield pa.RecordBatch.from_arrays([pa.array([a[n] for n in good], pa.int64()), pa.array([b[n] for n in good], pa.int64())], names=["a", "b"])
-
-    texts = docs.select("doc_id", "text")
-    one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return two.select("a", "b", "ta", "tb").mapInArrow(checked, "a long, b long")
-
-
-def _home(members: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Adds the present component of each member."""
-    if comps is None:
-        return members.withColumn("comp", F.col("rep"))
-    return members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-
-
-def _open(homed: DataFrame) -> DataFrame:
-    """Members of the buckets that span several components; ``cross`` sums to the pairs across components."""
-    sizes = homed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    spans = sizes.groupBy("key").agg(F.sum("n").alias("all"), F.count("*").alias("comps")).filter("comps > 1")
-    return homed.join(spans, "key").join(sizes, ["key", "comp"]).select("key", "rep", "comp", ((F.col("all") - F.col("n")) / 2).alias("cross"))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array([s.tobytes() for s in shingle_sets(some.column(3), k)], pa.binary())], names=["cloud", "blocks", "rep", "shingles"])
+
+    sets = docs.join(placed, "doc_id").select("component", "blocks", "doc_id", "text").mapInArrow(built, "cloud long, blocks int, rep long, shingles binary")
+    sets = sets.filter(F.octet_length("shingles") > 0)
+    sets = sets.dropDuplicates(["rep", "shingles"]) if repeated else sets
+    sets = settle(sets.select("cloud", "rep", "shingles", F.explode(blocks_of(F.col("blocks"), F.col("rep"))).alias("b")).select("cloud", "b.i", "b.j", "rep", "shingles"))
+
+    def resolved(batches):
+        small = (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500))
+        for table in whole_groups(small, 3, 200):
+            rep = table.column(3).to_numpy()
+            held = table.column(4).combine_chunks()
+            sets = [np.frombuffer(held[n].as_buffer(), np.uint64) for n in range(len(rep))]
+            parent = np.arange(len(rep))
+            again = np.flatnonzero(rep[1:] == rep[:-1])  # rows that share an id
+            unite(parent, again, again + 1)
+            starts = group_starts([table.column(k).to_numpy() for k in range(3)])
+            group_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rep))))
+            x, y = linked(sets, least)
+            own = group_of[x] == group_of[y]
+            unite(parent, x[own], y[own])
+            hung = np.flatnonzero(rep != rep[parent])
+            yield pa.RecordBatch.from_arrays([pa.array(rep[hung]), pa.array(rep[parent[hung]])], names=["a", "b"])
+
+    together = sets.repartition("cloud", "i", "j").sortWithinPartitions("cloud", "i", "j", "rep")
+    edges = settle(together.mapInArrow(resolved, "a long, b long"))
+    unsettle(sets, large)
+    return edges, whole
 
 
 def group(docs: DataFrame, k: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, one row per row of ``docs``."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     feats = settle(features(docs, k))
-    usable = feats.filter("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("print").agg(F.min("doc_id").alias("rep"))
-    classed = settle(usable.select("doc_id", "print").join(classes, "print").select("doc_id", "rep").distinct())
-    reps = settle(usable.join(classed.filter("doc_id = rep").select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id", "print"]))
-    sketch = reps.select(F.col("doc_id").alias("rep"), "n_shingles", "sketch", "bands")
-    members = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = settle(members.join(shared, "key").distinct())
-    homes = classed.groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    links, comps = None, None
-    several = settle(classed.join(homes.withColumnRenamed("rep", "b"), "doc_id").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct())
-    if not several.isEmpty():  # rows that share an id but not their text
-        links, comps = several, components(several)
-
-    def take(pairs: DataFrame) -> None:
-        nonlocal links, comps
-        if pairs.isEmpty():
-            return
-        found = settle(confirm(pairs, docs, k, least))
-        links = found if links is None else links.union(found)
-        comps = components(links)
-
-    ours = _home(members, comps)
-    for turn in range(TURNS):
-        order = F.col("rep") if turn == 0 else F.xxhash64(F.lit(turn), "rep")
-        head = F.min(F.struct(order.alias("o"), F.col("rep").alias("head"), F.col("comp").alias("home"))).alias("h")
-        heads = ours.groupBy("key").agg(head).select("key", "h.head", "h.home")
-        pairs = ours.join(heads, "key").filter("rep <> head and comp <> home").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
-        x, y = sketch.alias("x"), sketch.alias("y")
-        pairs = pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).filter(alike("x", "y", least)).select("a", "b")
-        take(settle(pairs))
-        ours = settle(_open(_home(members, comps)))
-        left = ours.agg(F.sum("cross"), F.count("*")).first()
-        if (left[0] or 0) <= OPEN * left[1]:
-            break
-    rest = ours
-    if not rest.isEmpty():
-        full = rest.join(sketch, "rep")
-        across = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & alike("x", "y", least)
-        across = across & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key"))  # in one of their common buckets
-        pairs = full.alias("x").join(full.alias("y"), across).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-        take(settle(pairs))
-    out = feats.select("doc_id", "n_shingles")
-    out = out.join(homes, "doc_id", "left")
-    if comps is not None:
-        out = out.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
+    usable = feats.filter("n_shingles > 0 and doc_id is not null").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    parts = usable.groupBy("print", "salt").agg(F.min("doc_id").alias("low"))
+    classes = settle(parts.select("print", "salt", F.min("low").over(Window.partitionBy("print")).alias("rep")))
+    homed = usable.join(classes, ["print", "salt"])
+    ids = settle(homed.groupBy("doc_id").agg(F.min("rep").alias("b"), F.count("*").alias("n")).filter("n > 1").select("doc_id", "b"))
+    repeated = not ids.isEmpty()
+    reps = homed.filter("doc_id = rep").select("rep", "print", "n_shingles", "sketch", "bands")
+    reps = settle(reps.dropDuplicates(["rep", "print"]) if repeated else reps)
+    labels = settle(homed.join(ids, "doc_id").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()) if repeated else None  # of rows that share an id but not their text
+    if (near := clouds(reps, least)) is not None:
+        members = settle(near.join(reps.groupBy(F.col("rep").alias("node")).agg(F.sum("n_shingles").alias("n_shingles")), "node").select(F.col("node").alias("rep"), "component", "n_shingles"))
+        edges, whole = confirmed(docs, members, k, least, repeated)
+        labels = edges.withColumnsRenamed({"a": "node", "b": "component"}) if whole and labels is None else components(edges if labels is None else edges.union(labels))
+        unsettle(members)
+    elif labels is not None:
+        labels = components(labels)
+    out = feats.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(_named(classes, labels), ["print", "salt"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _named(classes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The classes with the component of each in place of its least id."""
+    if labels is None:
+        return classes
+    return classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("print", "salt", F.coalesce("component", "rep").alias("rep"))

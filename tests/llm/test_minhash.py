@@ -101,3 +101,42 @@ def test_shared_ids(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.group(none).count() == 0
+
+
+def test_links_equal_set_arithmetic():
+    rng = np.random.default_rng(1)
+    base = rng.choice(3000, 90, replace=False)
+    sets = []
+    for n in range(150):  # a cloud around one base, and strangers that share a passage
+        own = rng.integers(3000, 2**40, int(rng.integers(0, 30)))
+        sets.append(np.unique(np.concatenate([rng.permutation(base)[: 90 - len(own)] if n % 5 else base[:20], own])).astype(np.uint64))
+    for least in (50, 80):
+        want = {(a, b) for a in range(150) for b in range(a + 1, 150) if 100 * len(np.intersect1d(sets[a], sets[b])) >= least * len(np.union1d(sets[a], sets[b]))}
+        assert set(zip(*(v.tolist() for v in minhash.linked(sets, least)))) == want and want
+
+
+def test_large_clouds_are_compared_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    base = [f"w{n}" for n in rng.integers(0, 500, 60)]
+    rows = []
+    for n in range(60):
+        t = list(base)
+        for at in rng.integers(0, 60, int(rng.integers(0, 4))):
+            t[at] = f"own{n}"
+        rows.append((n, " ".join(t)))
+    rows += [(3, rows[3][1])] * 5 + [(100 + n, "shared passage of six plain words " * 3 + " ".join(f"x{n}y{k}" for k in range(40))) for n in range(20)]
+    want = sorted(brute(rows[:60] + rows[65:], 5))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block, wide in ((7, 10**6), (1000, 300)):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        monkeypatch.setattr(minhash, "WIDE", wide)
+        got = minhash.group(docs)
+        assert sorted({(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()}) == want
+
+
+def test_very_long_text(spark):
+    rng = np.random.default_rng(3)
+    long = " ".join(f"w{n}" for n in rng.integers(0, 10**6, 60_000))
+    rows = [(1, long), (2, long + " end"), (3, "some other words that are few"), (4, long[: len(long) // 2])]
+    got = minhash.group(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == sorted(brute(rows, 5))
