@@ -128,6 +128,19 @@ def read_segment(body: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if z else k for k, z in zip(keys, null)], counts, ids
 
 
+def read_block(body: bytes, k: int) -> np.ndarray:
+    """The ids of block ``k`` of a segment alone: its index entry leads to its bytes, no other block is unpacked."""
+    _, block, n_docs, n_ids, n_blocks = HEAD.unpack_from(body)
+    at = HEAD.size + 13 * n_docs
+    start = int.from_bytes(body[at + 8 * k : at + 8 * k + 8], "little")
+    low = body[at + 8 * n_blocks + 4 * k :][:4]
+    width = body[at + 12 * n_blocks + k]
+    spare = body[at + 13 * n_blocks + 2 * k :][:2]
+    start += at + 15 * n_blocks
+    payload = body[start : start + block * width // 8 + 6 * int.from_bytes(spare, "little")]
+    return unpack_blocks(bytes(8) + low + bytes([width]) + spare, payload, min(block, n_ids - block * k), 1, block)
+
+
 def write_files(docs: DataFrame, vocabulary: str, lower: bool = True, end_id: int = 1, percentile: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes all texts and writes their segments in ascending id order; returns the table of segments."""
 

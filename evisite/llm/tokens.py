@@ -3,8 +3,8 @@
 Both public vocabularies split a text into pieces that are encoded on their own, so the ids of a text are the joined
 ids of its pieces. Here texts are cut only where such a split must fall. Arrow finds the distinct chunks of a batch,
 the library encodes those that are new to the worker, and the ids are spread to their places with numpy. The result
-equals ``Tokenizer.encode(text, add_special_tokens=False)`` with ``encode_special_tokens = True`` (the strings of
-special tokens are ordinary text); tests hold it against that. What a worker remembers is bounded.
+equals ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``; tests hold it against that. Texts that spell
+out a special token, which the library turns into one id, go to the library whole. What a worker remembers is bounded.
 """
 
 from __future__ import annotations
@@ -43,9 +43,9 @@ class Encoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.lower, self.keep, self.whole = lower, keep, Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = self.whole.get_added_tokens_decoder().values()
+        self.marks = "|".join(f"(?i:{re.escape(t.content)})" if t.normalized else re.escape(t.content) for t in added)
         self.piece = Tokenizer.from_file(path)  # for pieces that are split and lower-cased already
-        self.piece.encode_special_tokens = True
         if lower:
             self.piece.normalizer = normalizers.Sequence([])
         self.piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -82,16 +82,18 @@ class Encoder:
         if len(self.chunks) > self.keep or len(self.pieces) > self.keep:
             self._forget()
         odd = {}
+        strange = pc.match_substring_regex(texts, self.marks) if self.marks else pa.array(np.zeros(len(texts), bool))
+        if not self.lower:
+            strange = pc.or_(strange, pc.match_substring_regex(texts, ODD))
+        if pc.any(strange).as_py():
+            odd = {k: texts[k].as_py() for k in np.flatnonzero(strange.to_numpy(zero_copy_only=False))}
+            texts = pc.if_else(strange, "", texts)
         wide = pc.match_substring_regex(texts, r"[^\x00-\x{ff}]")
         if self.lower:
             texts = pc.ascii_lower(texts)
             texts = pc.if_else(wide, texts, pc.replace_substring_regex(texts, CUT_WORDS, r" \1 "))
             lists = pc.ascii_split_whitespace(texts)
         else:
-            strange = pc.match_substring_regex(texts, ODD)
-            if pc.any(strange).as_py():
-                odd = {k: texts[k].as_py() for k in np.flatnonzero(strange.to_numpy(zero_copy_only=False))}
-                texts = pc.if_else(strange, "", texts)
             texts = pc.if_else(wide, texts, pc.replace_substring_regex(texts, CUT_BYTES, "\\1\x00\\2"))
             lists = pc.split_pattern(pc.replace_substring(texts, " ", "\x00 "), "\x00")
         words = lists.flatten().dictionary_encode()

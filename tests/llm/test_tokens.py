@@ -10,7 +10,7 @@ from evisite.llm import packing, tokenfile
 from evisite.llm.tokens import Encoder
 
 ODD = ["", None, "a  b", " lead", "trail ", "a\tb c", "don't we'll I'M", "naïve café", "Ωμέγα ΣΑΣ σας", "日本語 text", "x\x1cy z", "a\n\nb \n c\r\nd"]
-ODD += ["<|endoftext|> a", "é combined", "\xa0nb\xa0 sp", "!!\x1c!! a", "a   b    c", "''s 'ssss 'S", "ǅ İ ß ẞ", "\x85 a\x85b", "1²3½", "  ", "\n", "a\x00 b\x00c", "word " * 9000]
+ODD += ["<|endoftext|> a", "x<|endoftext|><|EndOfText|> y<|startoftext|>", "a <|endof text|> b", "<|endoftext|>", "É<|endoftext|>  \t日", "é combined", "\xa0nb\xa0 sp", "!!\x1c!! a", "a   b    c", "''s 'ssss 'S", "ǅ İ ß ẞ", "\x85 a\x85b", "1²3½", "  ", "\n", "a\x00 b\x00c", "word " * 9000]
 
 
 def test_slices():
@@ -23,7 +23,6 @@ def test_slices():
 
 def plain(name, text):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -91,6 +90,40 @@ def test_packing(spark):
     assert packing.pack(docs.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_edges(spark):
+    """Repeated rows and null ids are packed as rows of their own; extra columns with the names of results are ignored."""
+    long = "".join(f"w{k} " for k in range(30_000))
+    rows = [(1, "same text"), (1, "same text"), (None, "no id"), (None, None), (2, long), (3, "x<|endoftext|>y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'a' as start", "1 as length", "2 as sequence_id").coalesce(1)
+    got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), length=2048).collect()
+    want = sorted((str(i), len(plain("byte_bpe_50k.json", t)) + 1) for i, t in rows)
+    assert sorted((str(r.doc_id), r.doc_tokens) for r in got if r.start == 0) == want
+    assert sum(r.length for r in got) == sum(n for _, n in want)
+    ids = np.array(plain("byte_bpe_50k.json", long) + [1], "<u4")
+    for r in got:
+        if r.doc_id == 2:
+            assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+    fills = {}
+    for r in got:
+        fills.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all([o for o, _ in sorted(f)] == [sum(n for _, n in sorted(f)[:k]) for k in range(len(f))] for f in fills.values())
+
+
+def test_very_long_text_in_token_files(spark):
+    long = "".join(f"w{k} " for k in range(60_000))
+    docs = spark.createDataFrame([(2, long), (1, "short")], "doc_id long, text string")
+    got = tokenfile.read_files(tokenfile.write_files(docs, public_tokenizers.path("word_bpe_49k.json"))).collect()
+    ids = np.array(plain("word_bpe_49k.json", long) + [1], "<u4")
+    assert [(r.start, r.n_tokens, r.ids_crc32) for r in got if r.doc_id == 2] == [(2, len(ids), zlib.crc32(ids.tobytes()))]
+
+
+def test_one_block_through_its_start():
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 50_000, 3000).astype(np.uint32)
+    body = tokenfile.write_segment([7], np.array([3000]), ids)
+    assert all((tokenfile.read_block(body, k) == ids[256 * k : 256 * k + 256]).all() for k in range(12))
+
+
 def test_sum_of_squares_choice():
     rng = np.random.default_rng(2)
     p = packing.Packer(20)
