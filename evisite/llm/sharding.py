@@ -1,11 +1,11 @@
 """Operator 1: sharding by longest-processing-time scheduling.
 
 Rows with equal texts form a group that stays together. Groups go, largest first, to the least-loaded shard through a
-heap. Groups of one size are interchangeable to the heap, so it works on *runs*: groups of one size class (exact up to
-64 KiB, then 1024 steps an octave), split further by hash where a class is large. The driver gets one row per run, at
-most about 150,000 whatever the input, and gives each run a quota of groups per shard; the groups find their shard
-by their place in the run. Shards then differ by little more than the smallest runs, unless one group alone is
-larger than a fair share (it still stays whole).
+heap. Groups of one size are interchangeable to the heap, so it works on *runs*: groups of exactly one size, split
+further by hash where there are more than ``run_rows`` of them (or a 50,000th of all groups, if that is more). The runs come
+to the driver in descending order, ``STEP`` at a time; it keeps the load of each shard only, gives each run a quota of groups
+per shard and writes the quotas to the shared folder. The groups find their shard by their place in the run. Shards then
+differ by little more than the smallest groups, unless one group alone is larger than a fair share (it still stays whole).
 
 Cases: a null text has no bytes, size 8 and checksum 0; null-text rows are kept together only by equal id. The empty
 text is a text. An empty table gives an empty result. Repeated rows are rows of their own in one group. Other columns
@@ -14,7 +14,9 @@ are ignored.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,15 +24,19 @@ from pyspark.sql import functions as F
 from evisite.llm.common import settle, text_key
 
 ROW_BYTES = 8
+STEP = 200_000  # runs on the driver at once
+QUOTAS = "bytes long, run long, ends array<long>, shards array<int>"
 
 
-def deal(runs: list[tuple[float, int]], n_shards: int) -> list[list[tuple[int, int]]]:
+def deal(runs: list[tuple[int, int]], n_shards: int, loads: list | None = None) -> list[list[tuple[int, int]]]:
     """LPT quotas. ``runs``: (size of one group, groups), largest first; returns for each run its (shard, groups) pairs.
 
+    ``loads``: the heap of (load, shard) that earlier runs left; it is changed.
+
     The greedy rule for ``n`` equal items is taken in bulk: every shard below the water level gets the items that fit
     under it, then a heap deals the few that remain.
     """
-    heap = [(0.0, k) for k in range(n_shards)]
+    heap = [(0, k) for k in range(n_shards)] if loads is None else loads
     out = []
     for size, n in runs:
         quota: dict[int, int] = {}
@@ -46,7 +52,7 @@ def deal(runs: list[tuple[float, int]], n_shards: int) -> list[list[tuple[int, i
                 if got:
                     quota[k] = got
                 fitted.append((load + got * size, k))
-            heap = fitted
+            heap[:] = fitted
             heapq.heapify(heap)
             n -= sum(quota.values())
         for _ in range(n):
@@ -70,25 +76,22 @@ def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col:
             F.coalesce(text_key(text), alone).alias("key"),
         )
     )
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.col("bytes").cast("double"))) - 10)
-    of = F.when(F.col("bytes") <= 65536, F.col("bytes")).otherwise((F.floor(F.col("bytes") / step) * step).cast("long"))
-    groups = settle(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("copies")).withColumn("cls", of))
+    groups = settle(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("copies")))
     total = groups.agg(F.count("*"), F.sum("copies")).first()
     most = max(run_rows, (total[0] or 0) // 50_000)
-    classes = groups.groupBy("cls").agg(F.ceil(F.count("*") / most).alias("runs"))
-    groups = groups.join(classes, "cls").withColumn("run", F.pmod(F.xxhash64("key"), F.col("runs")))
-    runs = sorted(groups.groupBy("cls", "run").agg(F.sum("bytes"), F.count("*")).collect(), key=lambda r: (-r[2] / r[3], r[0], r[1]))
-    quotas = deal([(r[2] / r[3], r[3]) for r in runs], n_shards)
-    table = []
-    for r, quota in zip(runs, quotas):
-        ends, at = [], 0
-        for _, n in quota:
-            at += n
-            ends.append(at)
-        table.append((r[0], r[1], ends, [k for k, _ in quota]))
-    dealt = spark.createDataFrame(table, "cls long, run long, ends array<long>, shards array<int>")
-    place = F.row_number().over(Window.partitionBy("cls", "run").orderBy("key")) - 1
-    groups = groups.withColumn("place", place).join(dealt, ["cls", "run"])
+    sizes = groups.groupBy("bytes").agg(F.ceil(F.count("*") / most).alias("runs"))
+    groups = groups.join(sizes, "bytes").withColumn("run", F.pmod(F.xxhash64("key"), F.col("runs")))
+    runs = groups.groupBy("bytes", "run").agg(F.count("*").alias("n")).orderBy(F.desc("bytes"), "run")
+    found, loads, tables = runs.toLocalIterator(), [(0, k) for k in range(n_shards)], []
+    while some := list(itertools.islice(found, STEP)):
+        table = []
+        for r, quota in zip(some, deal([(r[0], r[2]) for r in some], n_shards, loads)):
+            table.append((r[0], r[1], list(itertools.accumulate(n for _, n in quota)), [k for k, _ in quota]))
+        tables.append(spark.createDataFrame(table, QUOTAS))
+        tables[-1] = settle(tables[-1]) if len(some) == STEP else tables[-1]
+    dealt = functools.reduce(DataFrame.unionByName, tables) if tables else spark.createDataFrame([], QUOTAS)
+    place = F.row_number().over(Window.partitionBy("bytes", "run").orderBy("key")) - 1
+    groups = groups.withColumn("place", place).join(dealt, ["bytes", "run"])
     to = F.element_at("shards", F.size(F.filter("ends", lambda e: e <= F.col("place"))) + 1).alias("shard")
     buckets = max(16, (total[1] or 0) // (slot_rows * n_shards))
     homed = settle(rows.join(groups.select("key", to), "key").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "key"), F.lit(buckets))))

@@ -43,6 +43,26 @@ def test_shards(spark):
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
+def test_shards_equal_plain_lpt(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = [int(n) for n in rng.integers(70_000, 90_000, 90)] + [int(n) for n in rng.integers(0, 60, 400)]
+    rows = [(k, f"{k:04}" + "x" * n) for k, n in enumerate(sizes)]
+    rows += [(1000 + k, rows[k % 50][1]) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = Counter()
+    for _, t in rows:
+        groups[t] += len(t) + 8
+    heap, want = [(0, k) for k in range(24)], Counter()
+    for size in sorted(groups.values(), reverse=True):
+        load, k = heap[0]
+        heapq.heapreplace(heap, (load + size, k))
+        want[size, k] += 1
+    for step in (sharding.STEP, 50):
+        monkeypatch.setattr(sharding, "STEP", step)
+        home = {rows[0][1]: None} | {dict(rows)[r.doc_id]: r.shard for r in sharding.shard(docs, 24).collect()}
+        assert Counter((groups[t], k) for t, k in home.items()) == want
+
+
 def plain_fill(sizes, weights, most=3):
     total, caps, held = sum(sizes), [most * s for s in sizes], set()
     while True:
