@@ -43,7 +43,7 @@ URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example
 
 def op4_path_template_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by the rules, else by its path template."""
-    return urltree.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return urltree.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op5_pruned_graph_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,21 @@
 """Operator 4: URL filter with host and path rules and a path-template tree.
 
-Rules come first: a rule (host, path prefix) fits its host and all subdomains; the longest wins. Other pages are judged
-by the template of their path. The tree of each host is built level by level: segments that look like numbers, codes or
-dates, and rare ones among many siblings, become wildcards; siblings whose next segments and labels don't differ from
-those of all siblings together (chi-square and two-proportion tests, or a negligible effect) are merged. A template
-is rejected if its labelled purity, smoothed by ``prior`` pseudo-labels of either kind, reaches ``reject``. The labels are
-the rules' own verdicts, or a column of the caller's.
+Rules come first: a rule (host, path prefix) fits its host and all subdomains; the longest wins, of equally long ones the
+one whose text is greater, of the same text ``block``. Other pages are judged by the template of their path. The tree of
+each host is built level by level: segments that look like numbers, codes or dates, and rare ones among many siblings,
+become wildcards; siblings whose next segments and labels don't differ from those of all siblings together (chi-square and
+two-proportion tests, or a negligible effect) are merged. Segments below ``depth`` levels are generalised by their form only.
 
-All steps are group-bys and equi-joins on counts by (host, template, segment); nothing holds a whole host.
+The labels are the rules' own verdicts, or a column of the caller's. The purity of a template is its labelled share of bad
+pages, smoothed by ``prior`` pseudo-labels from each of two sides: from its parent in the tree of the host (itself smoothed by
+its own parent, up to the host and to all pages), and from the same template on all hosts (smoothed by all pages). So a
+branch without labels is judged by what surrounds it: it is rejected if its host and its template are both known to be bad.
+A template is rejected if its purity reaches ``reject``.
+
+All steps are group-bys and equi-joins on counts by (host, template, segment), hosts salted by path; nothing holds a whole host.
 
 Cases: a null url, or one without ``://``, has empty host and path and gets the verdict of that template. Repeated rows
-are judged alike. Deeper segments than ``depth`` share their template's end. Empty tables give empty results. Extra
-columns are ignored.
+are judged alike. Without any label all purities are 0.5. Empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +25,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evisite.llm.common import settle
+from evisite.llm.common import settle, unsettle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SALTS = 16  # parts of a host with many paths in joins
 SHAPES = ("end", "blank", "number", "file", "mixed", "word")
 
 
@@ -71,10 +76,16 @@ def generalised(segment) -> F.Column:
     return F.when(code, F.concat(F.lit("*"), F.when(ending.rlike("[A-Za-z]"), ending).otherwise(F.lit("")))).otherwise(segment)
 
 
+def salted(table: DataFrame) -> DataFrame:
+    """``table`` once for each salt."""
+    return table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def templates(paths: DataFrame, depth: int = 6, rare_share: float = 0.01, many: int = 20) -> DataFrame:
-    """``(host, path, n, known, bad)`` to the same with ``template``."""
+    """``(host, path, n, known, bad)`` to the same with ``template`` and ``steps``, its prefixes from the host's root on."""
     segs = F.split(F.regexp_replace("path", "^/", ""), "/", -1)
-    at = settle(paths.withColumn("segs", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(segs)).withColumn("template", F.lit("")))
+    at = paths.withColumn("segs", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(segs)).withColumn("template", F.lit("")).withColumn("steps", F.array(F.lit("")))
+    at = settle(at.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")))
     deepest = at.agg(F.max(F.size("segs"))).first()[0] or 0
     for level in range(1, min(depth, deepest) + 1):
         inner = at.withColumn("raw", F.try_element_at("segs", F.lit(level))).filter("raw is not null")
@@ -82,7 +93,7 @@ def templates(paths: DataFrame, depth: int = 6, rare_share: float = 0.01, many:
         kinds = [F.sum(F.when(F.col("next") == k, F.col("n")).otherwise(0)).alias(k) for k in SHAPES]
         sums = settle(inner.groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("bad").alias("bad"), *kinds))
         whole = sums.groupBy("host", "template").agg(F.count("*").alias("children"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "known", "bad", *SHAPES)])
-        both = sums.join(whole, ["host", "template"])
+        both = sums.withColumn("salt", F.pmod(F.xxhash64("seg"), F.lit(SALTS)).cast("int")).join(salted(whole), ["host", "template", "salt"])
         expected = [F.col("n") * F.col(f"all_{k}") / F.col("all_n") for k in SHAPES]
         chi = reduce(lambda x, y: x + y, [F.when(e > 0, (F.col(k) - e) ** 2 / e).otherwise(0.0) for k, e in zip(SHAPES, expected)])
         alike = (chi < 11.07) | (chi / F.col("n") < 0.01)
@@ -92,10 +103,33 @@ def templates(paths: DataFrame, depth: int = 6, rare_share: float = 0.01, many:
         rare = (F.col("children") > many) & (F.col("n") < rare_share * F.col("all_n"))
         to = F.when(rare, F.lit("*")).when((F.col("children") > 1) & alike & F.coalesce(judged_alike, F.lit(False)), F.lit("+")).otherwise(F.col("seg"))
         named = both.select("host", "template", "seg", to.alias("to"))
-        moved = inner.join(named, ["host", "template", "seg"]).withColumn("template", F.concat("template", F.lit("/"), "to"))
+        moved = inner.join(salted(named), ["host", "template", "seg", "salt"]).withColumn("template", F.concat("template", F.lit("/"), "to"))
+        moved = moved.withColumn("steps", F.concat("steps", F.array("template")))
         ended = at.filter(F.size("segs") < level)
-        at = settle(ended.unionByName(moved.select(*at.columns)))
-    return at.drop("segs")
+        before, at = at, settle(ended.unionByName(moved.select(*at.columns)))
+        unsettle(before, sums)
+    rest = F.slice("segs", depth + 1, F.greatest(F.size("segs"), F.lit(1)))
+    tail = F.concat(F.lit("/"), F.array_join(F.transform(rest, generalised), "/"))
+    deep = F.size("segs") > depth
+    whole = F.when(deep, F.concat("template", tail)).otherwise(F.col("template"))
+    return at.select("host", "path", "n", "known", "bad", "salt", whole.alias("template"), F.when(deep, F.concat("steps", F.array(whole))).otherwise(F.col("steps")).alias("steps"))
+
+
+def purities(leaves: DataFrame, prior: float) -> DataFrame:
+    """``(host, template, purity)`` of each template that a path ends at."""
+    counts = [F.sum("known").alias("known"), F.sum("bad").alias("bad")]
+    ends = settle(leaves.groupBy("host", "template", "steps").agg(*counts))
+    nodes = ends.select("host", F.explode("steps").alias("step"), "known", "bad").groupBy("host", "step").agg(*counts)
+    alike = ends.groupBy("template").agg(F.sum("known").alias("t_known"), F.sum("bad").alias("t_bad"))
+    total = ends.agg(*counts).select(((F.coalesce("bad", F.lit(0)) + prior) / (F.coalesce("known", F.lit(0)) + 2 * prior)).alias("rate"))
+    rate = F.lit(total.first()[0])
+    parents = ends.select("host", "template", F.posexplode("steps").alias("level", "step")).filter(F.col("step") != F.col("template"))
+    chain = F.array_sort(F.collect_list(F.struct("level", "known", "bad")))  # as many as a template has levels
+    above = parents.join(nodes, ["host", "step"]).groupBy("host", "template").agg(chain.alias("chain"))
+    parent = F.aggregate(F.coalesce("chain", F.array().cast("array<struct<level:int,known:bigint,bad:bigint>>")), rate, lambda p, e: (e["bad"] + prior * p) / (e["known"] + prior))
+    other = (F.col("t_bad") + prior * rate) / (F.col("t_known") + prior)
+    own = ends.join(above, ["host", "template"], "left").join(alike, "template")
+    return own.select("host", "template", ((F.col("bad") + prior * (parent + other)) / (F.col("known") + 2 * prior)).alias("purity"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], reject: float = 0.8, prior: float = 2.0, label_col: str | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -108,8 +142,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], reject: float = 0.8, p
     bad = F.when(F.col("label").isNotNull(), F.col("label")).otherwise(F.col("action") == "block")
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count(bad).alias("known"), F.sum(F.coalesce(bad.cast("long"), F.lit(0))).alias("bad"))
     leaves = templates(paths)
-    of = leaves.groupBy("host", "template").agg(((F.sum("bad") + prior) / (F.sum("known") + 2 * prior)).alias("purity"))
-    judged = leaves.select("host", "path", "template").join(of, ["host", "template"])
+    of = settle(purities(leaves, prior))
+    judged = leaves.select("host", "path", "template", "salt").join(salted(of), ["host", "template", "salt"]).select("host", "path", "template", "purity")
     out = rows.join(judged, ["host", "path"])
     own = F.when(F.col("purity") >= reject, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("action", own).alias("verdict"), "template", "purity")
