@@ -11,10 +11,9 @@ from evisite.operators.pairs import first_of
 
 def explode_markers(df: DataFrame, seq: str = "seq", marker: str = "*", before: bool = False) -> DataFrame:
     """One row per marker: ``poi`` letters stand before it (one less with ``before``), ``plain`` is the clean sequence."""
-    parts = F.split(clean_sequence(F.col(seq)), "\\" + marker)
-    sizes = F.transform(parts, lambda p: F.length(p))
-    ends = F.transform(F.slice(sizes, 1, F.greatest(F.size(sizes) - 1, F.lit(0))), lambda _, i: F.aggregate(F.slice(sizes, F.lit(1), i + 1), F.lit(0), lambda s, x: s + x))
-    rows = df.withColumn("plain", F.array_join(parts, "")).withColumn("ends_", ends)
+    clean = clean_sequence(F.col(seq))
+    at = F.filter(F.transform(F.split(clean, ""), lambda c, i: F.when(c == marker, i)), lambda i: i.isNotNull())  # letters and markers before each marker
+    rows = df.withColumn("plain", F.replace(clean, F.lit(marker), F.lit(""))).withColumn("ends_", F.transform(at, lambda i, k: i - k))
     return rows.select("*", F.posexplode("ends_").alias("marker_no", "poi")).drop("ends_").withColumn("poi", F.col("poi") - int(before))
 
 

@@ -170,9 +170,11 @@ def incremental_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.only_new(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"]).select("doc_id")
 
 
-@query("select distinct c_custkey from customer except select o_custkey from orders")
+@query("select distinct o_orderkey from orders except select l_orderkey from lineitem where l_quantity > 25")
 def missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.missing_ids(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    """Orders without a line of more than 25 pieces."""
+    large = table(spark, sf_dir, "lineitem").filter("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"))
+    return P.missing_ids(table(spark, sf_dir, "orders"), large, "o_orderkey")
 
 
 def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,15 +306,15 @@ def keyword_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with q as (select i, k::int q_at, substring(t, k::int + 1, 12) w from (select item_id i, left(text, 400) t from benchmark), range(0, 389) r(k) where k <= length(t) - 12),
-d as (select i, k::int t_at, substring(t, k::int + 1, 12) w from (select conv_id * 1000 + turn i, text t from conversations), range(0, 100000) r(k) where k <= length(t) - 12),
+with q as (select i, k::int q_at, substring(t, k::int + 1, 12) w from (select item_id i, text t from benchmark), lateral (select unnest(range(0, greatest(length(t) - 11, 0))) k)),
+d as (select i, k::int t_at, substring(t, k::int + 1, 12) w from (select conv_id * 1000 + turn i, text t from conversations), lateral (select unnest(range(0, greatest(length(t) - 11, 0))) k)),
 h as (select q.i item_id, d.i turn_id, t_at - q_at diagonal, count(*) seeds from q join d using (w) group by 1, 2, 3 having count(*) >= 2),
 b as (select *, row_number() over (partition by item_id, turn_id order by seeds desc, diagonal) k from h)
 select item_id, turn_id, diagonal, seeds from (select *, row_number() over (partition by item_id order by seeds desc, turn_id) n from b where k = 1) where n <= 20
 """)
 def seed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns that share 12-letter words on one diagonal with the head of a benchmark item."""
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 400).alias("q"))
+    """Conversation turns that share 12-letter words on one diagonal with a benchmark item, whole texts on both sides."""
+    q = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"))
     t = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), F.col("text").alias("t"))
     return P.seed_search(q, t, "item_id", "turn_id", "q", "t", k=12, least=2, most=20)
 
@@ -324,26 +326,42 @@ def seed_search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.seed_search(q.withColumnRenamed("text", "q"), t.withColumnRenamed("text", "t"), "item_id", "doc_id", "q", "t", k=12, least=2, most=20)
 
 
-@query("""
-with w as (select doc_id, substring(text, 11, 10) q, substring(text, 1, 40) t from documents where length(text) >= 40),
-s as (select doc_id, o, (select sum(case when substring(q, i::int, 1) = substring(t, (o + i)::int, 1) then 4 else -2 end) from range(1, 11) r(i)) score from w, range(0, 31) r(o)),
+#: A site in every text, and the letters around it (30 and 10, as many as there are).
+TEXT_SITES = """
+t0 as (select doc_id, text, 1 + (doc_id * 37) % greatest(length(text), 1) poi from documents where text is not null),
+w as (select doc_id, substring(text, (greatest(0, poi - 5) + 1)::bigint, 10) q, substring(text, (greatest(0, least(poi - 15, length(text) - 30)) + 1)::bigint, 30) t, substring(text, (greatest(0, poi - 4) + 1)::bigint, 10) u from t0)
+"""
+
+
+def _text_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").filter("text is not null").withColumn("poi", (1 + (F.col("doc_id") * 37) % F.greatest(F.length("text"), F.lit(1))).cast("int"))
+    text, poi = F.col("text"), F.col("poi")
+    return d.select("doc_id", H.align_window(text, poi).alias("q"), H.query_window(text, poi, 29).alias("t"), H.align_window(text, poi + 1).alias("u"))
+
+
+@query(f"""
+with {TEXT_SITES},
+s as (select doc_id, o, coalesce((select sum(case when substring(q, i::int, 1) = substring(t, (o + i)::int, 1) then 4 else -2 end) from range(1, 11) r(i) where i <= length(q)), 0) score from w, range(0, 31) r(o) where o <= length(t) - length(q)),
 b as (select *, row_number() over (partition by doc_id order by score desc, o) k from s)
 select doc_id, score::int score, o::int as "offset" from b where k = 1
 """)
 def gapless_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("length(text) >= 40").select("doc_id", F.substring("text", 11, 10).alias("q"), F.substring("text", 1, 40).alias("t"))
+    """The letters around a site of every text over all offsets of the wider window there; short texts are their own window."""
+    d = _text_sites(spark, sf_dir)
     return d.select("doc_id", A.gapless(F.col("q"), F.col("t")).alias("s")).select("doc_id", "s.score", "s.offset")
 
 
-@query("""
-with w as (select doc_id, replace(replace(substring(text, 1, 12), ' ', '-'), '.', '-') q, replace(replace(substring(text, 2, 12), ' ', '-'), '.', '-') t from documents where length(text) >= 40),
-l as (select *, length(replace(q, '-', '')) n, length(q) - length(ltrim(q, '-')) s, length(rtrim(q, '-')) - 1 e from w where replace(q, '-', '') <> ''),
-g as (select *, length(regexp_replace(substring(q, s + 1, e - s) || substring(t, s + 1, e - s), '[^-]', '', 'g')) gaps, (select count(*) from range(1, 13) r(i) where substring(q, i::int, 1) = substring(t, i::int, 1) and substring(q, i::int, 1) <> '-') same from l)
+@query(f"""
+with {TEXT_SITES},
+x as (select doc_id, rpad(translate(q, ' .', '--'), 10, '-') q, rpad(translate(u, ' .', '--'), 10, '-') t from w),
+l as (select *, length(replace(q, '-', '')) n, length(q) - length(ltrim(q, '-')) s, length(rtrim(q, '-')) - 1 e from x where replace(q, '-', '') <> ''),
+g as (select *, length(regexp_replace(substring(q, s + 1, e - s) || substring(t, s + 1, e - s), '[^-]', '', 'g')) gaps, (select count(*) from range(1, 11) r(i) where substring(q, i::int, 1) = substring(t, i::int, 1) and substring(q, i::int, 1) <> '-') same from l)
 select doc_id, greatest(0, round(same * 100.0::double / n - gaps * 100.0::double / n))::int score from g
 """)
 def identity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("length(text) >= 40")
-    d = d.select("doc_id", F.translate(F.substring("text", 1, 12), " .", "--").alias("q"), F.translate(F.substring("text", 2, 12), " .", "--").alias("t"))
+    """The letters around a site of every text, blanks and stops as gaps, against those one letter later."""
+    row = lambda c: F.rpad(F.translate(c, " .", "--"), 10, "-")
+    d = _text_sites(spark, sf_dir).select("doc_id", row("q").alias("q"), row("u").alias("t"))
     return d.filter("replace(q, '-', '') <> ''").select("doc_id", S.identity_score(F.col("t"), F.col("q")).alias("score"))
 
 
@@ -388,7 +406,7 @@ def grid_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy(F.col("l.vec_id").alias("vec_id")).agg(F.count("*").alias("n"), F.min("r.vec_id").alias("nearest_id"))
 
 
-POINTS = X.icosahedron_sphere(2)
+POINTS = X.icosahedron_sphere()
 SPHERE = "s as (select * from (values " + ", ".join(f"({k}, {x!r}::double, {y!r}::double, {z!r}::double)" for k, (x, y, z) in enumerate(POINTS)) + ") t(k, ux, uy, uz))"
 AREA_SQL = f"""
 with {PTS}, {SPHERE},
@@ -432,8 +450,8 @@ def surface_call(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def accessible_area_642(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Areas on the default sphere of 642 points."""
-    return _areas(spark, sf_dir, X.icosahedron_sphere()).select("vec_id", "label", F.round("sa", 4).alias("sa"), F.round("asa", 4).alias("asa"))
+    """As ``accessible_area``; the name of the time when that used fewer points."""
+    return accessible_area(spark, sf_dir)
 
 
 @query("""
