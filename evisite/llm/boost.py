@@ -6,56 +6,66 @@ import numpy as np
 
 
 class BoostedTrees:
-    """Logistic loss, second-order gains over quantile cuts, with Platt calibration on rows that no tree has seen."""
+    """Logistic loss, second-order gains over quantile cuts; Platt calibration and one threshold a kind, each on rows of its own."""
 
     def __init__(self, trees: int = 60, depth: int = 3, rate: float = 0.2, cuts: int = 16, least: float = 1.0):
         self.n, self.depth, self.rate, self.cuts, self.least = trees, depth, rate, cuts, least
         self.trees: list = []
-        self.base, self.slope, self.shift, self.threshold = 0.0, 1.0, 0.0, 0.5
+        self.base, self.slope, self.shift = 0.0, 1.0, 0.0
+        self.thresholds: dict[int, float] = {}
 
-    def _grow(self, x, g, h, rows, depth):
+    def _grow(self, g, h, rows, depth):
         total_g, total_h = g[rows].sum(), h[rows].sum()
         best = (1e-6, None, None)
-        if depth:
-            for f in range(x.shape[1]):
-                v = x[rows, f]
-                for c in self.edges[f]:
-                    left = v <= c
-                    lg, lh = g[rows][left].sum(), h[rows][left].sum()
-                    if min(lh, total_h - lh) < self.least:
-                        continue
-                    gain = lg**2 / (lh + 1) + (total_g - lg) ** 2 / (total_h - lh + 1) - total_g**2 / (total_h + 1)
-                    if gain > best[0]:
-                        best = (gain, f, c)
+        for f in range(self.codes.shape[1]) if depth else ():
+            n = len(self.edges[f])
+            code = self.codes[rows, f]
+            lg = np.bincount(code, g[rows], n + 1)[:n].cumsum()
+            lh = np.bincount(code, h[rows], n + 1)[:n].cumsum()
+            gain = lg**2 / (lh + 1) + (total_g - lg) ** 2 / (total_h - lh + 1) - total_g**2 / (total_h + 1)
+            gain[np.minimum(lh, total_h - lh) < self.least] = 0
+            c = int(gain.argmax())
+            if gain[c] > best[0]:
+                best = (gain[c], f, c)
         if best[1] is None:
             return float(-self.rate * total_g / (total_h + 1))
-        left = x[rows, best[1]] <= best[2]
-        return best[1], best[2], self._grow(x, g, h, rows[left], depth - 1), self._grow(x, g, h, rows[~left], depth - 1)
+        _, f, c = best
+        left = self.codes[rows, f] <= c
+        return f, float(self.edges[f][c]), self._grow(g, h, rows[left], depth - 1), self._grow(g, h, rows[~left], depth - 1)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, precision: float = 0.98, seed: int = 3) -> BoostedTrees:
-        """Trees on two thirds of the rows; calibration and the threshold of the wanted precision on the rest."""
-        held = np.random.default_rng(seed).random(len(y)) < 1 / 3
-        xt, yt = x[~held], y[~held]
+    def fit(self, x: np.ndarray, y: np.ndarray, kind: np.ndarray | None = None, precision: float = 0.98, seed: int = 3) -> BoostedTrees:
+        """Trees on half of the rows, calibration on a quarter, and on the last quarter each kind's lowest threshold of the
+        wanted precision (0.9 for kinds without enough rows there, and no span of a kind that never reaches it)."""
+        kind = np.zeros(len(y), int) if kind is None else kind
+        fold = np.random.default_rng(seed).integers(0, 4, len(y))
+        train, tuned, judged = fold < 2, fold == 2, fold == 3
+        xt, yt = x[train], y[train]
         self.edges = [np.unique(np.quantile(xt[:, f], np.linspace(0.02, 0.98, self.cuts))) for f in range(x.shape[1])]
+        self.codes = np.stack([np.searchsorted(e, xt[:, f], "left") for f, e in enumerate(self.edges)], axis=1)
         self.base = float(np.log((yt.mean() + 1e-3) / (1 - yt.mean() + 1e-3)))
         score = np.full(len(yt), self.base)
         for _ in range(self.n):
             p = 1 / (1 + np.exp(-score))
-            tree = self._grow(xt, p - yt, p * (1 - p), np.arange(len(yt)), self.depth)
+            tree = self._grow(p - yt, p * (1 - p), np.arange(len(yt)), self.depth)
             self.trees.append(tree)
             score += self._walk(tree, xt)
-        raw, t = self.raw(x[held]), y[held]
+        del self.codes
+        raw, t = self.raw(x[tuned]), y[tuned]
         a, b = 1.0, 0.0
         for _ in range(200):  # Platt: slope and shift by gradient steps
             p = 1 / (1 + np.exp(-(a * raw + b)))
             a -= 0.05 * float(((p - t) * raw).mean() + 0.01 * (a - 1))
             b -= 0.1 * float((p - t).mean())
         self.slope, self.shift = a, b
-        p = self.predict(x[held])
-        order = np.argsort(-p)
-        right = np.cumsum(t[order]) / np.arange(1, len(t) + 1)
-        good = np.flatnonzero(right >= precision)
-        self.threshold = max(0.5, float(p[order][good[-1]])) if len(good) else 1.1
+        for k in np.unique(kind):
+            p, t = self.predict(x[judged & (kind == k)]), y[judged & (kind == k)]
+            if len(t) < 20:
+                self.thresholds[int(k)] = 0.9
+                continue
+            order = np.argsort(-p, kind="stable")
+            right = np.cumsum(t[order]) / np.arange(1, len(t) + 1)
+            good = np.flatnonzero((right >= precision) & (t[order] > 0))
+            self.thresholds[int(k)] = max(0.5, float(p[order][good[-1]])) if len(good) else 1.1
         return self
 
     def _walk(self, tree, x):

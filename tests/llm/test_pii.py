@@ -1,6 +1,8 @@
 import hashlib
 import re
+import time
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -64,6 +66,50 @@ def test_trees_add_loose_spans(spark):
     assert [all_ for _, all_ in got[3:]] == [[]] * 4
 
 
+LOOSE = [
+    ("phone", "please call {} for more", "(415) 555-0199"), ("phone", "call {} now", "415.555.0199"), ("phone", "phone {} please", "4155550199"),
+    ("email", "write mail {} today", "jane.doe at mail dot example dot com"), ("email", "contact {} soon", "joe [at] foo [dot] org"),
+    ("ip", "the server {} is down", "10[.]20[.]30[.]40"), ("ip", "from host {} login", "2001:db8::1"), ("ip", "address {} up", "2001:db8:85a3:1:2:8a2e:370:7334"),
+    ("card", "visa {} paid", "4111/1111/1111/1111"), ("card", "credit card {} in", "4111.1111.1111.1111"),
+]
+PROSE = ["Thatti at inheonstsh. Ndst", "on date 2024-05-06 we met at noon. Then", "order 4155550199 shipped", "meet at noon dot the line", "isbn 978-3-16-148410-0 of", "12:30:45 at 10:20 or 12:30:45:11", "a :: b and std::string"]
+
+
+def test_loose_spans_of_all_kinds_and_prose(spark):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    model = pii.fit(docs)
+    assert model.thresholds.keys() == {0, 1, 2, 3}
+    rows = [(n, form.format(s)) for n, (_, form, s) in enumerate(LOOSE)] + [(100 + n, t) for n, t in enumerate(PROSE)]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for n, (kind, form, s) in enumerate(LOOSE):
+        at = form.index("{}")
+        assert got[n] == f"{kind}:{at}:{at + len(s)}", (form, got[n])
+    assert all(got[100 + n] == "" for n in range(len(PROSE))), got
+
+
+def test_spans_equal_plain_selection(spark):
+    """All spans against a plain quadratic choice of the best proposals that meet nothing taken."""
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    model = pii.fit(docs)
+    rows = [(n, " ".join(form.format(s) for k, (_, form, s) in enumerate(LOOSE) if (n >> k % 7) & 1) + " mail a.b@c.de or +1 (415) 555-0199 " + PROSE[n % len(PROSE)]) for n in range(60)]
+    for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), model).collect():
+        text = dict(rows)[r.doc_id]
+        taken = plain(text)
+        offered = [(-model.predict(np.array([pii.traits(text, *p)], float))[0], p) for p in set(pii.proposals(text))]
+        for score, (kind, a, b) in sorted(offered):
+            if -score >= model.thresholds[KINDS.index(kind)] and not any(a < q and p < b for _, p, q in taken):
+                taken.append((kind, a, b))
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(taken, key=lambda s: (s[1], KINDS.index(s[0]))))
+
+
+@pytest.mark.parametrize("unit", ["1", "a.", "@", "(", "+", "+1", "1.", "a@a.", "a", "1:"])
+def test_time_grows_with_length(unit):
+    text, began = unit * (400_000 // len(unit)), time.monotonic()
+    pii.find_spans([text], None)
+    pii.proposals(text)
+    assert time.monotonic() - began < 6
+
+
 def test_rows_and_redaction(spark):
     rows = corpus() + [(1000, None), (1001, ""), (1002, "a@b.co " * 30_000), (None, "4111111111111111"), (1, corpus()[1][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "'x' as spans", "text", "doc_id as n_email")
