@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -39,6 +40,18 @@ def settle(df: DataFrame, **options) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """While it lasts, Spark hands at most ``rows`` rows at once to Python: less memory for tables with long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def unsettle(*tables: DataFrame) -> None:
     """Deletes settled tables whose readers are done."""
     for df in tables:

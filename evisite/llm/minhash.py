@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evisite.llm.common import components, own_texts, settle, unite, unsettle
+from evisite.llm.common import batches_of, components, own_texts, settle, unite, unsettle
 
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
@@ -336,6 +336,11 @@ def confirmed(docs: DataFrame, members: DataFrame, k: int, least: int, repeated:
 
 def group(docs: DataFrame, k: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, one row per row of ``docs``."""
+    with batches_of(docs.sparkSession, 1000):
+        return _grouped(docs, k, least, id_col, text_col)
+
+
+def _grouped(docs: DataFrame, k: int, least: int, id_col: str, text_col: str) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     feats = settle(features(docs, k))
     usable = feats.filter("n_shingles > 0 and doc_id is not null").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
