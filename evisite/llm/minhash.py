@@ -44,7 +44,7 @@ SLOTS = BANDS * ROWS
 SKETCH = 8  # longs of 16 four-bit values
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D], np.uint64)
 SALTS = 64  # parts of a class of equal sets while its least id is found
-BLOCK, WIDE = 1000, 1_000_000  # documents, shingles of a block
+BLOCK, WIDE = 1000, 500_000  # documents, shingles of a block
 SENT = 500_000  # ids up to which the list of documents in clouds is broadcast (12 MB)
 
 
@@ -227,32 +227,35 @@ def alike(sizes: np.ndarray, sketch: np.ndarray, x: np.ndarray, y: np.ndarray, l
     return near
 
 
-def linked(sets: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of sets with ``100 * intersection >= least * union``, by counting shared shingles."""
+def linked(sets: list[np.ndarray], least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of sets with ``100 * intersection >= least * union``, by counting shared shingles; in strips of sets."""
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
-    both = np.zeros((n, n), np.float32)
+    both = np.zeros((n, n), np.float32)  # the upper triangle counts
     x = np.concatenate(sets)
     order = np.argsort(x, kind="stable")
-    owner = np.repeat(np.arange(n), size)[order]
+    owner = np.repeat(np.arange(n, dtype=np.int32), size)[order]
     starts = group_starts([x[order]])
     freq = np.diff(np.append(starts, len(x)))
+    del x, order
     often = freq > max(32, n // 16)
-    rows = np.repeat((freq > 1) & ~often, freq)
-    light = owner[rows]
-    for p, q in pairs_within(np.cumsum(f := freq[(freq > 1) & ~often]) - f, len(light)):
-        np.add.at(both.reshape(-1), light[p] * n + light[q], np.float32(1))
+    some = (freq > 1) & ~often
+    light = owner[np.repeat(some, freq)]
+    for p, q in pairs_within(np.cumsum(freq[some]) - freq[some], len(light)):
+        np.add.at(both.reshape(-1), light[p].astype(np.int64) * n + light[q], np.float32(1))
     heavy = np.flatnonzero(often)
-    for k in range(0, len(heavy), 2048):
-        some = heavy[k : k + 2048]
-        have = np.zeros((n, len(some)), np.float32)
-        place = np.concatenate([np.arange(starts[h], starts[h] + freq[h]) for h in some])
-        have[owner[place], np.repeat(np.arange(len(some)), freq[some])] = 1
-        both += np.triu(have @ have.T, 1)
-    p, q = np.nonzero(both)
-    c = both[p, q].astype(np.int64)
-    good = 100 * c >= least * (size[p] + size[q] - c)
-    return p[good], q[good]
+    for k in range(0, len(heavy), 1024):
+        part = heavy[k : k + 1024]
+        have = np.zeros((n, len(part)), np.float32)
+        place = np.concatenate([np.arange(starts[h], starts[h] + freq[h]) for h in part])
+        have[owner[place], np.repeat(np.arange(len(part)), freq[part])] = 1
+        both += have @ have.T
+    for k in range(0, n, 128):
+        p, q = np.nonzero(both[k : k + 128])
+        p, q = p[q > p + k] + k, q[q > p + k]
+        c = both[p, q].astype(np.int64)
+        good = 100 * c >= least * (size[p] + size[q] - c)
+        yield p[good], q[good]
 
 
 def blocks_of(count: F.Column, rep: F.Column) -> tuple[F.Column, F.Column]:
@@ -322,9 +325,9 @@ def confirmed(docs: DataFrame, members: DataFrame, k: int, least: int, repeated:
             unite(parent, again, again + 1)
             starts = group_starts([table.column(k).to_numpy() for k in range(3)])
             group_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rep))))
-            x, y = linked(sets, least)
-            own = group_of[x] == group_of[y]
-            unite(parent, x[own], y[own])
+            for x, y in linked(sets, least):
+                own = group_of[x] == group_of[y]
+                unite(parent, x[own], y[own])
             hung = np.flatnonzero(rep != rep[parent])
             yield pa.RecordBatch.from_arrays([pa.array(rep[hung]), pa.array(rep[parent[hung]])], names=["a", "b"])
 
