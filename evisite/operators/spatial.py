@@ -92,9 +92,12 @@ def sphere_table(spark: SparkSession, points: list[tuple[float, float, float]])
     return spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(points)], "k int, ux double, uy double, uz double")
 
 
-def accessible_area(targets: DataFrame, occluders: DataFrame, keys: list[str], points: list, probe: float = 1.4, max_radius: float = 2.75, atom: str = "atom_id", residue: str = "res_id") -> DataFrame:
+def accessible_area(targets: DataFrame, occluders: DataFrame, keys: list[str], points: list, probe: float = 1.4, max_radius: float = 2.75, atom: str = "atom_id", residue: str = "res_id", carry: list[str] | None = None, allowed: str | None = None) -> DataFrame:
     """``keys, atom, residue, sa, asa`` of every target atom (``x, y, z, radius``).
 
+    ``carry``: columns that tell targets with the same atom apart; ``allowed``: an array column of the targets with the
+    chains whose atoms count.
+
     Sample points stand on the sphere of radius + probe. Those inside another atom of the residue are taken from both
     areas, those inside an atom of another residue from the accessible one. Occluders join on the grid cell of the target
     atom; each candidate pair then tests all points at once in a bit array, so rows grow with neighbour pairs only.
@@ -105,6 +108,9 @@ def accessible_area(targets: DataFrame, occluders: DataFrame, keys: list[str], p
     same = [F.col(f"t.{k}") == F.col(f"o.{k}") for k in [*keys, "cx", "cy", "cz"]]
     reach, r_o = F.col("t.radius") + probe, F.col("o.radius") + probe
     pairs = t.join(o, same).filter((F.col(f"t.{atom}") != F.col(f"o.{atom}")) & (distance2("t", "o") < (reach + r_o) ** 2))
+    if allowed:
+        pairs = pairs.filter(F.array_contains(f"t.{allowed}", F.col("o.chain")))
+    keys = [*keys, *(carry or [])]
     near = pairs.groupBy(*[F.col(f"t.{k}").alias(k) for k in keys], F.col(f"t.{atom}").alias(atom)).agg(
         F.collect_list(F.struct(*[(F.col(f"o.{c}") - F.col(f"t.{c}")).alias(c) for c in "xyz"], (r_o * r_o).alias("r2"), (F.col(f"o.{residue}") == F.col(f"t.{residue}")).alias("own"))).alias("near")
     )  # atoms that touch one atom: bounded by packing density

@@ -89,7 +89,7 @@ def full(atoms):
 def test_reading(spark, folder, atoms):
     lines = R.file_lines(spark, folder, "pdb1abc.ent")
     m = R.metadata(lines).first()
-    assert (m.title, m.compound, m.header, m.published, m.pdb_code, m.method) == ("STRUCTURE OF A 2 THING".replace(" 2", ""), "SOME KINASE", "Transferase", "12-JAN-11", "1ABC", "X-RAY DIFFRACTION") or m.title == "STRUCTURE OF A 2 THING"
+    assert (m.title, m.compound, m.header, m.published, m.pdb_code, m.method) == ("STRUCTURE OF A THING".replace(" 2", ""), "SOME KINASE", "Transferase", "12-JAN-11", "1ABC", "X-RAY DIFFRACTION") or m.title == "STRUCTURE OF A THING"
     assert (m.resolution, m.r_free, m.r_value, m.organism_scientific, m.organism_taxid, m.n_biomolecules) == (12.5, 0.222, 0.186, "HOMO SAPIENS", 9606, 2)
     one, two = R.assemblies(lines).orderBy("order_").collect()
     assert (one.num, one.chains, len(one.matrices), one.matrices[1][0]) == (1, ["A", "B", "C"], 2, [-1.0, 0.0, 0.0, 10.0]) and two.chains == ["B"]
@@ -221,14 +221,51 @@ def test_sources(spark, tmp_path):
     assert sinks.remark_lines(spark.createDataFrame([("p", "a,b", 3)], "pdb_id string, title string, n int"), "pdb_id", {"PDBINFO": ["title", "n"]}).first().line == "REMARK 69  PDBINFO: TITLE:a_b, N:3"
 
 
-def test_evidence_end_to_end(spark, atoms):
-    pois = spark.createDataFrame([("P1_Pos2", "YEHVSM", 2, "G1", "desc"), ("P2_Pos1", "WWWWW", 1, "G2", "none")], "entry_id string, plain string, poi int, gene string, desc string")
+def test_evidence_end_to_end(spark, folder, atoms):
+    pois = spark.createDataFrame([("P1_Pos2", "YEHVSM", 2, "G1", "desc"), ("P2_Pos1", "WWWWW", 1, "G2", "none"), ("P3_Pos1", "YEH", 1, "G3", "no hit")], "entry_id string, plain string, poi int, gene string, desc string")
     hits = spark.createDataFrame([("P1_Pos2", "1ABC", "A", 90.0, 99.0, 1), ("P1_Pos2", "1ABC", "B", 80.0, 50.0, 2), ("P2_Pos1", "1ABC", "A", 10.0, 20.0, 1)], "query_id string, pdb_id string, chain string, bitscore double, identity double, rank int")
-    rows = evidence.evidence(pois, hits, atoms, None, X.icosahedron_sphere(2), align_cutoff=10)
-    got = {(r.entry_id, r.chain): (r.resname, r.resnum, r.align_score, r.decision) for r in rows.collect()}
-    assert set(got) == {("P1_Pos2", "A"), ("P1_Pos2", "B")} and got["P1_Pos2", "A"][:3] == ("GLU", 4, 100)
-    r = evidence.report(rows).first()
-    assert (r.entry_id, r.n_structures, r.pdb_chains, r.blast_ranks, r.gene) == ("P1_Pos2", 2, ["A", "B"], [1, 2], "G1") and r.asa_avg > 0
+    lines = R.file_lines(spark, folder, "pdb1*.ent")
+    plan = R.assemblies(lines).withColumn("pdb_id", F.lit("1ABC"))
+    points = X.icosahedron_sphere(2)
+    rows = evidence.evidence(pois, hits, atoms, None, points, align_cutoff=10, assemblies=plan, metadata=R.metadata(lines), dataseries="s1").cache()
+    assert rows.columns == evidence.EVIDENCE and len(rows.columns) == 54
+    got = {r.poi_chain: r for r in rows.collect()}
+    assert set(got) == {"A", "B"} and all(r.seq_id == "P1_Pos2" for r in got.values())
+    a = got["A"]
+    assert (a.entry, a.pdbaas, a.pdbptm, a.align_score, a.poipos, a.poiseq) == ("P1_Pos2_1", "GLU A   4 ;HIS A   5 ", "N;N", 100, 2, "----YE/HVSM--")
+    assert (a.title, a.method, a.resolution, a.r_free, a.organism_taxid, a.all_chains) == ("STRUCTURE OF A THING", "X-RAY DIFFRACTION", 12.5, 0.222, 9606, "A;B")
+    assert (a.duplicate_chains, a.proximity_chains, a.tempf_avg, a.tempf_values, a.dssp) == ("B", "None", 10.0, "10.00;10.00", "Unknown")
+    # Areas of both residues in the chain alone, with near chains and in the assembly, against brute force.
+    kept = T.split_locations(T.number_residues(T.accept(atoms, first_model=True))).filter("pdb_id = '1ABC' and primary").collect()
+
+    def area(occluders, residue):
+        own = [o for o in occluders if (o[5], o[6]) == (residue, 0)]
+        sa = free = 0
+        for x, y, z, r, line, _, _ in own:
+            full_r = r + 1.4
+            for u in points:
+                p = [c + full_r * d for c, d in zip((x, y, z), u)]
+                hit = [(o[5], o[6]) == (residue, 0) for o in occluders if (o[4], o[6]) != (line, 0) and sum((s - t) ** 2 for s, t in zip(p, o[:3])) < (o[3] + 1.4) ** 2]
+                weight = 4 * math.pi * full_r**2 / len(points)
+                sa += 0 if True in hit else weight
+                free += 0 if hit else weight
+        return 100 * free / sa if sa else 0
+
+    cells = lambda rs, m=None, copy=0: [(*((r.x, r.y, r.z) if m is None else (10 - r.x, 20 - r.y, 30 + r.z)), r.radius, r.line_no, f"{r.chain}:{r.resnum}{r.icode}", copy) for r in rs]
+    alone = cells([r for r in kept if r.chain == "A"])
+    both = cells(kept) + cells(kept, 1, 1)
+    isolated, whole = [area(alone, f"A:{n}") for n in (4, 5)], [area(both, f"A:{n}") for n in (4, 5)]
+    assert a.isol_asa_avg == pytest.approx(sum(isolated) / 2) and (a.isol_asa_poi_min, a.isol_asa_poi_max) == (pytest.approx(min(isolated)), pytest.approx(max(isolated)))
+    assert a.biol_asa_avg == pytest.approx(sum(whole) / 2) and a.asym_asa_avg == pytest.approx(a.isol_asa_avg)
+    delta = max(x - y for x, y in zip(isolated, whole))
+    assert a.interface_asa_delta == pytest.approx(delta) and a.interface == ("No" if abs(delta) < 0.1 else "Heteromer")
+    done = evidence.report(rows, spark.createDataFrame([("P9", 0.5)], "entry_id string, disorder double"))
+    assert len(done.columns) >= 60
+    r = done.first()
+    assert (r.seq_id, r.n_structures, r.pdb_chains, r.blast_ranks, r.gene, r.entry, r.iupred) == ("P1_Pos2", 2, ["A", "B"], [1, 2], "G1", "P1_Pos2", -1.0)
+    assert r.asa_avg == pytest.approx((a.biol_asa_avg + got["B"].biol_asa_avg) / 2) and r.resolutions == [12.5, 12.5]
+    over = {r.entry_id: (r.n_hits, r.n_structures, r.best_alignment) for r in evidence.overview(pois, hits, rows).collect()}
+    assert over == {"P1_Pos2": (2, 1, 100), "P2_Pos1": (1, 0, None), "P3_Pos1": (0, 0, None)}
 
 
 def test_streaming(spark, tmp_path):
