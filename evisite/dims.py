@@ -24,12 +24,33 @@ MODIFICATIONS = {"Phosphorylation": PHOSPHO, "Acetylation": ACETYL, "Methylation
 PARENT = {name: parent for group in MODIFICATIONS.values() for name, parent in group.items()}
 BACKBONE = ["N", "CA", "C", "O"]
 SIDECHAIN = {
-    "ALA": "CB", "ARG": "CB CG CD NE CZ NH1 NH2", "ASN": "CB CG OD1 ND2", "ASP": "CB CG OD1 OD2", "ASX": "CB CG XD1 XD2", "CYS": "CB SG", "GLN": "CB CG CD OE1 NE2",
-    "GLU": "CB CG CD OE1 OE2", "GLX": "CB CG CD XE1 XE2", "GLY": "", "HIS": "CB CG ND1 CD2 CE1 NE2", "HSD": "CB CG ND1 CD2 CE1 NE2", "HSP": "CB CG ND1 CD2 CE1 NE2",
-    "HSE": "CB CG ND1 CD2 CE1 NE2", "ILE": "CB CG1 CG2 CD1", "LEU": "CB CG CD1 CD2", "LYS": "CB CG CD CE NZ", "MET": "CB CG SD CE", "PHE": "CB CG CD1 CD2 CE1 CE2 CZ",
-    "PRO": "CB CG CD", "SER": "CB OG", "THR": "CB OG1 CG2", "TRP": "CB CG CD1 CD2 NE1 CE2 CE3 CZ2 CZ3 CH2", "TYR": "CB CG CD1 CD2 CE1 CE2 CZ OH", "VAL": "CB CG1 CG2",
-}
-EXPECTED_ATOMS = {name: BACKBONE + side.split() for name, side in SIDECHAIN.items()}
+    "ALA": ["CB"],
+    "ARG": ["CB", "CG", "CD", "NE", "CZ", "NH1", "NH2"],
+    "ASN": ["CB", "CG", "OD1", "ND2"],
+    "ASP": ["CB", "CG", "OD1", "OD2"],
+    "ASX": ["CB", "CG", "XD1", "XD2"],
+    "CYS": ["CB", "SG"],
+    "GLN": ["CB", "CG", "CD", "OE1", "NE2"],
+    "GLU": ["CB", "CG", "CD", "OE1", "OE2"],
+    "GLX": ["CB", "CG", "CD", "XE1", "XE2"],
+    "GLY": [],
+    "HIS": ["CB", "CG", "ND1", "CD2", "CE1", "NE2"],
+    "HSD": ["CB", "CG", "ND1", "CD2", "CE1", "NE2"],
+    "HSP": ["CB", "CG", "ND1", "CD2", "CE1", "NE2"],
+    "HSE": ["CB", "CG", "ND1", "CD2", "CE1", "NE2"],
+    "ILE": ["CB", "CG1", "CG2", "CD1"],
+    "LEU": ["CB", "CG", "CD1", "CD2"],
+    "LYS": ["CB", "CG", "CD", "CE", "NZ"],
+    "MET": ["CB", "CG", "SD", "CE"],
+    "PHE": ["CB", "CG", "CD1", "CD2", "CE1", "CE2", "CZ"],
+    "PRO": ["CB", "CG", "CD"],
+    "SER": ["CB", "OG"],
+    "THR": ["CB", "OG1", "CG2"],
+    "TRP": ["CB", "CG", "CD1", "CD2", "NE1", "CE2", "CE3", "CZ2", "CZ3", "CH2"],
+    "TYR": ["CB", "CG", "CD1", "CD2", "CE1", "CE2", "CZ", "OH"],
+    "VAL": ["CB", "CG1", "CG2"],
+}
+EXPECTED_ATOMS = {name: BACKBONE + side for name, side in SIDECHAIN.items()}
 #: The alphabet of marked sequences (with selenocysteine and unknown), and the counted alphabet of alignments.
 LETTERS = "ACDEFGHIKLMNPQRSTVWYUX"
 COUNTED = "ACDEFGHIKLMNPQRSTVWY"

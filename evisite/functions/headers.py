@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from evisite.dims import AMINO, lookup
 
 #: Names that custom header attributes may not take (fixed values).
-RESERVED = (
-    "ENTRY ENTRY_ID GENE POI POISEQ STRUCTURES ACCESSIBLE FLEXIBLE BLAST_ENTRIES BEST_BITSCORE BITSCORE_PASS BEST_ALIGNMENT ALIGN_PASS DISORDER_SCORE DATASERIES SEQ_ID RELIABILITY DESC "
-    "N_STRUCTURES PYMOL IUPRED DSSP ASA_VALS ASA_AVG ASA_DECISION ASA_POI_DELTA ASA_POI_MIN ASA_POI_MAX TEMPF_POI_VALS TEMPF_POI_MIN TEMPF_POI_MAX TEMPF_FILE_MIN TEMPF_FILE_MAX PDB_FILES PDB_CHAINS "
-    "PDB_SITES PDB_PTMS BLAST_RANKS SEQ_POIPOS SEQ_POISEQ PDBSEQ ALIGNMENTS ALIGN_AVG BITSCORE_AVG IDENTITY_AVG METHODS R-FREE_AVG RESOLUTIONS ORGANISM_SCIENTIFIC ORGANISM_TAXID"
-).split()
+RESERVED = [
+    "ENTRY", "ENTRY_ID", "GENE", "POI", "POISEQ", "STRUCTURES", "ACCESSIBLE", "FLEXIBLE", "BLAST_ENTRIES", "BEST_BITSCORE", "BITSCORE_PASS",
+    "BEST_ALIGNMENT", "ALIGN_PASS", "DISORDER_SCORE", "DATASERIES", "SEQ_ID", "RELIABILITY", "DESC", "N_STRUCTURES", "PYMOL", "IUPRED", "DSSP",
+    "ASA_VALS", "ASA_AVG", "ASA_DECISION", "ASA_POI_DELTA", "ASA_POI_MIN", "ASA_POI_MAX", "TEMPF_POI_VALS", "TEMPF_POI_MIN", "TEMPF_POI_MAX",
+    "TEMPF_FILE_MIN", "TEMPF_FILE_MAX", "PDB_FILES", "PDB_CHAINS", "PDB_SITES", "PDB_PTMS", "BLAST_RANKS", "SEQ_POIPOS", "SEQ_POISEQ", "PDBSEQ",
+    "ALIGNMENTS", "ALIGN_AVG", "BITSCORE_AVG", "IDENTITY_AVG", "METHODS", "R-FREE_AVG", "RESOLUTIONS", "ORGANISM_SCIENTIFIC", "ORGANISM_TAXID",
+]
 
 
 def strip_pos_tag(acc: Column) -> Column:

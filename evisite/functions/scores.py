@@ -7,10 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EXCLUDED = (  # words that say nothing about a molecule (fixed values)
-    "protein proteins subunit fragment isoform molecule chain domain family mutant factor and of the a with in wild type "
-    "human mouse rabbit bovine cow yeast drosophila melanogaster xenopus laevis rattus norvegicus gallus"
-).split()
+EXCLUDED = [  # words that say nothing about a molecule (fixed values)
+    "protein", "proteins", "subunit", "fragment", "isoform", "molecule", "chain", "domain", "family", "mutant", "factor", "and", "of", "the", "a",
+    "with", "in", "wild", "type", "human", "mouse", "rabbit", "bovine", "cow", "yeast", "drosophila", "melanogaster", "xenopus", "laevis", "rattus",
+    "norvegicus", "gallus",
+]
 
 
 def clamp(x: Column, low: float, high: float) -> Column:

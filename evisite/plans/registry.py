@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -576,8 +578,10 @@ def combined_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
+    importlib.import_module("evisite.plans.pieces")
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    importlib.import_module("evisite.plans.pieces")
     return dict(SQL)

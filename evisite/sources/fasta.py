@@ -93,16 +93,16 @@ def tsv(spark: SparkSession, path) -> DataFrame:
 
 def annotations(spark: SparkSession, path) -> DataFrame:
     """``file, values`` from ``REMARK 69`` lines before the first atom: a map of arrays; site residues also numbered."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split("value", r"\r?\n").alias("all_"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.split("value", r"\r?\n").alias("all_"))
     until = F.coalesce(F.array_position(F.transform("all_", lambda x: F.startswith(x, F.lit("ATOM "))), F.lit(True)), F.lit(0))
     head = F.when(until > 0, F.slice("all_", F.lit(1), until.cast("int") - 1)).otherwise(F.col("all_"))
     notes = F.filter(head, lambda x: F.startswith(x, F.lit("REMARK 69  ")))
     fields = F.flatten(F.transform(notes, lambda x: F.split(F.substring(x, 21, 10_000_000), ",")))
     pairs = F.filter(F.transform(fields, lambda c: F.struct(F.trim(F.substring_index(c, ":", 1)).alias("k"), F.filter(F.transform(F.split(F.substring(c, F.instr(c, ":") + 1, F.length(c)), ";"), lambda v: F.trim(v)), lambda v: v != "").alias("v"))), lambda p: p["k"] != "")
-    rows = whole.select("file", F.posexplode(pairs).alias("at_", "p_")).select("file", "at_", "p_.k", "p_.v")
-    sites = rows.filter(F.col("k").isin("PDBPOI", "PDBCLV")).select("file", "at_", F.posexplode("v").alias("n_", "x_")).select("file", "at_", F.concat(F.lit("POIRESIDUE_"), (F.col("n_") + 1).cast("string")).alias("k"), F.array("x_").alias("v"))
-    last = rows.unionByName(sites).groupBy("file", "k").agg(F.max_by("v", "at_").alias("v"))
-    return last.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("values"))
+    rows = whole.select("path", "file", F.posexplode(pairs).alias("at_", "p_")).select("path", "file", "at_", "p_.k", "p_.v")
+    sites = rows.filter(F.col("k").isin("PDBPOI", "PDBCLV")).select("path", "file", "at_", F.posexplode("v").alias("n_", "x_")).select("path", "file", "at_", F.concat(F.lit("POIRESIDUE_"), (F.col("n_") + 1).cast("string")).alias("k"), F.array("x_").alias("v"))
+    last = rows.unionByName(sites).groupBy("path", "file", "k").agg(F.max_by("v", "at_").alias("v"))
+    return last.groupBy("path", "file").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("values")).drop("path")
 
 
 def folder(spark: SparkSession, path, glob: str = "*") -> DataFrame:
