@@ -55,16 +55,22 @@ def of_types(df: DataFrame, codes: str) -> DataFrame:
     return df.filter(F.col("cls").isin([c for c, letter in TYPE_CODES.items() if letter in codes]))
 
 
-def convert_modified(atoms: DataFrame) -> DataFrame:
-    """Modified residues to their parents: name, ``SE`` as ``SD``, record type; atoms that the parent lacks go."""
+def convert_modified(atoms: DataFrame, mode: str = "C") -> DataFrame:
+    """Modified residues to their parents: residue name, class and record type.
+
+    ``mode``: C(onvert) also writes ``SE`` as ``SD`` and drops atoms that the parent lacks, A(ll atoms) keeps all of them as
+    they are, N(one) changes nothing.
+    """
+    if mode == "N":
+        return atoms
     parent = lookup(PARENT, F.col("resname"))
-    name = F.when(parent.isNotNull() & (F.col("atom_name") == "SE"), "SD").otherwise(F.col("atom_name"))
-    expected = F.try_element_at(F.create_map(*[x for k, v in EXPECTED_ATOMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), parent)
+    if mode == "C":
+        name = F.when(parent.isNotNull() & (F.col("atom_name") == "SE"), "SD").otherwise(F.col("atom_name"))
+        expected = F.try_element_at(F.create_map(*[x for k, v in EXPECTED_ATOMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), parent)
+        atoms = atoms.filter(parent.isNull() | F.array_contains(expected, name)).withColumn("atom_name", name)
+        atoms = atoms.withColumn("element", F.when(parent.isNotNull() & (F.col("element") == "SE"), "S").otherwise(F.col("element")))
     return (
-        atoms.filter(parent.isNull() | F.array_contains(expected, name))
-        .withColumn("atom_name", name)
-        .withColumn("element", F.when(parent.isNotNull() & (F.col("element") == "SE"), "S").otherwise(F.col("element")))
-        .withColumn("rec", F.when(parent.isNotNull(), "ATOM").otherwise(F.col("rec")))
+        atoms.withColumn("rec", F.when(parent.isNotNull(), "ATOM").otherwise(F.col("rec")))
         .withColumn("cls", F.when(parent.isNotNull() & (F.col("cls") == "modified"), "amino").otherwise(F.col("cls")))
         .withColumn("resname", F.coalesce(parent, "resname"))
     )

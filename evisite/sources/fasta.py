@@ -17,10 +17,19 @@ HIT_TYPES = {
 def records(spark: SparkSession, path, glob: str | None = None) -> DataFrame:
     """``header, body, file`` of every ``>`` record; comment lines before and inside records are dropped."""
     reader = spark.read.option("lineSep", "\n>")
-    raw = (reader.option("pathGlobFilter", glob) if glob else reader).text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at_"))
+    return parse_records((reader.option("pathGlobFilter", glob) if glob else reader).text(path))
+
+
+def stream_records(spark: SparkSession, folder: str, files_per_batch: int = 20) -> DataFrame:
+    """The records of new files of a folder, as a stream; a file is never split between batches."""
+    return parse_records(spark.readStream.option("lineSep", "\n>").option("maxFilesPerTrigger", files_per_batch).text(folder))
+
+
+def parse_records(raw: DataFrame) -> DataFrame:
     text = F.regexp_replace(F.regexp_replace("value", "\r", ""), r"(?m)^;[^\n]*\n?", "")
     text = F.regexp_replace(F.regexp_replace(text, r"^\s*>", ""), r"\n+$", "")
-    split = raw.select(F.substring_index(text, "\n", 1).alias("header"), F.when(F.instr(text, "\n") > 0, F.substring(text, F.instr(text, "\n") + 1, F.length(text))).otherwise("").alias("body"), "file")
+    body = F.when(F.instr(text, "\n") > 0, F.substring(text, F.instr(text, "\n") + 1, F.length(text))).otherwise("")
+    split = raw.select(F.substring_index(text, "\n", 1).alias("header"), body.alias("body"), F.col("_metadata.file_path").alias("file"))
     return split.filter(F.trim("header") != "")
 
 
@@ -44,7 +53,12 @@ def hits(spark: SparkSession, path, obsolete: DataFrame | None = None) -> tuple[
 
     Subjects are ``gi|n|pdb|CODE|CHAIN`` or ``CODE_CHAIN``; of repeated structure chains the first stays, ranks advance.
     """
-    lines = records(spark, path).select(F.col("header").alias("block"), F.posexplode(F.split("body", "\n")).alias("line_no", "line")).filter(F.trim("line") != "")
+    return parse_hits(records(spark, path), obsolete)
+
+
+def parse_hits(blocks: DataFrame, obsolete: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``hits`` of records that are read already (``header, body``)."""
+    lines = blocks.select(F.col("header").alias("block"), F.posexplode(F.split("body", "\n")).alias("line_no", "line")).filter(F.trim("line") != "")
     cols = F.split("line", "\t")
     good = lines.filter(F.size(cols) == 12)
     rows = good.select(cols[0].alias("query_id"), *[cols[k + 1].try_cast(t).alias(n) if t != "string" else cols[k + 1].alias(n) for k, (n, t) in enumerate(HIT_TYPES.items())], (F.col("line_no") + 1).alias("rank"))
@@ -77,6 +91,18 @@ def disorder_scores(spark: SparkSession, path) -> DataFrame:
     return rows.select("file", F.regexp_extract("value", at, 1).cast("int").alias("position"), F.regexp_extract("value", at, 2).alias("aa"), F.regexp_extract("value", at, 3).cast("double").alias("score"))
 
 
+def disorder_rejects(spark: SparkSession, path) -> DataFrame:
+    """``header, body`` of disorder records without a position and a value."""
+    whole = F.col("header").rlike(r"^\S+") & F.col("body").rlike(r"disorder_@\d+:\s*-?[0-9.]+")
+    return records(spark, path).filter(~whole).select("header", "body")
+
+
+def score_rejects(spark: SparkSession, path) -> DataFrame:
+    """``file, value`` of lines that are neither a score row nor blank nor a remark."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    return rows.filter(~F.col("value").rlike(r"^\s*(\d+\s+\S\s+-?[0-9.]+)?\s*$") & ~F.startswith(F.ltrim("value"), F.lit("#")))
+
+
 def obsolete_codes(spark: SparkSession, path) -> DataFrame:
     return lines(spark, path, distinct=True).select(F.upper("value").alias("pdb_id"))
 

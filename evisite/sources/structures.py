@@ -39,6 +39,12 @@ def atoms(lines: DataFrame) -> DataFrame:
     return rows.filter("x is not null and y is not null and z is not null")
 
 
+def atom_rejects(lines: DataFrame) -> DataFrame:
+    """``file, line_no, line`` of coordinate lines that ``atoms`` leaves out."""
+    whole = [_at(31 + 8 * k, 8).try_cast("double").isNotNull() for k in range(3)]
+    return lines.filter(F.substring("line", 1, 6).isin("ATOM  ", "HETATM") & ~(whole[0] & whole[1] & whole[2]))
+
+
 def metadata(lines: DataFrame) -> DataFrame:
     """One row per file: title, keywords, compound, header, dates, method, resolution, R values, organism, assemblies."""
     first = lines.filter(F.substring("line", 1, 6).isin("ATOM  ", "HETATM")).groupBy("file").agg(F.min("line_no").alias("first_"))
@@ -102,6 +108,12 @@ def secondary(lines: DataFrame) -> DataFrame:
     return rows.select("file", F.col("line_no").alias("seq"), F.trim(F.substring("line", 6, 6)).alias("resnum"), F.trim(F.substring("line", 12, 1)).alias("chain"), F.substring("line", 14, 1).alias("aa"), F.when(code == "", "_").otherwise(code).alias("code"))
 
 
+def secondary_rejects(lines: DataFrame) -> DataFrame:
+    """``file, line_no, line`` of lines below the head row that are too short for a table row."""
+    header = lines.filter(F.trim("line").startswith("#")).groupBy("file").agg(F.min("line_no").alias("head_"))
+    return lines.join(header, "file").filter((F.col("line_no") > F.col("head_")) & (F.length("line") <= 16) & (F.trim("line") != "")).select("file", "line_no", "line")
+
+
 def area_files(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Precomputed areas: atoms whose b column is the area, and per file the modification modes and count of its remarks."""
     remark = F.startswith("line", F.lit("REMARK"))

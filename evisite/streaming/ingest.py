@@ -1,4 +1,8 @@
-"""Incremental hit ingestion: new files are aligned, scored and appended; the checkpoint replaces resume code."""
+"""Incremental hit ingestion: new hit files are parsed, joined to sequences, aligned, scored and appended.
+
+The checkpoint of the stream replaces resume code: files that are done are not read again, and a batch that is repeated
+after a failure replaces its own output.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from pyspark.sql import functions as F
 
 from evisite.functions.scores import identity_score
 from evisite.operators.align import align_pairs
+from evisite.sources.fasta import parse_hits, stream_records
 
 
 def score_pairs(pairs: DataFrame, **options) -> DataFrame:
@@ -14,11 +19,32 @@ def score_pairs(pairs: DataFrame, **options) -> DataFrame:
     return align_pairs(pairs, "query", "target", **options).withColumn("align_score", identity_score(F.col("target_row"), F.col("query_row")))
 
 
-def ingest(spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str, files_per_batch: int = 20, **options):
-    """A streaming query over Parquet files of pairs; each batch is written under its number, so a repeated one replaces itself."""
-
+def _appended(score, out: str, rejects: str | None = None):
     def append(batch: DataFrame, number: int) -> None:
-        score_pairs(batch, **options).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        good, bad = score(batch)
+        good.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if rejects is not None:
+            bad.write.mode("overwrite").parquet(f"{rejects}/batch={number}")
+
+    return append
+
+
+def ingest_hits(spark: SparkSession, folder: str, queries: DataFrame, chains: DataFrame, out: str, checkpoint: str, rejects: str | None = None, obsolete: DataFrame | None = None, files_per_batch: int = 20, **options):
+    """A streaming query over a folder of hit tables.
 
+    ``queries``: query_id, query; ``chains``: pdb_id, chain, target (both sequences). Hits without a sequence on either side
+    stay out; lines that are no hit go to ``rejects``.
+    """
+
+    def score(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        good, bad = parse_hits(batch, obsolete)
+        return score_pairs(good.join(queries, "query_id").join(chains, ["pdb_id", "chain"]), **options), bad
+
+    stream = stream_records(spark, folder, files_per_batch)
+    return stream.writeStream.foreachBatch(_appended(score, out, rejects)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest(spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str, files_per_batch: int = 20, **options):
+    """A streaming query over Parquet files of ready pairs."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(_appended(lambda batch: (score_pairs(batch, **options), None), out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -113,6 +113,9 @@ def test_sequences(atoms):
 def test_modified_residues_and_ratios(atoms):
     c = T.convert_modified(atoms).filter("file like '%1abc%' and resnum = 9").collect()
     assert sorted(r.atom_name for r in c) == ["C", "CA", "N", "O", "SD"] and {r.resname for r in c} == {"MET"} and {r.cls for r in c} == {"amino"}
+    whole = T.convert_modified(atoms, "A").filter("file like '%1abc%' and resnum = 9").collect()
+    assert sorted(r.atom_name for r in whole) == ["C", "CA", "N", "O", "SE", "XX"] and {(r.resname, r.rec) for r in whole} == {("MET", "ATOM")}
+    assert T.convert_modified(atoms, "N") is atoms
     s = {r.pdb_id: r for r in T.structure_stats(atoms).collect()}["1ABC"]
     assert (s.n_ion, s.n_water, s.n_hydrogen, s.n_altloc, s.atoms_per_chain["B"], s.atom_types["ZN"]) == (1, 1, 1, 2, 15, 1)
     ratio = {r.pdb_id: r for r in T.completeness(full(atoms)).collect()}["1ABC"]
@@ -277,3 +280,30 @@ def test_streaming(spark, tmp_path):
         ingest(spark, str(tmp_path / "in" / "*"), "id int, query string, target string", str(tmp_path / "out"), str(tmp_path / "ckpt"), files_per_batch=1).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.id, r.align_score) for r in got.collect()) == [(0, 100), (1, 100), (2, 100)]
+
+
+def test_streaming_of_hit_folders(spark, tmp_path):
+    from evisite.streaming.ingest import ingest_hits
+
+    line = lambda q, s: "\t".join([q, s, "99.0", "5", "0", "0", "1", "5", "1", "5", "1e-9", "80.5"])
+    folder, out, bad = tmp_path / "hits", str(tmp_path / "o"), str(tmp_path / "bad")
+    folder.mkdir()
+    (folder / "a.txt").write_text(f">q1\n{line('q1', 'gi|1|pdb|1abc|A')}\n{line('q1', '2XYZ_GG')}\nshort line\n>q2\n{line('q2', '1ABC_A')}\n")
+    queries = spark.createDataFrame([("q1", "ACDEF"), ("q2", "KLMNP")], "query_id string, query string")
+    chains = spark.createDataFrame([("1ABC", "A", "XXACDEFXX"), ("2XYZ", "g", "ACDWF")], "pdb_id string, chain string, target string")
+    for k in range(2):
+        ingest_hits(spark, str(folder), queries, chains, out, str(tmp_path / "c"), rejects=bad).awaitTermination(120)
+        (folder / f"more{k}.txt").write_text(f">q3\n{line('q3', '1ABC_A')}\n>q1\n{line('q1', '1ABC_B')}\n")
+    got = {(r.query_id, r.struct_id): (r.rank, r.align_score) for r in spark.read.parquet(out).collect()}
+    assert got[("q1", "1ABC_A")] == (1, 100) and got[("q1", "2XYZ_g")][0] == 2 and set(got) == {("q1", "1ABC_A"), ("q1", "2XYZ_g"), ("q2", "1ABC_A")}
+    assert [(r.block, r.line) for r in spark.read.parquet(bad).collect()] == [("q1", "short line")]
+
+
+def test_rejects(spark, tmp_path):
+    lines = spark.createDataFrame([("f", 0, atom(1, "CA", "GLY", "A", 1, 0, 0, 0)), ("f", 1, "ATOM      2  CB  GLY A   1       x.xxx   0.000   0.000"), ("f", 2, "REMARK"), ("s", 0, "  #  RESIDUE"), ("s", 1, " 1 short"), ("s", 2, "    1    1 A A  H          ")], "file string, line_no int, line string")
+    assert [r.line_no for r in R.atom_rejects(lines).collect()] == [1] and R.atoms(lines).count() == 1
+    assert [r.line_no for r in R.secondary_rejects(lines).collect()] == [1] and R.secondary(lines).count() == 1
+    (tmp_path / "d.txt").write_text(">a\ndisorder_@3: 0.5\n>b\nnothing\n")
+    assert [r.header for r in fasta.disorder_rejects(spark, str(tmp_path / "d.txt")).collect()] == ["b"]
+    (tmp_path / "s.txt").write_text("# head\n  1 A  0.5\n\nbroken row\n")
+    assert [r.value for r in fasta.score_rejects(spark, str(tmp_path / "s.txt")).collect()] == ["broken row"]
