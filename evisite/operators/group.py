@@ -91,9 +91,14 @@ def typed_group(df: DataFrame, keys: list[str], spec: list[tuple[str, str, list[
     return result.select(*keys, *[out for out, _, _ in spec])
 
 
-def union_of_keys(df: DataFrame, map_col: str, keep: list[str]) -> DataFrame:
-    """Projects every key of a map column to a column of its own, over all rows; names in ``keep`` win."""
-    keys = [r.k for r in df.select(F.explode(F.map_keys(map_col)).alias("k")).distinct().orderBy("k").collect()]  # header attributes, a few
+def union_of_keys(df: DataFrame, map_col: str, keep: list[str], most: int = 1000) -> DataFrame:
+    """Projects every key of a map column to a column of its own, over all rows; names in ``keep`` win.
+
+    More than ``most`` distinct keys are an error: a table can't have so many columns.
+    """
+    keys = [r.k for r in df.select(F.explode(F.map_keys(map_col)).alias("k")).distinct().orderBy("k").limit(most + 1).collect()]
+    if len(keys) > most:
+        raise ValueError(f"more than {most} distinct keys in {map_col}")
     extra = [F.try_element_at(map_col, F.lit(k)).alias(k) for k in keys if k.lower() not in {c.lower() for c in keep}]
     return df.select(*keep, *extra)
 
@@ -128,7 +133,8 @@ def summary(sequences: DataFrame, hits: DataFrame, evidence: DataFrame, cutoff:
     Both sides are aggregated before the left joins; sequences without hits stay.
     """
     h = hits.groupBy(key).agg(F.count(F.lit(1)).alias("n_hits"), F.max("bitscore").alias("best_bitscore"))
-    e = evidence.groupBy(key).agg(F.countDistinct("struct_id").alias("n_structures"), F.max("align_score").alias("best_alignment"), F.array_join(F.array_sort(F.collect_set("decision")), "/").alias("accessible"), F.array_join(F.array_sort(F.collect_set("struct_id")), ",").alias("structures"))
+    e = evidence.groupBy(key).agg(F.max("align_score").alias("best_alignment"), F.array_join(F.array_sort(F.collect_set("decision")), "/").alias("accessible"), F.array_sort(F.collect_set("struct_id")).alias("ids_"))
+    e = e.withColumns({"n_structures": F.size("ids_").cast("long"), "structures": F.array_join("ids_", ",")}).drop("ids_")
     passed = F.lit("n/a") if cutoff is None else F.when(F.col("best_bitscore") >= cutoff, "yes").otherwise("no")
     joined = sequences.join(h, key, "left").join(e, key, "left")
     return joined.select(
@@ -145,5 +151,5 @@ def repeated_ids(df: DataFrame, col: str) -> DataFrame:
 def composition(df: DataFrame, col: str) -> DataFrame:
     """Count and share of each value."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total)).select(col, "n", (F.col("n") * 100.0 / F.col("total")).alias("pct"))  # one row
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select(col, "n", (F.col("n") * 100.0 / total).alias("pct"))
