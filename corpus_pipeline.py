@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evisite.llm import langid, minhash, mixing, packing, pii
-from evisite.llm.common import settle
+from evisite.llm.common import fresh, settle
 from evisite.llm.registry import table, vocabulary
 
 LEAST_SCORE = 0.3
@@ -30,10 +30,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (five words a shingle, similarity 0.8); one row of each id."""
-    kept = minhash.group(docs, k=5, least=80).filter("kept").select(F.col("doc_id").alias("kept_id"))
-    named = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    kept_id, row = fresh(docs, "kept_id"), fresh(docs, "row")
+    kept = minhash.group(docs, k=5, least=80).filter("kept").select(F.col("doc_id").alias(kept_id))
+    named = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col(kept_id), "left_semi")
     once = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return named.withColumn("row_", once).filter("row_ = 1").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    return named.withColumn(row, once).filter(F.col(row) == 1).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Every byte position is labelled from a forward and a backward state; a document's class probabilities are the mean over
 its positions. The network is trained here, in numpy, by backpropagation through time on windows of labelled texts.
-Whole texts are processed, as windows of 128 bytes in which both states start anew; windows of many documents step
-together. The training sample is bounded: ``per_language`` windows of each language, chosen by a hash of text and id.
+Whole texts are processed, as windows of 128 bytes; both states start anew 16 bytes before a window on their side of it,
+so that no letters at a border go unseen. Windows of many documents step together. The training sample is bounded: ``per_language`` windows of each language, chosen by a hash of text and id.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0. Without labelled rows everything is ``und``.
 A row without an id is never learned from and counts as held out. Ties of probability go to the first language in
@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STEPS = 128
+STEPS, LEAD = 128, 16  # bytes of a window that count, and bytes on both sides that only lead in
 ROWS = 2048  # windows that step together
 
 
@@ -81,17 +81,21 @@ class BiGru:
                 state *= mask[t]
             yield t, state
 
-    def position_sums(self, x: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
-        """Sum over positions of the class probabilities of each window."""
+    def position_sums(self, x: np.ndarray, mask: np.ndarray | None = None, lead: int = 0) -> np.ndarray:
+        """Sum over positions, without ``lead`` at both ends, of the class probabilities of each window."""
         x = np.ascontiguousarray(x.T).astype(np.intp)
         mask = None if mask is None else np.ascontiguousarray(mask.T)
         wf, wb, c = self.p["wf"].T.copy(), self.p["wb"].T.copy(), self.p["c"][:, None]
+        low, high = lead, len(x) - lead
         logits = np.empty((len(x), len(self.classes), x.shape[1]), np.float32)
         for t, state in self._sweep("f", x, mask):
-            np.dot(wf, state, out=logits[t])
-        logits += c
+            if low <= t < high:
+                np.dot(wf, state, out=logits[t])
+        logits[low:high] += c
         total = np.zeros((len(self.classes), x.shape[1]), np.float32)
         for t, state in self._sweep("b", x, mask):
+            if not low <= t < high:
+                continue
             e = logits[t]
             e += wb @ state
             np.clip(e, -30, 30, out=e)
@@ -162,20 +166,24 @@ class BiGru:
         ends = np.cumsum(n_windows)
         total = int(ends[-1]) if len(ends) else 0
         sums = np.zeros((total, len(self.classes)), np.float32)
-        data = np.frombuffer(b"".join(t.ljust(int(n) * STEPS, b"\0") for t, n in zip(texts, n_windows)), np.uint8).reshape(total, STEPS)
-        filled = np.full(total, STEPS)
-        some = n_windows > 0
-        filled[ends[some] - 1] = size[some] - (n_windows[some] - 1) * STEPS
-        whole, part = np.flatnonzero(filled == STEPS), np.flatnonzero(filled < STEPS)
+        pad = b"\0" * LEAD
+        data = np.frombuffer(b"".join([pad + t.ljust(int(n) * STEPS, b"\0") + pad for t, n in zip(texts, n_windows) if n]), np.uint8)
+        owner = np.repeat(np.arange(len(texts)), n_windows)
+        nth = np.arange(total) - np.repeat(ends - n_windows, n_windows)
+        first = nth * STEPS + np.repeat(np.cumsum(np.where(n_windows > 0, n_windows * STEPS + 2 * LEAD, 0)) - (n_windows * STEPS + 2 * LEAD), n_windows)
+        wide = STEPS + 2 * LEAD
+        have = np.minimum(size[owner] - nth * STEPS + LEAD, wide)  # bytes up to the last real one
+        whole, part = np.flatnonzero((nth > 0) & (have == wide)), np.flatnonzero((nth == 0) | (have < wide))
+        place = np.arange(wide)
         for at in range(0, len(whole), ROWS):
-            sums[whole[at : at + ROWS]] = self.position_sums(data[whole[at : at + ROWS]])
-        part = part[np.argsort(filled[part], kind="stable")]
+            of = whole[at : at + ROWS]
+            sums[of] = self.position_sums(data[first[of][:, None] + place], lead=LEAD)
+        part = part[np.argsort(have[part], kind="stable")]
         for at in range(0, len(part), ROWS):
             of = part[at : at + ROWS]
-            longest = int(filled[of].max())
-            mask = (np.arange(longest)[None, :] < filled[of][:, None]).astype(np.float32)
-            sums[of] = self.position_sums(data[of, :longest], mask)
-        owner = np.repeat(np.arange(len(texts)), n_windows)
+            mask = (place[None, :] < have[of][:, None]) & ((place[None, :] >= LEAD) | (nth[of] > 0)[:, None])
+            longest = int(min(have[of].max(), STEPS + LEAD) + LEAD)  # what lies beyond has no real byte
+            sums[of] = self.position_sums(data[first[of][:, None] + place[:longest]], mask[:, :longest].astype(np.float32), lead=LEAD)
         out = np.zeros((len(texts), len(self.classes)), np.float64)
         np.add.at(out, owner, sums)
         return out / np.maximum(size, 1)[:, None]

@@ -125,14 +125,15 @@ def repeat(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, seed: int =
     """
     names = docs.columns
     key, first, copies = (fresh(docs, n) for n in ("text_hash", "first", "copies"))
+    mix_id, mix_hash, whole, part = (fresh(docs, n) for n in ("mix_id", "mix_hash", "mix_whole", "mix_part"))
     plan = mix(docs, weights, max_epochs, seed, id_col, text_col, source_col)
-    plan = plan.groupBy(F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_hash")).agg(F.sum("whole").alias("mix_whole"), F.sum("part").alias("mix_part"))
+    plan = plan.groupBy(F.col("doc_id").alias(mix_id), F.col("text_hash").alias(mix_hash)).agg(F.sum("whole").alias(whole), F.sum("part").alias(part))
     keyed = docs.withColumn(key, F.xxhash64(text_col))
     order = Window.partitionBy(id_col, key).orderBy(F.col(source_col))
     keyed = keyed.withColumn(first, F.row_number().over(order)).filter(F.col(first) == 1)
-    taken = plan.filter((F.col("mix_whole") > 0) | (F.col("mix_part") > 0))
-    rows = keyed.join(taken, keyed[id_col].eqNullSafe(taken["mix_id"]) & (keyed[key] == taken["mix_hash"]))
-    times = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("mix_whole").cast("int")), F.when(F.col("mix_part") > 0, F.array("mix_part")).otherwise(F.array().cast("array<long>")))
+    taken = plan.filter((F.col(whole) > 0) | (F.col(part) > 0))
+    rows = keyed.join(taken, F.col(id_col).eqNullSafe(F.col(mix_id)) & (F.col(key) == F.col(mix_hash)))
+    times = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col(whole).cast("int")), F.when(F.col(part) > 0, F.array(part)).otherwise(F.array().cast("array<long>")))
     rows = rows.withColumn(copies, F.explode(times))
     words = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = F.when(F.col(copies) < 0, F.col(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.col(copies), F.lit(1)).cast("int")), " "))

@@ -105,3 +105,12 @@ def test_text_media(spark):
     bad = spark.createDataFrame([(1, b"GIF89a"), (2, None), (3, b"")], "id long, media binary")
     assert {r.id for r in gif.frames(bad).collect() if r.error} == {1, 3}
     assert gif.digest(gif.store_texts(docs.limit(0))).count() == 0
+
+
+def test_very_long_text(spark):
+    text = "".join(f"line {k} of a long text é\n" for k in range(40_000))
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    r = {r.doc_id: r for r in gif.digest(gif.store_texts(docs)).collect()}[1]
+    p = text.encode()
+    p += b"\xff" * (-len(p) % 576)
+    assert (r.payload_bytes, r.payload_sha256) == (len(p), hashlib.sha256(p).hexdigest()) and r.feature.startswith(f"frames={len(p) // 576};")

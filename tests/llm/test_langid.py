@@ -33,7 +33,7 @@ def test_gradients():
 
 def test_documents_equal_plain_recurrence():
     m = langid.BiGru(["a", "b"], hidden=4)
-    texts = [b"", b"x", b"hello world " * 30, b"q" * 128, b"z" * 129]
+    texts = [b"", b"x", b"hello world " * 30, b"q" * 128, b"z" * 129, b"ab" * 72, b"ab" * 71 + b"c", b"yz" * 136, b""]
     got = m.documents(texts)
 
     def states(d, w):
@@ -48,10 +48,11 @@ def test_documents_equal_plain_recurrence():
 
     for t, p in zip(texts, got):
         total = np.zeros(2)
-        for k in range(0, len(t), 128):
-            w = t[k : k + 128]
+        for k in range(0, len(t), 128):  # windows with 16 bytes of lead on both sides
+            low = max(0, k - 16)
+            w = t[low : k + 128 + 16]
             e = np.exp(states("f", w) @ m.p["wf"] + states("b", w) @ m.p["wb"] + m.p["c"])
-            total += (e / e.sum(axis=1, keepdims=True)).sum(axis=0)
+            total += (e / e.sum(axis=1, keepdims=True))[k - low : k - low + 128].sum(axis=0)
         assert np.allclose(p, total / max(1, len(t)), atol=1e-5)
 
 
@@ -72,3 +73,14 @@ def test_held_out_accuracy_and_odd_rows(spark):
     none = docs.limit(0)
     assert langid.classify(none, langid.fit(none)).count() == 0
     assert {r.lang_pred for r in langid.classify(docs.drop("lang_pred"), None).collect()} == {"und"}
+
+
+def test_ties_and_very_long_texts(spark):
+    tied = langid.BiGru(["aa", "bb"], hidden=2)
+    tied.p = {k: np.zeros_like(v) for k, v in tied.p.items()}
+    rows = [(1, "any words"), (2, "schü wöx " * 60_000), (3, "9 " * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, round(r.score, 4)) for r in langid.classify(docs, tied).collect()}
+    assert got == {1: ("aa", 0.5), 2: ("aa", 0.5), 3: ("und", 0.0)}
+    model = langid.fit(spark.createDataFrame(corpus(150), "doc_id long, text string, lang string"), per_language=40)
+    assert {r.doc_id: r.lang_pred for r in langid.classify(docs, model).collect()}[2] == "bb"

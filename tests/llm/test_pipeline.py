@@ -55,3 +55,16 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = settle(stage(spark, docs, "unused"))
     assert docs.count() == 0
+
+
+def test_odd_tables(spark):
+    """A very long text, repeated rows, null ids, null texts and extra columns named like those of the stages."""
+    long = " ".join(f"w{k % 977}x{k}" for k in range(30_000))
+    rows = [[k, f"some plain words of row {k} " * 6, "aa", "s", 1] for k in range(40)] + [[k, rows_text, "bb", None, None] for k, rows_text in ((100, long), (101, long + " end"), (102, None), (None, "no id here but words"), (100, long))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as Score", "'x' as lang_pred", "2 as start", "'k' as key", "3 as u", "4 as row_", "5 as kept_id")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = settle(stage(spark, docs, "unused"))
+        assert [c.lower() for c in docs.columns[:5]] == ["doc_id", "text", "lang", "source", "n_chars"], name
+    assert {r.doc_id for r in docs.select("doc_id").collect()} >= {100} and 101 not in {r.doc_id for r in docs.select("doc_id").collect()}
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "unused").collect()
+    assert sum(r.length for r in pieces if r.doc_id == 100) > 30_000
