@@ -206,13 +206,16 @@ def held_out(id_col, folds: int = 5) -> F.Column:
 def fit(docs: DataFrame, per_language: int = 400, window_chars: int = 600, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> BiGru | None:
     """Trains on at most ``per_language`` windows of ``window_chars`` characters for each language; None without labels."""
     text = F.col(text_col)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "piece"))
+    first = lambda *of: F.row_number().over(Window.partitionBy(*of).orderBy("key", "piece"))
     key = F.xxhash64(F.lit(5), F.col(id_col))
     start = F.pmod(F.xxhash64(F.lit(6), F.col(id_col)), F.greatest(F.lit(1), F.length(text) - window_chars)).cast("int") + 1
     sample = (
         docs.filter(text.isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col) & text.rlike(r"\p{L}"))
         .select(F.col(lang_col).cast("string").alias("lang"), key.alias("key"), text.substr(start, F.lit(window_chars)).alias("piece"))
-        .withColumn("rank", rank)
+        .withColumn("salt", F.pmod("key", F.lit(64)))
+        .withColumn("rank", first("lang", "salt"))  # parts of a language first: no task sees all of it
+        .filter(F.col("rank") <= per_language)
+        .withColumn("rank", first("lang"))
         .filter(F.col("rank") <= per_language)
     )
     rows = sorted(sample.collect(), key=lambda r: (r.lang, r.rank))

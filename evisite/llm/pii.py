@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evisite.llm.boost import BoostedTrees
+from evisite.llm.common import fresh
 
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = string.ascii_letters + string.digits + "._%+-"
@@ -276,7 +277,9 @@ def fit(docs: DataFrame, sample_docs: int = 300, window_chars: int = 20_000, tex
     """
     text = F.col(text_col)
     start = F.pmod(F.xxhash64(F.lit(4), text), F.greatest(F.lit(1), F.length(text) - window_chars)).cast("int") + 1
-    rows = docs.filter(text.rlike("@|[0-9]{4}")).select(F.xxhash64(F.lit(3), text).alias("h"), text.substr(start, F.lit(window_chars)).alias("t")).dropDuplicates(["h"]).orderBy("h").limit(sample_docs).collect()
+    hashed = docs.filter(text.rlike("@|[0-9]{4}")).withColumn(h := fresh(docs, "h"), F.xxhash64(F.lit(3), text))
+    last = hashed.select(h).distinct().orderBy(h).limit(sample_docs).agg(F.max(h)).first()[0]  # hashes travel, texts don't
+    rows = hashed.filter(F.col(h) <= F.lit(last)).select(F.col(h).alias("h"), text.substr(start, F.lit(window_chars)).alias("t")).dropDuplicates(["h"]).collect()
     x, y = examples([r.t for r in sorted(rows, key=lambda r: r.h)])
     return BoostedTrees().fit(x, y, x[:, 0].astype(int))
 

@@ -14,7 +14,7 @@ last block is filled up with its minimum. Blocks can be read alone through their
 Segments are written as rows (part, segment, ids, documents, bytes) by Spark's own committer, so a lost executor or a
 repeated task leaves no half-written or double file, on any store that Spark can write.
 
-Cases: a null text is empty and holds the end id only. Null ids come first. Rows with one id are ordered by their text.
+Cases: a null text is empty and holds the end id only. Null ids come first. Rows with one id are ordered by a hash of their text, then by it.
 An empty table gives no segment. Very long texts make a longer segment. Other columns are ignored.
 """
 
@@ -176,7 +176,8 @@ def write_files(docs: DataFrame, vocabulary: str, lower: bool = True, end_id: in
             yield flush()
 
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = text.repartitionByRange("id").sortWithinPartitions("id", "text")
+    hashed = text.withColumn("h", F.xxhash64("text"))  # rows without an id, or with one id, may be many: they split by it
+    ordered = hashed.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
     return settle(ordered.mapInArrow(encoded, FILE_SCHEMA), compression="none")
 
 

@@ -49,12 +49,14 @@ def test_token_files(spark):
     rows = rows[::-1]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("start", __import__("pyspark").sql.functions.lit("x"))
     got = tokenfile.read_files(tokenfile.write_files(docs, public_tokenizers.path("word_bpe_49k.json"))).collect()
-    at, want = 0, []
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    want = []
+    for i, t in rows:
         ids = np.array(plain("word_bpe_49k.json", t) + [1], "<u4")
-        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
-        at += len(ids)
-    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+        want.append((i, len(ids), zlib.crc32(ids.tobytes())))
+    got = sorted(got, key=lambda r: r.start)
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in got), key=str) == sorted(want, key=str)
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
+    assert [r.doc_id or -1 for r in got] == sorted(r.doc_id or -1 for r in got)
     assert tokenfile.read_files(tokenfile.write_files(docs.limit(0), public_tokenizers.path("word_bpe_49k.json"))).count() == 0
 
 
