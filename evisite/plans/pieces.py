@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from evisite.functions import headers as H
 from evisite.functions import scores as S
 from evisite.operators import align as A
+from evisite.operators import group as G
+from evisite.operators import markers as M
 from evisite.operators import pairs as P
 from evisite.operators import spatial as X
 from evisite.operators import structures as T
@@ -521,3 +523,126 @@ def area_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _points(spark, sf_dir)
     a = X.area_contexts(p, {"all": p, "even": p.filter("vec_id % 2 = 0")}, ["label"], X.golden_sphere(GOLDEN), max_radius=2.0, atom="vec_id", residue="res_id")
     return a.select("vec_id", "label", "context", F.round("asa", 4).alias("asa"))
+
+
+# Sites, structures and reports.
+
+MARKED_SQL = """
+m0 as (select doc_id, 'D' || doc_id as acc, regexp_replace(coalesce(text, ''), '[^A-Za-z.]', '', 'g') s from documents where doc_id is not null),
+m1 as (select acc, replace(s, '.', '') plain, length(s) - length(replace(s, '.', '')) n_marks, string_split(s, '.') a from m0),
+m2 as (select acc, plain, list_sum(list_transform(a[1:k], lambda x: length(x)))::int poi from m1, lateral (select unnest(range(1, len(a))) k))
+"""
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sites and rejects of documents whose full stops are markers."""
+    d = table(spark, sf_dir, "documents").filter("doc_id is not null")
+    seq = F.translate(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z.]", ""), ".", "*")
+    rows = d.select(F.concat(F.lit("d|D"), _text("doc_id"), F.lit("|some text")).alias("header"), seq.alias("seq"))
+    return M.normalise(rows, H.accession(F.col("header")), "header")
+
+
+@query(f"""
+with {MARKED_SQL}
+select distinct acc || '_Pos' || poi as entry_id, poi, lpad(substring(plain, greatest(poi - 6, 0) + 1, poi - greatest(poi - 6, 0)), 6, '-') || '/' || rpad(substring(plain, poi + 1, 6), 6, '-') poiseq from m2 where poi between 1 and length(plain)
+""")
+def marked_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marked(spark, sf_dir)[0].select("entry_id", "poi", "poiseq")
+
+
+@query(f"with {MARKED_SQL} select acc, 'no marker' reason from m1 where n_marks = 0 union all select acc, 'position outside the sequence' from m2 where poi < 1 or poi > length(plain)")
+def site_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marked(spark, sf_dir)[1].select("acc", "reason")
+
+
+@query("""
+with a as (select p_brand pdb_id, p_partkey num, unnest([upper(left(p_name, 1)), upper(left(p_type, 1))]) as chain from part), f as (select pdb_id, chain, min(num) as assembly from a group by 1, 2)
+select p_brand pdb_id, p_partkey, upper(right(p_name, 1)) as chain, assembly from part left join f on p_brand = pdb_id and upper(right(p_name, 1)) = f.chain
+""")
+def first_assemblies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first assembly that holds a chain; none for chains outside all of them."""
+    p = table(spark, sf_dir, "part")
+    plan = p.select(F.col("p_brand").alias("pdb_id"), F.col("p_partkey").alias("num"), F.array(F.upper(F.substring("p_name", 1, 1)), F.upper(F.substring("p_type", 1, 1))).alias("chains"))
+    return X.first_assembly(p.select(F.col("p_brand").alias("pdb_id"), "p_partkey", F.upper(F.substring("p_name", -1, 1)).alias("chain")), plan).select("pdb_id", "p_partkey", "chain", "assembly")
+
+
+@query("""
+with c as (select conv_id, turn, upper(left(role, 1)) code, list(upper(left(role, 1))) over (partition by conv_id order by turn rows between 1 preceding and current row) l, list(upper(left(role, 1))) over (partition by conv_id order by turn rows between 1 following and 2 following) r from conversations),
+x as (select conv_id, turn, lpad(array_to_string(l, ''), 2, '?') || '*' || rpad(coalesce(array_to_string(r, ''), ''), 2, '?') d from c)
+select s.conv_id, s.turn, coalesce(d, 'Unknown') dssp from (select conv_id, turn + 1 as turn from conversations) s left join x using (conv_id, turn)
+""")
+def site_secondary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes around the next turn of each turn; unknown after the last."""
+    c = table(spark, sf_dir, "conversations")
+    codes = c.select(F.col("conv_id").alias("file"), F.lit("A").alias("chain"), _text("turn").alias("resnum"), F.col("turn").alias("seq"), F.upper(F.substring("role", 1, 1)).alias("code"))
+    sites = c.select(F.col("conv_id").alias("file"), F.lit("A").alias("chain"), (F.col("turn") + 1).cast("string").alias("resnum"))
+    return T.site_secondary(sites, codes, window=4).select(F.col("file").alias("conv_id"), F.col("resnum").cast("long").alias("turn"), "dssp")
+
+
+@query("select event_id, case when event_type = 'error' then -1.0 else value end area, event_type <> 'view' has_secondary from events where value is not null")
+def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of events as structures that are mostly backbone (error) or single atoms (view)."""
+    e = table(spark, sf_dir, "events").filter("value is not null").select("event_id", F.col("event_type").alias("pdb_id"), F.col("value").alias("area"))
+    share = lambda kind: F.when(F.col("pdb_id") == kind, 0.95).otherwise(0.5)
+    ratios = e.select("pdb_id").distinct().select("pdb_id", F.lit(0.0).alias("incomplete"), share("view").alias("single_atom"), share("error").alias("backbone_only"))
+    return T.quality_gate(e, ratios).select("event_id", "area", "has_secondary")
+
+
+@query("select p_partkey, ';ALIGNMENT_SCORE:' || p_size || chr(10) || '>' || p_brand || chr(10) || p_name || chr(10) || '>' || p_type || chr(10) || p_name as record from part")
+def alignment_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", sinks.alignment_text("p_size", "p_name", "p_name", "p_brand", "p_type").alias("record"))
+
+
+@query(f"""
+with {ATOMS_SQL} select file, array_to_string(list_sort(list_distinct(list(chain))), ',') chains, '0' as models, array_to_string(list_sort(list_distinct(list(cls))), ',') classes, 'R' as mode, 'C' as modified, 642::int as points, 1.4::double as probe, round(sum(v), 4) total_area from a group by 1
+""")
+def area_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _atoms(spark, sf_dir).withColumn("asa", F.col("x"))
+    return sinks.area_provenance(a, "file", 1.4, 642, "R", "C").withColumn("total_area", F.round("total_area", 4))
+
+
+@query(f"with {ATOMS_SQL} select file, count(*) n_atoms, count(distinct chain) n_ends, 1::bigint n_closed from a group by 1")
+def structure_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of whole structures: atoms, one end for each chain, one for each file."""
+    lines = sinks.structure_lines(_atoms(spark, sf_dir).withColumn("serial", F.col("serial") % 100_000), ["file"])
+    kind = lambda w: F.count_if(F.startswith("value", F.lit(w)))
+    return lines.groupBy("file").agg(kind("ATOM").alias("n_atoms"), kind("TER").alias("n_ends"), kind("END").alias("n_closed"))
+
+
+@query("select c_name as value from customer union all select s_name from supplier")
+def joined_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two list files written, joined to one, and read."""
+    one, two, whole = (_place(spark) for _ in range(3))
+    sinks.write_list(table(spark, sf_dir, "customer"), "c_name", one)
+    sinks.write_list(table(spark, sf_dir, "supplier"), "s_name", two)
+    sinks.concatenate(spark, [one, two], whole)
+    return fasta.lines(spark, whole)
+
+
+@query("select 'run_' || p_partkey || '.txt' file_name, p_partkey series_no from part where p_partkey >= 50")
+def numbered_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "part").select(F.explode(F.array(F.concat(F.lit("run_"), _text("p_partkey"), F.lit(".txt")), F.concat(F.lit("other_"), _text("p_partkey"), F.lit(".txt")))).alias("file_name"))
+    return fasta.series(names, "run_50.txt").select("file_name", "series_no")
+
+
+@query("select o_custkey, null::varchar as pymol, any_value(o_custkey) same from orders group by 1")
+def special_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column filled later, and a strict identity check."""
+    o = table(spark, sf_dir, "orders").withColumn("same", F.col("o_custkey"))
+    return G.typed_group(o, ["o_custkey"], [("pymol", "special", []), ("same", "check_identity", [])], order_by="o_orderkey", strict=True)
+
+
+@query("""
+with r as (select p_partkey, upper(replace(p_name, ' ', '-')) || p_brand t, upper(replace(p_type || p_name, 'E', '-')) q from part),
+k as (select p_partkey, i, substring(t, i::int, 1) t, substring(q, i::int, 1) q, greatest(length(t) - length(q), 0) spare from (select *, unnest(range(1, least(length(t), length(q)) + 1)) i from r)),
+f as (select *, t <> '-' and q <> '-' as both_, min(case when t <> '-' and q <> '-' then i end) over (partition by p_partkey) first_, max(case when t <> '-' and q <> '-' then i end) over (partition by p_partkey) last_ from k),
+h as (select *, sum(case when t = '-' and q <> '-' and i > first_ and i < last_ then 1 else 0 end) over (partition by p_partkey order by i) held from f),
+o as (select *, case when both_ and held > lag(held) over (partition by p_partkey, both_ order by i) then 1 else 0 end as opened from h)
+select p_partkey, coalesce(max(last_ - first_ + 1), 0)::int length, coalesce(max(first_) - 1, -1)::int first_, coalesce(max(last_) - 1, -1)::int last_, count(*) filter (both_ and t = q)::int identity_, max(held)::int gaps, (count(*) filter (t <> '-' and q = '-') + max(spare))::int unaligned, sum(opened)::int gap_opens from o group by 1
+""")
+def alignment_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts over two gapped rows made of a part's words."""
+    p = table(spark, sf_dir, "part")
+    t, q = F.concat(F.upper(F.translate("p_name", " ", "-")), "p_brand"), F.upper(F.translate(F.concat("p_type", "p_name"), "E", "-"))
+    s = p.select("p_partkey", S.alignment_stats(t, q).alias("s"))
+    return s.select("p_partkey", "s.length", F.col("s.first").alias("first_"), F.col("s.last").alias("last_"), F.col("s.identity").alias("identity_"), "s.gaps", "s.unaligned", "s.gap_opens")
