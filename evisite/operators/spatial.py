@@ -6,6 +6,7 @@ equi-join that shuffles, splits when skewed, and never forms all pairs.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -115,7 +116,7 @@ def accessible_area(targets: DataFrame, occluders: DataFrame, keys: list[str], p
         F.collect_list(F.struct(*[(F.col(f"o.{c}") - F.col(f"t.{c}")).alias(c) for c in "xyz"], (r_o * r_o).alias("r2"), (F.col(f"o.{residue}") == F.col(f"t.{residue}")).alias("own"))).alias("near")
     )  # atoms that touch one atom: bounded by packing density
     joined = targets.select(*keys, atom, residue, "radius").join(near, [*keys, atom], "left")
-    unit = F.array(*[F.struct(*[F.lit(float(c)).alias(n) for n, c in zip("xyz", p)]) for p in points])
+    unit = F.from_json(F.lit(json.dumps([dict(zip("xyz", map(float, p))) for p in points])), "array<struct<x: double, y: double, z: double>>")  # one literal after folding
     full = F.col("radius") + probe
     inside = lambda p, a: (p["x"] * full - a["x"]) ** 2 + (p["y"] * full - a["y"]) ** 2 + (p["z"] * full - a["z"]) ** 2 < a["r2"]
     none = F.coalesce("near", F.array().cast(dict(near.dtypes)["near"]))
