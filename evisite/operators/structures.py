@@ -206,10 +206,14 @@ def site_secondary(sites: DataFrame, secondary: DataFrame, window: int = 10) ->
     return sites.join(table, ["file", "chain", "resnum"], "left").withColumn("dssp", F.coalesce("dssp", F.lit("Unknown")))
 
 
-def site_ranges(df: DataFrame, keys: list[str], value: str, prefix: str) -> DataFrame:
-    """Minimum and maximum over valid (not negative) values, -1 if none; mean and ordered list of all."""
+def site_ranges(df: DataFrame, keys: list[str], value: str, prefix: str, order_by: str | None = None) -> DataFrame:
+    """Minimum and maximum over valid (not negative) values, -1 if none; the mean of all, and with an order their list."""
     ok = F.when(F.col(value) >= 0, F.col(value))
-    return df.groupBy(*keys).agg(F.coalesce(F.min(ok), F.lit(-1.0)).alias(f"{prefix}_min"), F.coalesce(F.max(ok), F.lit(-1.0)).alias(f"{prefix}_max"), F.avg(value).alias(f"{prefix}_avg"))
+    out = [F.coalesce(F.min(ok), F.lit(-1.0)).alias(f"{prefix}_min"), F.coalesce(F.max(ok), F.lit(-1.0)).alias(f"{prefix}_max"), F.avg(value).alias(f"{prefix}_avg")]
+    if order_by is not None:
+        pairs = F.array_sort(F.collect_list(F.struct(F.col(order_by).alias("o"), F.col(value).alias("v"))))
+        out.append(F.transform(pairs, lambda s: s["v"]).alias(f"{prefix}_vals"))
+    return df.groupBy(*keys).agg(*out)
 
 
 def window_mean(df: DataFrame, keys: list[str], position: str, value: str, width: int) -> DataFrame:

@@ -466,11 +466,11 @@ def reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with l as (select c_custkey, c_nationkey, c_acctbal from customer)
-select c_nationkey, round(min(case when c_acctbal >= 0 then c_acctbal end), 6) v_min, round(max(case when c_acctbal >= 0 then c_acctbal end), 6) v_max, round(avg(c_acctbal), 4) v_avg from l group by 1
+select c_nationkey, round(min(case when c_acctbal >= 0 then c_acctbal end), 6) v_min, round(max(case when c_acctbal >= 0 then c_acctbal end), 6) v_max, round(avg(c_acctbal), 4) v_avg, string_agg(c_acctbal::varchar, ',' order by c_custkey) v_vals from l group by 1
 """)
 def range_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = T.site_ranges(table(spark, sf_dir, "customer"), ["c_nationkey"], "c_acctbal", "v")
-    return g.select("c_nationkey", F.round("v_min", 6).alias("v_min"), F.round("v_max", 6).alias("v_max"), F.round("v_avg", 4).alias("v_avg"))
+    g = T.site_ranges(table(spark, sf_dir, "customer"), ["c_nationkey"], "c_acctbal", "v", "c_custkey")
+    return g.select("c_nationkey", F.round("v_min", 6).alias("v_min"), F.round("v_max", 6).alias("v_max"), F.round("v_avg", 4).alias("v_avg"), F.array_join(F.col("v_vals").cast("array<string>"), ",").alias("v_vals"))
 
 
 # Points.
