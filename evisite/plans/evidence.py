@@ -38,7 +38,10 @@ REPORT = [
 
 def _once(df: DataFrame) -> DataFrame:
     """``df`` computed once, in ``spark.checkpoint.dir`` where that is set."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+    context, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return df.checkpoint() if context.getCheckpointDir() else df
 
 
 def located(pois: DataFrame, hits: DataFrame, res: DataFrame, bitscore: float, align_cutoff: float, matrix: dict | None, positions: int) -> DataFrame:
