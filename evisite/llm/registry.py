@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evisite.llm import gif, langid, minhash, mixing, packing, pii, sharding, tokenfile, urltree, vectorgraph
+from evisite.llm import gif, hardneg, htmltext, langid, lexical, minhash, mixing, packing, pii, sharding, tokenfile, urltree, vectorgraph
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,22 @@ def op10_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op11_two_pass_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+def op12_blocked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best of all documents for each benchmark item."""
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_multi_index_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each anchor and each of its five positives, over all embeddings."""
+    other = lambda vec_id, label: F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hardneg.mine(table(spark, sf_dir, "embeddings"), anchor_every=50, relabel=other, n_positives=5, n_negatives=3)
+
+
 OP6_SQL = r"""
 with sized as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
@@ -143,10 +159,51 @@ select w.doc_id, coalesce(n, 0) as n_shingles, least(w.doc_id, coalesce(b, w.doc
 from w left join n on w.doc_id = n.doc_id left join least_id l on w.doc_id = l.a
 """
 
+OP12_SQL = r"""
+with d as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents),
+i as (
+  select row_number() over () as k, item_id,
+         list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark),
+words as (select k, item_id, unnest(t) as w from i),
+whole as (select count(*)::bigint as n_docs, sum(len(t))::bigint as n_terms from d where len(t) > 0),
+spread as (select r, unnest(t) as w from d),
+tf as (select r, w, count(*)::bigint as tf from spread where w in (select w from words) group by r, w),
+df as (select w, count(*)::bigint as df from tf group by w),
+weight as (select w, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)::double))::bigint as weight from df, whole),
+m as (select r, doc_id, 100 - 50 + ((50 * len(t)::bigint * n_docs) // n_terms) as m from d, whole where len(t) > 0),
+scored as (
+  select k, item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint as score
+  from words join weight using (w) join tf using (w) join m using (r) group by k, item_id, r, doc_id),
+ranked as (select *, row_number() over (partition by k order by score desc, doc_id) as rank from scored where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 50
+"""
+
+OP13_SQL = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding::double[], lambda x: floor(256 * x)) as x
+  from embeddings
+  where label is not null and embedding is not null and list_count(embedding) = len(embedding)
+    and list_bool_and(list_transform(embedding, lambda x: isfinite(x)))),
+pairs as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, list_inner_product(a.x, b.x)::bigint as score
+  from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+positives as (
+  select *, row_number() over (partition by anchor_id order by score desc, other_id) as k from pairs where same qualify k <= 5),
+fits as (
+  select p.anchor_id, p.other_id as positive_id, p.k, n.other_id as negative_id, p.score as positive_score, n.score as negative_score,
+         row_number() over (partition by p.anchor_id, p.k order by n.score desc, n.other_id) as rank
+  from positives p join pairs n on p.anchor_id = n.anchor_id and not n.same
+  where 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score, k::int as positive_rank from fits where rank <= 3
+"""
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lpt_shards, op2_boosted_pii, op3_pfor_token_files, op4_path_template_urls, op5_pruned_graph_duplicates, op6_water_filling_mix, op7_gif_media, op8_sum_of_squares_packing, op9_superminhash_groups, op10_bigru_language)}
+    return {f.__name__: f for f in (op1_lpt_shards, op2_boosted_pii, op3_pfor_token_files, op4_path_template_urls, op5_pruned_graph_duplicates, op6_water_filling_mix, op7_gif_media, op8_sum_of_squares_packing, op9_superminhash_groups, op10_bigru_language, op11_two_pass_main_text, op12_blocked_lexical_search, op13_multi_index_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_pruned_graph_duplicates": OP5_SQL, "op6_water_filling_mix": OP6_SQL, "op9_superminhash_groups": OP9_SQL}
+    return {"op5_pruned_graph_duplicates": OP5_SQL, "op6_water_filling_mix": OP6_SQL, "op9_superminhash_groups": OP9_SQL, "op12_blocked_lexical_search": OP12_SQL, "op13_multi_index_negatives": OP13_SQL}
