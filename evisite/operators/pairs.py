@@ -1,14 +1,9 @@
-"""Hits and pairs: ranking, filters, joins, cache and seed search."""
+"""Hits and pairs: ranking, filters, joins and the rules of the result cache."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 
 def first_of(df: DataFrame, keys: list[str], order_by: list) -> DataFrame:
@@ -147,120 +142,3 @@ def keyword_lines(lines: DataFrame, words: DataFrame, key: str, text: str, word:
     """The ids and words of lines that hold a word of a list, each once; words have ``length`` letters."""
     tokens = lines.select(key, F.explode(F.array_distinct(F.split(text, r"[^A-Za-z0-9]+"))).alias(word)).filter(F.length(word) == length)
     return tokens.join(words.select(word).distinct(), word, "left_semi").select(key, word).distinct()
-
-
-def kmers(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
-    """Every k-letter word of a sequence with its place from 0."""
-    n = F.length(seq) - k
-    at = F.explode(F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>")))
-    return df.select(key, seq, at.alias("at_")).select(F.col(key), "at_", F.substring(F.col(seq), F.col("at_") + 1, F.lit(k)).alias("word_"))
-
-
-BLOCK = 1_000_000  # query letters that are searched in one pass over the targets
-CHUNK = 1_000_000  # target letters hashed at once
-PAIRS = 2_000_000  # common words unfolded at once
-
-
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def _words(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All letters, and of every whole k-letter word its hash, first letter's place and text's number."""
-    codes, sizes = _codes("".join(texts)), np.array([len(t) for t in texts], np.int64)
-    of = np.repeat(np.arange(len(texts)), sizes)
-    n = max(0, len(codes) - k + 1)
-    first = np.flatnonzero(of[:n] == of[k - 1 :][:n]) if n else np.zeros(0, np.int64)
-    h = np.zeros(n, np.uint64)
-    for i in range(k):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n]
-    h ^= h >> np.uint64(29)
-    return codes, (h * np.uint64(0xBF58476D1CE4E5B9))[first], first, of[first]
-
-
-def _blocks(queries: DataFrame) -> Iterator[tuple[list, list[str]]]:
-    ids, texts, total = [], [], 0
-    for key, text in queries.filter(F.col(queries.columns[1]).isNotNull()).toLocalIterator():  # a block at a time
-        if ids and total + len(text) > BLOCK:
-            yield ids, texts
-            ids, texts, total = [], [], 0
-        ids, texts, total = [*ids, key], [*texts, text], total + len(text)
-    if ids:
-        yield ids, texts
-
-
-def _hits(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame | None:
-    """``q_, t_, diagonal, seeds`` of one block of queries and all targets, counted within each Arrow batch."""
-    spark, types = queries.sparkSession, [dict(f.dtypes)[f.columns[0]] for f in (queries, targets)]
-    out = None
-    for ids, texts in _blocks(queries):
-        block = spark.sparkContext.broadcast((ids, texts))
-
-        def found(batches, block=block):
-            ids, texts = block.value
-            letters, h, first, of = _words(texts, k)
-            order = np.argsort(h, kind="stable")
-            h, first, of = h[order], first[order], of[order]
-            starts = np.cumsum([0, *map(len, texts)])
-            seen = np.zeros(1 << 24, bool)
-            seen[h >> np.uint64(40)] = True
-            for batch in batches:
-                keys, bodies = batch.column(0), batch.column(1).to_pylist()
-                at = 0
-                while at < len(bodies):
-                    to, total = at + 1, len(bodies[at])
-                    while to < len(bodies) and total + len(bodies[to]) <= CHUNK:
-                        total += len(bodies[to])
-                        to += 1
-                    rows = counted(bodies[at:to], letters, h, first, of, starts, seen)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in rows[0]], kinds[0]), keys.slice(at, to - at).take(pa.array(rows[1])), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int64())], names=["q_", "t_", "diagonal", "seeds"])
-                    at = to
-
-        def counted(bodies, letters, h, first, of, starts, seen):
-            own, words, place, text = _words(bodies, k)
-            begin = np.cumsum([0, *map(len, bodies)])
-            maybe = np.flatnonzero(seen[words >> np.uint64(40)])
-            low, high = np.searchsorted(h, words[maybe], "left"), np.searchsorted(h, words[maybe], "right")
-            maybe, low, n = maybe[high > low], low[high > low], (high - low)[high > low]
-            done, cut = np.zeros((4, 0), np.int64), 0
-            ends = np.cumsum(n)
-            while cut < len(n):
-                stop = max(cut + 1, int(np.searchsorted(ends, (ends[cut - 1] if cut else 0) + PAIRS, "right")))
-                m = n[cut:stop]
-                t = np.repeat(maybe[cut:stop], m)
-                q = np.repeat(low[cut:stop] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
-                same = np.ones(len(t), bool)
-                for i in range(k):  # equal hashes are equal words only if all letters are
-                    same &= own[place[t] + i] == letters[first[q] + i]
-                t, q = t[same], q[same]
-                diagonal = (place[t] - begin[text[t]]) - (first[q] - starts[of[q]])
-                done = summed(np.concatenate([done, np.stack([of[q], text[t], diagonal, np.ones(len(t), np.int64)])], axis=1))
-                cut = stop
-            return done
-
-        def summed(rows):
-            rows = rows[:, np.lexsort(rows[:3])]
-            new = np.ones(rows.shape[1], bool)
-            new[1:] = (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)
-            return np.concatenate([rows[:3, new], np.add.reduceat(rows[3], np.flatnonzero(new))[None]]) if rows.shape[1] else rows
-
-        kinds = [to_arrow_type(queries.schema[0].dataType)]
-        one = targets.filter(F.col(targets.columns[1]).isNotNull()).mapInArrow(found, f"q_ {types[0]}, t_ {types[1]}, diagonal int, seeds long")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def seed_search(queries: DataFrame, targets: DataFrame, query: str, target: str, q_seq: str, t_seq: str, k: int = 5, least: int = 2, most: int = 500) -> DataFrame:
-    """Homologous pairs by common words on one diagonal: ``query, target, diagonal, seeds``.
-
-    Whole targets are searched for the words of whole queries. The queries, the smaller side, come in blocks of ``BLOCK``
-    letters; each block is one pass over the targets, in which the words of a diagonal are counted before anything is
-    shuffled. The best diagonal of each pair with ``least`` seeds stays, and ``most`` pairs of each query.
-    """
-    types = [f"{name} {dict(df.dtypes)[col]}" for name, df, col in (("q_", queries, query), ("t_", targets, target))]
-    counts = _hits(queries.select(query, q_seq), targets.select(target, t_seq), k)
-    if counts is None:
-        counts = queries.sparkSession.createDataFrame([], f"{types[0]}, {types[1]}, diagonal int, seeds long")
-    hits = counts.groupBy(F.col("q_").alias(query), F.col("t_").alias(target), "diagonal").agg(F.sum("seeds").alias("seeds"))
-    best = first_of(hits.filter(F.col("seeds") >= least), [query, target], [F.col("seeds").desc(), F.col("diagonal")])
-    return top_k(best, [query], [F.col("seeds").desc(), F.col(target)], most)

@@ -13,6 +13,7 @@ from evisite.operators import align as A
 from evisite.operators import group as G
 from evisite.operators import markers as M
 from evisite.operators import pairs as P
+from evisite.operators import search as W
 from evisite.operators import spatial as X
 from evisite.operators import structures as T
 from evisite.sources import sinks
@@ -307,25 +308,81 @@ def keyword_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.keyword_lines(table(spark, sf_dir, "documents"), words, "doc_id", "text")
 
 
-@query("""
-with q as (select i, k::int q_at, substring(t, k::int + 1, 12) w from (select item_id i, text t from benchmark), lateral (select unnest(range(0, greatest(length(t) - 11, 0))) k)),
-d as (select i, k::int t_at, substring(t, k::int + 1, 12) w from (select conv_id * 1000 + turn i, text t from conversations), lateral (select unnest(range(0, greatest(length(t) - 11, 0))) k)),
-h as (select q.i item_id, d.i turn_id, t_at - q_at diagonal, count(*) seeds from q join d using (w) group by 1, 2, 3 having count(*) >= 2),
-b as (select *, row_number() over (partition by item_id, turn_id order by seeds desc, diagonal) k from h)
-select item_id, turn_id, diagonal, seeds from (select *, row_number() over (partition by item_id order by seeds desc, turn_id) n from b where k = 1) where n <= 20
-""")
+def _seeds_sql(texts: str, name: str) -> str:
+    """Pairs of items and other texts with their best diagonal, and the place of its first seed."""
+    return f"""
+q as (select i, k::int q_at, substring(t, k::int + 1, 12) w from (select item_id i, text t from benchmark), lateral (select unnest(range(0, greatest(length(t) - 11, 0))) k)),
+d as (select i, k::int t_at, substring(t, k::int + 1, 12) w from ({texts}), lateral (select unnest(range(0, greatest(length(t) - 11, 0))) k)),
+h as (select q.i item_id, d.i {name}, t_at - q_at diagonal, count(*) seeds, min(q_at) start from q join d using (w) group by 1, 2, 3 having count(*) >= 2),
+b as (select *, row_number() over (partition by item_id, {name} order by seeds desc, diagonal) k from h),
+seeds as (select item_id, {name}, diagonal, seeds, start from (select *, row_number() over (partition by item_id order by seeds desc, {name}) n from b where k = 1) where n <= 20)
+"""
+
+
+TURNS_SQL = "select conv_id * 1000 + turn i, text t from conversations"
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), F.col("text").alias("t"))
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"))
+
+
+@query(f"with {_seeds_sql(TURNS_SQL, 'turn_id')} select item_id, turn_id, diagonal, seeds from seeds")
 def seed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns that share 12-letter words on one diagonal with a benchmark item, whole texts on both sides."""
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"))
-    t = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), F.col("text").alias("t"))
-    return P.seed_search(q, t, "item_id", "turn_id", "q", "t", k=12, least=2, most=20)
+    found = W.seed_search(_items(spark, sf_dir), _turns(spark, sf_dir), "item_id", "turn_id", "q", "t", k=12, least=2, most=20)
+    return found.select("item_id", "turn_id", "diagonal", "seeds")
 
 
-@query()
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
+
+
+@query(f"with {_seeds_sql('select doc_id i, text t from documents', 'doc_id')} select item_id, doc_id, diagonal, seeds from seeds")
 def seed_search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share 12-letter words on one diagonal with a benchmark item, whole texts on both sides."""
-    q, t = (table(spark, sf_dir, n) for n in ("benchmark", "documents"))
-    return P.seed_search(q.withColumnRenamed("text", "q"), t.withColumnRenamed("text", "t"), "item_id", "doc_id", "q", "t", k=12, least=2, most=20)
+    found = W.seed_search(_items(spark, sf_dir), _documents(spark, sf_dir), "item_id", "doc_id", "q", "t", k=12, least=2, most=20)
+    return found.select("item_id", "doc_id", "diagonal", "seeds")
+
+
+def _extended_sql(side: str, places: str) -> str:
+    """The best score of one way from the seed, and how many letters it takes (0 if none is above 0)."""
+    return f"""
+{side}0 as (select item_id, doc_id, i, sum(case when substring(q, {places[0]}, 1) = substring(t, {places[1]}, 1) then 1 else -3 end) over (partition by item_id, doc_id order by i) as c
+  from pairs, lateral (select unnest(range(0, {places[2]})) i)),
+{side}1 as (select *, greatest(0, max(c) over (partition by item_id, doc_id order by i)) - c > 20 as fell from {side}0),
+{side}2 as (select *, coalesce(min(case when fell then i end) over (partition by item_id, doc_id), 1000000) as stop from {side}1),
+{side} as (select item_id, doc_id, max(c) as {side}_score, arg_min(i, (-c, i)) + 1 as {side}_n from {side}2 where i < stop group by 1, 2 having max(c) > 0)
+"""
+
+
+#: Statistics of +1 and -3 over 30 letters, to ten digits.
+HIT_SQL = f"""
+with {_seeds_sql('select doc_id i, text t from documents', 'doc_id')},
+pairs as (select s.*, b.text as q, d.text as t, start + diagonal as s_at from seeds s join benchmark b using (item_id) join documents d on s.doc_id = d.doc_id),
+{_extended_sql('ahead', ('(start + i + 1)::bigint', '(s_at + i + 1)::bigint', 'least(length(q) - start, length(t) - s_at)'))},
+{_extended_sql('back', ('(start - i)::bigint', '(s_at - i)::bigint', 'least(start, s_at)'))},
+e as (select p.*, coalesce(ahead_score, 0) + coalesce(back_score, 0) as score, start - coalesce(back_n, 0) + 1 as q_start, start + coalesce(ahead_n, 0) as q_end
+  from pairs p left join ahead using (item_id, doc_id) left join back using (item_id, doc_id)),
+f as (select *, (select count(*) from range(q_start, q_end + 1) r(n) where substring(q, n::bigint, 1) = substring(t, (n + diagonal)::bigint, 1)) as same from e),
+g as (select *, (score * 3.4011615747 - ln(0.9665270222)) / ln(2) as bits from f)
+select item_id as query_id, doc_id as subject_id, score::bigint as score, (q_end - q_start + 1)::int as alignment_length, (q_end - q_start + 1 - same)::int as mismatches, q_start::int as q_start, q_end::int as q_end,
+  (q_start + diagonal)::int as s_start, (q_end + diagonal)::int as s_end, round(same * 100.0 / (q_end - q_start + 1), 6) as identity, round(bits, 4) as bitscore,
+  row_number() over (partition by item_id order by score desc, doc_id)::int as rank
+from g qualify bits >= 60
+"""
+
+
+@query(HIT_SQL)
+def hit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of benchmark items in documents: seeds extended without gaps, bit scores, and the filter of weak hits."""
+    q, t = _items(spark, sf_dir), _documents(spark, sf_dir)
+    seeds = W.seed_search(q, t, "item_id", "doc_id", "q", "t", k=12, least=2, most=20)
+    hits = P.bitscore_filter(W.extend(seeds, q, t, "item_id", "doc_id", "q", "t", match=1, mismatch=-3, drop=20, letters=30))
+    return hits.select("query_id", "subject_id", "score", "alignment_length", "mismatches", "q_start", "q_end", "s_start", "s_end", F.round("identity", 6).alias("identity"), F.round("bitscore", 4).alias("bitscore"), "rank")
 
 
 #: A site in every text, and the letters around it (30 and 10, as many as there are).

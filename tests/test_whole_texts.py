@@ -1,10 +1,8 @@
 """Queries that read whole texts, against brute force on small fixtures."""
 
 import random
-from collections import Counter
 
 from evisite.operators import align as A
-from evisite.operators import pairs as P
 from evisite.operators import spatial as X
 from evisite.plans import registry
 
@@ -15,39 +13,6 @@ def put(spark, folder, **tables):
     return str(folder)
 
 
-def plain_seeds(queries, targets, k, least, most):
-    found = Counter()
-    for q, a in queries:
-        for t, b in targets:
-            for i in range(len(a or "") - k + 1):
-                for j in range(len(b or "") - k + 1):
-                    found[q, t, j - i] += a[i : i + k] == b[j : j + k]
-    best = {}
-    for (q, t, d), n in found.items():
-        if n >= least:
-            best[q, t] = min(best.get((q, t), (0, 0)), (-n, d))
-    out = []
-    for q in {q for q, _ in best}:
-        out += [(q, t, d, -n) for n, t, d in sorted((n, t, d) for (p, t), (n, d) in best.items() if p == q)[:most]]
-    return sorted(out)
-
-
-def test_seed_search_equals_brute_force(spark, monkeypatch):
-    rng = random.Random(3)
-    text = lambda n: "".join(rng.choice("aé😀") for _ in range(n))
-    q = [(f"q{k}", text(rng.randint(0, 25))) for k in range(8)] + [("q0", text(9)), ("none", None)]
-    t = [(k, text(rng.randint(0, 60))) for k in range(20)] + [(3, text(30)), (50, None), (51, "")]
-    frames = spark.createDataFrame(q, "q string, qs string"), spark.createDataFrame(t, "t long, ts string")
-    want = plain_seeds(q, t, 5, 2, 4)
-    for block, chunk, pairs in ((1_000_000, 1_000_000, 2_000_000), (40, 70, 3)):
-        monkeypatch.setattr(P, "BLOCK", block)
-        monkeypatch.setattr(P, "CHUNK", chunk)
-        monkeypatch.setattr(P, "PAIRS", pairs)
-        got = P.seed_search(*frames, "q", "t", "qs", "ts", k=5, least=2, most=4).collect()
-        assert sorted((r.q, r.t, r.diagonal, r.seeds) for r in got) == want and want
-    assert P.seed_search(frames[0].limit(0), frames[1], "q", "t", "qs", "ts").count() == 0
-
-
 def test_seed_search_reads_past_400_letters_and_documents(spark, tmp_path):
     rng = random.Random(4)
     item = "".join(rng.choice("abcdefghij ") for _ in range(900))
