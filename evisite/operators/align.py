@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evisite.dims import COUNTED
 
-NEVER = -(10**6)
+NEVER = -(2**28)
 
 
 def read_matrix(spark: SparkSession, path: str) -> dict[str, int]:
@@ -32,82 +32,181 @@ def _lookup(matrix: dict[str, int]) -> np.ndarray:
     return table
 
 
-def _ends(q: np.ndarray, t: np.ndarray, table: np.ndarray, gap_open: int, gap_extend: int, keep: bool) -> tuple[int, int, int, list]:
-    """Best score of a local alignment and its ends (j in the target, i in the query); with ``keep`` all score rows.
+CELLS = 500_000  # target letters stepped together
+KEPT = 1_500_000  # score cells kept at once for a traceback; more are made again from every few rows
+_PAD = 128  # a letter beyond a text; it matches nothing
 
-    A row of scores is made at once along the target: a gap in the query is a running maximum.
+
+def _letters(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(codes < 128, codes, 88).astype(np.int32)
+
+
+class _Steps:
+    """Score rows of local alignments, one query letter after another, of several pairs at once.
+
+    A row is made along the whole target at once: a gap in the query is a running maximum. ``best`` is the score of an
+    alignment that ends at a cell, ``up`` and ``left`` of one that ends in a gap of the target or the query.
     """
-    n, extend = len(t), max(gap_open, gap_extend)  # opening anew may be cheaper than extending
-    slope = extend * np.arange(n + 1, dtype=np.int64)
-    best, up = np.zeros(n + 1, np.int64), np.full(n + 1, NEVER, np.int64)
-    rows, top, at_j, at_i = [(best, up, np.full(n + 1, NEVER, np.int64))], 0, 0, 0
-    for i in range(1, len(q) + 1):
-        up = np.maximum(best + gap_open, up + gap_extend)
-        up[0] = NEVER
-        here = np.zeros(n + 1, np.int64)
-        np.maximum(best[:-1] + table[q[i - 1]][t], up[1:], out=here[1:])
+
+    def __init__(self, table: np.ndarray, gap_open: int, gap_extend: int):
+        self.wide = np.full((128, 129), NEVER, np.int32)
+        self.wide[:, :128] = table
+        self.open, self.gap = gap_open, gap_extend
+        self.extend = max(gap_open, gap_extend)  # opening anew may be cheaper than extending
+
+    def start(self, pairs: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.zeros((pairs, n + 1), np.int32), np.full((pairs, n + 1), NEVER, np.int32)
+
+    def step(self, best: np.ndarray, up: np.ndarray, letter: np.ndarray, t: np.ndarray, slope: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        up = np.maximum(best + self.open, up + self.gap)
+        up[:, 0] = NEVER
+        here = np.zeros_like(best)
+        np.maximum(best[:, :-1] + self.wide.ravel()[(letter * 129)[:, None] + t], up[:, 1:], out=here[:, 1:])
         np.maximum(here, 0, out=here)
-        left = np.full(n + 1, NEVER, np.int64)
-        left[1:] = np.maximum.accumulate(here - slope)[:-1] + slope[:-1] + gap_open
-        best = np.maximum(here, left)
-        if keep:
-            rows.append((best, up, left))
-        j = int(best.argmax())
-        if (-int(best[j]), j, i) < (-top, at_j, at_i) and best[j] > 0:
-            top, at_j, at_i = int(best[j]), j, i
-    return top, at_j, at_i, rows
-
-
-def align_one(query: str, target: str, table: np.ndarray, gap_open: int, gap_extend: int) -> tuple[int, str, str]:
-    """One pair of ``align_batch``. The whole target is scored in memory of a few rows; what lies before the end of the
-    best alignment is scored again, rows kept, as far back as any alignment of a positive score can reach."""
-    q, t = (np.array([ord(c) if ord(c) < 128 else 88 for c in x], np.int64) for x in (query, target))
-    score, j, i, _ = _ends(q, t, table, gap_open, gap_extend, False)
-    extend = max(gap_open, gap_extend)
-    span = j if extend >= 0 else min(j, 2 * len(q) + 2 + len(q) * max(0, int(table.max())) // -extend)
-    lead = j - span
-    _, _, _, rows = _ends(q[:i], t[lead:j], table, gap_open, gap_extend, True)
-    top, low = [], []
-    k, state = span, "m"
-    end_i, end_j = i, j
-    while i > 0 and k > 0:
-        best, up, left = rows[i]
+        left = np.full_like(best, NEVER)
+        left[:, 1:] = np.maximum.accumulate(here - slope, axis=1)[:, :-1] + slope[:-1] + self.open
+        return np.maximum(here, left), up, left
+
+    def slope(self, n: int) -> np.ndarray:
+        return self.extend * np.arange(n + 1, dtype=np.int32)
+
+    def ends(self, q: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each pair the best score and where it ends: in the target first, then in the query; memory of a few rows."""
+        (best, up), slope, pair = self.start(*t.shape), self.slope(t.shape[1]), np.arange(len(t))
+        top, at_j, at_i = (np.zeros(len(t), np.int64) for _ in range(3))
+        for i in range(1, q.shape[1] + 1):
+            best, up, _ = self.step(best, up, q[:, i - 1], t, slope)
+            j = best.argmax(axis=1)
+            b = best[pair, j]
+            better = (b > 0) & ((b > top) | (b == top) & ((j < at_j) | (j == at_j) & (i < at_i)))
+            top[better], at_j[better], at_i[better] = b[better], j[better], i
+        return top, at_j, at_i
+
+    def span(self, j: int, n_query: int) -> int:
+        """How far before its end in the target an alignment of a positive score can begin."""
+        return j if self.extend >= 0 else min(j, 2 * n_query + 2 + n_query * max(0, int(self.wide[:, :128].max())) // -self.extend)
+
+
+class _Kept:
+    """All score rows of several pairs."""
+
+    def __init__(self, steps: _Steps, q: np.ndarray, t: np.ndarray):
+        best, up = steps.start(*t.shape)
+        slope, self.rows = steps.slope(t.shape[1]), [(best, up, up)]
+        for i in range(q.shape[1]):
+            self.rows.append(steps.step(*self.rows[-1][:2], q[:, i], t, slope))
+
+    def at(self, i: int, k: int, pair: int):
+        """Rows i and i - 1 of a pair."""
+        return tuple(r[pair] for r in self.rows[i]), self.rows[i - 1][0][pair]
+
+
+class _Remade:
+    """Score rows of one pair of long texts: every ``every``-th row is kept, the rows between are made again when they are wanted,
+    no further along the target than the traceback has come. Two texts of n letters take memory of about 6 n sqrt(n) scores."""
+
+    def __init__(self, steps: _Steps, q: np.ndarray, t: np.ndarray):
+        self.steps, self.q, self.t = steps, q, t
+        self.every = max(2, round((2 * q.shape[1] / 3) ** 0.5))
+        (best, up), slope, self.marks = steps.start(*t.shape), steps.slope(t.shape[1]), []
+        for i in range(q.shape[1]):
+            if i % self.every == 0:
+                self.marks.append((best, up))
+            best, up, _ = steps.step(best, up, q[:, i], t, slope)
+        self.block, self.rows = -1, []
+
+    def at(self, i: int, k: int, pair: int):
+        block = (i - 1) // self.every
+        if block != self.block:
+            best, up = (row[:, : k + 1] for row in self.marks[block])
+            self.block, self.rows = block, [(best, up, up)]
+            del self.marks[block + 1 :]
+            slope = self.steps.slope(k)
+            for letter in range(block * self.every, min(i, (block + 1) * self.every)):
+                self.rows.append(self.steps.step(*self.rows[-1][:2], self.q[:, letter], self.t[:, :k], slope))
+        i -= block * self.every
+        return tuple(r[0] for r in self.rows[i]), self.rows[i - 1][0][0]
+
+
+def _trace(rows: _Kept | _Remade, pair: int, steps: _Steps, query: str, target: str, end_i: int, end_j: int, k: int) -> tuple[str, str]:
+    """The gapped rows of the alignment that ends at query letter ``end_i`` and target letter ``end_j``, column ``k`` of the score rows."""
+    q, t = _letters(query[:end_i]), _letters(target[end_j - min(k, end_j) : end_j])
+    lead = k - len(t)  # columns before the target
+    top, low, i, state = [], [], end_i, "m"
+    while i > 0 and k > lead:
+        (best, up, left), before = rows.at(i, k, pair)
         if state == "m" and best[k] == 0:
             break
         if state == "m":
-            if best[k] == rows[i - 1][0][k - 1] + table[q[i - 1], t[lead + k - 1]]:
-                top.append(target[lead + k - 1])
-                low.append(query[i - 1])
+            if best[k] == before[k - 1] + steps.wide[q[i - 1], t[k - lead - 1]]:
                 i, k = i - 1, k - 1
+                top.append(target[end_j - len(t) + k - lead])
+                low.append(query[i])
                 continue
             state = "u" if best[k] == up[k] else "l"
         if state == "u":
-            state = "m" if up[k] == rows[i - 1][0][k] + gap_open else "u"
-            top.append("-")
-            low.append(query[i - 1])
+            state = "m" if up[k] == before[k] + steps.open else "u"
             i -= 1
+            top.append("-")
+            low.append(query[i])
         else:
-            state = "m" if left[k] == best[k - 1] + gap_open else "l"
-            top.append(target[lead + k - 1])
-            low.append("-")
+            state = "m" if left[k] == best[k - 1] + steps.open else "l"
             k -= 1
-    j = lead + k
-    inner, under = "".join(top[::-1]), "".join(low[::-1])
-    top_row = target[:j] + "-" * i + inner + "-" * (len(query) - end_i) + target[end_j:]
-    low_row = "-" * j + query[:i] + under + query[end_i:] + "-" * (len(target) - end_j)
-    return score, top_row, low_row
+            top.append(target[end_j - len(t) + k - lead])
+            low.append("-")
+    j = end_j - len(t) + k - lead
+    top_row = target[:j] + "-" * i + "".join(top[::-1]) + "-" * (len(query) - end_i) + target[end_j:]
+    low_row = "-" * j + query[:i] + "".join(low[::-1]) + query[end_i:] + "-" * (len(target) - end_j)
+    return top_row, low_row
+
+
+def _padded(texts: list[np.ndarray], front: bool = False) -> np.ndarray:
+    out = np.full((len(texts), max(map(len, texts))), _PAD, np.int32)
+    for row, x in zip(out, texts):
+        row[len(row) - len(x) if front else 0 :][: len(x)] = x
+    return out
 
 
 def align_batch(queries: list[str], targets: list[str], table: np.ndarray, gap_open: int, gap_extend: int) -> list[tuple[int, str, str]]:
     """Best local alignment of each pair with free ends: (score, gapped target, gapped query).
 
     Affine gaps. Of equal scores the one that ends first in the target, then in the query, is taken; letters outside it
-    stand against gaps. Targets may be whole texts of any length.
+    stand against gaps. Texts may be of any length: pairs of like length are stepped together, whole targets in memory of
+    a few rows. What lies before the end of the best alignment is scored again for the traceback, as far back as an alignment of
+    a positive score can reach, all rows at once where they are few, else block by block.
     """
-    return [align_one(q, t, table, gap_open, gap_extend) for q, t in zip(queries, targets)]
-
-
-def align_pairs(pairs: DataFrame, query: str, target: str, matrix: dict[str, int] | None = None, gap_open: int = -10, gap_extend: int = -2, batch: int = 256, letters: int = 4_000_000, measures: dict[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
+    steps, out = _Steps(table, gap_open, gap_extend), [None] * len(queries)
+    order = sorted(range(len(queries)), key=lambda k: (len(queries[k]), len(targets[k])))
+    at = 0
+    while at < len(order):
+        to = at + 1
+        while to < len(order) and len(queries[order[to]]) == len(queries[order[at]]) and (to + 1 - at) * len(targets[order[to]]) <= CELLS:
+            to += 1
+        some = order[at:to]
+        at = to
+        q = _padded([_letters(queries[k]) for k in some])
+        score, j, i = steps.ends(q, _padded([_letters(targets[k]) for k in some]))
+        spans = [steps.span(int(b), q.shape[1]) for b in j]
+        small = [n for n in range(len(some)) if (q.shape[1] + 1) * (spans[n] + 1) * 3 <= KEPT]
+        while small:
+            n_columns, part = 0, []
+            while small and (not part or (len(part) + 1) * 3 * (q.shape[1] + 1) * (max(n_columns, spans[small[-1]]) + 1) <= KEPT):
+                part.append(small.pop())
+                n_columns = max(n_columns, spans[part[-1]])
+            tails = _padded([_letters(targets[some[n]][j[n] - spans[n] : j[n]]) for n in part], front=True)
+            rows = _Kept(steps, q[part], tails)
+            for pair, n in enumerate(part):
+                out[some[n]] = (int(score[n]), *_trace(rows, pair, steps, queries[some[n]], targets[some[n]], int(i[n]), int(j[n]), tails.shape[1]))
+        for n in range(len(some)):
+            if out[some[n]] is None:
+                query, target = queries[some[n]], targets[some[n]]
+                rows = _Remade(steps, q[n : n + 1, : i[n]], _letters(target[j[n] - spans[n] : j[n]])[None])
+                out[some[n]] = (int(score[n]), *_trace(rows, 0, steps, query, target, int(i[n]), int(j[n]), spans[n]))
+    return out
+
+
+def align_pairs(pairs: DataFrame, query: str, target: str, matrix: dict[str, int] | None = None, gap_open: int = -10, gap_extend: int = -2, batch: int = 2048, letters: int = 4_000_000, measures: dict[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
     """``pairs`` with ``score, target_row, query_row``; each distinct (query, target) is aligned once.
 
     A batch ends at ``batch`` pairs or ``letters`` target letters. ``measures``: columns computed of (target row, query

@@ -424,11 +424,21 @@ def identity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.filter("replace(q, '-', '') <> ''").select("doc_id", S.identity_score(F.col("t"), F.col("q")).alias("score"))
 
 
-@query()
+@query(f"""
+with {TEXT_SITES},
+a as (select doc_id, q, regexp_extract_all(text, '(?s).') l from w join t0 using (doc_id)),
+t as (select doc_id, unnest(l) c, unnest(range(1, len(l) + 1)) p from a),
+u as (select doc_id, substring(q, i::bigint, 1) c, i from a, lateral (select unnest(range(1, length(q) + 1)) i)),
+s as (select t.doc_id, p - i o, count(*) same from t join u on t.doc_id = u.doc_id and t.c = u.c group by 1, 2),
+n as (select doc_id, length(q) n, len(l) - length(q) spare from a),
+b as (select *, row_number() over (partition by doc_id order by same desc, o) k from s join n using (doc_id) where o between 0 and spare)
+select n.doc_id, (4 * coalesce(same, 0) - 2 * (n.n - coalesce(same, 0)))::int score, coalesce(o, 0)::int as "offset" from n left join b on n.doc_id = b.doc_id and k = 1
+union all select doc_id, null, null from documents where text is null
+""")
 def gapless_align_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Letters 11 to 20 of every document over all offsets of its whole text; shorter texts place what they have of them."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 11, 10).alias("q"), F.col("text").alias("t"))
-    return A.gapless_whole(d, "doc_id", "q", "t")
+    """The letters around a site of every document over all offsets of its whole text."""
+    d = table(spark, sf_dir, "documents").withColumn("poi", (1 + (F.col("doc_id") * 37) % F.greatest(F.length("text"), F.lit(1))).cast("int"))
+    return A.gapless_whole(d.select("doc_id", H.align_window(F.col("text"), F.col("poi")).alias("q"), F.col("text").alias("t")), "doc_id", "q", "t")
 
 
 @query()
@@ -439,12 +449,9 @@ def identity_score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def local_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Affine local alignment of a window of every document with its whole text; equal pairs once.
-
-    The window is letters 21 to 32, further left in shorter texts, and all of a text under 12 letters.
-    """
-    at = F.least(F.lit(21), F.greatest(F.length("text") - 11, F.lit(1)))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", at, F.lit(12)).alias("q"), F.col("text").alias("t"))
+    """Affine local alignment of the twelve letters around a site of every document (all of a shorter text) with its whole text; equal pairs once."""
+    d = table(spark, sf_dir, "documents").withColumn("poi", (1 + (F.col("doc_id") * 37) % F.greatest(F.length("text"), F.lit(1))).cast("int"))
+    d = d.select("doc_id", H.query_window(F.col("text"), F.col("poi"), 11).alias("q"), F.col("text").alias("t"))
     matrix = A.simple_matrix(letters="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ .,")
     return A.align_pairs(d, "q", "t", matrix, measures={"identity": S.identity_score}).select("doc_id", "score", "identity")
 

@@ -1,6 +1,10 @@
 """Queries that read whole texts, against brute force on small fixtures."""
 
 import random
+import tracemalloc
+from collections import Counter
+
+import numpy as np
 
 from evisite.operators import align as A
 from evisite.operators import spatial as X
@@ -65,15 +69,47 @@ def test_alignment_with_long_targets_equals_brute_force():
         assert got == want
 
 
+def test_rows_made_again_equal_rows_kept(monkeypatch):
+    """Traceback from every few rows, with both texts long, and pairs of odd lengths side by side."""
+    rng, table = random.Random(7), A._lookup(A.simple_matrix())
+    text = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    monkeypatch.setattr(A, "KEPT", 60)
+    monkeypatch.setattr(A, "CELLS", 200)
+    for gap_open, gap_extend in ((-10, -2), (-3, -1), (-1, -4), (-2, -2)):
+        q = [text(rng.choice([0, 1, 7, 30, 31, 61]), "ACD") for _ in range(25)]
+        t = [text(rng.randint(0, 90), rng.choice(["ACD", "ACDEFGH"])) for _ in range(25)]
+        assert A.align_batch(q, t, table, gap_open, gap_extend) == dense_batch(q, t, table, gap_open, gap_extend)
+
+
+def test_long_pair_in_bounded_memory():
+    """Two texts of 20,000 letters: full tables would take gigabytes; the gapped rows spell both texts and add up to the score."""
+    rng = np.random.default_rng(1)
+    a = "".join(rng.choice(list("ACDEFGHIKLMNPQRSTVWY"), 20_000))
+    b = "".join(a[k : k + 190] + "WWWW"[: k % 3] for k in range(0, 20_000, 200))
+    tracemalloc.start()
+    ((score, top, low),) = A.align_batch([a], [b], A._lookup(A.simple_matrix()), -10, -2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and top.replace("-", "") == b and low.replace("-", "") == a
+    columns = list(zip(top, low))
+    inner = columns[next(k for k, c in enumerate(columns) if "-" not in c) : len(columns) - next(k for k, c in enumerate(columns[::-1]) if "-" not in c)]
+    total, gap = 0, None
+    for x, y in inner:
+        here = "t" if x == "-" else "q" if y == "-" else None
+        total += (4 if x == y else -2) if here is None else -2 if here == gap else -10
+        gap = here
+    assert total == score
+
+
 def test_local_align_reads_whole_and_short_texts(spark, tmp_path):
     rng = random.Random(6)
     text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
     docs = [(1, text(5000)), (2, "abcdef"), (3, ""), (4, None), (5, text(25)), (6, "X" * 20 + "no1t2f3o4u5n" + "z" * 300), (7, text(40)), (7, text(40))]
     d = put(spark, tmp_path, documents=(docs, "doc_id long, text string"))
     got = sorted((r.doc_id, r.score, r.identity) for r in registry.queries()["local_align"](spark, d).collect())
-    window = lambda s: s[min(20, max(0, len(s) - 12)) :][:12]
+    window = lambda k, s: s[max(0, min(1 + k * 37 % max(len(s), 1) - 6, len(s) - 12)) :][:12]
     table = A._lookup(A.simple_matrix(letters="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ .,"))
-    want = sorted((k, dense_batch([window(s)], [s], table, -10, -2)[0][0]) for k, s in docs if s is not None)
+    want = sorted((k, dense_batch([window(k, s)], [s], table, -10, -2)[0][0]) for k, s in docs if s is not None)
     assert [g[:2] for g in got] == want
     assert (2, 24, 100) in got and (3, 0, 0) in got and len(got) == 7
     far = A.align_pairs(spark.createDataFrame([("ACDEFG", "H" * 9000 + "ACDEFG" + "H" * 70)], "q string, t string"), "q", "t").first()
@@ -88,7 +124,7 @@ def test_gapless_reads_whole_and_short_texts(spark, tmp_path):
     got = Counter((r.doc_id, r.score, r.offset) for r in registry.queries()["gapless_align_documents"](spark, d).collect())
     want = Counter()
     for k, s in docs:
-        q = s[10:20] if s is not None else None
+        q = s[max(0, 1 + k * 37 % max(len(s), 1) - 5) :][:10] if s is not None else None
         places = [(-sum(4 if a == b else -2 for a, b in zip(q, s[o:])), o) for o in range(len(s) - len(q) + 1)] if s is not None else []
         want[(k, -min(places)[0], min(places)[1]) if places else (k, None, None)] += 1
     assert got == want
