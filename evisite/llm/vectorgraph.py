@@ -7,13 +7,13 @@
    always share a shard. Cells above ``LIMIT`` are split again. What stays larger (groups that the centres don't part)
    is dealt by hash into blocks, and every block is compared with every other, so a task holds two blocks at most.
 3. In each block a graph is built by robust pruning; the adjacency lists of a node from all its shards are united.
-4. Every node searches its shards' blocks: greedy from the medoids of the graph's parts and its own list, widened as long as nodes
-   within range, or among the nearest ``BEAM``, are unexpanded. The cosines of the block's nodes, in double
-   precision, confirm the links and add what the search missed; in dealt blocks they are all there is.
-   A link of two nodes is counted in the first shard that they share. Tasks return counts and union-find roots, never
-   pairs, so a group of thousands of copies gives rows in proportion to its size.
-5. A sample of nodes is held against brute force over all nodes, each node alike; below ``recall`` the margin is
-   doubled and the work repeated (the widest margin compares whole labels).
+4. Every node searches the graphs of its shards' blocks: greedy from the medoids of a graph's parts and, in its own block, from
+   its own list, widened as long as nodes within range, or among the nearest ``beam``, are unexpanded. Links are what the
+   search finds, each confirmed in double precision. A link of two nodes is counted in the first shard that they share.
+   Tasks return counts and union-find roots, never pairs, so a group of thousands of copies gives rows in proportion to its size.
+5. The search is audited: the nodes of a sample, chosen by hash, are held against brute force over all nodes. Below ``recall``
+   the beam and the margin are doubled and the search repeated; where the widest search falls short too, or with ``exact``, every
+   block is compared with every other instead.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and those with a null label, link
 with nothing. Vectors of different lengths don't link. Rows that share an id each count. Empty tables give empty
@@ -34,6 +34,7 @@ LIMIT = 1000  # nodes of a block
 CELL = 250  # nodes that a centre is meant for
 SAMPLE = 2048
 DEGREE, NEAR, ALPHA, BEAM = 16, 48, 1.2, 32
+ROUNDING = 1e-9
 
 
 def kmeans(x: np.ndarray, k: int, turns: int = 6, seed: int = 1) -> np.ndarray:
@@ -86,7 +87,17 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         r = low
 
 
-def range_search(x: np.ndarray, lists: list[np.ndarray], q: np.ndarray, least: float, own: list[np.ndarray] | None = None) -> np.ndarray:
+def confirmed(x: np.ndarray, q: np.ndarray, near: np.ndarray, least: float) -> np.ndarray:
+    """Of the pairs marked in ``near`` those at a cosine of ``least`` or more, by one formula in double precision."""
+    a, b = np.nonzero(near)
+    out = np.zeros(near.shape, bool)
+    for k in range(0, len(a), 100_000):
+        some = slice(k, k + 100_000)
+        out[a[some], b[some]] = np.einsum("ij,ij->i", q[a[some]], x[b[some]]) >= least
+    return out
+
+
+def range_search(x: np.ndarray, lists: list[np.ndarray], q: np.ndarray, least: float, own: list[np.ndarray] | None = None, beam: int = BEAM) -> np.ndarray:
     """Which rows of ``x`` each query finds at a cosine of ``least`` or more, by greedy, range-expanding search from the
     medoids of the graph's parts and, for queries that are nodes, from their ``own`` adjacency lists."""
     n = len(x)
@@ -102,7 +113,7 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], q: np.ndarray, least: f
     if own is not None:
         qs, vs = np.repeat(np.arange(len(q)), [len(v) for v in own]), np.concatenate(own).astype(np.int64)
         sim[qs, vs], known[qs, vs] = np.einsum("ij,ij->i", q[qs], x[vs]), True
-    beam = min(BEAM, n)
+    beam = min(beam, n)
     active = np.arange(len(q))
     while len(active):
         s = sim[active]
@@ -126,7 +137,7 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], q: np.ndarray, least: f
         for k in range(0, len(qs), 100_000):
             sim[qs[k : k + 100_000], vs[k : k + 100_000]] = np.einsum("ij,ij->i", q[qs[k : k + 100_000]], x[vs[k : k + 100_000]])
         active = active[pick.any(axis=1)]
-    return sim >= least
+    return confirmed(x, q, sim >= least - ROUNDING, least)
 
 
 def _unit(vectors) -> np.ndarray:
@@ -178,7 +189,7 @@ def shards(nodes: DataFrame, margin: float, least: float) -> DataFrame:
     closed = None
     for depth in range(6):
         sizes = open_.groupBy("cell").agg(F.count("*").alias("n"))
-        large = settle(sizes.filter(F.col("n") > (LIMIT if margin < 180 else F.lit(2**62))))
+        large = settle(sizes.filter(F.col("n") > LIMIT))
         fit = open_.join(large, "cell", "left_anti")
         closed = fit if closed is None else closed.unionByName(fit)
         if large.isEmpty():
@@ -192,7 +203,7 @@ def shards(nodes: DataFrame, margin: float, least: float) -> DataFrame:
     return settle(closed.unionByName(open_))
 
 
-def links(nodes: DataFrame, least: float, margin: float) -> tuple[DataFrame, DataFrame]:
+def links(nodes: DataFrame, least: float, margin: float, beam: int = BEAM, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Found links: ``(node, n)``, weighted by multiplicity, and union-find edges ``(a, b)``."""
     cells = shards(nodes, margin, least)
     sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / LIMIT).cast("int").alias("blocks"))
@@ -211,7 +222,7 @@ def links(nodes: DataFrame, least: float, margin: float) -> tuple[DataFrame, Dat
     target = full.filter("blocks > 1").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("block").alias("j"), "node", "vec", "near", "cells", "copies", "blocks", F.lit(False).alias("query")).filter("i <> j")
 
     def searched(pdf: pd.DataFrame) -> pd.DataFrame:
-        cell, same, whole = pdf["cell"].iloc[0], pdf["i"].iloc[0] == pdf["j"].iloc[0], pdf["blocks"].iloc[0] == 1
+        cell, same = pdf["cell"].iloc[0], pdf["i"].iloc[0] == pdf["j"].iloc[0]
         q = pdf[pdf["query"]].sort_values("node", ignore_index=True)
         t = q if same else pdf[~pdf["query"]].sort_values("node", ignore_index=True)
         if not len(q) or not len(t):
@@ -219,9 +230,10 @@ def links(nodes: DataFrame, least: float, margin: float) -> tuple[DataFrame, Dat
         at = {v: k for k, v in enumerate(t["node"])}
         lists, own = ([np.array([at[v] for v in near if v in at], np.int64) for near in side["near"]] for side in (t, q))
         x, y = _unit(t["vec"]), _unit(q["vec"])
-        hit = y @ x.T >= least
-        if same and whole:
-            hit |= range_search(x, lists, y, least, own)
+        if exact:
+            hit = confirmed(x, y, y @ x.T >= least - ROUNDING, least)
+        else:
+            hit = range_search(x, lists, y, least, own if same else None, beam)
         ids_q, ids_t = q["node"].to_numpy(), t["node"].to_numpy()
         a, b = np.nonzero(hit & (ids_q[:, None] != ids_t[None, :]))
         # The first shard that both share counts the link.
@@ -244,7 +256,7 @@ def links(nodes: DataFrame, least: float, margin: float) -> tuple[DataFrame, Dat
     return found.groupBy("node").agg(F.sum("n").alias("n")), found.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b")
 
 
-def audit(nodes: DataFrame, counts: DataFrame, least: float, sample: int = 200) -> float:
+def audit(nodes: DataFrame, counts: DataFrame, least: float, sample: int = 1000) -> float:
     """Mean recall of the nodes of a hashed sample that have links, against brute force over all nodes."""
     rows = nodes.orderBy(F.xxhash64("node", F.lit(4)), "node").limit(sample).collect()  # bounded by ``sample``
     by: dict = {}
@@ -258,7 +270,8 @@ def audit(nodes: DataFrame, counts: DataFrame, least: float, sample: int = 200)
             for (label, size), own in pdf.groupby(["label", pdf["vec"].str.len()]):
                 if (label, size) in known:
                     ids, q = known[label, size]
-                    hit = (q @ _unit(own["vec"]).T >= least) & (ids[:, None] != own["node"].to_numpy()[None, :])
+                    x = _unit(own["vec"])
+                    hit = confirmed(x, q, q @ x.T >= least - ROUNDING, least) & (ids[:, None] != own["node"].to_numpy()[None, :])
                     for i, n in zip(ids, hit @ own["copies"].to_numpy()):
                         total[int(i)] = total.get(int(i), 0) + int(n)
             yield pd.DataFrame({"node": list(total), "want": list(total.values())}, dtype=np.int64)
@@ -268,18 +281,20 @@ def audit(nodes: DataFrame, counts: DataFrame, least: float, sample: int = 200)
     return 1.0 if got[0] is None else got[0]
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, recall: float = 0.95, margin: float = 4.0, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.93, recall: float = 0.99, margin: float = 4.0, exact: bool = False, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors``."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
     sound = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vec", lambda x: x != 0)
     rows = settle(rows.withColumn("ok", F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & sound, F.lit(False))))
     nodes = settle(rows.filter("ok").groupBy("label", "vec").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies")).withColumn("node", F.xxhash64("label", "vec", "low")))
+    beam = BEAM
     while True:
-        counts, edges = links(nodes, least, margin)
+        counts, edges = links(nodes, least, margin, beam, exact)
         counts = settle(counts)
-        if audit(nodes, counts, least) >= recall or margin >= 180:
+        if exact or audit(nodes, counts, least) >= recall:
             break
-        margin = 180.0 if margin > 60 else margin * 2
+        exact = margin > 60
+        margin, beam = (margin if exact else margin * 2), beam * 2
     ids = nodes.select("node", "low")
     # Components over ids: the least id of a node stands for it.
     named = edges.join(ids.select(F.col("node").alias("a"), F.col("low").alias("x")), "a").join(ids.select(F.col("node").alias("b"), F.col("low").alias("y")), "b")

@@ -75,3 +75,19 @@ def test_no_borderline_link_is_lost(spark, monkeypatch):
     rows += [(2000 + k, rows[-1][1], 1) for k in range(60)]
     got = vectorgraph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == brute(rows, 0.93)
+
+
+def test_recall_of_the_search_on_a_planted_table(spark, monkeypatch, capsys):
+    """Thousands of links, all from the graph search: its recall against brute force, and the exact way beside it."""
+    monkeypatch.setattr(vectorgraph, "LIMIT", 150)
+    monkeypatch.setattr(vectorgraph, "CELL", 50)
+    rows = cloud(np.random.default_rng(11), 900)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    want = {r[0]: r[1] for r in brute(rows, 0.93)}
+    got = {r.vec_id: r.n_links for r in vectorgraph.near_duplicates(table, recall=0.0).collect()}  # the first search, whatever its audit
+    found, links = sum(min(got[k], want[k]) for k in want), sum(want.values())
+    with capsys.disabled():
+        print(f"\nrecall of the graph search: {found / links:.4f} of {links} links")
+    assert links > 5000 and found >= 0.95 * links and all(got[k] <= want[k] for k in want)
+    exact = {r.vec_id: r.n_links for r in vectorgraph.near_duplicates(table, exact=True).collect()}
+    assert exact == want
