@@ -13,7 +13,7 @@ dealt into three folds: trees, calibration, and one threshold for each kind.
 Whole texts are searched, in time that grows with their length: base formats are found from their rarest mark (at sign,
 dots between digits, plus) outwards, and every loose pattern has bounded parts.
 
-Cases: a null text is empty and has no span. Repeated rows get equal results. Empty tables give empty results. Extra
+Cases: a null text is empty and has no span. Of overlapping proposals with equal scores the first by text, kind, start and end is added. Repeated rows get equal results. Empty tables give empty results. Extra
 columns are ignored by ``find`` and kept by ``redact``.
 """
 
@@ -32,8 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evisite.llm.boost import BoostedTrees
-from evisite.llm.common import fresh
+from evisite.llm.common import byte_slices, fresh
 
+BYTES = 1_000_000  # of texts searched at once
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = string.ascii_letters + string.digits + "._%+-"
 HEADS = frozenset(LOCAL)
@@ -237,7 +238,7 @@ def examples(texts: list[str], seed: int = 13, rounds: int = 1500) -> tuple[np.n
     """Training rows: loosened base spans and decoys in contexts of the sample."""
     rng, x, y = random.Random(seed), [], []
     contexts = [t for t in texts if len(t) > 80] or ["the word of and to in for on with by from that this was are it as an or be " * 4]
-    words = [w for t in contexts[:50] for w in re.findall(r"[^\W\d_]+", t[:2000])]
+    words = [w for t in contexts for w in re.findall(r"[^\W\d_]+", t)]
     spans = [(k, t[a:b]) for t in texts for k, a, b in base_spans(t)]
     made = [("email", f"{rng.choice(['user', 'jo.doe', 'a_b', 'info', 'maria', 'smith'])}{rng.choice(['', '.', '_', '-'])}{rng.choice(['', n, 'x'])}".rstrip("._-") + f"@{rng.choice(words).lower() if n % 2 else 'mail' + str(n % 9)}.{rng.choice(['', 'example.'])}{rng.choice(ENDINGS)}") for n in range(80)]
     made = [m for m in made if m[1].isascii()] + [("ip", f"{rng.randint(1, 255)}.{n}.{n * 3}.{n * 5}") for n in range(1, 40)]
@@ -338,8 +339,7 @@ def find(docs: DataFrame, model: BoostedTrees | None, id_col: str = "doc_id", te
 
     def found(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for some in byte_slices(batch, 1, BYTES):
                 spans = find_spans([t or "" for t in some.column(1).to_pylist()], model)
                 cols = [[sum(s[0] == k for s in base) for base, _ in spans] for k in KINDS]
                 yield pa.RecordBatch.from_arrays(
@@ -372,8 +372,7 @@ def redact(docs: DataFrame, model: BoostedTrees | None, text_col: str = "text")
 
     def cleaned(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                some = batch.slice(k, 1000)
+            for some in byte_slices(batch, at, BYTES):
                 texts = some.column(at).to_pylist()
                 spans = find_spans([t or "" for t in texts], model)
                 new = pa.array([None if t is None else redacted(t, s) for t, (_, s) in zip(texts, spans)], some.schema.field(at).type)
