@@ -6,10 +6,11 @@ equi-join that shuffles, splits when skewed, and never forms all pairs.
 
 from __future__ import annotations
 
-import json
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evisite.operators.pairs import first_of
@@ -89,8 +90,33 @@ def icosahedron_sphere(level: int = 4) -> list[tuple[float, float, float]]:
     return points
 
 
-def sphere_table(spark: SparkSession, points: list[tuple[float, float, float]]) -> DataFrame:
-    return spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(points)], "k int, ux double, uy double, uz double")
+def _inside(points: np.ndarray, offset: np.ndarray, full: np.ndarray, r2: np.ndarray) -> np.ndarray:
+    """For each neighbour (``offset[n, 3]`` from an atom whose sphere has the radius ``full``) which points of the sphere it covers."""
+    edge = (full * full + (offset * offset).sum(axis=1) - r2) / (2 * full)
+    along = offset @ points.T
+    covered = along > edge[:, None]
+    n, p = np.nonzero(np.abs(along - edge[:, None]) <= 1e-9 * (1 + np.abs(edge[:, None])))  # at the edge of the cap: by the distance itself
+    covered[n, p] = ((points[p] * full[n, None] - offset[n]) ** 2).sum(axis=1) < r2[n]
+    return covered
+
+
+def covered_points(pairs: DataFrame, keys: list[str], points: list) -> DataFrame:
+    """``keys, own, m0, m1, ...`` of neighbours ``dx, dy, dz, full, r2, own``: a bit for each point that the neighbour covers."""
+    unit, n_longs = np.array(points, float), -(-len(points) // 64)
+    names = [f"m{k}" for k in range(n_longs)]
+
+    def masked(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                some = batch.slice(at, 4096)
+                col = lambda c, some=some: some.column(c).to_numpy(zero_copy_only=False)
+                bits = np.zeros((some.num_rows, n_longs * 64), bool)
+                bits[:, : len(unit)] = _inside(unit, np.stack([col("dx"), col("dy"), col("dz")], axis=1), col("full"), col("r2"))
+                longs = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+                yield pa.RecordBatch.from_arrays([*[some.column(k) for k in keys], some.column("own"), *[pa.array(np.ascontiguousarray(longs[:, k])) for k in range(n_longs)]], names=[*keys, "own", *names])
+
+    kinds = dict(pairs.dtypes)
+    return pairs.mapInArrow(masked, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "own boolean", *[f"{m} long" for m in names]]))
 
 
 def accessible_area(targets: DataFrame, occluders: DataFrame, keys: list[str], points: list, probe: float = 1.4, max_radius: float = 2.75, atom: str = "atom_id", residue: str = "res_id", carry: list[str] | None = None, allowed: str | None = None) -> DataFrame:
@@ -101,7 +127,8 @@ def accessible_area(targets: DataFrame, occluders: DataFrame, keys: list[str], p
 
     Sample points stand on the sphere of radius + probe. Those inside another atom of the residue are taken from both
     areas, those inside an atom of another residue from the accessible one. Occluders join on the grid cell of the target
-    atom; each candidate pair then tests all points at once in a bit array, so rows grow with neighbour pairs only.
+    atom; each neighbour becomes a mask of the points that it covers, the masks of an atom are combined bit by bit before
+    and after the shuffle, and the areas are counts of bits.
     """
     size = 2 * (max_radius + probe)
     t = around(cells(targets, size)).alias("t")
@@ -112,20 +139,20 @@ def accessible_area(targets: DataFrame, occluders: DataFrame, keys: list[str], p
     if allowed:
         pairs = pairs.filter(F.array_contains(f"t.{allowed}", F.col("o.chain")))
     keys = [*keys, *(carry or [])]
-    near = pairs.groupBy(*[F.col(f"t.{k}").alias(k) for k in keys], F.col(f"t.{atom}").alias(atom)).agg(
-        F.collect_list(F.struct(*[(F.col(f"o.{c}") - F.col(f"t.{c}")).alias(c) for c in "xyz"], (r_o * r_o).alias("r2"), (F.col(f"o.{residue}") == F.col(f"t.{residue}")).alias("own"))).alias("near")
-    )  # atoms that touch one atom: bounded by packing density
-    joined = targets.select(*keys, atom, residue, "radius").join(near, [*keys, atom], "left")
-    unit = F.from_json(F.lit(json.dumps([dict(zip("xyz", map(float, p))) for p in points])), "array<struct<x: double, y: double, z: double>>")  # one literal after folding
-    full = F.col("radius") + probe
-    inside = lambda p, a: (p["x"] * full - a["x"]) ** 2 + (p["y"] * full - a["y"]) ** 2 + (p["z"] * full - a["z"]) ** 2 < a["r2"]
-    none = F.coalesce("near", F.array().cast(dict(near.dtypes)["near"]))
-    joined = joined.withColumn("own_", F.filter(none, lambda a: a["own"])).withColumn("other_", F.filter(none, lambda a: ~a["own"]))
-    surface = F.filter(unit, lambda p: ~F.exists("own_", lambda a: inside(p, a)))
-    joined = joined.withColumn("surface_", surface)
-    free = F.filter("surface_", lambda p: ~F.exists("other_", lambda a: inside(p, a)))
-    scale = 4 * math.pi * full * full / len(points)
-    return joined.select(*keys, atom, residue, (scale * F.size("surface_")).alias("sa"), (scale * F.size(free)).alias("asa"))
+    offsets = [(F.col(f"o.{c}") - F.col(f"t.{c}")).alias(f"d{c}") for c in "xyz"]
+    own = F.coalesce(F.col(f"o.{residue}") == F.col(f"t.{residue}"), F.lit(False)).alias("own")
+    near = pairs.select(*[F.col(f"t.{k}").alias(k) for k in [*keys, atom]], *offsets, reach.cast("double").alias("full"), (r_o * r_o).cast("double").alias("r2"), own)
+    masks = covered_points(near, [*keys, atom], points)
+    names = [c for c in masks.columns if c not in (*keys, atom, "own")]
+    none = F.lit(0).cast("long")
+    hidden = masks.groupBy(*keys, atom).agg(
+        sum((F.bit_count(F.coalesce(F.bit_or(F.when(F.col("own"), F.col(m))), none)) for m in names), F.lit(0)).alias("n_own_"),
+        sum((F.bit_count(F.bit_or(m)) for m in names), F.lit(0)).alias("n_all_"),
+    )
+    joined = targets.select(*keys, atom, residue, "radius").join(hidden, [*keys, atom], "left")
+    scale = 4 * math.pi * (F.col("radius") + probe) ** 2 / len(points)
+    left = lambda c: len(points) - F.coalesce(F.col(c), F.lit(0))
+    return joined.select(*keys, atom, residue, (scale * left("n_own_")).alias("sa"), (scale * left("n_all_")).alias("asa"))
 
 
 def residue_percent(areas: DataFrame, residues: DataFrame, keys: list[str]) -> DataFrame:
@@ -158,10 +185,32 @@ def assembly_copies(atoms: DataFrame, assemblies: DataFrame, sites: DataFrame |
         return moved
     large = moved.groupBy("pdb_id", "assembly").agg(F.count(F.lit(1)).alias("n_")).filter(F.col("n_") > most).select("pdb_id", "assembly")
     small = moved.join(large, ["pdb_id", "assembly"], "left_anti")
-    d2 = distance2("a", "s")
-    near = moved.join(large, ["pdb_id", "assembly"], "left_semi").alias("a").join(sites.alias("s"), F.col("a.pdb_id") == F.col("s.pdb_id"))
-    kept = near.filter(d2 <= keep * keep).select("a.*").distinct()
-    return small.unionByName(kept)
+    return small.unionByName(within(moved.join(large, ["pdb_id", "assembly"], "left_semi"), sites, ["pdb_id"], keep))
+
+
+def within(points: DataFrame, sites: DataFrame, keys: list[str], keep: float) -> DataFrame:
+    """The points (all columns, each once) within ``keep`` of any site with the same ``keys``.
+
+    Space is cut into cells of a quarter of ``keep``. A site names the cells that lie wholly inside its sphere, and those that its
+    sphere cuts; points of the former stay untested, those of the latter are tested against the sites that name their cell.
+    """
+    size, slack = keep / 4, 1e-6 * keep
+    named = sites.select(*keys, *[F.col(c).cast("double").alias(f"s{c}") for c in "xyz"]).filter("sx is not null and sy is not null and sz is not null").distinct()
+    for c in "xyz":
+        low, high = F.floor((F.col(f"s{c}") - keep) / size), F.floor((F.col(f"s{c}") + keep) / size)
+        named = named.withColumn(f"k{c}", F.explode(F.sequence(low, high)))
+    edge = lambda c, k: (F.col(f"k{c}") + k) * size - F.col(f"s{c}")
+    far = sum((F.greatest(F.abs(edge(c, 0)), F.abs(edge(c, 1))) ** 2 for c in "xyz"), F.lit(0.0))
+    near = sum((F.greatest(edge(c, 0), -edge(c, 1), F.lit(0.0)) ** 2 for c in "xyz"), F.lit(0.0))
+    place = [*keys, *[f"k{c}" for c in "xyz"]]
+    touched = named.withColumn("whole", far <= (keep - slack) ** 2).filter(near <= (keep + slack) ** 2)
+    whole = touched.filter("whole").select(*place).distinct()
+    cut = touched.filter("not whole").join(whole, place, "left_anti")
+    spheres = whole.select(*place, *[F.lit(None).cast("double").alias(f"s{c}") for c in "xyz"]).unionByName(cut.select(*place, "sx", "sy", "sz"))
+    p, s = points.alias("p"), spheres.alias("s")
+    same = [F.col(f"p.{k}") == F.col(f"s.{k}") for k in keys] + [F.floor(F.col(f"p.{c}") / size) == F.col(f"s.k{c}") for c in "xyz"]
+    d2 = sum(((F.col(f"p.{c}") - F.col(f"s.s{c}")) ** 2 for c in "xyz"), F.lit(0.0))
+    return p.join(s, [*same, F.col("s.sx").isNull() | (d2 <= keep * keep)], "left_semi")
 
 
 def first_assembly(pairs: DataFrame, assemblies: DataFrame, order: str = "num") -> DataFrame:

@@ -473,7 +473,18 @@ def grid_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 POINTS = X.icosahedron_sphere()
-SPHERE = "s as (select * from (values " + ", ".join(f"({k}, {x!r}::double, {y!r}::double, {z!r}::double)" for k, (x, y, z) in enumerate(POINTS)) + ") t(k, ux, uy, uz))"
+#: The points apart from the operator: on every level the middles of all edges join them, and edges are the pairs at about the least distance.
+_CORNERS = """
+i_sign as (select * from (values (-1.0), (1.0)) t(i)),
+i_raw as (select a.i as u, b.i * (1 + sqrt(5)) / 2 as v from i_sign a, i_sign b),
+i_all as (select u as x, v as y, 0.0 as z from i_raw union all select 0.0, u, v from i_raw union all select v, 0.0, u from i_raw),
+i_p1 as (select x / sqrt(x * x + y * y + z * z) as ux, y / sqrt(x * x + y * y + z * z) as uy, z / sqrt(x * x + y * y + z * z) as uz from i_all),
+"""
+_LEVEL = """
+i_d{k} as (select a.ux + b.ux as x, a.uy + b.uy as y, a.uz + b.uz as z, (a.ux - b.ux) ** 2 + (a.uy - b.uy) ** 2 + (a.uz - b.uz) ** 2 as d from i_p{k} a join i_p{k} b on (a.ux, a.uy, a.uz) < (b.ux, b.uy, b.uz)),
+i_p{n} as (select * from i_p{k} union all select x / sqrt(x * x + y * y + z * z), y / sqrt(x * x + y * y + z * z), z / sqrt(x * x + y * y + z * z) from i_d{k} where d < 1.8 * (select min(d) from i_d{k})),
+"""
+SPHERE = _CORNERS + "".join(_LEVEL.format(k=k, n=k + 1) for k in (1, 2, 3)) + "s as (select row_number() over () - 1 as k, ux, uy, uz from i_p4)"
 AREA_SQL = f"""
 with {PTS}, {SPHERE},
 q as (select p.*, k, x + ux * (radius + 1.4) px, y + uy * (radius + 1.4) py, z + uz * (radius + 1.4) pz from p, s),
@@ -543,6 +554,24 @@ def assembly_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.assembly_copies(p, plan).select("vec_id", "copy", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 
+@query("""
+with p as (select vec_id, label, embedding[1]::double * 100 x, embedding[2]::double * 100 y, embedding[3]::double * 100 z from embeddings where embedding is not null and label is not null),
+c as (select vec_id, label, 0 as copy, x, y, z from p union all select vec_id, label, 1, -y + 10, x + 5, z - 2.5 from p),
+n as (select label, count(*) > 100 as large from c group by 1),
+s as (select label, x sx, y sy, z sz from p where vec_id % 25 = 0)
+select vec_id, copy, large from c join n using (label)
+where not large or exists (select 1 from s where s.label = c.label and (x - sx) ** 2 + (y - sy) ** 2 + (z - sz) ** 2 <= 225)
+""")
+def assembly_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of all points; of labels with more than 100 those within a distance of a site."""
+    p = _points(spark, sf_dir).withColumns({"pdb_id": F.col("label").cast("string"), "chain": F.lit("A")})
+    one, two = [[1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]], [[0.0, -1.0, 0.0, 10.0], [1.0, 0.0, 0.0, 5.0], [0.0, 0.0, 1.0, -2.5]]
+    plan = p.select("pdb_id").distinct().withColumns({"num": F.lit(1), "chains": F.array(F.lit("A")), "matrices": F.array(*[F.array(*[F.array(*map(F.lit, r)) for r in m]) for m in (one, two)])})
+    kept = X.assembly_copies(p, plan, p.filter("vec_id % 25 = 0").select("pdb_id", "x", "y", "z"), most=100, keep=15.0)
+    sizes = p.groupBy("label").agg((F.count(F.lit(1)) * 2 > 100).alias("large"))
+    return kept.join(sizes, "label").select("vec_id", "copy", "large")
+
+
 @query("""
 with d as (select distinct l_orderkey, l_linenumber n from lineitem), g as (select *, greatest(0, n - coalesce(lag(n) over (partition by l_orderkey order by n) + 1, 1)) j from d)
 select l_orderkey, string_agg(repeat('-', j) || n, '' order by n) seq from g group by 1
