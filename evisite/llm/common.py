@@ -28,6 +28,16 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Lets Spark hand rows to Python in batches of at most ``most`` bytes from now on, where the session has no such limit.
+
+    Spark's own limit is 10,000 rows, however long their texts; workers and the JVM's buffers keep the memory of their largest batch.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(name)).rstrip("bB")) == 2**63 - 1:
+        spark.conf.set(name, str(most))
+
+
 def settle(df: DataFrame, **options) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back.
 
@@ -35,6 +45,7 @@ def settle(df: DataFrame, **options) -> DataFrame:
     several consumers share one computation.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_folder(spark)}/evisite-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
