@@ -24,10 +24,11 @@ def _ordered(value: Column, order_by) -> Column:
 
 
 def lcp(a: Column, b: Column) -> Column:
-    """Longest common prefix of two texts."""
+    """Longest common prefix of two texts, in time that grows with their length; null where one is."""
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y) & (x != ""))
     n = F.least(F.length(a), F.length(b))
-    same = F.filter(F.sequence(F.lit(0), n), lambda k: F.substring(a, F.lit(1), k) == F.substring(b, F.lit(1), k))
-    return F.substring(a, F.lit(1), F.array_max(same))
+    differs = F.array_position(same, F.lit(False))
+    return F.substring(a, F.lit(1), F.when(differs > 0, F.least(differs.cast("int") - 1, n)).otherwise(n))
 
 
 def aggregate(op: str, cols: list[str], order_by="rank", strict: bool = False) -> Column:
@@ -70,25 +71,63 @@ def aggregate(op: str, cols: list[str], order_by="rank", strict: bool = False) -
     raise ValueError(f"unknown aggregate {op!r}")
 
 
+def _winners(counted: Column, top: Column, sep: str) -> Column:
+    """Of structs ``(n, v)`` the values of the count ``top``, sorted and joined."""
+    return F.array_join(F.array_sort(F.transform(F.filter(counted, lambda s: s["n"] == top), lambda s: s["v"])), sep)
+
+
+def _of(n: int):
+    return lambda s: s["at"] == n
+
+
 def vote(df: DataFrame, keys: list[str], col: str, out: str, sep: str = "/") -> DataFrame:
     """The most frequent value of each group; ties sorted and joined. Counts combine before the shuffle."""
     counted = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("n_"))
-    # Descending negative counts: the first struct of a group holds the winners' count.
-    best = counted.groupBy(*keys).agg(F.max("n_").alias("top_"), F.collect_list(F.struct("n_", F.col(col).cast("string").alias("v_"))).alias("all_"))
-    winners = F.array_sort(F.transform(F.filter("all_", lambda s: s["n_"] == F.col("top_")), lambda s: s["v_"]))
-    return best.select(*keys, F.array_join(winners, sep).alias(out))
+    best = counted.groupBy(*keys).agg(F.max("n_").alias("top_"), F.collect_list(F.struct(F.col("n_").alias("n"), F.col(col).cast("string").alias("v"))).alias("all_"))
+    return best.select(*keys, _winners(F.col("all_"), F.col("top_"), sep).alias(out))
 
 
 def typed_group(df: DataFrame, keys: list[str], spec: list[tuple[str, str, list[str]]], order_by="rank", strict: bool = False) -> DataFrame:
-    """``spec``: (output column, aggregate, input columns); the output is in this order after the keys."""
+    """``spec``: (output column, aggregate, input columns); the output is in this order after the keys.
+
+    The input is read once. Where columns are voted on, each row becomes itself and a (number of the column, value) row for
+    each; the first group-by counts the values beside the other aggregates, the second picks the winners of a group.
+    """
     plain = [aggregate(op, cols or [out], order_by, strict).alias(out) for out, op, cols in spec if op != "vote"]
-    result = df.groupBy(*keys).agg(*(plain or [F.count(F.lit(1)).alias("n_")]))
-    for out, op, cols in spec:
-        if op == "vote":
-            won = vote(df, keys, (cols or [out])[0], out)
-            cond = [result[k].eqNullSafe(won[k]) for k in keys]
-            result = result.join(won, cond, "left").select(*[result[c] for c in result.columns], won[out])
-    return result.select(*keys, *[out for out, _, _ in spec])
+    votes = {out: (cols or [out])[0] for out, op, cols in spec if op == "vote"}
+    names = [out for out, _, _ in spec]
+    if not votes:
+        return df.groupBy(*keys).agg(*(plain or [F.count(F.lit(1)).alias("n_")])).select(*keys, *names)
+    cast = {out: F.col(col).cast("string") for out, col in votes.items()}
+    ballots = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("v")), *[F.struct(F.lit(n).alias("at"), v.alias("v")) for n, v in enumerate(cast.values())])
+    rest = [c for c in df.columns if c not in keys]
+    rows = df.withColumn("b_", F.explode(F.filter(ballots, lambda b: (b["at"] < 0) | b["v"].isNotNull())))
+    only = F.col("b_.at") < 0  # the others carry their value alone
+    rows = rows.select(*keys, F.col("b_.at").alias("at_"), F.col("b_.v").alias("v_"), *[F.when(only, F.col(c)).alias(c) for c in rest])
+    counted = rows.groupBy(*keys, "at_", "v_").agg(F.count(F.lit(1)).alias("n_"), *plain)
+    own, vote_no = F.col("at_") < 0, {out: n for n, out in enumerate(votes)}
+    best = counted.groupBy(*keys).agg(
+        F.collect_list(F.when(~own, F.struct(F.col("at_").alias("at"), F.col("n_").alias("n"), F.col("v_").alias("v")))).alias("b_"),  # the different values of a group
+        *[F.any_value(F.when(own, F.col(out)), ignoreNulls=True).alias(out) for out in names if out not in votes],
+    )
+    for out, n in vote_no.items():
+        mine = F.filter("b_", _of(n))
+        top = F.array_max(F.transform(mine, lambda s: s["n"]))
+        best = best.withColumn(out, F.when(F.size(mine) > 0, _winners(mine, top, "/")))
+    return best.select(*keys, *names)
+
+
+def typed_map_group(df: DataFrame, keys: list[str], map_col: str, reserved: list[str], out: str = "custom") -> tuple[DataFrame, DataFrame]:
+    """The values of a map column grouped like a column each, and the names that can't be one.
+
+    ``keys, out``: of every name the value, where all rows of a group that have the name agree on it, else null. Names that
+    differ from a ``reserved`` one by case at most stay out; the second table has them with the number of their rows (``name, n``).
+    """
+    entries = df.select(*keys, F.explode(map_col).alias("name", "value"))
+    taken = F.lower(F.trim("name")).isin([c.lower() for c in reserved])
+    one = entries.filter(~taken).groupBy(*keys, "name").agg(aggregate("check_identity", ["value"]).alias("value"))
+    maps = one.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias(out))  # as many as a group has names
+    return maps, entries.filter(taken).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def union_of_keys(df: DataFrame, map_col: str, keep: list[str], most: int = 1000) -> DataFrame:
@@ -114,8 +153,7 @@ def histogram(df: DataFrame, score: str, bins: int = 11, width: float = 10, cuto
 
 def filter_report(df: DataFrame, score: str, cutoff: float, record: str) -> DataFrame:
     """One row: passed, failed and unknown rows with percentages, records, and records with a pass."""
-    v = F.try_to_number(F.col(score), F.lit("999999999999999.999999")) if dict(df.dtypes)[score] == "string" else F.col(score)
-    v = F.col(score).try_cast("double") if dict(df.dtypes)[score] == "string" else v
+    v = F.col(score).try_cast("double") if dict(df.dtypes)[score] == "string" else F.col(score)
     ok = v >= cutoff
     one = df.groupBy(record).agg(F.count_if(ok).alias("p"), F.count_if(v < cutoff).alias("f"), F.count_if(v.isNull()).alias("u"))
     total = F.sum(F.col("p") + F.col("f") + F.col("u"))

@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from evisite.operators import group, markers, pairs
+from evisite.operators import group, markers, pairs, search
 
 ROWS = [("e1", 1, "x", 5.0, "alpha_1"), ("e1", 2, "y", -1.0, "alpha_2"), ("e1", 3, "x", 0.0, "alpha_"), ("e2", 1, "y", -2.0, "b"), ("e2", 2, "x", None, "b"), ("e1", 4, None, 3.0, "alpha")]
 
@@ -87,5 +87,5 @@ def test_markers(spark):
 def test_seed_search_finds_planted_pairs(spark):
     q = spark.createDataFrame([("q1", "MKVLAAGIVGLCAK"), ("q2", "WWWWW")], "q string, qs string")
     t = spark.createDataFrame([("t1", "XXXMKVLAAGIVGLCAKYY"), ("t2", "GIVGLQQQQ"), ("t3", "")], "t string, ts string")
-    got = pairs.seed_search(q, t, "q", "t", "qs", "ts", k=5, least=2).collect()
+    got = search.seed_search(q, t, "q", "t", "qs", "ts", k=5, least=2).collect()
     assert [(r.q, r.t, r.diagonal, r.seeds) for r in got] == [("q1", "t1", 3, 10)]
