@@ -11,7 +11,8 @@ decoder notes for each code where its string stands already in the output, and r
 Memory of a task: the frames of one media value and one batch of code streams.
 
 Cases: a null medium gives no frames; a broken one raises ValueError in ``read_gifs`` and gives no frames but an
-``error`` text in ``frames``. A null text is the empty payload. Extra columns are ignored.
+``error`` text in ``frames``. A null text is the empty payload. Long texts become many frames, coded
+some at once. Repeated rows give equal values; an empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

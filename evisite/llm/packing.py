@@ -82,9 +82,9 @@ class Packer:
         """Cuts the emptiest open sequences into the gaps of the fullest."""
         left = [(fill, seq, pieces) for fill in sorted(self.open) for seq, pieces in self.open[fill]]
         low = 0
-        while left[low:]:
+        while low < len(left):
             fill, seq, pieces = left.pop()
-            while fill < self.capacity and left[low:]:
+            while fill < self.capacity and low < len(left):
                 have, other, donor = left[low]
                 doc, start, ids, total = donor.pop()
                 n = min(self.capacity - fill, len(ids))

@@ -8,8 +8,9 @@ per shard and writes the quotas to the shared folder. The groups find their shar
 differ by little more than the smallest groups, unless one group alone is larger than a fair share (it still stays whole).
 
 Cases: a null text has no bytes, size 8 and checksum 0; null-text rows are kept together only by equal id. The empty
-text is a text. An empty table gives an empty result. Repeated rows are rows of their own in one group. Other columns
-are ignored.
+text is a text. An empty table gives an empty result. Repeated rows are rows of their own in one group. Of
+shards with equal loads the lowest number takes the next run. Of a text, however long, only its size and digests travel. Other
+columns are ignored.
 """
 
 from __future__ import annotations

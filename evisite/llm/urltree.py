@@ -15,7 +15,8 @@ A template is rejected if its purity reaches ``reject``.
 All steps are group-bys and equi-joins on counts by (host, template, segment), hosts salted by path; nothing holds a whole host.
 
 Cases: a null url, or one without ``://``, has empty host and path and gets the verdict of that template. Repeated rows
-are judged alike. Without any label all purities are 0.5. Empty tables give empty results. Extra columns are ignored.
+are judged alike. Without any label all purities are 0.5; a purity equal to the limit rejects. Urls of any
+length are judged whole; segments beyond ``depth`` (6) are generalised by their form. Empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations

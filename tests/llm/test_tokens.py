@@ -144,3 +144,47 @@ def test_sum_of_squares_choice():
         options = {h: cost(h) for h in [0, *[h for h in range(1, 21 - size) if before[h]]]}
         assert options[p.level_for(size)] == min(options.values())
         p.add(k, np.zeros(size, np.uint32))
+
+
+def test_whole_packing_equals_a_plain_packer():
+    """Every placement of the whole stream, by the sum of squares over plain lists of fills; the merge at the end only fills gaps."""
+    rng, capacity = np.random.default_rng(4), 24
+    p, fills, where = packing.Packer(capacity), {}, {}
+    next_id = 0
+    for doc in range(500):
+        size = int(rng.integers(1, 40))
+        total, at = size, 0
+        while total - at >= capacity:
+            where.setdefault(doc, []).append((at, capacity, next_id, 0))
+            next_id, at = next_id + 1, at + capacity
+        rest = total - at
+        if rest:
+            count = [0] * (capacity + 1)
+            for fill, _ in fills.values():
+                count[fill] += 1
+
+            def after(h):
+                c = count.copy()
+                if h:
+                    c[h] -= 1
+                c[h + rest] += 1
+                return sum(x * x for x in c[:capacity])
+
+            best = min([0, *[h for h in range(1, capacity + 1 - rest) if count[h]]], key=lambda h: (after(h), -h))
+            if best:
+                seq = max((order, s) for s, (fill, order) in fills.items() if fill == best)[1]  # of equal fills the last that came to it
+            else:
+                seq, next_id = next_id, next_id + 1
+            where.setdefault(doc, []).append((at, rest, seq, best))
+            fills[seq] = (best + rest, doc)
+            if best + rest == capacity:
+                del fills[seq]
+        p.add(doc, np.arange(size, dtype=np.uint32))
+    closed = {(r[0], r[1], r[2], r[5], r[6]) for r in p.rows}
+    want = {(doc, a, n, s, o) for doc, pieces in where.items() for a, n, s, o in pieces if s not in fills}
+    assert closed == want and len(fills) == sum(map(len, p.open.values())) > 1
+    p.finish()
+    used = {}
+    for r in p.rows:
+        used[r[5]] = used.get(r[5], 0) + r[2]
+    assert sum(n < capacity for n in used.values()) <= 1 and sum(used.values()) == sum(n for v in where.values() for _, n, _, _ in v)
