@@ -53,6 +53,46 @@ def sample_positions(df: DataFrame, key: str, seq: str, letters: str, n: int = 5
     return spots.withColumn("order_", order).orderBy("order_", key, "poi").limit(n).drop("order_")
 
 
+def _uniform(key: Column, *parts) -> Column:
+    """A number between 0 and 1 from the digest of a key and further parts."""
+    digest = F.md5(F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(p) for p in parts], key.cast("string")))
+    return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / 2.0**48
+
+
+def sample_uniform(df: DataFrame, key: str, seq: str, letters: str, n: int = 5000, least: int = 25, seed: str = "1") -> DataFrame:
+    """``key, poi, aa`` of ``n`` draws: a sequence of ``least`` letters or more, each as likely as any other however long, then a
+    place of the wanted letters in it that was not drawn before. Fewer, where all places are drawn. Keys are unique.
+
+    A sequence's draws come at the times of a random process of rate one (sums of exponential steps from digests); the first ``n``
+    of all sequences are independent uniform draws of sequences. Only times below a bound are made, at which about ``n`` draws are
+    expected; the bound is doubled while that leaves too few. So sequences become rows only as often as they are drawn.
+    """
+    suitable = F.length(F.regexp_replace(seq, f"[^{letters}]", ""))
+    long = df.filter(F.length(seq) >= least).select(F.col(key), F.col(seq), suitable.alias("places_")).filter("places_ > 0")
+    totals = long.agg(F.count(F.lit(1)).alias("n"), F.max("places_").alias("places")).first()
+    bound = (n + 6 * n**0.5 + 20) / max(1, totals.n)
+    while True:
+        most = int(20 + 4 * bound)  # draws of one sequence that are made at once
+        step = F.transform(F.sequence(F.lit(1), F.least("places_", F.lit(most))), lambda j: -F.log(_uniform(F.col(key), seed, "t", j.cast("string"))))
+        first = F.array(F.struct(F.lit(0.0).alias("t"), F.lit(0).alias("j")))
+        times = F.aggregate(step, first, lambda made, s: F.concat(made, F.array(F.struct((F.element_at(made, -1)["t"] + s).alias("t"), (F.element_at(made, -1)["j"] + 1).alias("j")))))
+        drawn = long.select(key, "places_", F.explode(F.slice(times, F.lit(2), F.size(times))).alias("d")).select(key, "places_", "d.t", "d.j").filter(F.col("t") <= bound)
+        cut = (F.col("j") == most) & (F.col("places_") > most)  # further draws may lie below the bound
+        state = drawn.agg(F.count(F.lit(1)).alias("n"), F.count_if(cut).alias("cut")).first()
+        if not state.cut and (state.n >= n or most >= (totals.places or 0)):
+            break
+        bound *= 2
+    picked = drawn.orderBy("t", key, "j").limit(n).groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("draws_"))  # the first draws of each sequence
+    chosen = long.join(picked, key)
+    # The j-th draw takes one of the places that are left, counted past those that were drawn.
+    rest = F.transform(F.sequence(F.lit(1), F.col("draws_")), lambda j: F.floor(_uniform(F.col(key), seed, "p", j.cast("string")) * (F.col("places_") - j + 1)).cast("int"))
+    past = lambda taken, r: F.aggregate(F.array_sort(taken), r, lambda at, c: at + (at >= c).cast("int"))
+    nth = F.aggregate(rest, F.array().cast("array<int>"), lambda taken, r: F.concat(taken, F.array(past(taken, r))))
+    at = F.filter(F.transform(F.split(seq, ""), lambda c, i: F.when(c.rlike(f"^[{letters}]$"), i + 1)), lambda i: i.isNotNull())
+    spots = chosen.select(key, seq, at.alias("at_"), nth.alias("nth_")).select(key, seq, "at_", F.explode("nth_").alias("k_")).select(key, seq, F.get("at_", F.col("k_")).alias("poi"))
+    return spots.select(key, "poi", F.substring(F.col(seq), F.col("poi"), F.lit(1)).alias("aa"))
+
+
 def mark_samples(picked: DataFrame, df: DataFrame, key: str, seq: str) -> DataFrame:
     """Sampled positions with their sequence, a marker inserted after the residue."""
     marked = F.concat(F.substring(F.col(seq), F.lit(1), F.col("poi")), F.lit("*"), F.substring(F.col(seq), F.col("poi") + 1, F.length(seq)))

@@ -132,10 +132,11 @@ def cache_retain(cache: DataFrame, today: Column, older_than: int | None = None,
     return cache.filter(keep)
 
 
-def cache_listing(cache: DataFrame, today: Column, kind: str, days: int = 60) -> DataFrame:
-    """``old`` entries beyond a number of days, or those of ``today``."""
+def cache_listing(cache: DataFrame, today: Column, kind: str, days: int = 60, key: str = "hash", entry=None) -> DataFrame:
+    """``old`` entries beyond a number of days, those of ``today``, or one ``entry`` by its key."""
     age = F.datediff(today, F.col("inserted"))
-    return cache.filter(age > days if kind == "old" else age == 0)
+    tests = {"old": age > days, "today": age == 0, "entry": F.col(key) == F.lit(entry)}
+    return cache.filter(tests[kind])
 
 
 def keyword_lines(lines: DataFrame, words: DataFrame, key: str, text: str, word: str = "word", length: int = 4) -> DataFrame:

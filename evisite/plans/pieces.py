@@ -15,8 +15,10 @@ from evisite.operators import group as G
 from evisite.operators import markers as M
 from evisite.operators import pairs as P
 from evisite.operators import spatial as X
+from evisite.operators import search as W
 from evisite.operators import structures as T
-from evisite.plans.registry import PTS, _points, query, table
+from evisite.plans.registry import CACHE_SQL, PTS, TODAY, _cache, _points, _seeds_sql, query, table
+from evisite.sources import cache as C
 from evisite.sources import fasta, sinks
 from evisite.sources import structures as R
 
@@ -646,3 +648,36 @@ def alignment_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, q = F.concat(F.upper(F.translate("p_name", " ", "-")), "p_brand"), F.upper(F.translate(F.concat("p_type", "p_name"), "E", "-"))
     s = p.select("p_partkey", S.alignment_stats(t, q).alias("s"))
     return s.select("p_partkey", "s.length", F.col("s.first").alias("first_"), F.col("s.last").alias("last_"), F.col("s.identity").alias("identity_"), "s.gaps", "s.unaligned", "s.gap_opens")
+
+
+@query(f"with {_seeds_sql('select doc_id i, text t from documents', 'doc_id')}, n as (select unnest([0, 1000]) n) select item_id + n query_id, doc_id, diagonal, seeds from seeds, n")
+def distinct_seed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of repeated queries: the search runs once for each distinct text."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    twice = items.unionByName(items.withColumn("query_id", F.col("query_id") + 1000))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
+    search = lambda d: W.seed_search(d.select("q", F.col("q").alias("s")), docs, "q", "doc_id", "s", "t", k=12, least=2, most=20)
+    return P.distinct_queries(twice, "q", search).select("query_id", "doc_id", "diagonal", "seeds")
+
+
+@query(f"""
+with {CACHE_SQL},
+q as (select distinct hash from cache where n_results % 3 > 0),
+a as (select 'before' as phase, hash, count, n_results, inserted from cache where hash in (select hash from q) and date_diff('day', inserted, date '{TODAY}') <= 60),
+n as (select hash, count, n_results, inserted from cache where n_results = 0 union all select hash, count + 1, n_results, inserted + 1 from cache where n_results > 0
+  union all select md5(hash), 5, 2, date '{TODAY}' from cache where n_results = 1)
+select * from a
+union all select 'after', hash, count, n_results, inserted from n where (hash in (select hash from q) or hash in (select md5(hash) from q)) and date_diff('day', inserted, date '{TODAY}') <= 60
+""")
+def stored_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written to a stored cache, looked up, upserted with newer and new entries, and looked up again."""
+    path, cache, today = _place(spark), _cache(spark, sf_dir), F.lit(TODAY).cast("date")
+    C.create(cache, path, "hash", width=1)
+    asked = C.read(spark, path).filter("n_results % 3 > 0").select("hash").distinct()
+    asked = asked.unionByName(asked.select(F.md5("hash").alias("hash")))
+    columns = ["phase", "hash", "count", "n_results", "inserted"]
+    before = C.lookup(path, asked, "hash", today).withColumn("phase", F.lit("before")).select(*columns)
+    newer = cache.filter("n_results > 0").withColumns({"count": F.col("count") + 1, "inserted": F.date_add("inserted", 1)})
+    added = cache.filter("n_results = 1").withColumns({"hash": F.md5("hash"), "count": F.lit(5).cast("long"), "n_results": F.lit(2).cast("long"), "inserted": today})
+    C.upsert(path, newer.unionByName(added), "hash")
+    return before.unionByName(C.lookup(path, asked, "hash", today).withColumn("phase", F.lit("after")).select(*columns))

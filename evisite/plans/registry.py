@@ -624,6 +624,30 @@ def sample_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.sample_positions(table(spark, sf_dir, "documents"), "doc_id", "text", "ST").select("doc_id", "poi", "aa")
 
 
+def _digest_sql(*parts: str) -> str:
+    """A number between 0 and 1 from twelve digits of a digest."""
+    digit = "instr('0123456789abcdef', substring(md5(concat_ws(':', " + ", ".join(parts) + ")), i::bigint, 1)) - 1"
+    return f"((select sum(({digit}) * pow(16, 12 - i)) from range(1, 13) r(i)) + 0.5) / pow(2, 48)"
+
+
+@query(f"""
+with recursive long as (select doc_id, text, length(regexp_replace(text, '[^ST]', '', 'g')) places from documents where length(text) >= 25),
+s as (select doc_id, places, j, -ln({_digest_sql("'1'", "'t'", "j", "doc_id")}) step from long, lateral (select unnest(range(1, least(places, 60) + 1)) j)),
+t as (select doc_id, j, sum(step) over (partition by doc_id order by j) t from s),
+n as (select doc_id, count(*) draws from (select * from t order by t, doc_id, j limit 600) group by 1),
+d as (select doc_id, draws, places, 0::bigint j, []::bigint[] taken from n join long using (doc_id)
+  union all select doc_id, draws, places, j + 1, list_append(taken, list_reduce(list_prepend(floor({_digest_sql("'1'", "'p'", "j + 1", "doc_id")} * (places - j))::bigint, list_sort(taken)), lambda a, c: case when a >= c then a + 1 else a end)) from d where j < draws),
+k as (select doc_id, unnest(taken) k from d where j = draws),
+l as (select doc_id, regexp_extract_all(text, '(?s).') a from long where doc_id in (select doc_id from n)),
+p as (select doc_id, unnest(range(1, len(a) + 1)) poi, unnest(a) aa from l),
+q as (select *, row_number() over (partition by doc_id order by poi) - 1 k from p where aa in ('S', 'T'))
+select doc_id, poi::int poi, aa from k join q using (doc_id, k)
+""")
+def sample_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """600 draws of a document of 25 letters or more, each as likely, and of a place of two letters in it."""
+    return M.sample_uniform(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", "ST", n=600)
+
+
 @query("select user_id, string_agg(n::varchar, ';' order by event_type) as values from (select user_id, event_type, count(*) n from events group by 1, 2) group by 1")
 def heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
