@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from evisite.functions.headers import align_window, entry_key, flanks
 from evisite.functions.scores import identity_score, interface_call, preferred, surface_decision, temperature_score
 from evisite.operators import align, pairs, spatial, structures
-from evisite.operators.group import summary, typed_group
+from evisite.operators.group import summary, typed_group, typed_map_group, union_of_keys
+from evisite.tables import settled
 
 CONTEXTS = ("isol", "biol", "asym")  # own chain alone, first assembly with the chain, near chains of the asymmetric unit
 
@@ -36,12 +37,8 @@ REPORT = [
 ]
 
 
-def _once(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in ``spark.checkpoint.dir`` where that is set."""
-    context, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return df.checkpoint() if context.getCheckpointDir() else df
+#: Names that an attribute of a header can't have.
+TAKEN = ["seq_id", *EVIDENCE, *[name for name, _, _ in REPORT], "tempf_score", "asa_avg", "pymol", "pymol_biomol", "iupred", "custom"]
 
 
 def located(pois: DataFrame, hits: DataFrame, res: DataFrame, bitscore: float, align_cutoff: float, matrix: dict | None, positions: int) -> DataFrame:
@@ -101,7 +98,8 @@ def evidence(
 ) -> DataFrame:
     """The columns of ``EVIDENCE``, one row per (site, hit) whose site has a residue in the structure.
 
-    ``pois``: entry_id, plain, poi, gene, desc; ``hits``: query_id, pdb_id, chain, rank, bitscore, identity; ``assemblies`` and
+    ``pois``: entry_id, plain, poi, gene, desc, and where headers have attributes of their own ``custom`` (a map), which is carried
+    along; ``hits``: query_id, pdb_id, chain, rank, bitscore, identity; ``assemblies`` and
     ``metadata``: as read from the structure files. ``positions``: 0 for a site between two residues, else the number of
     residues that end at the site. Cheap filters come before the alignment; structures are cut to those that hits name before
     areas are computed, and areas to the residues of sites.
@@ -109,18 +107,18 @@ def evidence(
     code = F.upper(F.regexp_extract("file", r"([0-9A-Za-z]{4})\.[^.]*$", 1))
     kinds = structures.classify(atoms).join(hits.select("pdb_id").distinct(), "pdb_id", "left_semi")
     numbered = structures.split_locations(structures.number_residues(structures.accept(kinds, first_model=True)))
-    wanted = _once(numbered.filter("primary"))
-    res = _once(structures.residues(wanted))
+    wanted = settled(numbered.filter("primary"))
+    res = settled(structures.residues(wanted))
     nth = structures.nth_residue(res)
-    sites = _once(located(pois, hits, res, bitscore, align_cutoff, matrix, positions))
-    at = _once(site_residues(sites.select("spot", "pdb_id", "chain", "nth").distinct(), nth, positions))
+    sites = settled(located(pois, hits, res, bitscore, align_cutoff, matrix, positions))
+    at = settled(site_residues(sites.select("spot", "pdb_id", "chain", "nth").distinct(), nth, positions))
     spots = at.groupBy("spot").agg(F.first("pdb_id").alias("pdb_id"), F.first("chain").alias("poi_chain"))
     alpha = {f"ca_{c}": c for c in "xyz"}
     near = spatial.chains_in_range(at.withColumnsRenamed(alpha).withColumnRenamed("spot", "site_id"), res.withColumnsRenamed(alpha)).withColumnRenamed("site_id", "spot")
-    near = _once(spots.join(near, "spot", "left").select("spot", F.array_sort(F.array_union(F.coalesce("chains", F.array().cast("array<string>")), F.array("poi_chain"))).alias("chains")))
+    near = settled(spots.join(near, "spot", "left").select("spot", F.array_sort(F.array_union(F.coalesce("chains", F.array().cast("array<string>")), F.array("poi_chain"))).alias("chains")))
     # Areas, with structures that are mostly backbone taken out in sidechain mode.
     ratios = structures.completeness(res)
-    ranged = _once(areas(at, wanted, near, assemblies, points, sidechain).join(at.select("spot", "res_id", "pdb_id", "aa1"), ["spot", "res_id"]))
+    ranged = settled(areas(at, wanted, near, assemblies, points, sidechain).join(at.select("spot", "res_id", "pdb_id", "aa1"), ["spot", "res_id"]))
     out = spots
     for c in CONTEXTS:
         gated = structures.quality_gate(ranged.filter(F.col(c).isNotNull()).withColumn("area", F.col(c)), ratios, sidechain=sidechain)
@@ -131,7 +129,7 @@ def evidence(
     # Interface: chains near the site against copies of its chain.
     same = structures.duplicate_chains(structures.chain_sequences(res, "A").join(res.select("file", "pdb_id").distinct(), "file"), ["pdb_id", "model"])
     twins = same.groupBy("pdb_id", F.col("chain").alias("poi_chain")).agg(F.array_sort(F.collect_set("other")).alias("chains"))
-    twins = _once(spots.join(twins, ["pdb_id", "poi_chain"], "left").select("spot", F.coalesce("chains", F.array().cast("array<string>")).alias("chains")))
+    twins = settled(spots.join(twins, ["pdb_id", "poi_chain"], "left").select("spot", F.coalesce("chains", F.array().cast("array<string>")).alias("chains")))
     valid = lambda c: F.when(F.col(c) >= 0, F.col(c))
     loss = ranged.select("spot", "res_id", valid("isol").alias("isolated"), valid("biol").alias("assembly"), valid("asym").alias("asymmetric"))
     called = interface_call(loss, ["spot"], "res_id", near, twins).select("spot", "interface", F.coalesce("delta", F.lit(0.0)).alias("interface_asa_delta"))
@@ -164,11 +162,15 @@ def evidence(
     return rows.withColumns({
         "dataseries": F.lit(dataseries), "entry": F.col("row_id"), "seq_id": F.col("entry_id"), "pdbcode": F.col("pdb_id"), "database": F.lit("PDB"),
         "poipos": F.col("poi"), "poiseq": F.concat(left, F.lit("/"), right), "pdbseq": F.col("site.context"),
-    }).select(*EVIDENCE)
+    }).select(*EVIDENCE, *(["custom"] if "custom" in pois.columns else []))
 
 
 def report(rows: DataFrame, disorder: DataFrame | None = None) -> DataFrame:
-    """Evidence rows to one row per site (``seq_id``), with the preferred area, the temperature score and disorder (-1: none)."""
+    """Evidence rows to one row per site (``seq_id``), with the preferred area, the temperature score and disorder (-1: none).
+
+    A ``custom`` map is grouped name by name: a value where all rows of a site agree on it. Names of report columns stay out
+    (``custom_clashes`` lists them); ``with_custom_columns`` makes columns of the rest.
+    """
     scored = rows.groupBy("seq_id").agg(temperature_score(F.col("tempf_avg"), F.col("tempf_file_min"), F.col("tempf_file_max")).alias("tempf_score"))
     grouped = typed_group(rows, ["seq_id"], REPORT, order_by=["rank"]).join(scored, "seq_id")
     best = preferred(*[F.col(f"{c}_asa_avg") for c in CONTEXTS])
@@ -176,8 +178,23 @@ def report(rows: DataFrame, disorder: DataFrame | None = None) -> DataFrame:
     assembled = F.get("biol_asa_vals", F.lit(0)) >= 0
     grouped = grouped.withColumns({"asa_avg": best, "pymol": place, "pymol_biomol": F.when(assembled, place)})
     if disorder is None:
-        return grouped.withColumn("iupred", F.lit(-1.0))
-    return pairs.with_disorder(grouped, disorder.withColumnsRenamed({"entry_id": "seq_id", "disorder": "iupred"}), "seq_id", "iupred")
+        grouped = grouped.withColumn("iupred", F.lit(-1.0))
+    else:
+        grouped = pairs.with_disorder(grouped, disorder.withColumnsRenamed({"entry_id": "seq_id", "disorder": "iupred"}), "seq_id", "iupred")
+    if "custom" not in rows.columns:
+        return grouped
+    maps, _ = typed_map_group(rows, ["seq_id"], "custom", TAKEN)
+    return grouped.join(maps, "seq_id", "left")
+
+
+def custom_clashes(rows: DataFrame) -> DataFrame:
+    """``name, n``: attributes of evidence rows that are named like a report column, with the number of their rows."""
+    return typed_map_group(rows, ["seq_id"], "custom", TAKEN)[1]
+
+
+def with_custom_columns(table: DataFrame) -> DataFrame:
+    """A report or evidence table, for a sink, with a column for every name in its ``custom`` map."""
+    return union_of_keys(table, "custom", [c for c in table.columns if c != "custom"])
 
 
 def overview(pois: DataFrame, hits: DataFrame, rows: DataFrame, cutoff: float | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evisite.functions import headers as H
@@ -17,7 +17,8 @@ from evisite.operators import pairs as P
 from evisite.operators import spatial as X
 from evisite.operators import search as W
 from evisite.operators import structures as T
-from evisite.plans.registry import CACHE_SQL, PTS, TODAY, _cache, _points, _seeds_sql, query, table
+from evisite.plans import evidence as E
+from evisite.plans.registry import AREA_SQL, CACHE_SQL, POINTS, PTS, TODAY, _cache, _points, _seeds_sql, query, table
 from evisite.sources import cache as C
 from evisite.sources import fasta, sinks
 from evisite.sources import structures as R
@@ -181,10 +182,10 @@ def _atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.classify(rows)
 
 
-@query(f"with {ATOMS_SQL} select event_id, cls, atom_name in ('N', 'CA', 'C', 'O') backbone, radius from a where cls not in ('hydrogen', 'water') and radius is not null and cls in ('amino', 'modified', 'nucleic', 'ion')")
+@query(f"with {ATOMS_SQL} select event_id, cls, atom_name in ('N', 'CA', 'C', 'O') backbone, radius, case when resname = 'MSE' then 'Selenomethionine' else '' end ptm, case when resname = 'MSE' then 'S' else 'N' end ptm_code from a where cls not in ('hydrogen', 'water') and radius is not null and cls in ('amino', 'modified', 'nucleic', 'ion')")
 def atom_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes and radii of accepted atoms of amino acids, nucleotides and ions."""
-    return T.of_types(T.accept(_atoms(spark, sf_dir)), "ADI").select("event_id", "cls", "backbone", "radius")
+    return T.of_types(T.accept(_atoms(spark, sf_dir)), "ADI").select("event_id", "cls", "backbone", "radius", "ptm", "ptm_code")
 
 
 @query(f"with {ATOMS_SQL} select event_id, case when resname = 'MSE' then 'MET' else resname end resname, case when resname = 'MSE' and cls = 'modified' then 'amino' else cls end cls from a where not (resname = 'MSE' and atom_name = 'H1')")
@@ -430,7 +431,8 @@ LETTERS_SQL = "[ACDEFGHIKLMNPQRSTVWY]"
 with r as (select p_partkey, upper(replace(p_name, ' ', '-')) q, upper(replace(p_type || p_name, ' ', '-')) t from part),
 c as (select *, list_filter(range(1, length(q) + 1), lambda i: regexp_matches(substring(q, i::int, 1), '{LETTERS_SQL}'))[3]::int col from r)
 select p_partkey, length(regexp_replace(left(t, col - 1), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g'))::int as position, substring(t, col, 1) letter,
-  lpad(right(replace(left(t, col), '-', ''), 5), 5, '-') || '*' || rpad(left(replace(substring(t, col + 1), '-', ''), 5), 5, '-') around
+  lpad(right(replace(left(t, col), '-', ''), 5), 5, '-') || '*' || rpad(left(replace(substring(t, col + 1), '-', ''), 5), 5, '-') around,
+  upper(lpad(substring(t, greatest(col - 4, 1), least(col, 5)), 5, '-') || '*' || rpad(substring(t, col + 1, 5), 5, '-')) context
 from c where col is not null and substring(t, col, 1) not in ('-', '')
 """)
 def sites_in_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -439,7 +441,7 @@ def sites_in_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, q = F.col("t"), F.col("q")
     columns = F.filter(F.sequence(F.lit(1), F.length(q)), lambda k: F.substring(q, k, F.lit(1)).rlike(LETTERS_SQL))
     rows = p.withColumn("s", A.site_in_target(t, q, F.lit(3), positions=1)).filter("s is not null")
-    return rows.select("p_partkey", "s.position", "s.letter", A.surroundings(t, F.try_element_at(columns, F.lit(3))).alias("around"))
+    return rows.select("p_partkey", "s.position", "s.letter", A.surroundings(t, F.try_element_at(columns, F.lit(3))).alias("around"), "s.context")
 
 
 @query("""
@@ -681,3 +683,178 @@ def stored_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = cache.filter("n_results = 1").withColumns({"hash": F.md5("hash"), "count": F.lit(5).cast("long"), "n_results": F.lit(2).cast("long"), "inserted": today})
     C.upsert(path, newer.unionByName(added), "hash")
     return before.unionByName(C.lookup(path, asked, "hash", today).withColumn("phase", F.lit("after")).select(*columns))
+
+
+# Pieces of the evidence job.
+
+
+@query(f"""
+with {LOCATION_SQL},
+g as (select file, residx, any_value(chain) as chain, any_value(resname) resname from s where primary_ group by 1, 2),
+n1 as (select *, row_number() over (partition by file, chain order by residx)::int nth from g where resname in ('GLY', 'ALA', 'MSE'))
+select a.file || '/' || a.chain || '/' || a.nth spot, b.nth, b.residx, b.resname from n1 a join n1 b on a.file = b.file and a.chain = b.chain and b.nth in (a.nth, a.nth + 1) where a.nth % 7 = 3
+""")
+def site_residue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The residues of sites between two residues: its own and the next of the chain, where there is one."""
+    atoms = T.split_locations(T.number_residues(_atoms(spark, sf_dir))).filter("primary")
+    kind = F.when(F.col("resname").isin("GLY", "ALA"), "amino").when(F.col("resname") == "MSE", "modified").otherwise("other")
+    nth = T.nth_residue(T.residues(atoms.withColumn("cls", kind)))
+    spots = nth.filter("nth % 7 = 3").select(F.concat_ws("/", "pdb_id", "chain", F.col("nth").cast("string")).alias("spot"), "pdb_id", "chain", "nth")
+    return E.site_residues(spots, nth, 0).select("spot", "nth", "residx", "resname")
+
+
+EVIDENCE_SQL = """
+e as (select 'o' || l_orderkey as seq_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)::int as rank, l_partkey, l_linestatus as st, l_returnflag as flag,
+  round(l_discount * 100 - 2, 6) as isol, round(l_tax * 100 - 3, 6) as biol, l_quantity as asym, l_quantity - 5 as heat, l_discount * 10 as lo, l_extendedprice / 100 as hi from lineitem)
+"""
+
+
+def _evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as evidence rows: an order is a site, a line a hit."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    l = table(spark, sf_dir, "lineitem").withColumn("rank", F.row_number().over(order))
+    own = {
+        "seq_id": F.concat(F.lit("o"), _text("l_orderkey")), "rank": F.col("rank"), "dataseries": F.col("l_linestatus"), "gene": F.col("l_returnflag"), "interface": F.col("l_returnflag"), "entry": F.concat(F.lit("o"), _text("l_orderkey"), F.lit("_"), _text("rank")),
+        "isol_asa": F.col("l_linestatus"), "isol_asa_avg": F.round(F.col("l_discount") * 100 - 2, 6), "biol_asa_avg": F.round(F.col("l_tax") * 100 - 3, 6), "asym_asa_avg": F.col("l_quantity"),
+        "isol_asa_poi_min": F.round(F.col("l_discount") * 100 - 2, 6), "isol_asa_poi_max": F.col("l_quantity"), "tempf_avg": F.col("l_quantity") - 5, "tempf_file_min": F.col("l_discount") * 10, "tempf_file_max": F.col("l_extendedprice") / 100,
+        "pdbcode": F.concat(F.lit("p"), _text("l_partkey")), "poi_chain": F.col("l_returnflag"), "align_score": F.col("l_quantity"),
+    }
+    number = {"bitscore", "identity", "r_free", "resolution", "interface_asa_delta", *[f"{c}_asa_{k}" for c in E.CONTEXTS for k in ("avg", "poi_min", "poi_max")]}
+    rest = {c: F.lit(None).cast("double" if c in number else "string") for c in E.EVIDENCE if c not in own}
+    return l.select(*[(own | rest)[c].alias(c) for c in E.EVIDENCE])
+
+
+@query(f"""
+with {EVIDENCE_SQL},
+v as (select seq_id, flag, count(*) n from e group by 1, 2), w as (select seq_id, st, count(*) n from e group by 1, 2),
+v2 as (select seq_id, string_agg(flag, '/' order by flag) interface from (select *, max(n) over (partition by seq_id) m from v) where n = m group by 1),
+w2 as (select seq_id, string_agg(st, '/' order by st) decision from (select *, max(n) over (partition by seq_id) m from w) where n = m group by 1),
+g as (select seq_id, case when min(st) = max(st) then min(st) end dataseries, arg_min(flag, rank) gene, count(*) n_structures, round(avg(case when isol >= 0 then isol end), 6) isol_asa_avg, round(avg(case when biol >= 0 then biol end), 6) biol_asa_avg,
+  round(coalesce(greatest(max(case when isol >= 0 then isol end), max(case when asym >= 0 then asym end)) - least(min(case when isol >= 0 then isol end), min(case when asym >= 0 then asym end)), 0), 6) poi_delta,
+  round(coalesce(avg(case when abs(heat) >= 1e-5 then heat end), 0), 6) tempf_poi_avg, round(coalesce(avg(case when lo >= 1e-4 and hi >= 1e-4 and hi - lo >= 1e-4 then (heat - lo) * 100 / (hi - lo) end), -1), 6) tempf_score,
+  string_agg(rank::varchar, ',' order by rank) blast_ranks, round(coalesce(avg(case when isol >= 0 then isol end), avg(case when biol >= 0 then biol end), avg(asym)), 6) asa_avg, arg_min('p' || l_partkey || ':' || flag, rank) pymol, round(avg(asym), 6) align_avg from e group by 1)
+select g.*, interface, decision, 'o' || case when n_structures = 1 then substring(seq_id, 2) || '_1' else substring(seq_id, 2) end entry, -1.0::double iupred from g join v2 using (seq_id) join w2 using (seq_id)
+""")
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grouped report over lines of orders: votes, lists, means, the preferred area and the temperature score."""
+    r = E.report(_evidence_rows(spark, sf_dir))
+    rounded = {c: F.round(c, 6) for c in ("isol_asa_avg", "biol_asa_avg", "tempf_poi_avg", "tempf_score", "asa_avg", "align_avg")}
+    r = r.withColumns(rounded | {"poi_delta": F.round("isol_asa_poi_delta", 6), "decision": F.col("isol_asa_decision"), "blast_ranks": F.array_join(F.col("blast_ranks").cast("array<string>"), ",")})
+    return r.select("seq_id", "dataseries", "gene", "n_structures", "interface", "decision", "entry", "blast_ranks", "pymol", "iupred", "poi_delta", *rounded)
+
+
+@query("""
+with h as (select o_orderkey entry_id, o_totalprice b from orders where o_orderkey % 3 > 0), e as (select l_orderkey entry_id, max(l_quantity) ba, count(distinct l_partkey) ns,
+  array_to_string(list_sort(list_distinct(list(l_linestatus))), '/') acc, array_to_string(list_sort(list_distinct(list('p' || l_partkey))), ',') st from lineitem group by 1)
+select 'o' || o_orderkey entry_id, case when b is null then 0 else 1 end::bigint n_hits, coalesce(b, -1.0) best_bitscore, case when b >= 150000 then 'yes' else 'no' end bitscore_pass, coalesce(ns, 0) n_structures, ba best_alignment, coalesce(acc, '') accessible, coalesce(st, '') structures
+from orders left join h on o_orderkey = h.entry_id left join e on o_orderkey = e.entry_id
+""")
+def overview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One summary row an order, those without hits or evidence included."""
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), _text("o_orderkey")).alias("entry_id"), "o_orderkey", "o_totalprice")
+    hits = o.filter("o_orderkey % 3 > 0").select(F.col("entry_id").alias("query_id"), F.col("o_totalprice").alias("bitscore"))
+    return E.overview(o, hits, _evidence_rows(spark, sf_dir), 150_000.0)
+
+
+def _attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user with attributes as of a header; one is named like a report column."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    header = F.concat(F.lit("u"), _text("user_id"), F.lit("|KIND:"), "event_type", F.lit("|HALF:"), F.floor(F.col("user_id") / 2).cast("string"), F.when(k % 3 == 0, F.concat(F.lit("|GENE:g"), k.cast("string"))).otherwise(""))
+    return e.select("user_id", H.custom_values(header).alias("custom"))
+
+
+@query("""
+with g as (select user_id, case when min(event_type) = max(event_type) then min(event_type) end kind, (user_id // 2)::varchar half from events group by 1, 3)
+select user_id, kind as "KIND", half as "HALF" from g
+""")
+def custom_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes of headers grouped by user, and made columns."""
+    maps, _ = G.typed_map_group(_attributes(spark, sf_dir), ["user_id"], "custom", E.TAKEN)
+    return E.with_custom_columns(maps).select("user_id", "KIND", "HALF")
+
+
+@query("select 'GENE' as name, count(*) n from events where event_id % 3 = 0")
+def custom_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes that are named like a report column."""
+    return E.custom_clashes(_attributes(spark, sf_dir).withColumnRenamed("user_id", "seq_id"))
+
+
+@query("select conv_id, turn, array_to_string(list(role) over w, ',') before from conversations window w as (partition by conv_id order by turn rows between 2 preceding and current row)")
+def neighbours_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A turn and the two before it."""
+    n = T.neighbours_in_order(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", -3, "role")
+    return n.select("conv_id", "turn", F.array_join("role_near", ",").alias("before"))
+
+
+@query(f"""
+with {ATOMS_SQL}
+select event_id, 'A' as mode, case when resname = 'MSE' then 'MET' else resname end resname, case when resname = 'MSE' and cls = 'modified' then 'amino' else cls end cls from a
+union all select event_id, 'N', resname, cls from a
+""")
+def modified_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modified residues with all of their atoms, and left as they are."""
+    a = _atoms(spark, sf_dir)
+    parts = [T.convert_modified(a, mode).withColumn("mode", F.lit(mode)).select("event_id", "mode", "resname", "cls") for mode in "AN"]
+    return parts[0].unionByName(parts[1])
+
+
+# Containers of structure files.
+
+
+@query(f"with {ATOMS_SQL} select file, count(*) n, round(sum(round(v, 3)), 2) + 0.0 x, count(*) filter (chain = 'B') n_b from a where file in ('F001', 'F004', 'F007') group by 1")
+def structure_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structures written into containers; the atoms of three of them read back by name."""
+    path = _place(spark)
+    lines = sinks.structure_lines(_atoms(spark, sf_dir).withColumn("serial", F.col("serial") % 100_000), ["file"])
+    R.write_containers(R.texts_of(lines, "file"), path)
+    back = R.atoms(R.container_lines(spark, path, ["F001", "F004", "F007", "none"]))
+    return back.groupBy("file").agg(F.count("*").alias("n"), (F.round(F.sum("x"), 2) + 0.0).alias("x"), F.count_if(F.col("chain") == "B").alias("n_b"))
+
+
+@query(f"""
+with {ATOMS_SQL} select file || '_1' assembly_id, 2 * count(*) atoms, 2::bigint models, 2::bigint chain_ends, 1::bigint ends from a where chain = 'B' group by 1
+""")
+def assembly_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure text of the copies of one chain in an assembly, written into containers."""
+    path, a = _place(spark), _atoms(spark, sf_dir).withColumn("serial", F.col("serial") % 100_000)
+    moves = [[[1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]], [[0.0, -1.0, 0.0, 1.0], [1.0, 0.0, 0.0, 5.0], [0.0, 0.0, 1.0, -2.5]]]
+    matrices = F.array(*[F.array(*[F.array(*map(F.lit, r)) for r in m]) for m in moves])
+    plan = a.select("pdb_id").distinct().select("pdb_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("num"), F.array(F.lit("A"), F.lit("B")).alias("chains"), matrices.alias("matrices"))
+    lines = sinks.assembly_lines(X.assembly_copies(a, plan), chains=["B"], numbers=[1])
+    R.write_containers(R.texts_of(lines, "assembly_id"), path)
+    kind = F.trim(F.substring("line", 1, 6))
+    back = R.container_lines(spark, path).groupBy(F.col("file").alias("assembly_id"))
+    return back.agg(F.count_if(kind == "ATOM").alias("atoms"), F.count_if(kind == "MODEL").alias("models"), F.count_if(kind == "TER").alias("chain_ends"), F.count_if(kind == "END").alias("ends"))
+
+
+@query("""
+select 'c' || c_custkey || '.asa' as file, case when c_custkey % 2 = 0 then 'Convert' else 'None' end modifications, (c_custkey % 7)::int n_modified, round(abs(c_acctbal) % 100, 2) + 0.0 area from customer
+""")
+def area_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of areas that were computed before: their remarks, and the area in the column of the temperature factor."""
+    path, c = _place(spark), table(spark, sf_dir, "customer")
+    atom = {"rec": F.lit("ATOM"), "serial": F.lit(1), "atom_name": F.lit("CA"), "altloc": F.lit(""), "resname": F.lit("GLY"), "chain": F.lit("A"), "resnum": F.lit(1), "icode": F.lit(""), "x": F.lit(1.0), "y": F.lit(2.0), "z": F.lit(3.0), "occ": F.lit(1.0), "b": F.abs("c_acctbal") % 100, "segid": F.lit(""), "element": F.lit("C"), "charge": F.lit("")}
+    mode = F.concat(F.lit("REMARK   1 MODIFICATION MODE: "), F.when(F.col("c_custkey") % 2 == 0, "Convert").otherwise("None"))
+    number = F.concat(F.lit("REMARK   1 NUMBER OF MODIFIED RESIDUES: "), (F.col("c_custkey") % 7).cast("string"))
+    text = c.withColumns(atom).select(F.concat(F.lit("c"), _text("c_custkey"), F.lit(".asa")).alias("file"), F.concat_ws("\n", mode, number, sinks.atom_line()).alias("value"))
+    R.write_containers(text, path)
+    areas, notes = R.area_files(R.container_lines(spark, path))
+    return areas.join(notes, "file").select("file", "modifications", "n_modified", (F.col("area") + 0.0).alias("area"))
+
+
+@query(AREA_SQL + "select label::varchar as file, res_id, round(case when sum(sa) = 0 then 0 else sum(asa) * 100 / sum(sa) end, 4) area from a where label >= 3 group by 1, 2")
+def unfinished_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residue areas of all structures but those that are done."""
+    p = _points(spark, sf_dir).withColumns({"file": F.col("label").cast("string"), "model": F.lit(0), "atom_name": F.lit("CA")})
+    done = p.filter("label < 3").select("file").distinct()
+    rows, _ = X.batch_areas(p, done, POINTS, max_radius=2.0, atom="vec_id", residue="res_id")
+    return rows.select("file", "res_id", F.round("area", 4).alias("area"))
+
+
+@query("select n_nationkey::int nation, (length(n_name) + 1)::bigint length from nation")
+def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text files of a folder of folders, by name and size."""
+    path = _place(spark)
+    table(spark, sf_dir, "nation").select("n_nationkey", "n_name").repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    files = fasta.folder(spark, path + "/*", "part-*.txt")
+    return files.select(F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("int").alias("nation"), "length")

@@ -41,7 +41,7 @@ def sequences(spark: SparkSession, path, join_lines: bool = True, glob: str | No
 
 def headers(spark: SparkSession, path) -> DataFrame:
     """Header lines only."""
-    return spark.read.text(path).filter(F.startswith("value", F.lit(">"))).select(F.substring("value", 2, 10_000_000).alias("header"))
+    return spark.read.text(path).filter(F.startswith("value", F.lit(">"))).select(F.col("value").substr(F.lit(2), F.length("value")).alias("header"))
 
 
 def count_records(spark: SparkSession, path) -> int:
@@ -123,7 +123,7 @@ def annotations(spark: SparkSession, path) -> DataFrame:
     until = F.coalesce(F.array_position(F.transform("all_", lambda x: F.startswith(x, F.lit("ATOM "))), F.lit(True)), F.lit(0))
     head = F.when(until > 0, F.slice("all_", F.lit(1), until.cast("int") - 1)).otherwise(F.col("all_"))
     notes = F.filter(head, lambda x: F.startswith(x, F.lit("REMARK 69  ")))
-    fields = F.flatten(F.transform(notes, lambda x: F.split(F.substring(x, 21, 10_000_000), ",")))
+    fields = F.flatten(F.transform(notes, lambda x: F.split(F.substring(x, F.lit(21), F.length(x)), ",")))
     pairs = F.filter(F.transform(fields, lambda c: F.struct(F.trim(F.substring_index(c, ":", 1)).alias("k"), F.filter(F.transform(F.split(F.substring(c, F.instr(c, ":") + 1, F.length(c)), ";"), lambda v: F.trim(v)), lambda v: v != "").alias("v"))), lambda p: p["k"] != "")
     rows = whole.select("path", "file", F.posexplode(pairs).alias("at_", "p_")).select("path", "file", "at_", "p_.k", "p_.v")
     sites = rows.filter(F.col("k").isin("PDBPOI", "PDBCLV")).select("path", "file", "at_", F.posexplode("v").alias("n_", "x_")).select("path", "file", "at_", F.concat(F.lit("POIRESIDUE_"), (F.col("n_") + 1).cast("string")).alias("k"), F.array("x_").alias("v"))
@@ -137,10 +137,10 @@ def folder(spark: SparkSession, path, glob: str = "*") -> DataFrame:
 
 
 def series(files: DataFrame, first: str) -> DataFrame:
-    """The files of a numbered series from a first file on: same stem and ending, one per number, by number."""
+    """The files of a numbered series from a first file on: same stem and ending, one per number (``series_no``, by which a reader sorts)."""
     stem = F.regexp_extract("file_name", r"^(.*?)(\d+)(\D*)$", 1)
     ending = F.regexp_extract("file_name", r"^(.*?)(\d+)(\D*)$", 3)
     of = lambda p: F.regexp_extract(F.lit(first), r"^(.*?)(\d+)(\D*)$", p)
     n = series_number(F.col("file_name"))
     rows = files.withColumn("series_no", n).filter((stem == of(1)) & (ending == of(3)) & (n >= of(2).cast("long")))
-    return first_of(rows, ["series_no"], [natural_key(F.col("file_name"))]).orderBy("series_no")
+    return first_of(rows, ["series_no"], [natural_key(F.col("file_name"))])

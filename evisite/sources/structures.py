@@ -6,6 +6,8 @@ column expressions over its lines.
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +25,56 @@ def _at(start: int, n: int) -> Column:
     return F.trim(F.substring("line", start, n))
 
 
-def atoms(lines: DataFrame) -> DataFrame:
-    """Atom rows of ``ATOM``/``HETATM`` lines with their model; lines whose coordinates don't parse are left out."""
+@contextlib.contextmanager
+def _packed(spark: SparkSession, bytes_: int):
+    """While it lasts, Spark reads files of ``bytes_`` together in one task, however many they are."""
+    names = {"spark.sql.files.maxPartitionBytes": str(bytes_), "spark.sql.files.openCostInBytes": str(max(1, bytes_ // 10_000)), "spark.sql.files.minPartitionNum": "1"}
+    before = {n: spark.conf.get(n, None) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    try:
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v) if v is not None else spark.conf.unset(n)
+
+
+def pack_files(spark: SparkSession, path, out: str, glob: str | None = None, bytes_: int = 128 << 20) -> None:
+    """Many small text files to a few containers: a Parquet table ``file, n_bytes, value`` in order of the file names.
+
+    Tasks and containers hold about ``bytes_`` each. The smallest and largest names of a container's row groups, and a Bloom filter,
+    are its index: a reader of some names opens only what may hold them.
+    """
+    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
+    with _packed(spark, bytes_):
+        found = reader.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("n_bytes"), "value")
+        write_containers(found, out, bytes_)
+
+
+def write_containers(texts: DataFrame, out: str, bytes_: int = 128 << 20, mode: str = "error") -> None:
+    """``file, value`` (one row a file) to containers of about ``bytes_``."""
+    rows = texts if "n_bytes" in texts.columns else texts.withColumn("n_bytes", F.octet_length("value").cast("long"))
+    total = texts.agg(F.coalesce(F.sum(F.col("n_bytes") if "n_bytes" in texts.columns else F.octet_length("value")), F.lit(0))).first()[0]
+    parts = max(1, -(-int(total) // bytes_))
+    options = {"parquet.block.size": str(max(1 << 20, bytes_ // 16)), "parquet.bloom.filter.enabled#file": "true"}
+    rows.select("file", "n_bytes", "value").repartitionByRange(parts, "file").sortWithinPartitions("file").write.options(**options).mode(mode).parquet(out)
+
+
+def container_lines(spark: SparkSession, path, names: list[str] | None = None) -> DataFrame:
+    """``file, line_no, line`` of all files of containers, or of those with some names."""
+    found = spark.read.parquet(path)
+    found = found.filter(F.col("file").isin(names)) if names is not None else found
+    return found.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+
+
+def texts_of(lines: DataFrame, key: str) -> DataFrame:
+    """``file, value``: the lines of each structure (``key, order_, value``) as one text."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order_", "value"))), lambda s: s["value"]), "\n")  # one structure's lines
+    return lines.groupBy(F.col(key).alias("file")).agg(whole.alias("value"))
+
+
+def coordinates(lines: DataFrame) -> DataFrame:
+    """All ``ATOM`` and ``HETATM`` lines in one pass: the columns of ``atoms``, the ``line``, and ``ok``, whether its coordinates parse."""
     opened = F.when(F.startswith("line", F.lit("MODEL ")), F.substring("line", 11, 4).try_cast("int"))
     order = Window.partitionBy("file").orderBy("line_no")
     coordinate = F.substring("line", 1, 6).isin("ATOM  ", "HETATM")
@@ -34,9 +84,14 @@ def atoms(lines: DataFrame) -> DataFrame:
         F.upper(F.regexp_extract("file", r"(?:pdb)?([0-9A-Za-z]{4})[^/]*$", 1)).alias("pdb_id"), "file", F.col("line_no").cast("long").alias("line_no"), _at(1, 6).alias("rec"),
         _at(7, 5).try_cast("int").alias("serial"), _at(13, 4).alias("atom_name"), _at(17, 1).alias("altloc"), _at(18, 3).alias("resname"), _at(22, 1).alias("chain"), _at(23, 4).try_cast("int").alias("resnum"),
         _at(27, 1).alias("icode"), *[_at(31 + 8 * k, 8).try_cast("double").alias(c) for k, c in enumerate("xyz")], _at(55, 6).try_cast("double").alias("occ"), _at(61, 6).try_cast("double").alias("b"),
-        _at(73, 4).alias("segid"), F.upper(_at(77, 2)).alias("element"), _at(79, 2).alias("charge"), "model",
+        _at(73, 4).alias("segid"), F.upper(_at(77, 2)).alias("element"), _at(79, 2).alias("charge"), "model", "line",
     )
-    return rows.filter("x is not null and y is not null and z is not null")
+    return rows.withColumn("ok", F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
+
+
+def atoms(lines: DataFrame) -> DataFrame:
+    """Atom rows of ``ATOM``/``HETATM`` lines with their model; lines whose coordinates don't parse are left out."""
+    return coordinates(lines).filter("ok").drop("line", "ok")
 
 
 def atom_rejects(lines: DataFrame) -> DataFrame:
@@ -117,7 +172,7 @@ def secondary_rejects(lines: DataFrame) -> DataFrame:
 def area_files(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Precomputed areas: atoms whose b column is the area, and per file the modification modes and count of its remarks."""
     remark = F.startswith("line", F.lit("REMARK"))
-    mode = F.regexp_extract("line", r"(?i)modif\w*[^:]*:\s*(.*)$", 1)
+    mode = F.when(F.col("line").rlike("(?i)number of modif"), "").otherwise(F.regexp_extract("line", r"(?i)modif\w*[^:]*:\s*(.*)$", 1))
     notes = lines.filter(remark).groupBy("file").agg(
         F.array_join(F.array_sort(F.collect_set(F.when(mode != "", F.trim(mode)))), ",").alias("modifications"),
         F.max(F.regexp_extract("line", r"(?i)number of modif\w*[^:]*:\s*(\d+)", 1).try_cast("int")).alias("n_modified"),
