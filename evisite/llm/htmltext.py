@@ -9,8 +9,9 @@ their share of stop words, and the container that they stand in. Pass one decide
 * *good*: blocks of ``SHORT`` characters or more inside an article, elsewhere long blocks that are rich in stop words.
 
 What remains is ambiguous: short blocks, and outside an article those of middling length or stop-word density. Pass two gives
-each the label of its nearest decided neighbours in the same container; an article's own borders count as good ones, and
-where both sides are equally near and differ, stop words, a heading before good text or the article decide.
+each the label of its nearest decided neighbours in the same container; text that stands aside by its tag, role or class is nobody's
+neighbour, and an article's own borders count as good ones. Where the sides differ, prose of middling density and headings before
+good text are good, the nearer side decides for others, and the article where both are equally near.
 
 Cases: null and empty pages, and pages without text, give an empty text. Tags, comments, scripts and attribute values that
 never end run to the end of the page. Repeated rows get equal results. Empty tables give empty results. Extra columns are
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from evisite.llm.common import byte_slices
 
-SHORT, LONG = 70, 200  # characters
-FEW, MANY = 0.15, 0.30  # stop words to words
+SHORT, LONG = 70, 140  # characters
+FEW, MANY = 0.08, 0.20  # stop words to words
 LINKED = 0.5  # characters of links to characters
 
 # Element names of the HTML standard, and common class words.
@@ -46,11 +47,12 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 SIDE_TAGS = frozenset("nav footer aside form menu dialog button select search".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 SIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner comment comments respond reply replies disqus cookie cookies consent gdpr notice alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar sidebar aside widget related recommended share sharing social newsletter subscribe signup login footer copyright skip".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner comment comments respond reply replies disqus discussion reactions feedback cookie cookies consent gdpr notice notification privacy paywall alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar sidebar aside widget related recommended share sharing social newsletter subscribe signup signin login search footer copyright skip outbrain taboola".split()
 )
+SIDE_STEMS = ("comments", "commentlist", "commentform", "sidebar", "advert", "adslot", "adsense", "adbox", "adunit", "cookie", "breadcrumb", "newsletter", "sponsor", "navbar")
 HEAD_WORDS = frozenset("header masthead topbar".split())
 NEGATIONS = frozenset("has no not with without is show hide".split())
-MAIN_WORDS = frozenset("article content post entry story".split())
+MAIN_WORDS = frozenset("article content post entry story main body text".split())
 STOP_WORDS = frozenset(
     "a an and are as at be but by for from had has have he her his i in is it its not of on or she that the their they this to was we were which will with you "
     "aber als am auf aus bei das dem den der des die ein eine einen einer er es für hat ich im ist mit nicht sich sie sind und von war wie wird zu zum zur "
@@ -80,7 +82,7 @@ def roles(name: str, attributes: str) -> tuple[bool, bool, int]:
             words = [w.lower() for w in CLASS_WORD.findall(one)]
             if words and words[0] not in NEGATIONS:
                 ends = {words[0], words[-1]}
-                aside = aside or bool(ends & SIDE_WORDS)
+                aside = aside or bool(ends & SIDE_WORDS) or any(w.startswith(SIDE_STEMS) for w in ends)
                 header = header or bool(ends & HEAD_WORDS)
                 main = main or int(words[-1] in MAIN_WORDS)
     return aside, header, main
@@ -132,7 +134,7 @@ class _Scan:
         blank = not text.strip()
         if top.aside:
             if not blank and not (self.blocks and self.blocks[-1].aside):
-                self.blocks.append(Block("", 0, False, -1 if top.level else 0, top.level, True))  # inside an article it is nobody's neighbour
+                self.blocks.append(Block("", 0, False, -1, top.level, True))  # nobody's neighbour
             return
         self.parts.append(text)
         if not blank:
@@ -289,10 +291,12 @@ def label(blocks: list[Block]) -> list[Block]:
             b.label = "good"  # nothing on the page is decided
         elif len({s for _, s in sides}) == 1:
             b.label = sides[0][1]
+        elif kinds[k] == "near" or b.heading and sides[1][1] == "good":
+            b.label = "good"
         elif sides[0][0] != sides[1][0]:
             b.label = min(sides)[1]
         else:
-            b.label = "good" if b.level or kinds[k] == "near" or b.heading and sides[1][1] == "good" else "bad"
+            b.label = "good" if b.level else "bad"
     return blocks
 
 

@@ -38,6 +38,9 @@ PROSE = "The water of the river was cold in the morning, and they went to the ot
         ("<article><p>a<p class='x", "a"),
         ("<article><p>a<script>never ends <p>b", "a"),
         ("<body class='has-sidebar'><div class='no-comments'><p>" + PROSE + "</p></div>", PROSE.strip()),
+        ("<article><p>x</p><ol class='commentlist'><li>" + PROSE + "</ol><div id='AdSlot3'>buy</div><div class='commentary'>y</div></article>", "x\ny"),
+        ("<div class='page-header'><p>Site</p></div><div id=content><p>Short.</p><p>" + PROSE + "</p><p>End.</p></div><div class=sidebar>" + PROSE + "</div>", "Short.\n" + PROSE.strip() + "\nEnd."),
+        ("<header><p>Site name</p></header><nav>a</nav><h1>Title</h1><p>" + PROSE + "</p><section class='reader-comments'><p>" + PROSE + "</p></section>", "Title\n" + PROSE.strip()),
     ],
 )
 def test_pages(page, text):
@@ -70,6 +73,16 @@ def test_whole_table(spark):
         assert (r.url, r.text, r.n_chars) == (pages[r.page_id].url, _plain(pages[r.page_id].html), len(r.text))
 
 
+def test_pages_without_article_marks(spark):
+    """The same pages with the article's tag taken away: whatever comes out is text of the article, and most of it comes out."""
+    got = want = both = 0
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        whole = _plain(r.html).split("\n")
+        found = main_text(re.sub("<(/?)(article|nav|footer)>", r"<\1div>", r.html)).split("\n")
+        got, want, both = got + len(found), want + len(whole), both + sum(min(found.count(x), whole.count(x)) for x in set(whole))
+    assert both >= 0.98 * got and both >= 0.85 * want
+
+
 def test_linear_time():
     """Unclosed tags, quotes, comments and long texts in time that grows with the page."""
     for page in ("<b>" * 200_000 + "</i>" * 200_000, "<a =\"" * 200_000, "<!-" * 300_000, "<p><b>" * 100_000, "<table>" + "<b>" * 50_000 + "<div></div>" * 50_000, "<li>x" * 100_000, "<article><p>" + "word " * 500_000):
