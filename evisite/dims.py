@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 AMINO = {
@@ -64,11 +64,3 @@ def literal_map(table: dict) -> Column:
 def lookup(table: dict, key: Column) -> Column:
     """The value of a key in a small fixed table, or null."""
     return F.try_element_at(literal_map(table), key)
-
-
-def residue_classes(spark: SparkSession) -> DataFrame:
-    """``resname, cls, aa1, ptm, parent``: every known residue name."""
-    rows = [(n, "amino", a, None, None) for n, a in AMINO.items()] + [(n, "nucleic", a, None, None) for n, a in NUCLEIC.items()]
-    rows += [(n, "modified", AMINO[p], kind, p) for kind, group in MODIFICATIONS.items() for n, p in group.items()]
-    rows += [(n, cls, None, None, None) for cls, names in (("ion", IONS), ("other", OTHER), ("water", WATER)) for n in names]
-    return spark.createDataFrame(rows, "resname string, cls string, aa1 string, ptm string, parent string")

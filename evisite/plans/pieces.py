@@ -858,3 +858,28 @@ def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "nation").select("n_nationkey", "n_name").repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
     files = fasta.folder(spark, path + "/*", "part-*.txt")
     return files.select(F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("int").alias("nation"), "length")
+
+
+@query("""
+with c as (select c_custkey, c_custkey % 20 as shift from customer),
+p as (select c_custkey, unnest([2, 5, 9, 14]) off from c),
+h as (select p.c_custkey, off, o_orderkey, o_totalprice, row_number() over (partition by p.c_custkey, off order by o_orderkey) rank from p join orders on o_custkey = p.c_custkey)
+select 'e' || c_custkey || '_' || off || '_' || rank row_id, 'F' || c_custkey || '/A/' || (off + 5) spot, 100 align_score, 20 n_residues, rank::int as rank from h where o_totalprice >= 100000
+""")
+def located_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites with the residue of each hit's chain that their aligned window names, weak hits left out; a customer is a structure of
+    twenty different residues, its orders are the hits of four sites."""
+    names = {v: k for k, v in reversed(T.AMINO.items())}
+    order = sorted(set(T.AMINO.values()))
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    at = c.select("c_custkey", F.posexplode(F.array(*map(F.lit, order * 2))).alias("n", "aa1")).filter((F.col("n") >= F.col("c_custkey") % 20) & (F.col("n") < F.col("c_custkey") % 20 + 20))
+    res = at.select(
+        F.concat(F.lit("F"), _text("c_custkey")).alias("pdb_id"), F.concat(F.lit("F"), _text("c_custkey")).alias("file"), F.lit(0).alias("model"), F.lit("A").alias("chain"), F.col("n").alias("residx"), F.col("n").alias("resnum"),
+        F.lit("").alias("icode"), T.lookup(names, F.col("aa1")).alias("resname"), "aa1", F.lit("amino").alias("cls"), F.lit("ATOM").alias("rec"), F.lit(True).alias("primary"),
+    )
+    cut = F.substring(F.lit("".join(order * 2)), (F.col("c_custkey") % 20 + F.col("off") + 1).cast("int"), (20 - F.col("off")).cast("int"))
+    site = c.select("c_custkey", F.explode(F.array(*map(F.lit, (2, 5, 9, 14)))).alias("off")).select("c_custkey", F.concat_ws("_", F.concat(F.lit("e"), _text("c_custkey")), _text("off")).alias("entry_id"), cut.alias("plain"), F.lit(5).alias("poi"))
+    ranked = P.rank_hits(site.join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey")), "entry_id", ["o_orderkey"])
+    hits = ranked.select(F.col("entry_id").alias("query_id"), F.concat(F.lit("F"), _text("c_custkey")).alias("pdb_id"), F.lit("A").alias("chain"), F.col("o_totalprice").alias("bitscore"), "rank")
+    return E.located(site.drop("c_custkey"), hits, res, 100_000.0, 70, None, 1).select("row_id", "spot", "align_score", "n_residues", "rank")
+
