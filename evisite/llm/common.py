@@ -96,6 +96,13 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+def low_hash(key, wanted, total) -> F.Column:
+    """Whether a 64-bit hash is so low that about four times ``wanted`` of ``total`` rows are: a test before a ranking by hash, so that
+    what is ranked doesn't grow with the number of tasks. All rows pass where there are few."""
+    share = F.least(F.lit(1.0), 4.0 * wanted / F.greatest(total, F.lit(1)))
+    return key.cast("double") <= F.lit(-(2.0**63)) + share * F.lit(2.0**64)
+
+
 def text_key(text) -> F.Column:
     """128 bits of SHA-256 of a text, as 16 bytes."""
     return F.unhex(F.substring(F.sha2(F.encode(text, "utf-8"), 256), 1, 32))

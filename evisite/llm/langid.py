@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evisite.llm.common import fresh, low_hash
+
 STEPS, LEAD = 128, 16  # bytes of a window that count, and bytes on both sides that only lead in
 ROWS = 2048  # windows that step together
 
@@ -209,13 +211,21 @@ def fit(docs: DataFrame, per_language: int = 400, window_chars: int = 600, id_co
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "piece"))
     key = F.xxhash64(F.lit(5), F.col(id_col))
     start = F.pmod(F.xxhash64(F.lit(6), F.col(id_col)), F.greatest(F.lit(1), F.length(text) - window_chars)).cast("int") + 1
-    sample = (
-        docs.filter(text.isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col) & text.rlike(r"\p{L}"))
-        .select(F.col(lang_col).cast("string").alias("lang"), key.alias("key"), text.substr(start, F.lit(window_chars)).alias("piece"))
-        .withColumn("rank", rank)
-        .filter(F.col("rank") <= per_language)
-    )
-    rows = sorted(sample.collect(), key=lambda r: (r.lang, r.rank))
+    labelled = docs.filter(F.col(lang_col).isNotNull() & ~held_out(id_col)).withColumn(known := fresh(docs, "known"), F.col(lang_col).cast("string"))
+    sizes = labelled.groupBy(F.col(known).alias("lang")).agg(F.count(F.lit(1)).alias("total"))
+    worded = labelled.filter(text.isNotNull() & text.rlike(r"\p{L}")).select(F.col(known).alias("lang"), key.alias("key"), text.substr(start, F.lit(window_chars)).alias("piece"))
+
+    def first(rows: DataFrame) -> list:
+        return rows.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("lang", "rank", "piece").collect()
+
+    total = {r.lang: r.total for r in sizes.collect()}  # the classes of the model
+    if not total:
+        return None
+    of = F.try_element_at(F.create_map(*[F.lit(x) for pair in total.items() for x in pair]), F.col("lang"))
+    rows = first(worded.filter(low_hash(F.col("key"), per_language, of)))
+    if any(sum(r.lang == lang for r in rows) < min(per_language, n) for lang, n in total.items()):
+        rows = first(worded)  # many rows of a language have no letter
+    rows = sorted(rows, key=lambda r: (r.lang, r.rank))
     if not rows:
         return None
     model = BiGru(sorted({r.lang for r in rows}))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evisite.llm.boost import BoostedTrees
-from evisite.llm.common import byte_slices, fresh
+from evisite.llm.common import byte_slices, fresh, low_hash
 
 BYTES = 1_000_000  # of texts searched at once
 KINDS = ["email", "ip", "card", "phone"]
@@ -279,7 +279,10 @@ def fit(docs: DataFrame, sample_docs: int = 300, window_chars: int = 20_000, tex
     text = F.col(text_col)
     start = F.pmod(F.xxhash64(F.lit(4), text), F.greatest(F.lit(1), F.length(text) - window_chars)).cast("int") + 1
     hashed = docs.filter(text.rlike("@|[0-9]{4}")).withColumn(h := fresh(docs, "h"), F.xxhash64(F.lit(3), text))
-    last = hashed.select(h).distinct().orderBy(h).limit(sample_docs).agg(F.max(h)).first()[0]  # hashes travel, texts don't
+    hashes, total = hashed.select(h).distinct(), F.lit(docs.count())
+    ends = lambda rows: rows.orderBy(h).limit(sample_docs).agg(F.max(h).alias("last"), F.count(F.lit(1)).alias("n")).first()  # noqa: E731  hashes travel, texts don't
+    found = ends(hashes.filter(low_hash(F.col(h), 10 * sample_docs, total)))
+    last = found.last if found.n == sample_docs else ends(hashes).last  # else few texts are searched
     rows = hashed.filter(F.col(h) <= F.lit(last)).select(F.col(h).alias("h"), text.substr(start, F.lit(window_chars)).alias("t")).dropDuplicates(["h"]).collect()
     x, y = examples([r.t for r in sorted(rows, key=lambda r: r.h)])
     return BoostedTrees().fit(x, y, x[:, 0].astype(int))
