@@ -33,8 +33,10 @@ from evisite.llm.common import components, settle
 LIMIT = 1000  # nodes of a block
 CELL = 250  # nodes that a centre is meant for
 SAMPLE = 2048
-DEGREE, NEAR, ALPHA, BEAM = 16, 48, 1.2, 32
+DEGREE, NEAR, ALPHA, BEAM, WIDE = 16, 48, 1.2, 16, 8
 ROUNDING = 1e-9
+EDGES = 500_000  # edges followed one by one
+SINGLE = 1e-4  # above the error of a cosine in single precision
 
 
 def kmeans(x: np.ndarray, k: int, turns: int = 6, seed: int = 1) -> np.ndarray:
@@ -100,44 +102,53 @@ def confirmed(x: np.ndarray, q: np.ndarray, near: np.ndarray, least: float) -> n
 def range_search(x: np.ndarray, lists: list[np.ndarray], q: np.ndarray, least: float, own: list[np.ndarray] | None = None, beam: int = BEAM) -> np.ndarray:
     """Which rows of ``x`` each query finds at a cosine of ``least`` or more, by greedy, range-expanding search from the
     medoids of the graph's parts and, for queries that are nodes, from their ``own`` adjacency lists."""
-    n = len(x)
+    n, x4, q4 = len(x), x.astype(np.float32), q.astype(np.float32)  # single precision leads the search
     sizes = np.array([len(v) for v in lists])
     flat = np.concatenate(lists).astype(np.int64) if sizes.sum() else np.zeros(0, np.int64)
     start = np.cumsum(sizes) - sizes
     part = roots(n, np.repeat(np.arange(n), sizes), flat)
-    sim, known, done = np.full((len(q), n), -2.0), np.zeros((len(q), n), bool), np.zeros((len(q), n), bool)
+    sim, known = np.full((len(q), n), -2, np.float32), np.zeros((len(q), n), bool)
     for p in np.unique(part):
         of = np.flatnonzero(part == p)
         medoid = of[int((x[of] @ x[of].mean(axis=0)).argmax())]
-        sim[:, medoid], known[:, medoid] = q @ x[medoid], True
+        sim[:, medoid], known[:, medoid] = q4 @ x4[medoid], True
     if own is not None:
         qs, vs = np.repeat(np.arange(len(q)), [len(v) for v in own]), np.concatenate(own).astype(np.int64)
-        sim[qs, vs], known[qs, vs] = np.einsum("ij,ij->i", q[qs], x[vs]), True
-    beam = min(beam, n)
-    active = np.arange(len(q))
+        sim[qs, vs], known[qs, vs] = np.einsum("ij,ij->i", q4[qs], x4[vs]), True
+    beam, wide, near = min(beam, n), min(WIDE, n), np.float32(least - SINGLE)
+    open_, active, adjacent = sim.copy(), np.arange(len(q)), None
+    bound = np.minimum(near, np.partition(sim, n - beam, axis=1)[:, n - beam])
     while len(active):
-        s = sim[active]
-        bound = np.minimum(least, np.partition(s, n - beam, axis=1)[:, n - beam])
-        open_ = np.where(known[active] & ~done[active], s, -2.0)
-        pick = open_ >= least
-        best = open_.argmax(axis=1)
-        top = np.take_along_axis(open_, best[:, None], 1)[:, 0]
-        go = (top > -2) & (top >= bound)
-        pick[np.flatnonzero(go), best[go]] = True
+        # The best open nodes among the nearest ``beam``, and all open nodes in range.
+        s = open_[active]
+        best = np.argpartition(s, n - wide, axis=1)[:, n - wide :]
+        value = np.take_along_axis(s, best, 1)
+        pick = s >= near
+        r, c = np.nonzero((value > -2) & (value >= bound[active][:, None]))
+        pick[r, best[r, c]] = True
         r, v = np.nonzero(pick)
-        active_now = active[r]
-        done[active_now, v] = True
+        rows = active[r]
+        open_[rows, v] = -2
         step = sizes[v]
-        to = flat[np.repeat(start[v] - (np.cumsum(step) - step), step) + np.arange(int(step.sum()))]
-        key = np.unique(np.repeat(active_now, step) * n + to)
-        qs, vs = key // n, key % n
-        new = ~known[qs, vs]
-        qs, vs = qs[new], vs[new]
-        known[qs, vs] = True
+        if int(step.sum()) <= EDGES:
+            to = flat[np.repeat(start[v] - (np.cumsum(step) - step), step) + np.arange(int(step.sum()))]
+            qs = np.repeat(rows, step)
+        else:  # many nodes at once, as in a dense group: reached by a product with the graph's matrix
+            if adjacent is None:
+                adjacent = np.zeros((n, n), np.float32)
+                adjacent[np.repeat(np.arange(n), sizes), flat] = 1
+            qs, to = np.nonzero(pick.astype(np.float32) @ adjacent > 0)
+            qs = active[qs]
+        new = ~known[qs, to]
+        qs, to = qs[new], to[new]
+        known[qs, to] = True
         for k in range(0, len(qs), 100_000):
-            sim[qs[k : k + 100_000], vs[k : k + 100_000]] = np.einsum("ij,ij->i", q[qs[k : k + 100_000]], x[vs[k : k + 100_000]])
+            some = slice(k, k + 100_000)
+            sim[qs[some], to[some]] = open_[qs[some], to[some]] = np.einsum("ij,ij->i", q4[qs[some]], x4[to[some]])
         active = active[pick.any(axis=1)]
-    return confirmed(x, q, sim >= least - ROUNDING, least)
+        if len(active):
+            bound[active] = np.minimum(near, np.partition(sim[active], n - beam, axis=1)[:, n - beam])
+    return confirmed(x, q, sim >= near, least)
 
 
 def _unit(vectors) -> np.ndarray:

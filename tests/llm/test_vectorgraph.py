@@ -39,6 +39,16 @@ def test_search_equals_brute_force_in_a_shard():
     assert max(map(len, lists)) < 120
 
 
+def test_following_edges_by_a_product_changes_nothing(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(60, 12)), rng.normal(size=(1, 12)) + 0.05 * rng.normal(size=(90, 12))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lists, queries = vectorgraph.robust_prune(x), x[::2]
+    one = vectorgraph.range_search(x, lists, queries, 0.9, lists[::2])
+    monkeypatch.setattr(vectorgraph, "EDGES", 3)
+    assert (vectorgraph.range_search(x, lists, queries, 0.9, lists[::2]) == one).all() and one.sum() > 2000
+
+
 @pytest.mark.parametrize("limit", [40, 1000])
 def test_whole_operator(spark, monkeypatch, limit):
     monkeypatch.setattr(vectorgraph, "LIMIT", limit)
