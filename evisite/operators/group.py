@@ -76,6 +76,19 @@ def _winners(counted: Column, top: Column, sep: str) -> Column:
     return F.array_join(F.array_sort(F.transform(F.filter(counted, lambda s: s["n"] == top), lambda s: s["v"])), sep)
 
 
+def _most_frequent(values: Column, sep: str = "/") -> Column:
+    """The most frequent of collected values, ties sorted and joined, in one pass over them in order; null where there are none."""
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("top"), none.alias("won"))
+
+    def step(s: Column, v: Column) -> Column:
+        run = F.when(v == s["last"], s["run"] + 1).otherwise(1)
+        won = F.when(run > s["top"], F.array(v)).when(run == s["top"], F.array_append(s["won"], v)).otherwise(s["won"])
+        return F.struct(v.alias("last"), run.alias("run"), F.greatest(run, s["top"]).alias("top"), won.alias("won"))
+
+    return F.when(F.size(values) > 0, F.aggregate(F.array_sort(values), start, step, lambda s: F.array_join(s["won"], sep)))
+
+
 def _of(n: int):
     return lambda s: s["at"] == n
 
@@ -90,8 +103,9 @@ def vote(df: DataFrame, keys: list[str], col: str, out: str, sep: str = "/") ->
 def typed_group(df: DataFrame, keys: list[str], spec: list[tuple[str, str, list[str]]], order_by="rank", strict: bool = False) -> DataFrame:
     """``spec``: (output column, aggregate, input columns); the output is in this order after the keys.
 
-    The input is read once. Where columns are voted on, each row becomes itself and a (number of the column, value) row for
-    each; the first group-by counts the values beside the other aggregates, the second picks the winners of a group.
+    The input is read once. Where columns are voted on beside lists, which gather a group's values anyway, the values of the voted
+    columns are gathered too. Without lists groups may be of any size: each row becomes itself and a (number of the column, value)
+    row for each vote; the first group-by counts the values beside the other aggregates, the second picks the winners of a group.
     """
     plain = [aggregate(op, cols or [out], order_by, strict).alias(out) for out, op, cols in spec if op != "vote"]
     votes = {out: (cols or [out])[0] for out, op, cols in spec if op == "vote"}
@@ -99,6 +113,9 @@ def typed_group(df: DataFrame, keys: list[str], spec: list[tuple[str, str, list[
     if not votes:
         return df.groupBy(*keys).agg(*(plain or [F.count(F.lit(1)).alias("n_")])).select(*keys, *names)
     cast = {out: F.col(col).cast("string") for out, col in votes.items()}
+    if any(op == "list" for _, op, _ in spec):
+        gathered = df.groupBy(*keys).agg(*plain, *[F.collect_list(v).alias(out) for out, v in cast.items()])
+        return gathered.withColumns({out: _most_frequent(F.col(out)) for out in votes}).select(*keys, *names)
     ballots = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("v")), *[F.struct(F.lit(n).alias("at"), v.alias("v")) for n, v in enumerate(cast.values())])
     rest = [c for c in df.columns if c not in keys]
     rows = df.withColumn("b_", F.explode(F.filter(ballots, lambda b: (b["at"] < 0) | b["v"].isNotNull())))
