@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evisite.llm.common import components, settle
+from evisite.llm.common import components, low_hash, settle
 
 LIMIT = 1000  # nodes of a block
 CELL = 250  # nodes that a centre is meant for
@@ -160,7 +160,8 @@ def _split(cells: DataFrame, sizes: DataFrame, margin: float, depth: int, least:
     """Members of oversize cells to child cells; ``cells``: (cell, node, vec)."""
     order = Window.partitionBy("cell").orderBy(F.xxhash64("node", F.lit(depth)), "node")
     big = cells.join(sizes, "cell")
-    sample = big.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE)
+    some = big.filter(low_hash(F.xxhash64("node", F.lit(depth)), SAMPLE, F.col("n")))
+    sample = some.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE)
 
     def centres(pdf: pd.DataFrame) -> pd.DataFrame:
         x = _unit(pdf.sort_values("rank")["vec"])
@@ -228,9 +229,9 @@ def links(nodes: DataFrame, least: float, margin: float, beam: int = BEAM, exact
     graph = members.groupBy("cell", "block").applyInPandas(built, "node long, near array<long>")
     united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # at most DEGREE-bounded lists of a node's few shards
     full = settle(members.join(united, "node").join(homes, "node").join(nodes.select("node", "copies"), "node"))
-    # A node is a target in its block for the queries of every block, and a query to every block of its cell.
-    asked = full.select("cell", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "node", "vec", "near", "cells", "copies", "blocks", F.lit(True).alias("query"))
-    target = full.filter("blocks > 1").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("block").alias("j"), "node", "vec", "near", "cells", "copies", "blocks", F.lit(False).alias("query")).filter("i <> j")
+    # A node is a query to its own block and to all later ones of its cell, and a target for the queries of all earlier blocks.
+    asked = full.select("cell", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), "node", "vec", "near", "cells", "copies", "blocks", F.lit(True).alias("query"))
+    target = full.filter("block > 0").select("cell", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), "node", "vec", "near", "cells", "copies", "blocks", F.lit(False).alias("query"))
 
     def searched(pdf: pd.DataFrame) -> pd.DataFrame:
         cell, same = pdf["cell"].iloc[0], pdf["i"].iloc[0] == pdf["j"].iloc[0]
@@ -255,12 +256,12 @@ def links(nodes: DataFrame, least: float, margin: float, beam: int = BEAM, exact
         for k in np.flatnonzero(many):
             common = sets[b[k]]
             ours[k] = next(c for c in cells_q[a[k]] if c in common) == cell
-        count = np.zeros(len(q), np.int64)
-        np.add.at(count, a[ours], t["copies"].to_numpy()[b[ours]])
         ids = np.unique(np.concatenate([ids_q, ids_t]))
         r = ids[roots(len(ids), np.searchsorted(ids, ids_q[a]), np.searchsorted(ids, ids_t[b]))]
         n = np.zeros(len(ids), np.int64)
-        n[np.searchsorted(ids, ids_q)] = count
+        np.add.at(n, np.searchsorted(ids, ids_q[a[ours]]), t["copies"].to_numpy()[b[ours]])
+        if not same:  # the targets of other blocks don't ask back
+            np.add.at(n, np.searchsorted(ids, ids_t[b[ours]]), q["copies"].to_numpy()[a[ours]])
         return pd.DataFrame({"node": ids, "n": n, "root": r})
 
     found = settle(asked.unionByName(target).groupBy("cell", "i", "j").applyInPandas(searched, "node long, n long, root long"))
@@ -269,7 +270,8 @@ def links(nodes: DataFrame, least: float, margin: float, beam: int = BEAM, exact
 
 def audit(nodes: DataFrame, counts: DataFrame, least: float, sample: int = 1000) -> float:
     """Mean recall of the nodes of a hashed sample that have links, against brute force over all nodes."""
-    rows = nodes.orderBy(F.xxhash64("node", F.lit(4)), "node").limit(sample).collect()  # bounded by ``sample``
+    key = F.xxhash64("node", F.lit(4))
+    rows = nodes.filter(low_hash(key, sample, F.lit(nodes.count()))).orderBy(key, "node").limit(sample).collect()  # bounded by ``sample``
     by: dict = {}
     for r in rows:
         by.setdefault((r.label, len(r.vec)), []).append(r)
