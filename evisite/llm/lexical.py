@@ -48,6 +48,11 @@ def _bytes(texts: pa.Array) -> list[bytes]:
     return [t or b"" for t in texts.cast(pa.large_string()).cast(pa.large_binary()).to_pylist()]
 
 
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    joined = column.combine_chunks()
+    return joined if isinstance(joined, pa.Array) else pa.concat_arrays(joined.chunks)
+
+
 def _lists(values: list, sizes: list[int]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(values, pa.int32()))
 
@@ -160,11 +165,11 @@ class Best:
         return self.rows
 
 
-def _search(rows: DataFrame, ids: pa.Array, items: list[list[int]], weight: np.ndarray, n_docs: int, n_terms: int, k: int, item_type: str) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast((ids, tiles(items, weight), weight))
+def _search(rows: DataFrame, ids: pa.Array, copies: pa.Array, items: list[list[int]], weight: np.ndarray, n_docs: int, n_terms: int, k: int, item_type: str) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast((ids, copies, tiles(items, weight), weight))
 
     def found(batches):
-        names, tiled, weight = shared.value
+        names, copies, tiled, weight = shared.value
         best = Best(len(names), k)
         for batch in batches:
             size = np.diff(batch.column(2).offsets.to_numpy())
@@ -186,9 +191,9 @@ def _search(rows: DataFrame, ids: pa.Array, items: list[list[int]], weight: np.n
                         best.add(tile[0], score, no_id[low:high], doc_id[low:high])
                 at = to
         item, score, no_id, doc_id = best.settle()
-        yield pa.RecordBatch.from_arrays([pa.array(item), names.take(pa.array(item)), pa.array(doc_id, mask=no_id > 0), pa.array(score)], names=["item_no", "item_id", "doc_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(item), names.take(pa.array(item)), pa.array(doc_id, mask=no_id > 0), pa.array(score), copies.take(pa.array(item))], names=["item_no", "item_id", "doc_id", "score", "copies"])
 
-    return rows.mapInArrow(found, f"item_no long, item_id {item_type}, doc_id long, score long")
+    return rows.mapInArrow(found, f"item_no long, item_id {item_type}, doc_id long, score long, copies long")
 
 
 def rank(docs: DataFrame, items: DataFrame, k: int = 50, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -196,13 +201,14 @@ def rank(docs: DataFrame, items: DataFrame, k: int = 50, doc_col: str = "doc_id"
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     asked = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).filter("text is not null")
+    asked = asked.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("copies"))  # repeated items are searched once
     item_type = asked.schema["item_id"].dataType.simpleString()
     size = asked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     groups = max(-(-size.n // GROUP_ITEMS), -(-(size.b or 0) // GROUP_BYTES), 1)
     parts = []
     for g in range(groups):
         own = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).toArrow()  # about GROUP_BYTES
-        words = [list(dict.fromkeys(terms(t))) for t in _bytes(own.column("text").combine_chunks())]
+        words = [list(dict.fromkeys(terms(t))) for t in _bytes(_whole(own.column("text")))]
         vocabulary = {w: n for n, w in enumerate(dict.fromkeys(w for item in words for w in item))}
         if not vocabulary:
             continue
@@ -212,13 +218,12 @@ def rank(docs: DataFrame, items: DataFrame, k: int = 50, doc_col: str = "doc_id"
             continue
         df = _document_counts(rows, len(vocabulary))
         weight = np.floor(1000 * np.log((2 * total.n + 2) / (2 * df + 1))).astype(np.int64)
-        ids = own.column("item_id").combine_chunks()
-        ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks)
-        parts.append(_search(rows, ids, [[vocabulary[w] for w in item] for item in words], weight, total.n, total.l, k, item_type).withColumn("group", F.lit(g)))
+        ids, copies = (_whole(own.column(c)) for c in ("item_id", "copies"))
+        parts.append(_search(rows, ids, copies, [[vocabulary[w] for w in item] for item in words], weight, total.n, total.l, k, item_type).withColumn("group", F.lit(g)))
     if not parts:
         return spark.createDataFrame([], f"item_id {item_type}, rank int, doc_id long, score long")
     order = [F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
     found = reduce(DataFrame.unionByName, parts).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
     some = found.withColumn("rank", F.row_number().over(Window.partitionBy("group", "item_no", "salt").orderBy(*order))).filter(F.col("rank") <= k)
     best = some.withColumn("rank", F.row_number().over(Window.partitionBy("group", "item_no").orderBy(*order))).filter(F.col("rank") <= k)
-    return best.select("item_id", "rank", "doc_id", "score")
+    return best.select("item_id", "rank", "doc_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")

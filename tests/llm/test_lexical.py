@@ -52,7 +52,7 @@ def test_terms():
 def test_against_plain(spark, k, monkeypatch):
     """Many ties: short texts of few words; tiles and products of odd sizes."""
     docs = table(1, 90, 9) + [(5, "the river"), (None, "the river"), (None, None), (91, ""), (92, "zebra " * 3000)]
-    items = table(2, 7, 6) + [(7, None), (8, "absent words"), (9, "the the RIVER"), (9, "zebra")]
+    items = table(2, 7, 6) + [(7, None), (8, "absent words"), (9, "the the RIVER"), (9, "zebra"), (9, "zebra"), (None, "zebra")]
     monkeypatch.setattr(lexical, "TILE_ITEMS", 4)
     d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' as item_id", "1 as score").repartition(5)
     i = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "2 as doc_id", "3 as rank")
