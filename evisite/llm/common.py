@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,6 +40,21 @@ def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
         spark.conf.set(name, str(most))
 
 
+def tidy(work):
+    """The function of a Python stage, after which a task gives the memory back that it no longer needs: workers stay for later tasks."""
+
+    @functools.wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # a C library without it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def settle(df: DataFrame, **options) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back.
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evisite.llm.common import fresh, low_hash
+from evisite.llm.common import fresh, low_hash, tidy
 
 STEPS, LEAD = 128, 16  # bytes of a window that count, and bytes on both sides that only lead in
 ROWS = 2048  # windows that step together
@@ -261,4 +261,4 @@ def classify(docs: DataFrame, model: BiGru | None, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], pa.array(pred, pa.string()), pa.array(score)], names=[*[names[k] for k in kept], "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.schema.fields)
-    return docs.mapInArrow(labelled, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(tidy(labelled), f"{fields}, lang_pred string, score double")

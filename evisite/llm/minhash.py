@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evisite.llm.common import batches_of, components, own_texts, settle, unite, unsettle
+from evisite.llm.common import batches_of, components, own_texts, settle, tidy, unite, unsettle
 
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
@@ -156,7 +156,7 @@ def features(docs: DataFrame, k: int) -> DataFrame:
                     names=[c.split()[0] for c in FEATURES.split(", ")],
                 )
 
-    return docs.mapInArrow(made, FEATURES)
+    return docs.mapInArrow(tidy(made), FEATURES)
 
 
 def whole_groups(batches, keys: int, least: int) -> Iterator[pa.Table]:
@@ -289,7 +289,7 @@ def clouds(reps: DataFrame, least: int) -> DataFrame | None:
             hung = np.flatnonzero(rep != rep[parent])
             yield pa.RecordBatch.from_arrays([pa.array(rep[hung]), pa.array(rep[parent[hung]])], names=["a", "b"])
 
-    edges = settle(dealt.mapInArrow(compared, "a long, b long").distinct())
+    edges = settle(dealt.mapInArrow(tidy(compared), "a long, b long").distinct())
     found = None if edges.isEmpty() else components(edges)
     unsettle(edges)
     return found
@@ -309,7 +309,7 @@ def confirmed(docs: DataFrame, members: DataFrame, k: int, least: int, repeated:
                 some = batch.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array([s.tobytes() for s in shingle_sets(some.column(3), k)], pa.binary())], names=["cloud", "blocks", "rep", "shingles"])
 
-    sets = docs.join(placed, "doc_id").select("component", "blocks", "doc_id", "text").mapInArrow(built, "cloud long, blocks int, rep long, shingles binary")
+    sets = docs.join(placed, "doc_id").select("component", "blocks", "doc_id", "text").mapInArrow(tidy(built), "cloud long, blocks int, rep long, shingles binary")
     sets = sets.filter(F.octet_length("shingles") > 0)
     sets = sets.dropDuplicates(["rep", "shingles"]) if repeated else sets
     sets = settle(sets.select("cloud", "rep", "shingles", F.explode(blocks_of(F.col("blocks"), F.col("rep"))).alias("b")).select("cloud", "b.i", "b.j", "rep", "shingles"))
@@ -332,7 +332,7 @@ def confirmed(docs: DataFrame, members: DataFrame, k: int, least: int, repeated:
             yield pa.RecordBatch.from_arrays([pa.array(rep[hung]), pa.array(rep[parent[hung]])], names=["a", "b"])
 
     together = sets.repartition("cloud", "i", "j").sortWithinPartitions("cloud", "i", "j", "rep")
-    edges = settle(together.mapInArrow(resolved, "a long, b long"))
+    edges = settle(together.mapInArrow(tidy(resolved), "a long, b long"))
     unsettle(sets, large)
     return edges, whole
 

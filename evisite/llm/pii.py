@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evisite.llm.boost import BoostedTrees
-from evisite.llm.common import byte_slices, fresh, low_hash
+from evisite.llm.common import byte_slices, fresh, low_hash, tidy
 
 BYTES = 1_000_000  # of texts searched at once
 KINDS = ["email", "ip", "card", "phone"]
@@ -356,7 +356,7 @@ def find(docs: DataFrame, model: BoostedTrees | None, id_col: str = "doc_id", te
                     names=[c.split()[0] for c in FOUND.split(", ")],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(found, FOUND)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(found), FOUND)
 
 
 def redacted(text: str, spans: list) -> str:
@@ -381,4 +381,4 @@ def redact(docs: DataFrame, model: BoostedTrees | None, text_col: str = "text")
                 new = pa.array([None if t is None else redacted(t, s) for t, (_, s) in zip(texts, spans)], some.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays([new if n == at else c for n, c in enumerate(some.columns)], schema=some.schema)
 
-    return docs.mapInArrow(cleaned, docs.schema)
+    return docs.mapInArrow(tidy(cleaned), docs.schema)
