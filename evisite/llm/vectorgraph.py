@@ -7,7 +7,7 @@
    always share a shard. Cells above ``LIMIT`` are split again. What stays larger (groups that the centres don't part)
    is dealt by hash into blocks, and every block is compared with every other, so a task holds two blocks at most.
 3. In each block a graph is built by robust pruning; the adjacency lists of a node from all its shards are united.
-4. Every node searches the graphs of its shards' blocks: greedy from the medoids of a graph's parts and, in its own block, from
+4. Every node searches the graphs of its shards' blocks: greedy from the medoids of the clusters of a graph's parts and, in its own block, from
    its own list, widened as long as nodes within range, or among the nearest ``beam``, are unexpanded. Links are what the
    search finds, each confirmed in double precision. A link of two nodes is counted in the first shard that they share.
    Tasks return counts and union-find roots, never pairs, so a group of thousands of copies gives rows in proportion to its size.
@@ -35,6 +35,7 @@ CELL = 250  # nodes that a centre is meant for
 SAMPLE = 2048
 DEGREE, NEAR, ALPHA, BEAM, WIDE = 16, 48, 1.2, 16, 8
 ROUNDING = 1e-9
+GATE = 48
 EDGES = 500_000  # edges followed one by one
 SINGLE = 1e-4  # above the error of a cosine in single precision
 
@@ -99,19 +100,27 @@ def confirmed(x: np.ndarray, q: np.ndarray, near: np.ndarray, least: float) -> n
     return out
 
 
+def medoids(x: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Where searches start: in each part of the graph the node nearest to each centre of its clusters, one for about ``GATE`` nodes."""
+    out = []
+    for p in np.unique(part):
+        of = np.flatnonzero(part == p)
+        c = kmeans(x[of], -(-len(of) // GATE), turns=3) if len(of) > GATE else x[of].mean(axis=0, keepdims=True)
+        out.append(of[np.unique((x[of] @ c.T).argmax(axis=0))])
+    return np.concatenate(out)
+
+
 def range_search(x: np.ndarray, lists: list[np.ndarray], q: np.ndarray, least: float, own: list[np.ndarray] | None = None, beam: int = BEAM) -> np.ndarray:
     """Which rows of ``x`` each query finds at a cosine of ``least`` or more, by greedy, range-expanding search from the
-    medoids of the graph's parts and, for queries that are nodes, from their ``own`` adjacency lists."""
+    medoids of the graph's clusters and, for queries that are nodes, from their ``own`` adjacency lists."""
     n, x4, q4 = len(x), x.astype(np.float32), q.astype(np.float32)  # single precision leads the search
     sizes = np.array([len(v) for v in lists])
     flat = np.concatenate(lists).astype(np.int64) if sizes.sum() else np.zeros(0, np.int64)
     start = np.cumsum(sizes) - sizes
     part = roots(n, np.repeat(np.arange(n), sizes), flat)
     sim, known = np.full((len(q), n), -2, np.float32), np.zeros((len(q), n), bool)
-    for p in np.unique(part):
-        of = np.flatnonzero(part == p)
-        medoid = of[int((x[of] @ x[of].mean(axis=0)).argmax())]
-        sim[:, medoid], known[:, medoid] = q4 @ x4[medoid], True
+    starts = medoids(x4, part)
+    sim[:, starts], known[:, starts] = q4 @ x4[starts].T, True
     if own is not None:
         qs, vs = np.repeat(np.arange(len(q)), [len(v) for v in own]), np.concatenate(own).astype(np.int64)
         sim[qs, vs], known[qs, vs] = np.einsum("ij,ij->i", q4[qs], x4[vs]), True
