@@ -9,12 +9,26 @@ from evisite.functions.headers import clean_sequence, flanks
 from evisite.operators.pairs import first_of
 
 
-def explode_markers(df: DataFrame, seq: str = "seq", marker: str = "*", before: bool = False) -> DataFrame:
-    """One row per marker: ``poi`` letters stand before it (one less with ``before``), ``plain`` is the clean sequence."""
+def explode_markers(df: DataFrame, seq: str = "seq", marker: str = "*", before: bool = False, context: bool = False) -> DataFrame:
+    """One row per marker: ``poi`` letters stand before it (one less with ``before``), ``plain`` is the clean sequence.
+
+    ``context`` adds ``left_, right_``, the letters around the place. They are cut before the rows are made, so that a text is copied to
+    its markers only where ``plain`` or ``seq`` is asked for.
+    """
     clean = clean_sequence(F.col(seq))
     at = F.filter(F.transform(F.split(clean, ""), lambda c, i: F.when(c == marker, i)), lambda i: i.isNotNull())  # letters and markers before each marker
-    rows = df.withColumn("plain", F.replace(clean, F.lit(marker), F.lit(""))).withColumn("ends_", F.transform(at, lambda i, k: i - k))
-    return rows.select("*", F.posexplode("ends_").alias("marker_no", "poi")).drop("ends_").withColumn("poi", F.col("poi") - int(before))
+    rows = df.withColumn("plain", F.replace(clean, F.lit(marker), F.lit(""))).withColumn("ends_", F.transform(at, lambda i, k: i - k - int(before)))
+
+    def placed(i: Column) -> Column:
+        cut = lambda start, n: F.array_join(F.slice("letters_", start + 1, n), "")  # noqa: E731; by the list, since each cut of the text would walk to its place
+        start = F.greatest(i - 6, F.lit(0))
+        left, right = F.lpad(cut(start, F.greatest(i - start, F.lit(0))), 6, "-"), F.rpad(cut(F.greatest(i, F.lit(0)), F.lit(6)), 6, "-")
+        return F.struct(i.alias("poi"), *([left.alias("left_"), right.alias("right_")] if context else []))
+
+    rows = rows.withColumn("letters_", F.split("plain", "")) if context else rows
+    rows = rows.withColumn("ends_", F.transform("ends_", placed))
+    rows = rows.select("*", F.posexplode_outer("ends_").alias("marker_no", "end_")).filter("marker_no is not null")  # a plain explode makes the list again to test its size
+    return rows.select("*", "end_.*").drop("ends_", "end_", "letters_")
 
 
 def header_locator(header: Column) -> Column:
@@ -26,19 +40,21 @@ def normalise(sequences: DataFrame, acc: Column, order_by: str, before: bool = F
     """Sites and rejects of marked sequences (``header, seq``).
 
     A header locator replaces markers. Sites outside the sequence and sequences without any site are rejects; of
-    repeated (accession, position) the first in order stays.
+    repeated (accession, position) the first in order stays. Its letters around the site are cut before that choice, which so moves
+    texts only where ``plain`` or ``seq`` is asked for.
     """
     base = sequences.withColumn("acc", acc).withColumn("locator", header_locator(F.col("header")))
-    marked = explode_markers(base.filter("locator is null"), before=before).drop("marker_no")
-    located = base.filter("locator is not null").withColumn("plain", F.regexp_replace(clean_sequence(F.col("seq")), r"\*", "")).withColumn("poi", F.col("locator"))
-    sites = marked.unionByName(located)
-    good = (F.col("poi") >= 1) & (F.col("poi") <= F.length("plain"))
+    sized = base.withColumn("length_", F.length(F.replace(clean_sequence(F.col("seq")), F.lit("*"), F.lit(""))))
+    marked = explode_markers(sized.filter("locator is null"), before=before, context=True).drop("marker_no")
+    located = sized.filter("locator is not null").withColumn("plain", F.regexp_replace(clean_sequence(F.col("seq")), r"\*", "")).withColumn("poi", F.col("locator"))
+    left, right = flanks(F.col("plain"), F.col("poi"))
+    sites = marked.unionByName(located.withColumns({"left_": left, "right_": right}))
+    good = (F.col("poi") >= 1) & (F.col("poi") <= F.col("length_"))
     none = base.filter("locator is null").filter(~F.col("seq").contains("*")).select("header", "acc", F.lit("no marker").alias("reason"))
     bad = sites.filter(~good).select("header", "acc", F.lit("position outside the sequence").alias("reason"))
     kept = first_of(sites.filter(good), ["acc", "poi"], [F.col(order_by)])
-    left, right = flanks(F.col("plain"), F.col("poi"))
-    kept = kept.withColumn("entry_id", F.concat("acc", F.lit("_Pos"), F.col("poi").cast("string"))).withColumn("poiseq", F.concat(left, F.lit("/"), right))
-    return kept.drop("locator"), none.unionByName(bad)
+    kept = kept.withColumn("entry_id", F.concat("acc", F.lit("_Pos"), F.col("poi").cast("string"))).withColumn("poiseq", F.concat("left_", F.lit("/"), "right_"))
+    return kept.drop("locator", "length_", "left_", "right_"), none.unionByName(bad)
 
 
 def sample_positions(df: DataFrame, key: str, seq: str, letters: str, n: int = 5000, least: int = 25, seed: str = "1") -> DataFrame:

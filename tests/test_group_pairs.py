@@ -89,3 +89,19 @@ def test_seed_search_finds_planted_pairs(spark):
     t = spark.createDataFrame([("t1", "XXXMKVLAAGIVGLCAKYY"), ("t2", "GIVGLQQQQ"), ("t3", "")], "t string, ts string")
     got = search.seed_search(q, t, "q", "t", "qs", "ts", k=5, least=2).collect()
     assert [(r.q, r.t, r.diagonal, r.seeds) for r in got] == [("q1", "t1", 3, 10)]
+
+
+def test_sites_move_without_their_texts(spark):
+    """The choice among repeated sites sorts and moves places and their letters, not a text for each of its markers."""
+    from evisite.functions.headers import accession
+
+    rows = spark.createDataFrame([("sp|P1|v", "MAC*DEF-GH*"), ("sp|P1|w", "MAC*DEFGHIKLM"), ("sp|P2 POI:2-3|x", "AC*DE")], "header string, seq string")
+    sites = markers.normalise(rows, accession(F.col("header")), "header")[0].select("entry_id", "poi", "poiseq")
+    nodes, names = [sites._jdf.queryExecution().optimizedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "Window":
+            names.append({node.output().apply(k).name() for k in range(node.output().size())})
+        nodes += [node.children().apply(k) for k in range(node.children().size())]
+    assert len(names) == 1 and not names[0] & {"seq", "plain", "letters_", "ends_"}
+    assert sorted((r.poi, r.poiseq) for r in sites.collect()) == [(2, "----AC/DE----"), (3, "---MAC/DEFGH-"), (8, "CDEFGH/------")]
