@@ -10,6 +10,7 @@ out a special token, which the library turns into one id, go to the library whol
 from __future__ import annotations
 
 import array
+import functools
 import os
 import re
 
@@ -21,6 +22,7 @@ from evisite.llm.common import own_texts
 
 KEEP = 600_000  # chunks, and pieces, that a worker remembers before it starts anew
 STEP = 24 << 20  # bytes of text handled at once
+PART = 1000  # texts that the library encodes at once; what it returns of each is much larger than its ids
 
 LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -42,36 +44,47 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.lower, self.keep, self.whole = lower, keep, Tokenizer.from_file(path)
-        added = self.whole.get_added_tokens_decoder().values()
-        self.marks = "|".join(f"(?i:{re.escape(t.content)})" if t.normalized else re.escape(t.content) for t in added)
+        self.lower, self.keep, self.path = lower, keep, path
         self.piece = Tokenizer.from_file(path)  # for pieces that are split and lower-cased already
+        added = self.piece.get_added_tokens_decoder().values()
+        self.marks = "|".join(f"(?i:{re.escape(t.content)})" if t.normalized else re.escape(t.content) for t in added)
         if lower:
             self.piece.normalizer = normalizers.Sequence([])
         self.piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._forget()
 
+    @functools.cached_property
+    def whole(self):
+        """The library's tokenizer as it is; loaded where a text needs it, since each takes 27 MB of a worker."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _forget(self) -> None:
         self.chunks: dict[str, int] = {}  # to the place in start and count
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}  # of chunks of several
         self.flat, self.start, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _library(self, tokenizer, texts: list[str]) -> list[bytes]:
-        return [array.array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array.array("I", e.ids).tobytes() for at in range(0, len(texts), PART) for e in tokenizer.encode_batch_fast(texts[at : at + PART], add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
         """Encodes new chunks: Latin-1 ones by their pieces, others by the library as they are."""
         wide = [c for c in new if WIDE.search(c)]
-        ids = dict(zip(wide, self._library(self.whole, wide)))
+        ids = dict(zip(wide, self._library(self.whole, wide))) if wide else {}
         if self.lower:
             split = {c: WORDS.findall(c.lower()) for c in new if c not in ids}
         else:
             split = {c: BYTES.findall(c) for c in new if c not in ids}
         known = self.pieces
         unseen = list({p for parts in split.values() for p in parts if p not in known})
-        known.update(zip(unseen, self._library(self.piece, unseen)))
+        found = dict(zip(unseen, self._library(self.piece, unseen)))
         for c, parts in split.items():
-            ids[c] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+            if len(parts) == 1:  # the chunk itself is remembered, so its piece is not
+                ids[c] = known[parts[0]] if parts[0] in known else found[parts[0]]
+                continue
+            known.update((p, found[p]) for p in parts if p in found)
+            ids[c] = b"".join([known[p] for p in parts])
         sizes = np.fromiter((len(ids[c]) for c in new), np.int64, len(new)) // 4
         self.chunks.update(zip(new, range(len(self.count), len(self.count) + len(new))))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])

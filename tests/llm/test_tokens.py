@@ -188,3 +188,22 @@ def test_whole_packing_equals_a_plain_packer():
     for r in p.rows:
         used[r[5]] = used.get(r[5], 0) + r[2]
     assert sum(n < capacity for n in used.values()) <= 1 and sum(used.values()) == sum(n for v in where.values() for _, n, _, _ in v)
+
+
+def test_encoder_holds_each_chunk_once_and_one_tokenizer():
+    """Chunks of one piece are not held as pieces too, few texts go to the library at once, and its second tokenizer waits for a text that needs it."""
+    letters = lambda k: "".join("abcdefghij"[int(c)] for c in str(k))
+    texts = [" ".join(f"{letters(k)} w{letters(k)}x, it's" for k in range(n, n + 700)) for n in (0, 500)]
+    enc, most = Encoder(public_tokenizers.path("byte_bpe_50k.json"), False), []
+    library = enc.piece
+
+    class Watched:
+        def encode_batch_fast(self, some, **options):
+            most.append(len(some))
+            return library.encode_batch_fast(some, **options)
+
+    enc.piece = Watched()
+    flat, counts = enc.encode(pa.array(texts))
+    assert max(most) <= 1000 and sum(most) > 1000
+    assert "whole" not in vars(enc) and len(enc.pieces) < 10 < len(enc.chunks)
+    assert flat.tolist() == [i for t in texts for i in enc.whole.encode(t, add_special_tokens=False).ids] and counts.sum() == len(flat)
