@@ -10,10 +10,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evisite.operators.pairs import first_of
+from evisite.tables import settled
 
 
 def distance2(a: str, b: str) -> Column:
@@ -238,6 +239,21 @@ def twin_residues(residues: DataFrame) -> DataFrame:
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], radius: float) -> DataFrame:
-    """The nearest right point of each left point within a radius."""
-    n = neighbours(left, right, keys, radius).select(*[F.col(f"l.{k}").alias(k) for k in keys], F.col("l.id").alias("id"), F.col("r.id").alias("near"), distance2("l", "r").alias("d2"))
-    return first_of(n.filter("id <> near"), [*keys, "id"], [F.col("d2"), F.col("near")])
+    """The nearest right point of each left point within a radius; of equal distances the least id.
+
+    Of the right points at one place two are enough, and a left point is searched in a wider radius only when a narrower one has none:
+    so neither copies nor crowded places make pairs that grow with the square of their number.
+    """
+    order = F.row_number().over(Window.partitionBy(*keys, *"xyz").orderBy("id"))
+    two = right.select(*keys, "id", *"xyz").filter("id is not null").distinct().withColumn("n_", order).filter("n_ <= 2")
+    places = two.groupBy(*keys, *"xyz").agg(F.min("id").alias("one_"), F.max("id").alias("two_"))
+    left, places, found = left.select(*keys, "id", *"xyz"), settled(places), []
+    for share in (64, 8, 1):
+        near = F.when(F.col("r.one_") != F.col("l.id"), F.col("r.one_")).otherwise(F.col("r.two_")).alias("near")
+        pairs = neighbours(left, places, keys, radius / share).select(*[F.col(f"l.{k}").alias(k) for k in keys], F.col("l.id").alias("id"), near, distance2("l", "r").alias("d2"))
+        best = first_of(pairs.filter("id <> near"), [*keys, "id"], [F.col("d2"), F.col("near")])
+        if share > 1:
+            best = settled(best.filter(F.col("d2") < (0.99 * radius / share) ** 2))  # whatever rounding does at the edges of cells
+            left = left.join(best.select(*keys, "id"), [*keys, "id"], "left_anti")
+        found.append(best)
+    return found[0].unionByName(found[1]).unionByName(found[2])

@@ -153,3 +153,22 @@ def test_areas_on_642_points(spark, tmp_path):
             sa, asa = sa + (not any(own)), asa + (not own)
         scale = 4 * 3.141592653589793 * full * full / 642
         assert abs(got[k][0] - scale * sa) < 1e-3 and abs(got[k][1] - scale * asa) < 1e-3
+
+
+def test_nearest_among_copies_and_crowds(spark, monkeypatch):
+    """Equal places, ties, ids at two places and lone points against brute force; copies make no pairs among themselves."""
+    rng = random.Random(12)
+    rows = [(k, k % 2, *(float(rng.choice([0, 1, 2, 3, 40, 55.5])) for _ in "xyz")) for k in range(60)] + [(100 + k, 0, 7.0, 7.0, 7.0) for k in range(300)]
+    rows += [(k, 0, 90.0 + rng.random(), rng.random(), rng.random()) for k in range(500, 560)] + [(3, 1, 90.0, 90.0, 90.0), (900, 1, 95.0, 90.0, 90.0), (901, 1, 500.0, 0.0, 0.0), (None, 1, 500.0, 0.0, 0.0), (902, None, 1.0, 1.0, 1.0)]
+    made, pairs = [], X.neighbours
+    monkeypatch.setattr(X, "neighbours", lambda *a, **b: made.append(pairs(*a, **b)) or made[-1])
+    p = spark.createDataFrame(rows, "id int, label int, x double, y double, z double")
+    got = sorted((r.label, r.id, r.near, round(r.d2, 9)) for r in X.nearest(p, p, ["label"], 15.0).collect())
+    want = {}
+    for i, a, *u in rows:
+        for j, b, *v in rows:
+            d = sum((s - t) ** 2 for s, t in zip(u, v))
+            if i is not None and j is not None and a is not None and a == b and i != j and d <= 225:
+                want[a, i] = min(want.get((a, i), (d, j)), (d, j))
+    assert got == sorted((a, i, j, round(d, 9)) for (a, i), (d, j) in want.items())
+    assert sum(m.count() for m in made) < 20 * len(rows)  # all pairs in reach: about 100,000
