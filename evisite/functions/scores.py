@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,28 +101,53 @@ def identity_score(target: Column, query: Column) -> Column:
     return F.when(letters == 0, 0).otherwise(F.greatest(F.lit(0), score).cast("int"))
 
 
+STATS = "length int, first int, last int, identity int, gaps int, unaligned int, gap_opens int"
+LETTERS = 2_000_000  # letters of both rows counted at once
+
+
 def alignment_stats(target: Column, query: Column) -> Column:
-    """struct(length, first, last, identity, gaps, unaligned, gap_opens) of two gapped rows (columns from 0)."""
-    n = F.least(F.length(target), F.length(query))
-    start = F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("last"), F.lit(0).alias("identity"), F.lit(0).alias("gaps"), F.greatest(F.length(target) - F.length(query), F.lit(0)).alias("unaligned"), F.lit(0).alias("opens"), F.lit(0).alias("held"))
-
-    def step(s: Column, k: Column) -> Column:
-        t, q = F.substring(target, k, F.lit(1)), F.substring(query, k, F.lit(1))
-        both = (t != "-") & (q != "-")
-        hole = (s["first"] >= 0) & (t == "-") & (q != "-")
-        return F.struct(
-            F.when(both & (s["first"] < 0), k - 1).otherwise(s["first"]).alias("first"),
-            F.when(both, k - 1).otherwise(s["last"]).alias("last"),
-            (s["identity"] + (both & (t == q)).cast("int")).alias("identity"),
-            (s["gaps"] + F.when(both, s["held"]).otherwise(0)).alias("gaps"),
-            (s["unaligned"] + ((t != "-") & (q == "-")).cast("int")).alias("unaligned"),
-            (s["opens"] + (both & (s["held"] > 0)).cast("int")).alias("opens"),
-            F.when(both, 0).otherwise(s["held"] + hole.cast("int")).alias("held"),
-        )
-
-    done = lambda s: F.struct(F.when(s["first"] >= 0, s["last"] - s["first"] + 1).otherwise(0).alias("length"), s["first"].alias("first"), s["last"].alias("last"), s["identity"].alias("identity"), s["gaps"].alias("gaps"), s["unaligned"].alias("unaligned"), s["opens"].alias("gap_opens"))
-    steps = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, start, step, done)
+    """struct(length, first, last, identity, gaps, unaligned, gap_opens) of two gapped rows (columns from 0).
+
+    Many pairs of rows are counted at once, letter by letter in flat arrays. A missing row has no columns.
+    """
+    return F.pandas_udf(_stats, STATS)(target, query)
+
+
+def _some_stats(targets: list[str], queries: list[str]) -> np.ndarray:
+    """The numbers of ``alignment_stats``, a row for each pair."""
+    sizes = np.array([[len(t), len(q)] for t, q in zip(targets, queries)], np.int64).reshape(-1, 2)
+    n = sizes.min(axis=1)
+    flat = lambda rows: np.frombuffer("".join([r[:k] for r, k in zip(rows, n)]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    t, q, gap = flat(targets), flat(queries), ord("-")
+    ends = np.cumsum(n)
+    starts = ends - n
+    row = np.repeat(np.arange(len(n)), n)
+    totals = lambda marks: np.bincount(row[marks], minlength=len(n))
+    both = (t != gap) & (q != gap)
+    at = np.flatnonzero(both)
+    n_both = totals(both)
+    some, after = n_both > 0, np.cumsum(n_both)
+    first, last = np.full(len(n), -1), np.full(len(n), -1)
+    first[some] = at[(after - n_both)[some]] - starts[some]
+    last[some] = at[after[some] - 1] - starts[some]
+    # Columns of the query alone between two of letters in both: their number before each of these, less that before the one ahead.
+    holes = np.concatenate([[0], np.cumsum((t == gap) & (q != gap))])[at]
+    held = np.diff(holes, prepend=0)
+    held[(after - n_both)[some]] = 0
+    sums = lambda x: np.bincount(row[at], x, len(n)).astype(np.int64)
+    unaligned = totals((t != gap) & (q == gap)) + np.maximum(sizes[:, 0] - sizes[:, 1], 0)
+    return np.stack([np.where(some, last - first + 1, 0), first, last, totals(both & (t == q)), sums(held), unaligned, sums(held > 0)], axis=1)
+
+
+def _stats(target: pd.Series, query: pd.Series) -> pd.DataFrame:
+    none = target.isna() | query.isna()
+    t, q = (x.mask(none, "").tolist() for x in (target, query))
+    ends, at, out = np.cumsum([len(a) + len(b) for a, b in zip(t, q)]), 0, [np.zeros((0, 7), np.int64)]
+    while at < len(t):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LETTERS, "right")))
+        out.append(_some_stats(t[at:to], q[at:to]))
+        at = to
+    return pd.DataFrame(np.concatenate(out), columns=[x.split()[0] for x in STATS.split(", ")])
 
 
 def surface_decision(df: DataFrame, keys: list[str], letter: str = "aa1", area: str = "area", sidechain: bool = False) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -80,3 +81,26 @@ def test_sites(spark):
     s = spark.range(1).select(A.site_in_target(F.lit("AACDEFGAA"), F.lit("--CDEFG--"), F.lit(3)).alias("s"), A.site_in_target(F.lit("AACD-FGAA"), F.lit("--CDEFG--"), F.lit(3)).alias("gap")).first()
     assert (s.s.position, s.s.letter, s.s.context, s.gap) == (4, "E", "AACDE*FGAA-", None)
     assert one(spark, A.surroundings(F.lit("A-CD-EF"), F.lit(4), 3), A.gapless(F.lit("CD"), F.lit("AACDCD")).offset) == ("ACD*EF-", 2)
+
+
+def test_statistics_of_many_rows_equal_a_plain_walk(spark):
+    """Long, short, empty and missing rows side by side, in one step of Python instead of one of an expression for each letter."""
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("AC-é") for _ in range(n))
+    rows = [(k, text(rng.choice([0, 1, 5, 40, 3000])), text(rng.choice([0, 1, 5, 40, 3000]))) for k in range(60)] + [(60, "-" * 9, "A" * 9), (61, None, "AC"), (62, "AC", None)]
+
+    def plain(t, q):
+        first, last, same, gaps, opens, held, alone = -1, -1, 0, 0, 0, 0, max(len(t) - len(q), 0)
+        for k, (a, b) in enumerate(zip(t, q)):
+            if a != "-" and b != "-":
+                first, last, same, gaps, opens, held = k if first < 0 else first, k, same + (a == b), gaps + held, opens + (held > 0), 0
+            elif a == "-" and b != "-":
+                held += first >= 0
+            else:
+                alone += a != "-"
+        return (last - first + 1 if first >= 0 else 0, first, last, same, gaps, alone, opens)
+
+    df = spark.createDataFrame(rows, "k int, t string, q string")
+    counted = df.select("k", S.alignment_stats(F.col("t"), F.col("q")).alias("s"))
+    assert "lambda" not in counted._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.k: tuple(r.s) for r in counted.collect()} == {k: plain(t, q) if t is not None and q is not None else (0, -1, -1, 0, 0, 0, 0) for k, t, q in rows}
