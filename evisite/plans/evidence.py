@@ -46,11 +46,13 @@ def located(pois: DataFrame, hits: DataFrame, res: DataFrame, bitscore: float, a
     found = pairs.with_pois(pois, pairs.bitscore_filter(hits.withColumnRenamed("query_id", "entry_id"), cutoff=bitscore))
     chains = structures.chain_sequences(res, "A").join(res.select("file", "pdb_id").distinct(), "file").select("pdb_id", "chain", F.col("seq").alias("chain_seq"))
     windows = found.withColumn("window", align_window(F.col("plain"), F.col("poi"))).join(chains, ["pdb_id", "chain"])
-    aligned = align.align_pairs(windows, "window", "chain_seq", matrix).withColumn("align_score", identity_score(F.col("target_row"), F.col("query_row")))
+    # Scores and residues are found once for each distinct pair of texts; a window has its site at one of its first five letters.
+    residues = lambda t, q: F.array(*[align.site_in_target(t, q, F.lit(k), positions) for k in range(1, 6)])
+    aligned = align.align_pairs(windows, "window", "chain_seq", matrix, measures={"align_score": identity_score, "sites_": residues})
     good = pairs.alignment_filter(aligned, cutoff=align_cutoff)
-    sited = good.withColumn("site", align.site_in_target(F.col("target_row"), F.col("query_row"), F.least(F.col("poi"), F.lit(5)), positions)).filter("site is not null")
+    sited = good.withColumn("site", F.get("sites_", F.least(F.col("poi"), F.lit(5)) - 1)).filter("site is not null")
     sited = sited.withColumns({"nth": F.col("site.position") + 1, "row_id": entry_key(F.col("entry_id"), F.col("rank")), "n_residues": F.length("chain_seq")})
-    return sited.withColumn("spot", F.concat_ws("/", "pdb_id", "chain", F.col("nth").cast("string"))).drop("window", "target_row", "query_row", "chain_seq")
+    return sited.withColumn("spot", F.concat_ws("/", "pdb_id", "chain", F.col("nth").cast("string"))).drop("window", "sites_", "chain_seq")
 
 
 def site_residues(spots: DataFrame, nth: DataFrame, positions: int) -> DataFrame:

@@ -307,3 +307,16 @@ def test_rejects(spark, tmp_path):
     assert [r.header for r in fasta.disorder_rejects(spark, str(tmp_path / "d.txt")).collect()] == ["b"]
     (tmp_path / "s.txt").write_text("# head\n  1 A  0.5\n\nbroken row\n")
     assert [r.value for r in fasta.score_rejects(spark, str(tmp_path / "s.txt")).collect()] == ["broken row"]
+
+
+def test_sites_are_located_once_for_each_pair_of_texts(spark, monkeypatch):
+    """Scores and residues are measured with the alignment, not for each hit; sites before the fifth letter and after it."""
+    letters = "ACDEFGHIKLMNPQRSTVWY"
+    res = spark.createDataFrame([("f", "f", 0, "A", k, k, "", "ALA", a, "amino", "ATOM", True) for k, a in enumerate(letters)], "pdb_id string, file string, model int, chain string, residx long, resnum int, icode string, resname string, aa1 string, cls string, rec string, primary boolean")
+    pois = spark.createDataFrame([(f"e{k}", letters, k) for k in range(1, 20)], "entry_id string, plain string, poi int")
+    hits = spark.createDataFrame([(f"e{k}", "f", "A", 90.0 - 50 * (n == 2), n) for k in range(1, 20) for n in (0, 1, 2)], "query_id string, pdb_id string, chain string, bitscore double, rank int")
+    seen, made = [], evidence.align.align_pairs
+    monkeypatch.setattr(evidence.align, "align_pairs", lambda *a, **b: seen.append(made(*a, **b)) or seen[-1])
+    got = sorted((r.row_id, r.spot, r.align_score, r.n_residues) for r in evidence.located(pois, hits, res, 50.0, 70, None, 1).collect())
+    assert got == sorted((f"e{k}_{n}", f"f/A/{k}", 100, 20) for k in range(1, 20) for n in (0, 1))
+    assert not {"target_row", "query_row"} & set(seen[0].columns)
