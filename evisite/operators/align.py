@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evisite.dims import COUNTED
+from evisite.tables import bounded_batches, tidy
 
 NEVER = -(2**28)
 
@@ -206,31 +208,29 @@ def align_batch(queries: list[str], targets: list[str], table: np.ndarray, gap_o
     return out
 
 
-def align_pairs(pairs: DataFrame, query: str, target: str, matrix: dict[str, int] | None = None, gap_open: int = -10, gap_extend: int = -2, batch: int = 2048, letters: int = 4_000_000, measures: dict[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
+def align_pairs(pairs: DataFrame, query: str, target: str, matrix: dict[str, int] | None = None, gap_open: int = -10, gap_extend: int = -2, batch: int = 2048, letters: int = 1_000_000, measures: dict[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
     """``pairs`` with ``score, target_row, query_row``; each distinct (query, target) is aligned once.
 
-    A batch ends at ``batch`` pairs or ``letters`` target letters. ``measures``: columns computed of (target row, query
-    row), which then take the place of the rows, so that long rows are not shuffled.
+    A batch ends at ``batch`` pairs or ``letters`` target letters, however many rows Spark hands over. ``measures``: columns
+    computed of (target row, query row), which then take the place of the rows, so that long rows are not shuffled.
     """
+    bounded_batches(pairs.sparkSession)
     table = _lookup(matrix or simple_matrix())
 
     def aligned(batches):
         for some in batches:
-            keys, a, b = (c.to_pylist() for c in some.columns)
-            at = 0
-            while at < len(a):
-                to, total = at + 1, len(b[at])
-                while to < len(a) and to - at < batch and total + len(b[to]) <= letters:
-                    total += len(b[to])
-                    to += 1
-                rows = align_batch(a[at:to], b[at:to], table, gap_open, gap_extend)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at:to]), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], names=["key_", "score", "target_row", "query_row"])
+            ends, at = np.cumsum(pc.utf8_length(some.column(2)).to_numpy(), dtype=np.int64), 0
+            while at < some.num_rows:
+                to = min(at + batch, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + letters, "right"))))
+                keys, a, b = some.slice(at, to - at).columns
+                rows = align_batch(a.to_pylist(), b.to_pylist(), table, gap_open, gap_extend)
+                yield pa.RecordBatch.from_arrays([keys, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["key_", "score", "target_row", "query_row"])
                 at = to
 
-    key = F.concat_ws("/", F.sha2(F.col(query), 256), F.sha2(F.col(target), 256))
+    key = F.unhex(F.sha2(F.encode(F.concat(F.length(query).cast("string"), F.lit("/"), query, target), "utf-8"), 256))
     keyed = pairs.filter(F.col(query).isNotNull() & F.col(target).isNotNull()).withColumn("key_", key)
     distinct = keyed.select("key_", F.col(query).alias("q_"), F.col(target).alias("t_")).dropDuplicates(["key_"])
-    done = distinct.mapInArrow(aligned, "key_ string, score int, target_row string, query_row string")
+    done = distinct.mapInArrow(tidy(aligned), "key_ binary, score int, target_row string, query_row string")
     if measures is not None:
         done = done.select("key_", "score", *[f(F.col("target_row"), F.col("query_row")).alias(name) for name, f in measures.items()])
     return keyed.join(done, "key_").drop("key_")
@@ -261,7 +261,8 @@ def gapless_whole(df: DataFrame, key: str, query: str, target: str, match: int =
             out = [best_place(q, t, match, mismatch) for q, t in zip(some.column(1).to_pylist(), some.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32())], names=[key, "score", "offset"])
 
-    return df.select(key, query, target).mapInArrow(placed, f"`{key}` {dict(df.dtypes)[key]}, score int, offset int")
+    bounded_batches(df.sparkSession)
+    return df.select(key, query, target).mapInArrow(tidy(placed), f"`{key}` {dict(df.dtypes)[key]}, score int, offset int")
 
 
 def best_place(query: str | None, target: str | None, match: int, mismatch: int) -> tuple[int | None, int | None]:

@@ -1,10 +1,14 @@
-"""Tables in the folder that the driver and all executors share (``spark.checkpoint.dir``)."""
+"""Tables in the folder that the driver and all executors share (``spark.checkpoint.dir``), and the memory of Python stages."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +27,25 @@ def settled(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Lets Spark hand rows to Python in batches of at most ``most`` bytes from now on; a lower limit of the session stays (Spark's own are 10,000 rows and 64 MB)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(str(spark.conf.get(name)).rstrip("bB")) <= most:
+        spark.conf.set(name, str(most))
+
+
+def tidy(work):
+    """The function of a Python stage, after which a task gives the memory back that it no longer needs: workers stay for later tasks."""
+
+    @functools.wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # a C library without it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run

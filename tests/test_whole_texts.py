@@ -172,3 +172,25 @@ def test_nearest_among_copies_and_crowds(spark, monkeypatch):
                 want[a, i] = min(want.get((a, i), (d, j)), (d, j))
     assert got == sorted((a, i, j, round(d, 9)) for (a, i), (d, j) in want.items())
     assert sum(m.count() for m in made) < 20 * len(rows)  # all pairs in reach: about 100,000
+
+
+def test_alignment_batches_are_bounded(spark):
+    """Spark hands a few megabytes of text to Python at once, not 10,000 rows however long; small steps give the same rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    rng = random.Random(2)
+    rows = [(k, "".join(rng.choice("ACDEé") for _ in range(rng.randint(0, 9))), "".join(rng.choice("ACDE") for _ in range(rng.randint(0, 90)))) for k in range(40)] + [(40, "a/", "b"), (41, "a", "/b"), (42, None, "b")]
+    df = spark.createDataFrame(rows, "k int, q string, t string")
+    spark.conf.unset(name)
+    try:
+        whole = A.align_pairs(df, "q", "t")
+        assert int(spark.conf.get(name).rstrip("bB")) <= 4 << 20
+        spark.conf.unset(name)
+        A.gapless_whole(df, "k", "q", "t")
+        assert int(spark.conf.get(name).rstrip("bB")) <= 4 << 20
+        some = A.align_pairs(df, "q", "t", letters=70, batch=3)
+        got, want = (sorted(map(tuple, d.collect())) for d in (some, whole))
+    finally:
+        spark.conf.set(name, before)
+    table = A._lookup(A.simple_matrix())
+    assert got == want == sorted((k, q, t, *dense_batch([q], [t], table, -10, -2)[0]) for k, q, t in rows if q is not None)
