@@ -31,12 +31,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
-    """Lets Spark hand rows to Python in batches of at most ``most`` bytes from now on, where the session has no such limit.
+    """Lets Spark hand rows to Python in batches of at most ``most`` bytes from now on; a lower limit of the session stays.
 
-    Spark's own limit is 10,000 rows, however long their texts; workers and the JVM's buffers keep the memory of their largest batch.
+    Spark's own limits are 10,000 rows and, since 4.1, 64 MB; workers and the JVM's buffers keep the memory of their largest batch.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(str(spark.conf.get(name)).rstrip("bB")) == 2**63 - 1:
+    if not 0 < int(str(spark.conf.get(name)).rstrip("bB")) <= most:
         spark.conf.set(name, str(most))
 
 

@@ -68,3 +68,20 @@ def test_odd_tables(spark):
     assert {r.doc_id for r in docs.select("doc_id").collect()} >= {100} and 101 not in {r.doc_id for r in docs.select("doc_id").collect()}
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "unused").collect()
     assert sum(r.length for r in pieces if r.doc_id == 100) > 30_000
+
+
+def test_batches_are_bounded_below_the_limit_of_spark(spark):
+    """Spark has a limit of its own, which is higher; one that a session sets lower stays."""
+    from evisite.llm.common import bounded_batches
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.unset(name)
+        bounded_batches(spark)
+        assert int(spark.conf.get(name).rstrip("bB")) == 4 << 20
+        spark.conf.set(name, "1000")
+        bounded_batches(spark)
+        assert spark.conf.get(name).rstrip("bB") == "1000"
+    finally:
+        spark.conf.set(name, before)
