@@ -101,3 +101,40 @@ def test_recall_of_the_search_on_a_planted_table(spark, monkeypatch, capsys):
     assert links > 5000 and found >= 0.95 * links and all(got[k] <= want[k] for k in want)
     exact = {r.vec_id: r.n_links for r in vectorgraph.near_duplicates(table, exact=True).collect()}
     assert exact == want
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_a_label_without_clusters_is_sent_once_and_searched_whole(spark):
+    """5000 vectors of a label: each goes to one search, and the search alone finds what brute force finds."""
+    rng = np.random.default_rng(12)
+    x = unit(rng.normal(size=(5000, 24)))
+    other = unit(rng.normal(size=(500, 24)))
+    x[500:1000] = unit(x[:500] + 0.3 * other)
+    nodes = spark.createDataFrame([(k, 1, v.tolist(), 1) for k, v in enumerate(x)], "node long, label int, vec array<double>, copies long")
+    assert vectorgraph.meetings(nodes, 0.93).count() == 5000
+    x4 = x.astype(np.float32)
+    start, flat = vectorgraph.graph(x4, 4.0)
+    links = 0
+    for some, a, b, sim in vectorgraph.search(x4, start, flat, x4, 0.93, (start, flat)):
+        good = vectorgraph.confirmed(x, x[some], a, b, sim, 0.93) & (some[a] != b)
+        links += int(good.sum())
+    want = int((x @ x.T >= 0.93).sum()) - 5000
+    assert 1000 <= want and 0.999 * want <= links <= want
+
+
+def test_split_labels_lose_no_link(spark, monkeypatch):
+    """A label of clusters is split; each node finds all its links in its own cell."""
+    monkeypatch.setattr(vectorgraph, "LIMIT", 100)
+    monkeypatch.setattr(vectorgraph, "CELL", 20)
+    rng = np.random.default_rng(13)
+    centres = unit(rng.normal(size=(12, 32)))
+    x = centres[rng.integers(0, 12, 400)] + rng.uniform(0.02, 0.09, (400, 1)) * rng.normal(size=(400, 32))
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(x)]
+    nodes = spark.createDataFrame([(k, 1, v, 1) for k, v, _ in rows], "node long, label int, vec array<double>, copies long")
+    cells, split = vectorgraph.shards(nodes, 0.93)
+    assert split and cells.filter("own").groupBy("node").count().filter("count = 1").count() == 400
+    got = vectorgraph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == brute(rows, 0.93)
